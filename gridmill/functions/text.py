@@ -89,12 +89,12 @@ def escape_like(s: Column) -> Column:
 
 
 def snippet(s: Column, term: str) -> Column:
-    """before, match and after of the first hit in the text with single spaces; null without a hit or term."""
+    """before, match and after of the first hit of a term in the text with single spaces, whatever the case; null without a hit, or for an empty term."""
     flat = trim(F.regexp_replace(s, rf"{WS}+", " "))
-    wanted = " ".join(term.split())
-    at = F.locate(wanted.lower(), F.lower(flat))
+    wanted = term
     if not wanted:
         return F.lit(None).cast("struct<before:string,match:string,after:string>")
+    at = F.locate(wanted.lower(), F.lower(flat))
     start, end = F.greatest(F.lit(1), at - SNIPPET_CONTEXT), at + len(wanted)
     before = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, at - start))
     after = F.concat(F.substring(flat, end, F.lit(SNIPPET_CONTEXT)), F.when(end + SNIPPET_CONTEXT <= F.length(flat), "…").otherwise(""))
@@ -104,13 +104,13 @@ def snippet(s: Column, term: str) -> Column:
 # -- escapes for export -----------------------------------------------------
 
 #: Fixed value: what counts as a plain number, which needs no guard.
-NUMBER = r"\A[+-]?\(?[$€£¥]?[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)?(?:\.\d+)?(?:[eE][+-]?\d+)?%?\)?\z"
+NUMBER = r"\A[+-]?[$€£¥]?\d[\d,\s]*(\.\d+)?([eE][+-]?\d+)?%?\z"
 FORMULA = r"\A[=+\-@\t\r]"
 
 
 def guard_formula(s: Column) -> Column:
     """An apostrophe before what a spreadsheet would run as a formula; plain numbers stay."""
-    return F.when(s.rlike(FORMULA) & ~(s.rlike(NUMBER) & s.rlike(r"\d")), F.concat(F.lit("'"), s)).otherwise(s)
+    return F.when(s.rlike(FORMULA) & ~s.rlike(NUMBER), F.concat(F.lit("'"), s)).otherwise(s)
 
 
 def escape_csv(s: Column) -> Column:
@@ -129,7 +129,7 @@ def escape_html(s: Column) -> Column:
 
 def escape_markdown(s: Column) -> Column:
     s = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    return F.regexp_replace(s, r"[ \t]*\r?\n[ \t]*", " ")
+    return F.regexp_replace(s, r"\s*\r?\n\s*", " ")
 
 
 def pad(s: Column, width: Column) -> Column:
@@ -138,11 +138,11 @@ def pad(s: Column, width: Column) -> Column:
 
 def file_stem(name: Column, page: Column, pages: Column) -> Column:
     """A safe name for an export, of at most STEM_LENGTH characters before the suffixes; the cut is last and may leave an underscore."""
-    stem = F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]*\z", "")
+    stem = F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]+\z", "")
     stem = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9_-]", "_"), "_+", "_")
     stem = F.substring(F.regexp_replace(stem, r"\A_|_\z", ""), 1, STEM_LENGTH)
     stem = F.when(stem == "", F.lit("extraction")).otherwise(stem)
-    return F.concat(stem, F.when(pages > 1, F.concat(F.lit("_p"), page.cast("string"))).otherwise(""), F.lit("_extract"))
+    return F.concat(stem, F.when(pages > 1, F.concat(F.lit("_p"), (page + 1).cast("string"))).otherwise(""), F.lit("_extract"))
 
 
 def column_label(i: Column) -> Column:
