@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MOST_BYTES, MOST_PAGES, SMALL_SIDE, LEAST_CONFIDENCE = 500 * 1024 * 1024, 2000, 1500, 10
 #: MIME type, first bytes in hex, of each type by extension.
@@ -93,7 +92,7 @@ def data_url(mime: str, content: Column) -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
 
 
-WORDS_JSON = T.ArrayType(T.StructType.fromDDL("id STRING, text STRING, confidence DOUBLE, box_coords STRUCT<left: DOUBLE, top: DOUBLE, width: DOUBLE, height: DOUBLE>"))
+WORDS_JSON = "array<struct<id: string, text: string, confidence: double, box_coords: struct<left: double, top: double, width: double, height: double>>>"
 
 
 def stored_words(pages: DataFrame) -> DataFrame:
