@@ -276,7 +276,7 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
 
     Documents of equal sets are one class from the start. Classes meet where one of six minima of their sets is the same
     (two sets alike by 0.8 miss one another in all six once in 15,000 pairs); there a vantage-point tree over SimHash
-    fingerprints proposes pairs and the sets decide. A meeting of more than ``BLOCK`` classes is dealt into blocks, each
+    fingerprints proposes pairs and the sets decide (by 32 bits of each shingle's hash). A meeting of more than ``BLOCK`` classes is dealt into blocks, each
     with the least class as guest; whoever is not joined with that guest visits all the blocks in a second round, so that no
     link of the meeting is lost and nobody compares all with all. Documents without a word are one class. A row with a null
     id stands alone, with a null component.
@@ -292,7 +292,9 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     rows = checkpointed(texts.mapInArrow(read, "doc_id long, own long, keys array<long>"))
     classes = checkpointed(rows.filter("doc_id is not null").groupBy("own").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
     each = classes.select("id", F.explode("keys").alias("key"))
-    counts = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"same{i}") for i in range(2)]
+    counts = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader"), *same).filter("n > 1")
+    counts = counts.groupBy("n", "leader", "same0", "same1").agg(F.min("key").alias("key")).select("key", "n", "leader")  # one meeting of the same classes is enough
     met = checkpointed(each.join(counts, "key"))
     asked = met.select(F.col("id").alias("doc_id")).distinct()
     packed = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
@@ -301,7 +303,7 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         for b in batches:
             found = strings(b.column(1))
             fps = np.array([fingerprint(t, width) for t in found], np.uint64).view(np.int64)
-            yield batch(packed, [b.column(0), fps, [shingle_set(t, width).tobytes() for t in found]])
+            yield batch(packed, [b.column(0), fps, [np.unique(shingle_set(t, width).astype(np.uint32)).tobytes() for t in found]])
 
     sets = checkpointed(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "id long, fp long, shingles binary").dropDuplicates(["id"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -319,7 +321,7 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
                 unique = {r[0]: r for r in sorted(group, key=lambda r: r[3])}  # a leader is a guest in its own block too
                 ids = sorted(unique)
                 rows = [unique[i] for i in ids]
-                edges, roots = near_edges(ids, np.array([r[1] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[2], np.uint64) for r in rows], [r[3] for r in rows], likeness)
+                edges, roots = near_edges(ids, np.array([r[1] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[2], np.uint32) for r in rows], [r[3] for r in rows], likeness)
                 out = [(max(e), min(e), None, None) for e in edges]
                 hosts = [k for k, r in enumerate(rows) if r[3]]
                 if hosts and not second:
