@@ -148,9 +148,9 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _ask(windows: Windows, part: str = "part"):
-    """Round 1: (hash, part, least id, greatest id, documents) of each distinct anchor of a group."""
-    schema = pa.schema([("hash", pa.int64()), (part, pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
+def _ask(windows: Windows):
+    """Round 1: (hash, least id, greatest less least, documents) of each distinct anchor of a group. The least id tells the group."""
+    schema = pa.schema([("hash", pa.int64()), ("low", pa.int64()), ("more", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -160,7 +160,7 @@ def _ask(windows: Windows, part: str = "part"):
                 if doc is not None and len(words) >= windows.size:
                     found = np.unique(windows.anchors(word_hashes(words))[0])
                     held.setdefault(p, []).append((found, np.full(len(found), doc, np.int64)))
-        for p, parts in held.items():
+        for parts in held.values():
             h, d = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
@@ -168,14 +168,14 @@ def _ask(windows: Windows, part: str = "part"):
             ends = np.concatenate([starts[1:], [len(h)]])
             for k in range(0, len(starts), 50_000):
                 s, e = starts[k : k + 50_000], ends[k : k + 50_000]
-                yield batch(schema, [h[s], np.full(len(s), p, np.int32), d[s], d[e - 1], e - s])
+                yield batch(schema, [h[s], d[s], d[e - 1] - d[s], e - s])
 
     return run
 
 
 def _send(windows: Windows):
-    """Round 2: (key, part, words, least id, greatest id) of each distinct piece around an answered anchor."""
-    schema = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])
+    """Round 2: (key, words, least id, greatest less least) of each distinct piece around an answered anchor."""
+    schema = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("low", pa.int64()), ("more", pa.int64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
@@ -183,7 +183,6 @@ def _send(windows: Windows):
         known, hot = answers.column("hash").to_numpy(), answers.column("hot").to_numpy(zero_copy_only=False)
         order = np.argsort(known)
         known, hot = known[order], hot[order]
-        part = docs.column("part")[0].as_py()
         found: dict[tuple[int, bytes], list[int]] = {}
 
         def note(key: int, piece: bytes, doc: int) -> None:
@@ -209,7 +208,7 @@ def _send(windows: Windows):
                         note(int(keys[w]), b" ".join(words[w : w + windows.size]), doc)
                 else:
                     note(a, b" ".join(words[i : j + windows.size]), doc)
-        return pa.table([pa.array([k for k, _ in found], pa.int64()), pa.array(np.full(len(found), part, np.int32)), pa.array([w for _, w in found], pa.binary()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([x for _, x in found.values()], pa.int64())], schema=schema)
+        return pa.table([pa.array([k for k, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([y - x for x, y in found.values()], pa.int64())], schema=schema)
 
     return run
 
@@ -322,15 +321,17 @@ def _remove(windows: Windows, texts: bool):
 def _rounds(docs: DataFrame, size: int, id_col: str, text_col: str, texts: bool) -> DataFrame:
     windows, spark = Windows(size), docs.sparkSession
     tasks = text_partitions(spark)
+    group = lambda hashed: F.pmod(hashed, F.lit(2 * tasks)).cast("int").alias("part")
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.pmod(own, F.lit(2 * tasks)).cast("int").alias("part"), "doc_id", "text").repartition(tasks, "part")
-    asked = rows.mapInArrow(_ask(windows), "hash long, part int, low long, high long, n long")
+    rows = rows.select(group(own), "doc_id", "text").repartition(tasks, "part")
+    asked = rows.mapInArrow(_ask(windows), "hash long, low long, more long, n long")
     same = Window.partitionBy("hash")  # a row for each group of documents at most
-    answered = asked.select("hash", "part", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.sum("n").over(same).alias("n"))
-    answered = answered.filter("low < high").select("part", "hash", (F.col("n") > HOT).alias("hot"))
-    sent = rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_send(windows), "key long, part int, words binary, low long, high long")
-    matched = sent.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_match(windows), "part int, key long, piece long, first binary")
+    answered = asked.select("hash", F.col("low").alias("own"), F.min("low").over(same).alias("low"), F.max(F.col("low") + F.col("more")).over(same).alias("high"), F.sum("n").over(same).alias("n"))
+    answered = answered.filter("low < high").select(group(F.xxhash64("own")), "hash", (F.col("n") > HOT).alias("hot"))
+    sent = rows.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_send(windows), "key long, words binary, low long, more long")
+    met = sent.repartition(F.col("key")).sortWithinPartitions("key").select("key", group(F.xxhash64("low")), "words", "low", (F.col("low") + F.col("more")).alias("high"))
+    matched = met.mapInArrow(_match(windows), "part int, key long, piece long, first binary")
     return rows.groupBy("part").cogroup(matched.groupBy("part")).applyInArrow(_remove(windows, texts), f"doc_id long, n_words long, n_removed long, {'text' if texts else 'kept_sha256'} string")
 
 
