@@ -52,10 +52,17 @@ def demoted(level: Column, status: Column) -> Column:
     return F.when(status == "fuzzy", F.when(level == "high", "medium").otherwise("low")).otherwise(level)
 
 
-def scored(cells: DataFrame, tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """Cells with llm_mean, llm_min, ocr, agreement and trust. An empty cell in agreement is trusted, one with overlooked words is not; neither is scored by tokens."""
-    llm = llm_scores(tokens_of_cells(tokens, cells))
-    full = cells.join(llm, CELL, "left").join(ocr_scores(cells, words), CELL, "left")
+def scored(cells: DataFrame, tokens: DataFrame, words: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """Cells with llm_mean, llm_min, ocr, agreement and trust. An empty cell in agreement is trusted, one with overlooked words is not; neither is scored by tokens.
+
+    ``cells`` are read once, so that what made them (a match) runs once: tokens are credited by ``ranges`` (the parsed cells,
+    if given), and word confidences come as one map a page.
+    """
+    llm = llm_scores(tokens_of_cells(tokens, cells if ranges is None else ranges))
+    page = words.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("word_id", "confidence"))).alias("_words"))
+    known = F.filter(F.transform("word_ids", lambda i: F.try_element_at("_words", i)), lambda x: x.isNotNull())
+    mean = F.aggregate("_known", F.lit(0.0), lambda a, x: a + x) / F.size("_known")
+    full = cells.join(page, KEY, "left").withColumn("_known", known).withColumn("ocr", F.when(F.size("_known") > 0, mean)).drop("_known", "_words").join(llm, CELL, "left")
     empty = F.col("match_status") == "empty"
     full = full.withColumn("agreement", agreement(F.col("match_status"), F.col("word_ids")))
     level = demoted(trust(F.col("agreement"), F.col("llm_mean"), F.col("llm_min"), F.col("ocr")), F.col("match_status"))

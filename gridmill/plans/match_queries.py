@@ -238,5 +238,4 @@ def provenance_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: parse, match, score."""
     words = L.sanitized(synth.words(spark, sf_dir), synth.HEIGHT)
     full = parsed(spark, sf_dir)
-    cells = M.matched(full, words, float(synth.HEIGHT)).join(full.select(*S.CELL, "range_start", "range_end"), S.CELL)
-    return S.scored(cells, P.token_offsets(synth.tokens(spark, sf_dir)), words)
+    return S.scored(M.matched(full, words, float(synth.HEIGHT)), P.token_offsets(synth.tokens(spark, sf_dir)), words, full)
