@@ -25,10 +25,8 @@ from pyspark.sql import functions as F
 from gridmill.llm.common import batch, checkpointed, remainder_is, small_runs, strings, text_partitions
 
 DEPTH = 5
-#: A kept context makes up this share of all symbols at least, so that at most DEPTH / LEAST_SHARE contexts are kept.
-LEAST_SHARE = 2e-6
+#: A kept context stands so often at least.
 LEAST_COUNT = 16
-MOST_STATES = 40_000
 #: Nats that a context tells beyond its suffix: for each of its symbols, and for all together.
 LEAST_DIVERGENCE, LEAST_GAIN = 1e-3, 20.0
 SPACE, END = 32, 10
@@ -59,30 +57,70 @@ def gram_counts(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.
     return np.unique(code[wanted[depth:]], return_counts=True)
 
 
+@dataclass
+class Level:
+    """Kept contexts of one length, sorted, with log10 of the weight of their suffixes; their seen (context, class) codes, sorted, with log10 of the probability."""
+
+    contexts: np.ndarray
+    back: np.ndarray
+    codes: np.ndarray
+    logp: np.ndarray
+
+    def columns(self) -> list[np.ndarray]:
+        return [self.contexts, self.back, self.codes, self.logp]
+
+
+def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in a sorted array, and whether it does."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
 @dataclass
 class SuffixTree:
-    """States as rows: the child for each symbol class of the next older symbol (-1: none), and log10 of each class's probability."""
+    """The class of each byte (0: too rare for one of its own), and a level for each length of context. What a context has not seen is left to its suffix."""
 
     classes: np.ndarray
-    child: np.ndarray
-    logp: np.ndarray
-    depth: int
+    levels: list[Level]
+
+    @property
+    def depth(self) -> int:
+        return len(self.levels) - 1
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """log10 of the probability of the class in the lowest byte after the symbols above it; sorted codes are fastest."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for d in range(self.depth, -1, -1):
+            level, part = self.levels[d], codes[left] & ((1 << (8 * (d + 1))) - 1)
+            at, seen = find(level.codes, part)
+            out[left[seen]] += level.logp[at[seen]]
+            left, part = left[~seen], part[~seen]
+            at, kept = find(level.contexts, part >> 8)
+            out[left[kept]] += level.back[at[kept]]
+        return out
+
+    @property
+    def logp(self) -> np.ndarray:
+        """All states as rows of all classes, for a look at a small tree."""
+        k = int(self.classes.max()) + 1
+        rows = [SuffixTree(self.classes, self.levels[: d + 1]).of((level.contexts[:, None] << 8 | np.arange(k)).ravel()).reshape(-1, k) for d, level in enumerate(self.levels)]
+        return np.concatenate(rows)
 
     def score(self, texts: list[bytes]) -> list[float]:
         """log10 of the probability of each text."""
-        if not texts:
-            return []
         out = []
         lead = b"\n" * self.depth
-        for start, end in small_runs(texts, 1_000_000):
+        for start, end in small_runs(texts, 2_000_000):
             part = texts[start:end]
-            c = self.classes[np.frombuffer(b"".join(lead + t for t in part), np.uint8)]
-            node, alive = np.zeros(len(c) - self.depth, np.int32), np.ones(len(c) - self.depth, bool)
-            for d in range(1, self.depth + 1):
-                below = self.child[node, c[self.depth - d : len(c) - d]]
-                alive &= below >= 0
-                node = np.where(alive, below, node)
-            p = np.concatenate([np.zeros(self.depth), self.logp[node, c[self.depth :]].astype(np.float64)])
+            raw = np.frombuffer(b"".join(lead + t for t in part), np.uint8)
+            code = np.zeros(len(raw) - self.depth, np.int64)
+            for j in range(self.depth):
+                code = code << 8 | raw[j : j + len(code)]
+            code = code << 8 | self.classes[raw[self.depth :]]
+            distinct, back = np.unique(code, return_inverse=True)
+            p = np.concatenate([np.zeros(self.depth), self.of(distinct)[back]])
             sizes = [self.depth + len(t) for t in part]
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             for a, n in zip(at.tolist(), sizes, strict=True):
@@ -90,75 +128,79 @@ class SuffixTree:
         return out
 
 
-def grow(rows: dict[str, np.ndarray], depth: int = DEPTH) -> SuffixTree:
-    """The tree from (d, context, symbol, n): counts of symbols after contexts of d symbols that are frequent enough, with all their suffixes."""
-    d, context, symbol, n = (rows[k] for k in ("d", "context", "symbol", "n"))
-    own = np.zeros(256)
-    own[symbol[d == 0]] = n[d == 0]
-    classes, k = np.zeros(256, np.int32), 1  # class 0: bytes too rare for one of their own
+def classes_of(symbol: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A class for each byte seen ``LEAST_COUNT`` times, and one for all others: 0."""
+    own = np.bincount(symbol, n, 256)
+    classes, k = np.zeros(256, np.int64), 1
     for b in range(256):
         if own[b] >= LEAST_COUNT or b in (SPACE, END):
             classes[b], k = k, k + 1
+    return classes
+
+
+def grow(rows: dict[str, np.ndarray], depth: int = DEPTH, also: Iterable[int] = ()) -> SuffixTree:
+    """The tree from (d, context, symbol, n): counts of symbols after contexts of d symbols, with all their suffixes. Contexts of the last level that are in ``also`` are kept anyway."""
+    d, context, symbol, n = (rows[k] for k in ("d", "context", "symbol", "n"))
+    classes = classes_of(symbol[d == 0], n[d == 0])
+    k = int(classes.max()) + 1
     rare = 256 - (k - 1)
-    states: list[dict[int, int]] = [{0: 0}]
-    parents, smooth, keep = [np.zeros(1, np.int64)], [], [np.ones(1, bool)]
     uniform = np.full(k, 1 / 256)
     uniform[0] = rare / 256
-
-    def smoothed(c: np.ndarray, up: np.ndarray) -> np.ndarray:
-        types = np.maximum(1, (c > 0).sum(axis=1, keepdims=True))
-        return (c + types * up) / (c.sum(axis=1, keepdims=True) + types)
-
-    smooth.append(smoothed(np.bincount(classes[symbol[d == 0]], n[d == 0], k)[None, :], uniform[None, :]))
-    for level in range(1, depth + 1):
+    contexts, keep, back, codes, smooth = [], [], [], [], []
+    for level in range(depth + 1):
         here = d == level
-        known, at = np.unique(context[here], return_inverse=True)
-        plain = np.ones(len(known), bool)
-        for j in range(level):
-            plain &= classes[(known >> (8 * j)) & 255] > 0
-        up = known & ((1 << (8 * (level - 1))) - 1)
-        parent = np.array([states[-1].get(x, -1) for x in up.tolist()], np.int64)
-        good = plain & (parent >= 0)
-        number = np.cumsum(good) - 1
-        states.append({x: i for x, i, g in zip(known.tolist(), number.tolist(), good.tolist(), strict=True) if g})
-        use, parent = good[at], parent[good]
-        states_here, row, sym, count = int(good.sum()), number[at[use]], classes[symbol[here][use]], n[here][use]
-        order = np.argsort(row, kind="stable")
-        row, sym, count = row[order], sym[order], count[order]
-        level_p, kept = np.zeros((states_here, k), np.float32), np.zeros(states_here, bool)
-        for start in range(0, states_here, 2048):  # a few at a time, in full precision
-            end = min(states_here, start + 2048)
-            a, b = np.searchsorted(row, (start, end))
-            c = np.zeros((end - start, k))
-            np.add.at(c, (row[a:b] - start, sym[a:b]), count[a:b])
-            up = smooth[-1][parent[start:end]].astype(np.float64)
-            total = c.sum(axis=1)
-            q = c / np.maximum(total, 1)[:, None]
-            divergence = (q * np.log(np.where(q > 0, q, 1) / up)).sum(axis=1)
-            kept[start:end] = (divergence >= LEAST_DIVERGENCE) & (divergence * total >= LEAST_GAIN)
-            level_p[start:end] = smoothed(c, up)
-        parents.append(parent)
-        keep.append(kept)
-        smooth.append(level_p)
+        code, at = np.unique(context[here].astype(np.int64) << 8 | classes[symbol[here]], return_inverse=True)
+        count = np.bincount(at, n[here], len(code))
+        if not level:
+            seen = count > 0
+            total, types = count.sum(), max(1, int(seen.sum()))
+            p = types * uniform
+            p[code[seen]] += count[seen]
+            contexts, keep, back, codes, smooth = [np.zeros(1, np.int64)], [np.ones(1, bool)], [np.zeros(1)], [np.arange(k)], [p / (total + types)]
+            continue
+        known, row = np.unique(code >> 8, return_inverse=True)
+        frequent = np.bincount(row, count, len(known)) >= LEAST_COUNT  # so are its suffixes, and none of its bytes is rare
+        code, count = code[frequent[row]], count[frequent[row]]
+        known, row = np.unique(code >> 8, return_inverse=True)
+        over, found = find(codes[-1], code & ((1 << (8 * level)) - 1))
+        if not found.all():
+            raise ValueError("a context without its suffix")
+        up = smooth[-1][over]
+        total, types = np.bincount(row, count, len(known)), np.bincount(row, minlength=len(known))
+        divergence = np.bincount(row, count * np.log(count / total[row] / up), len(known)) / np.maximum(total, 1)
+        contexts.append(known)
+        keep.append((divergence >= LEAST_DIVERGENCE) & (divergence * total >= LEAST_GAIN))
+        back.append(np.log10(types / (total + types)))
+        codes.append(code)
+        smooth.append((count + types[row] * up) / (total + types)[row])
+    at, found = find(contexts[depth], np.fromiter(also, np.int64))
+    keep[depth][at[found]] = True
     for level in range(depth, 1, -1):  # a kept context keeps its suffixes
-        keep[level - 1][parents[level][keep[level]]] = True
-    base = np.cumsum([0] + [int(x.sum()) for x in keep])
-    child = np.full((base[-1], k), -1, np.int32)
-    logp = np.zeros((base[-1], k), np.float32)
-    for level in range(depth + 1):
-        row = base[level] + np.cumsum(keep[level]) - 1
-        p = smooth[level][keep[level]]
-        p[:, 0] /= rare
-        logp[base[level] : base[level + 1]] = np.log10(p)
-        if level:
-            over = base[level - 1] + np.cumsum(keep[level - 1]) - 1
-            oldest = np.array(list(states[level]), np.int64) >> (8 * (level - 1)) if states[level] else np.zeros(0, np.int64)
-            child[over[parents[level][keep[level]]], classes[oldest[keep[level]]]] = row[keep[level]]
-    return SuffixTree(classes, child, logp, depth)
+        at, _ = find(contexts[level - 1], contexts[level][keep[level]] & ((1 << (8 * (level - 1))) - 1))
+        keep[level - 1][at] = True
+    levels = []
+    for known, kept, weight, code, p in zip(contexts, keep, back, codes, smooth, strict=True):
+        use = kept[find(known, code >> 8)[0]]
+        p = np.log10(np.where(code & 255 == 0, p / rare, p)[use])
+        levels.append(Level(known[kept], weight[kept].astype(np.float32), code[use], p.astype(np.float32)))
+    return SuffixTree(classes, levels)
+
+
+def level_rows(codes: np.ndarray, n: np.ndarray, levels: Iterable[int]) -> dict[str, np.ndarray]:
+    """(d, context, symbol, n) for contexts of each length, from strings with their counts."""
+    out: list[tuple] = []
+    for level in levels:
+        code, at = np.unique(codes & ((1 << (8 * (level + 1))) - 1), return_inverse=True)
+        out.append((np.full(len(code), level, np.int8), code >> 8, code & 255, np.bincount(at, n, len(code)).astype(np.int64)))
+    return dict(zip(("d", "context", "symbol", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True))
+
+
+#: The symbols of a context that say which task has it; all longer contexts with these last symbols are there too.
+SHARED = 2
 
 
 def fit(rows: DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """The tree of the texts of ``rows`` (text). Counts are summed over all of them; what comes to the driver is bounded by ``MOST_STATES``."""
+    """The tree of the texts of ``rows`` (text). Counts are summed over all of them; contexts are tested where they are counted, and only kept ones come to the driver."""
     schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,17 +223,36 @@ def fit(rows: DataFrame, depth: int = DEPTH) -> SuffixTree:
             yield batch(schema, [codes[k : k + 50_000], counts[k : k + 50_000]])
 
     grams = checkpointed(rows.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright(F.col("code").bitwiseAND((1 << (8 * (d + 1))) - 1), 8).alias("context")) for d in range(depth + 1)])).alias("at")
-    entry = F.struct(F.col("code").bitwiseAND(255).cast("int").alias("symbol"), F.col("n"))
-    sums = grams.select("code", "n", levels).groupBy("at.d", "at.context", entry["symbol"].alias("symbol")).agg(F.sum("n").alias("n"))
-    nodes = sums.groupBy("d", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("after"))  # 256 symbols at most
-    nodes = nodes.filter((F.col("total") >= least) | (F.col("d") == 0))
-    found = nodes.orderBy(F.col("total").desc(), "d", "context").limit(MOST_STATES).select("d", "context", F.explode("after").alias("a")).select("d", "context", "a.symbol", "a.n").toArrow()
-    rows_of = {k: found.column(k).to_numpy().astype(t) for k, t in (("d", np.int8), ("context", np.int64), ("symbol", np.int16), ("n", np.int64))}
-    del found
-    return grow(rows_of, depth)
+    pairs = grams.groupBy(F.col("code").bitwiseAND((1 << (8 * SHARED)) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    top = level_rows(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), range(SHARED))
+    told = pa.schema([("d", pa.int32()), ("entry", pa.bool_()), ("key", pa.int64()), ("value", pa.float32())])
+
+    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        own = level_rows(*map(np.concatenate, zip(*held, strict=True)), range(SHARED, depth + 1))
+        tree = grow({k: np.concatenate([top[k], own[k]]) for k in top}, depth)
+        for d in range(SHARED, depth + 1):
+            contexts, back, codes, logp = tree.levels[d].columns()
+            for entry, keys, values in ((False, contexts, back), (True, codes, logp)):
+                for k in range(0, len(keys), 50_000):
+                    part = keys[k : k + 50_000]
+                    yield batch(told, [np.full(len(part), d, np.int32), np.full(len(part), entry), part, values[k : k + 50_000]])
+
+    shared = F.shiftright(F.col("code"), 8).bitwiseAND((1 << (8 * SHARED)) - 1)
+    found = grams.select("code", "n").repartition(text_partitions(rows.sparkSession), shared).mapInArrow(test, "d int, entry boolean, key long, value float").toArrow()
+    d, entry, key, value = (found.column(k).to_numpy() for k in ("d", "entry", "key", "value"))
+    deep = []
+    for level in range(SHARED, depth + 1):
+        columns = []
+        for kind in (False, True):
+            at = np.flatnonzero((d == level) & (entry == kind))
+            at = at[np.argsort(key[at])]
+            columns += [key[at], value[at]]
+        deep.append(Level(*columns))
+    head = grow(top, SHARED - 1, np.unique(deep[0].contexts & ((1 << (8 * (SHARED - 1))) - 1)))
+    return SuffixTree(head.classes, head.levels + deep)
 
 
 def word_keys(words: Iterable[bytes], n: int) -> np.ndarray:

@@ -251,6 +251,17 @@ def test_suffix_tree_is_a_distribution():
     assert tree.score([b"abab\n"])[0] > tree.score([b"bbbb\n"])[0]
 
 
+def test_suffix_tree_keeps_what_tells(spark):
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(33, 65)] + list("abcdefgh")
+    texts = ["".join(rnd.choices(letters, k=25_000)) for _ in range(100)] + ["qrstuv"] * 30  # over 60,000 contexts stand more often than the planted ones
+    tree = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    whole = lm.grow(lm.level_rows(*lm.gram_counts([lm.symbols(lm.words_of(t)) for t in texts]), range(lm.DEPTH + 1)))
+    assert [len(x.contexts) for x in tree.levels] == [len(x.contexts) for x in whole.levels]
+    asked = [b"qrstuv\n", b"abcdef gh\n"]
+    assert np.allclose(tree.score(asked), whole.score(asked), atol=1e-5) and tree.score(asked)[0] > -2
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16)).astype(np.float32)
