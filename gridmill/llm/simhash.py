@@ -35,8 +35,12 @@ def fingerprint(text: str, width: int = 3) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]  # noqa: B905
     n = max(1, len(words) - width + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    count = np.zeros(64, np.int64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n, count = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 255 * 256):
         bits = np.unpackbits(h[at : at + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):
@@ -239,10 +243,33 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def overlaps(sets: list[np.ndarray], rows: Iterable[int], most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``rows``, how many members it has in common with each of the sets, from the holders of each member."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    end = np.cumsum(size)
+    _, member, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(member, kind="stable")]
+    first = np.cumsum(n) - n
+    for i in rows:
+        own = member[end[i] - size[i] : end[i]]
+        own = own[n[own] > 1]
+        both, ends = np.zeros(len(sets), np.int64), np.cumsum(n[own])
+        at = 0
+        while at < len(own):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            part = n[own[at:to]]
+            where = np.repeat(first[own[at:to]] - np.cumsum(part) + part, part) + np.arange(part.sum())
+            both += np.bincount(holders[where], minlength=len(sets))
+            at = to
+        yield i, both
+
+
 def near_edges(ids: list[int], points: np.ndarray, sets: list[np.ndarray], guest: list[bool], least: float) -> tuple[list[tuple[int, int]], list[int]]:
     """Edges that join all members alike, and the members' roots. Who is joined already is not compared; guests aren't compared with one another.
 
-    A vantage-point tree over the fingerprints proposes those within ``NEAR_BITS``; the sets decide.
+    A vantage-point tree over the fingerprints proposes those within ``NEAR_BITS``, and the sets decide. That joins most, and
+    cheaply; whoever is outside the largest group then is compared with all others by counts of common members, so that no
+    pair is lost whatever its fingerprints.
     """
     root = list(range(len(ids)))
 
@@ -268,6 +295,14 @@ def near_edges(ids: list[int], points: np.ndarray, sets: list[np.ndarray], guest
                             if (p < q or i < j) and not (guest[i] and guest[j]) and (a := find(i)) != (b := find(j)) and alike(sets[i], sets[j], least):
                                 root[max(a, b)] = min(a, b)
                                 edges.append((ids[i], ids[j]))
+    roots = np.array([find(i) for i in range(len(ids))])
+    outside = np.flatnonzero(roots != np.bincount(roots).argmax()).tolist()
+    size, guests = np.fromiter(map(len, sets), np.int64, len(sets)), np.array(guest, bool)
+    for i, both in overlaps(sets, outside) if outside else ():
+        for j in np.flatnonzero((both > 0) & (both >= least * (size[i] + size - both)) & (roots != roots[i]) & ~(guests & guests[i])).tolist():
+            if (a := find(i)) != (b := find(j)):
+                root[max(a, b)] = min(a, b)
+                edges.append((ids[i], ids[j]))
     return edges, [find(i) for i in range(len(ids))]
 
 
@@ -276,7 +311,7 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
 
     Documents of equal sets are one class from the start. Classes meet where one of six minima of their sets is the same
     (two sets alike by 0.8 miss one another in all six once in 15,000 pairs); there a vantage-point tree over SimHash
-    fingerprints proposes pairs and the sets decide (by 32 bits of each shingle's hash). A meeting of more than ``BLOCK`` classes is dealt into blocks, each
+    fingerprints of the sets proposes pairs, what it leaves apart is counted out, and the sets decide (by 32 bits of each shingle's hash). A meeting of more than ``BLOCK`` classes is dealt into blocks, each
     with the least class as guest; whoever is not joined with that guest visits all the blocks in a second round, so that no
     link of the meeting is lost and nobody compares all with all. Documents without a word are one class. A row with a null
     id stands alone, with a null component.
@@ -302,8 +337,9 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = strings(b.column(1))
-            fps = np.array([fingerprint(t, width) for t in found], np.uint64).view(np.int64)
-            yield batch(packed, [b.column(0), fps, [np.unique(shingle_set(t, width).astype(np.uint32)).tobytes() for t in found]])
+            sets = [shingle_set(t, width) for t in found]
+            fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield batch(packed, [b.column(0), fps, [np.unique(s.astype(np.uint32)).tobytes() for s in sets]])
 
     sets = checkpointed(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "id long, fp long, shingles binary").dropDuplicates(["id"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -251,6 +251,21 @@ def test_suffix_tree_is_a_distribution():
     assert tree.score([b"abab\n"])[0] > tree.score([b"bbbb\n"])[0]
 
 
+def test_near_copies_of_other_repeats(spark):
+    rnd, line, texts = random.Random(6), " ".join(f"line{i}" for i in range(9)), []
+    for k in range(20):  # alike by about 0.98 as sets; another number of repeats
+        base = [f"w{k}x{i}" for i in range(1000)]
+        copy = base.copy()
+        copy[rnd.randrange(1000)] = "edit"
+        texts += [" ".join([*base, *[line] * 100]), " ".join([*copy, line])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(simhash.near_copies(df)) == collections.Counter((i, i - i % 2) for i in range(len(texts)))
+    sets = [np.arange(0, 100, dtype=np.uint32), np.arange(5, 100, dtype=np.uint32), np.arange(60, 130, dtype=np.uint32)]
+    far = np.array([0, (1 << 64) - 1, (1 << 32) - 1], np.uint64)  # no fingerprint is near another
+    assert simhash.near_edges([1, 2, 3], far, sets, [False] * 3, 0.8)[1] == [0, 0, 2]
+    assert simhash.near_edges([1, 2, 3], far, sets, [True] * 3, 0.8)[0] == []
+
+
 def test_suffix_tree_keeps_what_tells(spark):
     rnd = random.Random(8)
     letters = [chr(c) for c in range(33, 65)] + list("abcdefgh")
