@@ -146,11 +146,15 @@ def file_stem(name: Column, page: Column, pages: Column) -> Column:
 
 
 def column_label(i: Column) -> Column:
-    """A, B, ... Z, AA, ... for a column number from 0 to 18277 (three letters)."""
-    letter = lambda k: F.char(F.lit(65) + (k % 26).cast("int"))
-    second = F.floor(i / 26) - 1
-    third = F.floor(second / 26) - 1
-    return F.concat(F.when(third >= 0, letter(third)).otherwise(""), F.when(second >= 0, letter(second)).otherwise(""), letter(i))
+    """A, B, ... Z, AA, ... for a column number from 0, with as many letters as it needs; a long needs 14 at most."""
+    start = F.struct(F.lit("").alias("label"), i.cast("long").alias("left"))
+
+    def step(x: Column, _: Column) -> Column:
+        left = x["left"]
+        letter = F.char(F.lit(65).cast("long") + left % F.lit(26).cast("long"))
+        return F.when(left < 0, x).otherwise(F.struct(F.concat(letter, x["label"]).alias("label"), (F.call_function("div", left, F.lit(26).cast("long")) - F.lit(1).cast("long")).alias("left")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["label"]
 
 
 def shown_timestamp(s: Column) -> Column:

@@ -90,3 +90,15 @@ def test_misc(spark):
 def test_store_helpers():
     assert store.merged_order(["b", "a", "x"], ["n", "a", "b"]) == ["n", "b", "a"]
     assert store.migrate(1, [(2, "two"), (1, "one"), (3, "three")]) == ["two", "three"]
+
+
+def test_column_labels_of_any_length(spark):
+    def by_hand(i):
+        out = ""
+        while i >= 0:
+            out, i = chr(65 + i % 26) + out, i // 26 - 1
+        return out
+
+    numbers = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 1 << 40, (1 << 63) - 1]
+    df = spark.createDataFrame([(i,) for i in numbers], "i long").select("i", T.column_label(F.col("i")).alias("label"))
+    assert {r["i"]: r["label"] for r in df.collect()} == {i: by_hand(i) for i in numbers}
