@@ -394,3 +394,40 @@ def test_pipeline(spark):
     assert 100000 not in ids and not {5, 100001} <= ids and len(ids) > 150
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and p.ORACLE_SQL is None
+
+
+def test_ann_of_many_shards(spark, monkeypatch):
+    """Tight clusters, copies at other lengths and spread vectors over many shards, against brute force."""
+    monkeypatch.setattr(ann, "SHARD", 300)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1200, 24))
+    for k, eps in enumerate((1e-9, 1e-6, 1e-4, 1e-3, 1e-2)):
+        v[100 + 60 * k : 160 + 60 * k] = v[k] + eps * rng.normal(size=(60, 24))
+    v[500:560] = v[7] * 2.0 ** np.arange(1, 61)[:, None]
+    ids = np.arange(1200)
+    assert ann.shards_for(1200) == 3  # SHARD counts until the roots do
+    monkeypatch.setattr(ann, "GROWTH", 1)
+    assert ann.shards_for(1200) == 4
+    df = spark.createDataFrame([(int(i), x.tolist(), "clash", 1.0) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>, shard string, score double").repartition(5)
+    asked = df.filter("vec_id % 20 = 0 or vec_id = 7")
+    found = collections.defaultdict(list)
+    for r in ann.nearest(df, asked, 5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["score"], r["vec_id"]))
+    rows = np.array([i for i in ids if i % 20 == 0 or i == 7])
+    want = dict(zip(rows.tolist(), ann.exact_nearest(v, ids, v[rows], rows, 5), strict=True))
+    assert set(found) == set(want) and all(len(x) == 5 for x in found.values())
+    hits = sum(score >= -want[q][-1][0] - 1e-15 for q, some in found.items() for score, _ in some)
+    print("recall", hits / (5 * len(want)))
+    assert hits >= 0.97 * 5 * len(want)
+    assert [i for _, i in found[7]] == [500, 501, 502, 503, 504]
+    truth = lambda q, i: float(v[q] @ v[i] / (np.linalg.norm(v[q]) * np.linalg.norm(v[i])))
+    assert all(abs(score - truth(q, i)) < 1e-12 for q, some in found.items() for score, i in some)
+
+
+def test_nodes_hold_all_rows():
+    rng = np.random.default_rng(3)
+    units = ann.unit(np.repeat(rng.normal(size=(50, 8)), 20, axis=0) + 1e-4 * rng.normal(size=(1000, 8)))
+    heads, of = ann.nodes(units)
+    assert ((units * units[heads[of]]).sum(axis=1) >= 1 - ann.NEAR - 1e-12).all() and (of[heads] == np.arange(len(heads))).all()
+    apart = units[heads] @ units[heads].T - np.eye(len(heads))
+    assert (apart < 1 - ann.NEAR + 1e-12).all()
