@@ -12,6 +12,7 @@ from gridmill.llm import ann, bpe, langid, lm, packing, pii, simhash, substring,
 from gridmill.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, end_id=0, longest=1024)
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, end_id=0, longest=1024, special=ADDED)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

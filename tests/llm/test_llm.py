@@ -342,16 +342,17 @@ def test_langid(spark, docs, empty, rows):
     assert langid.keep_identified(docs).count() == len(rows) - len(blank)
 
 
-def test_packing(docs, empty, rows, encoding):
+def test_packing(docs, empty, rows):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is: <|endoftext|> in a text is its own id
+    special = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     want = collections.Counter(tuple([*tok.encode(t or "", add_special_tokens=False).ids, 0]) for _, t, *_ in rows)
-    out = packing.pack(docs, RANKS, public_tokenizers.PATTERN, longest=256, ids=True).toPandas()
+    assert any(50256 in ids for ids in want)
+    out = packing.pack(docs, RANKS, public_tokenizers.PATTERN, longest=256, step_tokens=1024, special=special, ids=True).toPandas()
     seqs = out.sort_values(["sequence_id", "offset"])
     for _, g in seqs.groupby("sequence_id"):
-        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.window.iloc[0] <= 256
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.window.iloc[0] <= 256 and g.step_group.nunique() == 1
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in out.itertuples())
     one = out[out.groupby("doc_id").doc_tokens.transform("sum") > 0]
     for doc, g in one.groupby("doc_id"):
@@ -363,6 +364,52 @@ def test_packing(docs, empty, rows, encoding):
     assert packing.pack(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_tiers_and_steps():
+    rnd = random.Random(4)
+    lengths = [rnd.choice([rnd.randint(1, 128), rnd.randint(129, 256), rnd.randint(257, 512), rnd.randint(513, 3000)]) for _ in range(20_000)]
+    packer, steps, windows = packing.Packer(1024), packing.Steps(65_536), []
+    for key, n in enumerate(lengths):
+        windows += packer.add(key, n)
+        assert packer.waiting <= packing.MOST_WAITING
+    early = len(windows)
+    windows += packer.rest()
+    counts = collections.Counter(w for w, _ in windows[:early])
+    assert set(counts) == {1024, 512, 256, 128}  # each tier is packed
+    pieces = collections.defaultdict(list)
+    for window, held in windows:
+        assert sum(n for _, _, n in held) == window and window & (window - 1) == 0
+        for key, start, n in held:
+            pieces[key].append((start, n))
+    for key, n in enumerate(lengths):
+        assert [s for s, _ in sorted(pieces[key])] == [0, *itertools.accumulate(m for _, m in sorted(pieces[key]))][:-1] and sum(m for _, m in pieces[key]) == n
+    dealt = [x for window, held in windows for x in steps.add(window, held)]
+    full = len(dealt)
+    dealt += steps.rest()
+    assert len(dealt) == len(windows)
+    tokens, cost = collections.Counter(), collections.Counter()
+    for group, window, held in dealt[:full]:
+        tokens[window, group] += window
+        cost[window, group] += sum(n * n for _, _, n in held)
+    assert set(tokens.values()) == {65_536}
+    for window in {w for w, _ in cost}:
+        for first in range(0, max(g for w, g in cost if w == window), packing.GROUPS):
+            together = [cost[window, g] for g in range(first, first + packing.GROUPS)]
+            assert max(together) <= 1.1 * min(together)
+
+
+def test_packing_of_a_million_spaces(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "a" + " " * 1_000_000 + "b\n" + "\n" * 20_000 + "end"
+    out = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), RANKS, public_tokenizers.PATTERN, ids=True).orderBy("start").collect()
+    ids = [i for r in out for i in r["ids"]]
+    coder = packing.TokenBytes(RANKS, public_tokenizers.PATTERN)
+    assert coder.encoding.decode(ids[:-1]) == text
+    short = text.replace(" " * 1_000_000, " " * 12_000)
+    assert np.frombuffer(coder.of(short), "<u4").tolist() == tok.encode(short, add_special_tokens=False).ids
+
+
 def test_toxicity(spark, docs, empty, rows):
     df, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     r = toxicity.score(df, labels).join(labels, "doc_id").filter("held_out").toPandas()
