@@ -56,34 +56,79 @@ class FactorizationMachine:
         return rows[rows >= 0]
 
     def predict(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw([self.used(terms(t)) for t in texts]), -30, 30)))
+        return sigmoid(self.raw([self.used(terms(t)) for t in texts]))
 
 
-def fit(rows: list[tuple[str, int]], factors: int = 8, passes: int = 12, rate: float = 0.1, decay: float = 1e-4, least_texts: int = 4, least_chi2: float = 12.0, seed: int = 7) -> FactorizationMachine:
-    """Learns from (text, 0 or 1) by AdaGrad. Slots that ``least_texts`` texts don't hold, or that don't tell the classes apart, are not used."""
-    held, y = [terms(t) for t, _ in rows], np.array([x for _, x in rows], np.float64)
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def telling(held: list[np.ndarray], y: np.ndarray, seen: np.ndarray, least_chi2: float) -> np.ndarray:
+    """Of the slots in ``seen``, those that tell the classes apart by themselves (chi-squared)."""
+    n1, n = y.sum(), len(y)
+    a, b = (np.bincount(np.concatenate([h for h, k in zip(held, y, strict=True) if k == c] or [np.zeros(0, np.int64)]), minlength=1 << BITS)[seen].astype(np.float64) for c in (0, 1))
+    chi2 = n * (a * n1 - b * (n - n1)) ** 2 / np.maximum((n - n1) * n1 * (a + b) * (n - a - b), 1)
+    return seen[chi2 >= least_chi2]
+
+
+def telling_pairs(held: list[np.ndarray], missed: np.ndarray, unsure: np.ndarray, seen: np.ndarray, support: np.ndarray, frequent: int, least_chi2: float) -> np.ndarray:
+    """Of the slots in ``seen``, those of pairs that tell what is still missed: over the texts with both, the sum of ``missed`` is too far from zero for its spread ``unsure``.
+
+    One of a pair is among the ``frequent`` slots that most texts hold; the other is any. A slot whose texts miss too little
+    altogether can be in no such pair, and is not looked at.
+    """
+    size = [len(h) for h in held]
+    could = np.bincount(np.concatenate(held), np.repeat(np.abs(missed), size), minlength=1 << BITS)[seen] ** 2 >= least_chi2
+    seen, support = seen[could], support[could]
+    if not len(seen):
+        return seen
+    missed, unsure = missed.astype(np.float32), unsure.astype(np.float32)
+    often = seen[np.argsort(-support, kind="stable")[:frequent]]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[often] = np.arange(len(often))
+    has = np.zeros((len(held), len(often)), np.float32)
+    for row, h in zip(has, held, strict=True):
+        at = place[h]
+        row[at[at >= 0]] = 1
+    place[often] = -1
+    place[seen] = np.arange(len(seen))
+    slot, text = np.concatenate([place[h] for h in held]), np.repeat(np.arange(len(held)), size)
+    slot, text = slot[slot >= 0], text[slot >= 0]
+    order = np.argsort(slot, kind="stable")
+    slot, text = slot[order], text[order]
+    ends = np.cumsum(np.bincount(slot, minlength=len(seen)))
+    kept = np.zeros(len(seen), bool)
+    own = np.searchsorted(seen, often)
+    at = 0
+    while at < len(seen):
+        start = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + 8_000, "right")))
+        rows = text[start : ends[to - 1]]
+        cuts = np.concatenate([[0], ends[at : to - 1] - start]).astype(np.int64)
+        total = np.add.reduceat(has[rows] * missed[rows, None], cuts, axis=0)
+        spread = np.add.reduceat(has[rows] * unsure[rows, None], cuts, axis=0)
+        hit = total**2 >= least_chi2 * np.maximum(spread, 1)
+        hit[own[None, :] == np.arange(at, to)[:, None]] = False  # a slot is no pair with itself
+        kept[at:to] |= hit.any(axis=1)
+        kept[own[hit.any(axis=0)]] = True
+        at = to
+    return seen[kept]
+
+
+def learn(held: list[np.ndarray], y: np.ndarray, slots: np.ndarray, factors: int, passes: int, rate: float, decay: float, seed: int) -> FactorizationMachine:
+    """A machine over these slots, by AdaGrad."""
     row = np.full(1 << BITS, -1, np.int32)
-    if not len(y) or y.min() == y.max():
-        rate_of = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
-        return FactorizationMachine(row, float(np.log(rate_of / (1 - rate_of))), np.zeros(0), np.zeros((0, factors)))
-    both = [np.bincount(np.concatenate([h for h, k in zip(held, y, strict=True) if k == c] or [np.zeros(0, np.int64)]), minlength=1 << BITS).astype(np.float64) for c in (0, 1)]
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    n, (a, b) = n0 + n1, both
-    seen = np.flatnonzero(a + b >= least_texts)
-    a, b = a[seen], b[seen]
-    chi2 = n * (a * (n1 - b) - b * (n0 - a)) ** 2 / np.maximum(n0 * n1 * (a + b) * (n - a - b), 1)
-    slots = seen[chi2 >= least_chi2]
     row[slots] = np.arange(len(slots), dtype=np.int32)
     rng = np.random.default_rng(seed)
-    m = FactorizationMachine(row, float(np.log(n1 / n0)), np.zeros(len(slots)), rng.normal(0, 0.02, (len(slots), factors)))
+    m = FactorizationMachine(row, float(np.log(y.sum() / (len(y) - y.sum()))), np.zeros(len(slots)), rng.normal(0, 0.02, (len(slots), factors)))
     x = [m.used(h) for h in held]
     gw, gv, gb = np.full(len(slots), 1e-6), np.full((len(slots), factors), 1e-6), 1e-6
-    for _ in range(passes):
+    for _ in range(passes if len(slots) else 0):
         order = rng.permutation(len(x))
         for at in range(0, len(order), 64):
             part = order[at : at + 64]
             some = [x[i] for i in part]
-            error = 1 / (1 + np.exp(-np.clip(m.raw(some), -30, 30))) - y[part]
+            error = sigmoid(m.raw(some)) - y[part]
             g = error.mean()
             gb += g * g
             m.bias -= rate * g / np.sqrt(gb)
@@ -107,8 +152,33 @@ def fit(rows: list[tuple[str, int]], factors: int = 8, passes: int = 12, rate: f
     return m
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str) -> list[tuple[str, int]]:
-    """About ``most`` labelled texts (twice as many at most) by the id's hash, half of them toxic if there are enough; none of the held-out fold."""
+def fit(held: list[np.ndarray], labels: list[int], factors: int = 8, passes: int = 12, rate: float = 0.1, decay: float = 1e-4, least_texts: int = 4, least_chi2: float = 12.0, frequent: int = 1024, least_pair_chi2: float = 40.0, seed: int = 7) -> FactorizationMachine:
+    """Learns from the terms of texts and their labels, 0 or 1.
+
+    A slot is used if ``least_texts`` texts hold it and either it tells the classes apart by itself, or it does so in a pair
+    with one of the ``frequent`` slots: a first machine is learned over slots of the first sort, and a pair of the second
+    must tell what that machine misses. So two terms that say nothing alone, but much together, are used as well. The level
+    for pairs is higher, as there are more of them.
+    """
+    y = np.array(labels, np.float64)
+    if not len(y) or y.min() == y.max():
+        rate_of = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
+        return FactorizationMachine(np.full(1 << BITS, -1, np.int32), float(np.log(rate_of / (1 - rate_of))), np.zeros(0), np.zeros((0, factors)))
+    support = np.bincount(np.concatenate(held), minlength=1 << BITS) if held else np.zeros(1 << BITS, np.int64)
+    seen = np.flatnonzero(support >= least_texts)
+    alone = telling(held, y, seen, least_chi2)
+    first = learn(held, y, alone, factors, passes, rate, decay, seed)
+    said = np.concatenate([sigmoid(first.raw([first.used(h) for h in held[k : k + 512]])) for k in range(0, len(held), 512)])
+    pairs = telling_pairs(held, y - said, np.maximum(said * (1 - said), 0.05), seen, support[seen], frequent, least_pair_chi2)
+    more = np.union1d(alone, pairs)
+    return first if len(more) == len(alone) else learn(held, y, more, factors, passes, rate, decay, seed)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str) -> list[tuple[np.ndarray, int]]:
+    """Terms and label of about ``most`` labelled texts (twice as many at most) by the id's hash, half of them toxic if there are enough; none of the held-out fold.
+
+    Only terms travel, each once for a text, so a very long text is no larger than its vocabulary. Of rows of one id, all count.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~remainder_is("id", 4, 2))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -117,8 +187,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, te
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, most / 2 / n)))])
     drawn_rows = marked.filter(drawn < share[F.col("toxic")]).distinct().limit(2 * most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(drawn_rows), "id")  # at most 2 * most rows of two numbers
-    return [(r["text"] or "", r["toxic"]) for r in sorted(found.collect(), key=lambda r: (r["id"], r["toxic"], r["text"] or ""))]
+    schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary())])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(schema, [b.column(0), b.column(1), [terms(t).astype("<i4").tobytes() for t in strings(b.column(2))]])
+
+    found = texts.join(F.broadcast(drawn_rows), "id").select("id", "toxic", "text")  # at most 2 * most rows of two numbers
+    rows = sorted((r["id"], r["toxic"], bytes(r["terms"])) for r in found.mapInArrow(cut, "id long, toxic int, terms binary").collect())
+    return [(np.frombuffer(raw, "<i4").astype(np.int64), toxic) for _, toxic, raw in rows]
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = 8_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,10 +205,11 @@ def score(docs: DataFrame, labels: DataFrame, most: int = 8_000, threshold: floa
     hash, both classes alike in number); the model is bounded by ``BITS`` and goes to every task. Returns ``doc_id,
     held_out, score, predicted``, one row for each row of ``docs``, without an exchange of texts. A null text is scored as
     empty: by the bias alone. A null id is not held out. Labels other than 0 and 1 are not used; without labels of both
-    classes every score is the same. Repeated rows get the same answer; an empty table gives none.
+    classes every score is the same. A very long text is scored whole, by its distinct terms. Repeated rows get the same
+    answer; an empty table gives none; other columns are not read, whatever their names.
     """
     rows = training_rows(docs, labels, most, id_col, text_col)
-    machine = fit(rows)
+    machine = fit([x for x, _ in rows], [k for _, k in rows])
     toxic = sum(k for _, k in rows)
     if 0 < toxic < len(rows):  # the sample is even; the bias is put back to what is usual among labelled rows
         usual = labels.filter(F.col("toxic").isin(0, 1) & ~remainder_is("doc_id", 4, 2)).agg(F.avg(F.col("toxic").cast("double"))).first()[0]

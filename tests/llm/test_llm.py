@@ -418,16 +418,37 @@ def test_toxicity(spark, docs, empty, rows):
     assert toxicity.score(docs, labels.limit(0)).count() == len(rows) and toxicity.score(empty, labels).count() == 0
 
 
+def learned(rows, **more):
+    return toxicity.fit([toxicity.terms(t) for t, _ in rows], [k for _, k in rows], **more)
+
+
 def test_machine_learns_a_pair():
     rnd, rows = random.Random(0), []
     for _ in range(600):
         a, b = rnd.random() < 0.5, rnd.random() < 0.5
         rows.append((" ".join(["insult"] * a + ["group"] * b + [f"w{rnd.randint(0, 20)}" for _ in range(5)]), int(a and b)))
-    m = toxicity.fit(rows, passes=40)
+    m = learned(rows, passes=40)
     both, one, other = m.predict(["insult group", "insult", "group"])
     assert both > 0.8 > 0.3 > max(one, other)
 
 
+def test_machine_learns_what_no_term_tells():
+    """Labels of exactly one of two terms: each term alone is as frequent in both classes, and no linear weights can tell them."""
+    rnd, rows = random.Random(3), []
+    letters = lambda: "".join(rnd.choices("abcdefgh", k=4))
+    vocabulary = [letters() for _ in range(300)]
+    for _ in range(2000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append((" ".join(["insult"] * a + ["group"] * b + rnd.choices(vocabulary, k=8)), int(a != b)))
+    held = [toxicity.terms(t) for t, _ in rows]
+    y = np.array([k for _, k in rows], float)
+    seen = np.unique(np.concatenate(held))
+    assert not set(toxicity.terms("insult group").tolist()) & set(toxicity.telling(held, y, seen, 12.0).tolist())
+    m = learned(rows)
+    one, other, both, none = m.predict(["insult", "group", "insult group", "abcd"])
+    assert min(one, other) > 0.6 > 0.3 > max(both, none)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
