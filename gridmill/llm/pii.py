@@ -1,19 +1,26 @@
 """Personal data and secrets, replaced by surrogates of the same kind, script and format.
 
-A surrogate is a keyed permutation of all strings of the entity's own format: digits stay digits, vowels vowels, letters of
-a script letters of that script, and marks stay where they are. So equal entities get equal surrogates wherever they stand,
-distinct ones get distinct ones, and no table of what was replaced is gathered. Where the permutation makes another sort
-of it (an invalid card number, a private address), it is applied again: a walk along its cycle, whose end is the same for
-every document and again distinct. ``check_collisions`` counts what is not distinct over a whole corpus.
+A surrogate is the next of all strings of the entity's own form in a keyed order: the form's strings are numbered, a keyed
+permutation gives each a place, and the surrogate is the string at the next place. So equal entities get equal surrogates
+wherever they stand, distinct ones get distinct ones, none is its own, and no table of what was replaced is gathered. Digits
+stay digits, vowels vowels, letters of a script letters of that script, and marks stay where they are. Where the next string
+is of another sort (an invalid card number, a private address), the one after it is taken: a walk along one cycle, which is
+again one-to-one among entities of one sort.
+
+Entities that are written in two ways are one: phone numbers, cards and bank accounts are permuted as their digits, e-mail
+addresses without case, and network addresses as numbers; the result is written in the way of the entity. ``check_collisions``
+counts what is not distinct over a whole corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,61 +36,103 @@ NAMES = {
     ("m", "cyrillic"): "Андрей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
 }
 GENDER_OF = {name: key for key, names in NAMES.items() for name in names}
-#: Titles before a name.
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Sr Sra Don Doña".split()
+#: Titles before a name, by the gender that they tell (u: none).
+TITLES = {
+    "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Doña Госпожа госпожа г-жа Κυρία κυρία",
+    "m": "Mr Herr Monsieur Señor Sr Don Господин господин г-н Κύριος κύριος",
+    "u": "Dr Prof Доктор доктор Профессор профессор",
+}
+TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles.split()}
+#: Titles after a name, in scripts that have no space before them.
+TITLES_AFTER = "先生 女士 小姐 博士 教授 さん 様 씨 님".split()
+#: Country calling codes of one and two digits; all others have three.
+SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 WORD = r"[^\W\d_]"
 EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|rk)[-_](?:live[-_]|test[-_])?[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9_-])")
-IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:.])")
 IPV4 = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")
-INTERNATIONAL = re.compile(r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w]|[.-]\d)")
+CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")
+INTERNATIONAL = re.compile(r"(?<![\w.])\+(?:\d{7,15}|\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?![\w]|[.-]\d)")
 LOCAL = re.compile(r"(?<![\w.-])(?:\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)")
-NAME = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?[  ]+({WORD}[\w'’-]{{1,30}}(?:[  ]{WORD}[\w'’-]{{1,30}})?)")
+_PART = rf"{WORD}[\w'’-]{{0,30}}"
+TITLED = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, TITLE_GENDER))})\.?[ \u00a0]+({_PART}(?:[ \u00a0]{_PART})?)")
+FOLLOWED = re.compile(rf"([\u4e00-\u9fff\u30a0-\u30ff\uac00-\ud7a3]{{2,3}})[ \u00a0]?(?:{'|'.join(TITLES_AFTER)})")
+GIVEN = re.compile(rf"(?<![\w'’-])(?:{'|'.join(sorted(GENDER_OF, key=len, reverse=True))})[ \u00a0]{_PART}(?:[ \u00a0]{_PART})?")
 #: Kinds in the order in which they take a place in the text.
-DETECTORS: list[tuple[str, re.Pattern]] = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ipv6", IPV6), ("ipv4", IPV4), ("ssn", SSN), ("card", CARD), ("phone", INTERNATIONAL), ("phone", LOCAL)]
+DETECTORS: list[tuple[str, re.Pattern]] = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ipv6", IPV6), ("ipv4", IPV4), ("ssn", SSN), ("phone", INTERNATIONAL), ("card", CARD), ("phone", LOCAL)]
 
 # Classes of letters; a letter is replaced by one of its own class.
 _CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ", "ÇÑ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _CLASS = {c: chars for chars in _CLASSES for c in chars}
 
 
-def permuted(value: int, size: int, key: bytes) -> int:
-    """A keyed permutation of 0 to size - 1: a Feistel network over the next even number of bits, walked until it is in range."""
+@cache
+def class_of(c: str) -> str:
+    """The letters or digits among which ``c`` is replaced: its fixed class, else those of its script and case in its block of 128. Empty for a mark."""
+    if c in _CLASS or unicodedata.category(c)[0] not in "LN":
+        return _CLASS.get(c, "")
+    kind = lambda x: (unicodedata.category(x), unicodedata.name(x, "").split(" ")[0])
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if x not in _CLASS and kind(x) == kind(c))
+
+
+def _rounds(half: int, key: bytes) -> Callable[[int, int], int]:
+    mask, size = (1 << half) - 1, (half + 7) // 8
+
+    def f(i: int, x: int) -> int:
+        return int.from_bytes(hashlib.blake2b(x.to_bytes(size, "big"), key=key, person=b"%d/%d" % (i, half), digest_size=min(64, size)).digest(), "big") & mask
+
+    return f
+
+
+def permuted(value: int, size: int, key: bytes, back: bool = False) -> int:
+    """A keyed permutation of 0 to size - 1, or its inverse: a Feistel network over the next even number of bits, walked until it is in range."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    mask, f = (1 << half) - 1, _rounds(half, key)
     while True:
         left, right = value >> half, value & mask
-        for i in range(8):
-            d = hashlib.blake2b(right.to_bytes((half + 7) // 8, "big"), key=key, person=b"%d/%d" % (i, half), digest_size=min(64, (half + 7) // 8)).digest()
-            left, right = right, left ^ (int.from_bytes(d, "big") & mask)
+        if back:
+            for i in reversed(range(8)):
+                left, right = right ^ f(i, left), left
+        else:
+            for i in range(8):
+                left, right = right, left ^ f(i, right)
         value = left << half | right
         if value < size:
             return value
 
 
-def reformatted(text: str, key: bytes, classes: dict[str, str] | None = None) -> str:
-    """The text with each character permuted inside its class, all places together. At most 256 such places at a time."""
-    classes = _CLASS if classes is None else classes
-    out, at = list(text), [i for i, c in enumerate(text) if c in classes]
+def following(value: int, size: int, key: bytes) -> int:
+    """The value at the next place of a keyed order of 0 to size - 1: one cycle through all, so never ``value`` itself if there is another."""
+    return permuted((permuted(value, size, key) + 1) % size, size, key, back=True) if size > 1 else value
+
+
+def reformatted(text: str, key: bytes, classes: Callable[[str], str] = class_of) -> str:
+    """The next text of the same form: each character inside its class, all places together. At most 256 such places at a time."""
+    out, at = list(text), [i for i, c in enumerate(text) if classes(c)]
     for start in range(0, len(at), 256):
         part = at[start : start + 256]
         value, size = 0, 1
         for i in part:
-            chars = classes[text[i]]
+            chars = classes(text[i])
             value, size = value * len(chars) + chars.index(text[i]), size * len(chars)
-        shape = "".join(classes[text[i]][0] for i in part).encode()
-        value = permuted(value, size, hashlib.blake2b(shape, key=key, digest_size=32).digest())
+        shape = "".join(classes(text[i])[0] for i in part).encode()
+        value = following(value, size, hashlib.blake2b(shape, key=key, digest_size=32).digest())
         for i in reversed(part):
-            chars = classes[text[i]]
+            chars = classes(text[i])
             value, k = divmod(value, len(chars))
             out[i] = chars[k]
     return "".join(out)
 
 
+def among(chars: str) -> Callable[[str], str]:
+    return lambda c: chars if c in chars else ""
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -92,6 +141,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(account: str) -> int:
+    """What the two check digits of a bank account must be."""
+    return 98 - int("".join(str(int(c, 36)) for c in account[4:] + account[:2] + "00")) % 97
+
+
 def private(octets: list[int]) -> bool:
     a, b = octets[:2]
     return a in (0, 10, 127) or a >= 224 or (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b < 32
@@ -101,9 +155,24 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+def _plain(s: str) -> str:
+    return "".join(c for c in s if c.isalnum())
+
+
+def _put(form: str, chars: str) -> str:
+    """``chars`` in the places of the letters and digits of ``form``."""
+    it = iter(chars)
+    return "".join(next(it) if c.isalnum() else c for c in form)
+
+
 def _valid(kind: str, text: str) -> bool:
     if kind == "ipv4":
         return all(len(x) == 1 or x[0] != "0" for x in text.split(".")) and all(int(x) < 256 for x in text.split("."))
+    if kind == "ipv6":
+        try:
+            return ipaddress.IPv6Address(text) is not None and any(c.isdigit() for c in text)
+        except ValueError:
+            return False
     if kind == "card":
         return 13 <= len(_digits(text)) <= 19
     if kind == "phone":
@@ -113,6 +182,28 @@ def _valid(kind: str, text: str) -> bool:
     return True
 
 
+def _number(text: str) -> tuple[str, int]:
+    """The calling code of a phone number, and where in its text the number itself begins; local forms are those of code 1."""
+    if not text.startswith("+"):
+        return "1", 0
+    digits = _digits(text)
+    code = next((digits[:k] for k in (1, 2) if digits[:k] in SHORT_CODES), digits[:3])
+    at, left = 0, len(code)
+    while left:
+        left -= text[at].isdigit()
+        at += 1
+    return code, at
+
+
+def _length(text: str) -> int:
+    """How much of a match is the phone number: codes of one digit have ten more, and a number that follows is not part of it."""
+    if _number(text)[0] in ("1", "7") and len(_digits(text)) > 11:
+        at = [i for i, c in enumerate(text) if c.isdigit()][10] + 1
+        if not text[at].isdigit():
+            return at + (text[at] == ")")
+    return len(text)
+
+
 @dataclass(frozen=True)
 class Surrogates:
     """Surrogates under one key."""
@@ -123,90 +214,158 @@ class Surrogates:
         return hashlib.blake2b(kind.encode(), key=self.key, digest_size=32).digest()
 
     def step(self, kind: str, text: str) -> str:
-        """One step of the permutation of this kind's entities."""
+        """The next entity of this kind and form."""
         key = self._of(kind)
         if kind == "ipv4":
-            return ".".join(map(str, permuted(int.from_bytes(bytes(map(int, text.split("."))), "big"), 1 << 32, key).to_bytes(4, "big")))
-        if kind in ("ipv6", "secret") and all(c in "0123456789abcdef:" for c in text):
-            return reformatted(text, key, {c: "0123456789abcdef" for c in "0123456789abcdef"})
-        if kind in ("ipv6", "secret") and all(c in "0123456789ABCDEF:" for c in text):
-            return reformatted(text, key, {c: "0123456789ABCDEF" for c in "0123456789ABCDEF"})
+            return ".".join(map(str, following(int.from_bytes(bytes(map(int, text.split("."))), "big"), 1 << 32, key).to_bytes(4, "big")))
+        if kind == "ipv6":
+            return self._ipv6(text, key)
         if kind == "secret":
+            for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+                if all(c in digits for c in text):
+                    return reformatted(text, key, among(digits))
             head = re.match(r"(?:sk|pk|rk)[-_](?:live[-_]|test[-_])?|AKIA|gh[pousr]_|xox[abprs]-|AIza", text)
             cut = head.end() if head else 0
             return text[:cut] + reformatted(text[cut:], key)
         if kind == "email":
-            local, _, domain = text.rpartition("@")
+            local, _, domain = text.lower().rpartition("@")
             host, _, top = domain.rpartition(".")
-            return f"{reformatted(local, key)}@{reformatted(host, key)}.{top}"
+            new = f"{reformatted(local, key)}@{reformatted(host, key)}.{top}"
+            return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(text, new, strict=True)) if len(new) == len(text) else new
         if kind == "iban":
-            return text[:2] + reformatted(text[2:], key)
+            account = _plain(text)
+            new = account[:4] + reformatted(account[4:], key)
+            return _put(text, new[:2] + f"{iban_check(new):02}" + new[4:] if iban_check(account) == int(account[2:4]) else new)
         if kind == "phone":
-            head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-            cut = head.end() if head else 0
-            return text[:cut] + reformatted(text[cut:], key)
+            code, at = _number(text)
+            trunk = re.match(r"[ .-]?\(0\)", text[at:])
+            at += trunk.end() if trunk else 0
+            return text[:at] + _put(text[at:], reformatted(_digits(text[at:]), self._of(f"phone {code}")))
+        if kind == "card":
+            return _put(text, reformatted(_digits(text), key))
         return reformatted(text, key)
 
+    @staticmethod
+    def _ipv6(text: str, key: bytes) -> str:
+        """Groups that are zero stay so; the first group says what an address is for, and stays if there is another."""
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")]
+        at = [i for i, g in enumerate(groups) if g]
+        at = at[1:] if len(at) > 1 and at[0] == 0 else at
+        value = 0
+        for i in at:
+            value = value * 65_535 + groups[i] - 1
+        value = following(value, 65_535 ** len(at), hashlib.blake2b(bytes([*at, groups[0] >> 8, groups[0] & 255] if at and at[0] else at), key=key, digest_size=32).digest())
+        for i in reversed(at):
+            value, g = divmod(value, 65_535)
+            groups[i] = g + 1
+        new = ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups))
+        out = new.compressed if "::" in text else new.exploded if all(len(g) == 4 for g in text.split(":")) else ":".join(f"{g:x}" for g in groups)
+        return out.upper() if any(c.isupper() for c in text) else out
+
     def same_sort(self, kind: str, old: str, new: str) -> bool:
         """Whether the replacement is of the entity's own sort: a valid card number for a valid one, a public address for a public one."""
         if kind == "card":
             return luhn(_digits(old)) == luhn(_digits(new))
+        if kind == "iban":
+            right = lambda x: iban_check(_plain(x)) == int(_plain(x)[2:4])
+            return right(old) == right(new)
         if kind == "ipv4":
             return private([int(x) for x in old.split(".")]) == private([int(x) for x in new.split(".")])
         return kind != "secret" or _valid(kind, new)
 
-    def __call__(self, kind: str, text: str) -> str:
-        """The first entity of the same sort along the cycle. That is a permutation again, of the entities of one sort."""
+    def __call__(self, kind: str, text: str, genders: str = "") -> str:
+        """The first entity of the same sort along the cycle. That is one-to-one, among the entities of one sort."""
         if kind == "name":
-            return self.name(text)
+            return self.name(text, genders)
         new = self.step(kind, text)
         while not self.same_sort(kind, text, new):
             new = self.step(kind, new)
         return new
 
-    def name(self, text: str) -> str:
-        """A given name of the same gender and script; other words by letters of their own class."""
-        words = re.split(r"([  ])", text)
+    def name(self, text: str, genders: str = "") -> str:
+        """A listed given name by another of its gender and script; other words by letters of their own classes.
+
+        ``genders`` has a letter for each word: f or m for a given name that is not listed, which then gets an ending of that
+        gender; any other for a surname. Listed names, names with an ending and surnames differ in form, so none meet.
+        """
+        words = re.split(r"([ \u00a0])", text)
         for i, w in enumerate(words):
+            gender = genders[i // 2 : i // 2 + 1]
             if w in GENDER_OF:
                 names = NAMES[GENDER_OF[w]]
-                words[i] = names[permuted(names.index(w), len(names), self._of("".join(GENDER_OF[w])))]
+                words[i] = names[following(names.index(w), len(names), self._of("".join(GENDER_OF[w])))]
             elif w.strip():
-                new = reformatted(w, self._of("name"))
-                while new in GENDER_OF:  # a given name stands for a given name only
-                    new = reformatted(new, self._of("name"))
-                words[i] = new
+                new = self._letters(w)
+                while new + ENDINGS.get((gender, script_of(w)), "") in GENDER_OF:  # a listed name stands for a listed name only
+                    new = self._letters(new)
+                words[i] = new + ENDINGS.get((gender, script_of(w)), "")
         return "".join(words)
 
+    def _letters(self, word: str) -> str:
+        return reformatted(word, self._of("name"))
+
+
+#: Endings of made given names.
+ENDINGS = {("f", "latin"): "ina", ("m", "latin"): "us", ("f", "cyrillic"): "ина", ("m", "cyrillic"): "слав"}
+
+
+def script_of(word: str) -> str:
+    return unicodedata.name(word[0], "").split(" ")[0].lower()
+
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all entities, in order, none over another."""
-    found: list[tuple[int, int, str]] = []
+def _named(word: str) -> bool:
+    """Whether a word may be a name: a capital first, or a script without capitals."""
+    return word[0].isupper() or word[0].lower() == word[0].upper() or word[0].istitle()
+
+
+def persons(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, genders) of names with a title, or of a listed given name and what follows. ``genders`` as in ``Surrogates.name``."""
+    for m in TITLED.finditer(text) if any(t in text for t in TITLE_GENDER) else ():
+        words = re.split(r"[ \u00a0]", m[2])
+        if _named(words[0]):
+            gender = TITLE_GENDER[m[1]]
+            if len(words) == 2 and not _named(words[1]):
+                words.pop()
+            # one word after a title is a surname, unless it is a listed given name
+            yield m.start(2), m.start(2) + len(" ".join(words)), (gender + "s" if len(words) == 2 else "s")
+    for m in GIVEN.finditer(text):
+        words = re.split(r"[ \u00a0]", m[0])
+        while len(words) > 1 and not words[-1][0].isupper():
+            words.pop()
+        if len(words) > 1 and words[1][0].isupper():
+            yield m.start(), m.start() + len(" ".join(words)), "s" * len(words)
+    for m in FOLLOWED.finditer(text) if any(t in text for t in TITLES_AFTER) else ():
+        yield m.start(1), m.end(1), "s"
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, genders) of all entities, in order, none over another. ``genders`` is for names."""
+    found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
-    has_digit, has_at = re.search(r"\d", text), "@" in text
+    has_digit, has_at, has_colons = re.search(r"\d", text), "@" in text, text.count(":") > 1
     for kind, pattern in DETECTORS:
-        if (kind == "email" and not has_at) or (kind != "email" and not has_digit):
+        if not (has_at if kind == "email" else has_digit and (has_colons or kind != "ipv6")):
             continue
         for m in pattern.finditer(text):
-            if _valid(kind, m[0]) and 1 not in taken[m.start() : m.end()]:
-                found.append((m.start(), m.end(), kind))
-                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    names: set[str] = set()
-    spans = [(m.start(1), m.end(1)) for m in NAME.finditer(text) if m[1][0].isupper()]
-    for a, b in spans:
-        words = text[a:b].replace(" ", " ").split(" ")
-        if len(words) == 2 and not words[1][0].isupper():
-            b = a + len(words[0])
-            words = words[:1]
+            a, b = m.start(), m.start() + (_length(m[0]) if pattern is INTERNATIONAL else len(m[0]))
+            if _valid(kind, text[a:b]) and 1 not in taken[a:b]:
+                found.append((a, b, kind, ""))
+                taken[a:b] = b"\1" * (b - a)
+    names: dict[str, str] = {}
+    for a, b, genders in persons(text):
+        words = re.split(r"[ \u00a0]", text[a:b])
+        for w, g in zip(words, genders, strict=True):
+            if len(w) > 2 or script_of(w) not in ("latin", "cyrillic", "greek"):
+                names[w] = g if names.get(w, "s") in "su" else names[w]
         if 1 not in taken[a:b]:
-            found.append((a, b, "name"))
+            found.append((a, b, "name", ""))
             taken[a:b] = b"\1" * (b - a)
-        names.update(w for w in words if len(w) > 2)
     if names:  # the same person without the title
         for m in re.finditer(rf"(?<![\w'’-])(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?![\w'’-])", text):
             if 1 not in taken[m.start() : m.end()]:
-                found.append((m.start(), m.end(), "name"))
-    return sorted(found)
+                found.append((m.start(), m.end(), "name", ""))
+    said = lambda a, b: "".join(names.get(w, "s") for w in re.split(r"[ \u00a0]", text[a:b]))
+    return sorted((a, b, kind, said(a, b) if kind == "name" else "") for a, b, kind, _ in found)
 
 
 def replacer(key: bytes) -> Callable[[str], tuple[str, dict[str, int]]]:
@@ -215,8 +374,8 @@ def replacer(key: bytes) -> Callable[[str], tuple[str, dict[str, int]]]:
 
     def replace(text: str) -> tuple[str, dict[str, int]]:
         out, at, counts = [], 0, {}
-        for a, b, kind in entities(text):
-            out += [text[at:a], surrogate(kind, text[a:b])]
+        for a, b, kind, genders in entities(text):
+            out += [text[at:a], surrogate(kind, text[a:b], genders)]
             at = b
             counts[kind] = counts.get(kind, 0) + 1
         return "".join([*out, text[at:]]) if out else text, counts
@@ -224,16 +383,17 @@ def replacer(key: bytes) -> Callable[[str], tuple[str, dict[str, int]]]:
     return replace
 
 
-#: A key for tests and benchmarks; a real run passes its own.
-DEMO_KEY = b"public demonstration key"
-
-
-def replace(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Replaces personal data and secrets by surrogates.
+def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Replaces personal data and secrets by surrogates under ``key``, a secret of the caller's.
 
     Returns ``doc_id, text, n_entities, kinds``, one row for each row of ``docs``, without an exchange; ``kinds`` counts the
-    entities of each kind as ``kind:n``, in order of kind. A null text stays null with 0 entities. Repeated rows get the
-    same answer; null ids stay; an empty table gives no row; other columns are not read.
+    entities of each kind as ``kind:n``, in order of kind. Found are: e-mail addresses, keys and hex secrets, bank accounts,
+    network addresses, US social security numbers, card and phone numbers, names after a title, listed given names with a
+    surname, names before an East Asian title, and these names' words wherever else they stand in the text; not found are
+    other names without a title, and postal addresses. A given name that is not listed gets an ending of the gender that a
+    title tells; where texts tell different genders for it, its surrogates differ. A null text stays null with 0 entities.
+    A very long text is searched whole. Repeated rows get the same answer; null ids stay; an empty table gives no row; other
+    columns are not read, whatever their names.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int64()), ("kinds", pa.string())])
 
@@ -246,8 +406,11 @@ def replace(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_entities long, kinds string")
 
 
-def replace_in_place(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, the text replaced; ``n_chars``, if there, counts the new text."""
+def replace_in_place(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, whatever their names, the text replaced as by ``replace``; ``n_chars``, if there, counts the new text.
+
+    A null text stays null, with a null ``n_chars``; repeated rows stay, each with the same answer; an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,19 +423,27 @@ def replace_in_place(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "te
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def check_collisions(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:
+def check_collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """For each kind: how many distinct entities, how many distinct surrogates, and how many surrogates are entities of the corpus.
 
-    Entities are counted by an exchange of their digests; as many surrogates as entities means that none fell together.
+    Entities are counted by an exchange of their digests, of the form in which two writings of one entity are the same; as
+    many surrogates as entities means that none fell together. Listed names stand for one another, so they are met.
     """
 
+    def plain(kind: str, text: str) -> str:
+        if kind == "email":
+            return text.lower()
+        if kind == "ipv6":
+            return ipaddress.IPv6Address(text).compressed
+        return (_number(text)[0] + " " + _digits(text[_number(text)[1] :])) if kind == "phone" else _plain(text) if kind in ("card", "iban") else text
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surrogate = lru_cache(100_000)(Surrogates(key))
         names = pa.schema([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())])
-        digest = lambda s: hashlib.blake2b(s.encode(), key=key, digest_size=16).hexdigest()
+        digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
         for b in batches:
-            seen = {(k, t[a:e]) for t in strings(b.column(0)) for a, e, k in entities(t)}
-            yield batch(names, [[k for k, _ in seen], [digest(x) for _, x in seen], [digest(surrogate(k, x)) for k, x in seen]])
+            seen = {(k, t[a:e], g) for t in strings(b.column(0)) for a, e, k, g in entities(t)}
+            yield batch(names, [[k for k, _, _ in seen], [digest(plain(k, x)) for k, x, _ in seen], [digest(plain(k, surrogate(k, x, g))) for k, x, g in seen]])
 
     pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
     known = pairs.select("kind", F.col("entity").alias("surrogate")).distinct().withColumn("known", F.lit(1))

@@ -15,6 +15,14 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: For the registered queries only, where the session names no key of its own in ``spark.gridmill.surrogateKey``.
+PUBLIC_KEY = "public demonstration key"
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    return spark.conf.get("spark.gridmill.surrogateKey", PUBLIC_KEY).encode()
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -41,7 +49,11 @@ def op6_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents"))
+    return pii.replace(table(spark, sf_dir, "documents"), surrogate_key(spark))
+
+
+def pii_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.check_collisions(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +68,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, pii_collisions)}
 ORACLE_SQL: dict[str, str] = {}

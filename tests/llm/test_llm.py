@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import ipaddress
 import itertools
 import math
 import random
@@ -313,22 +314,90 @@ def test_pii_text():
 
 def test_surrogates_are_distinct():
     s = pii.Surrogates(b"k")
-    for kind, values in (("email", [f"a{i}@x.com" for i in range(100)]), ("phone", [f"+1 555 {i:03} 0000" for i in range(1000)]), ("ipv4", [f"10.0.0.{i}" for i in range(256)]), ("card", [f"411111111111{i:04}" for i in range(3000)])):
+    ipv6 = [f"2001:db8::{i:x}" for i in range(1, 300)]
+    iban = [f"GB{pii.iban_check(f'GB00WEST{i:014}'):02}WEST{i:014}" for i in range(100)]
+    for kind, values in (("email", [f"a{i}@x.com" for i in range(100)]), ("phone", [f"+1 555 {i:03} 0000" for i in range(1000)]), ("ipv4", [f"10.0.0.{i}" for i in range(256)]), ("card", [f"411111111111{i:04}" for i in range(3000)]), ("ipv6", ipv6), ("iban", iban), ("name", [f"Ab{c}{d}" for c in "aeiou" for d in "bcdf"])):
         new = [s(kind, v) for v in values]
         assert len(set(new)) == len(values)
-        assert all(s.same_sort(kind, a, b) for a, b in zip(values, new, strict=True))
-    assert sorted(pii.permuted(i, 37, b"k") for i in range(37)) == list(range(37))
+        assert all(s.same_sort(kind, a, b) and a != b and (len(a) == len(b) or kind in ("ipv4", "ipv6")) for a, b in zip(values, new, strict=True))
+        assert all(pii._valid(kind, x) for x in new)
+    for size in (1, 2, 37, 300):
+        assert sorted(pii.permuted(i, size, b"k") for i in range(size)) == list(range(size))
+        assert all(pii.permuted(pii.permuted(i, size, b"k"), size, b"k", back=True) == i for i in range(size))
+        seen, at = set(), 0  # one cycle through all
+        while at not in seen:
+            seen.add(at)
+            at = pii.following(at, size, b"k")
+        assert len(seen) == size
+
+
+def test_no_name_stays():
+    for key in (b"k", b"public demonstration key"):
+        s = pii.Surrogates(key)
+        for (gender, script), names in pii.NAMES.items():
+            new = [s.name(n) for n in names]
+            assert sorted(new) == sorted(names) and all(a != b for a, b in zip(names, new, strict=True)), (gender, script)
+        for word in "Smith Żółć Řezníček Παπαδόπουλος 王小明 田中 김철수 כהן محمد Ёлкин Xanthe".split():
+            new = s.name(word)
+            assert new != word and len(new) == len(word) and pii.script_of(new) == pii.script_of(word)
+
+
+def test_one_entity_in_two_forms():
+    act = pii.replacer(b"k")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    new = [act(x)[0] for x in ("+15551234567", "+1 555 123 4567", "555-123-4567", "(555) 123-4567")]
+    assert {digits(x)[-10:] for x in new} == {digits(new[0])[-10:]} and new[0].startswith("+1") and new[1].startswith("+1 ") and digits(new[0]) != "15551234567"
+    assert digits(act("+44 (0)20 7946 0958")[0]) == "44" + "0" + digits(act("+442079460958")[0])[2:]
+    assert act("John.Doe@x.com")[0].lower() == act("john.doe@x.com")[0]
+    assert act("4111 1111 1111 1111")[0].replace(" ", "") == act("4111111111111111")[0]
+    assert act("GB82 WEST 1234 5698 7654 32")[0].replace(" ", "") == act("GB82WEST12345698765432")[0]
+    a, b, c = (act(x)[0] for x in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334", "2001:DB8::8A2E:370:7334"))
+    assert ipaddress.ip_address(a) == ipaddress.ip_address(b) == ipaddress.ip_address(c) != ipaddress.ip_address("2001:db8::8a2e:370:7334") and "::" in a and len(b) == 39 and c.isupper() is True
+    assert act("at 12:30:45 std::vector a::b")[1] == {}
+
+
+def test_names_and_gender():
+    act = pii.replacer(b"k")
+    out, counts = act("Call John Smith. Mrs Xanthe Doe came; Xanthe left. Mr Xanthos Doe. Dr 王小明 and 田中さん, г-н Иван Петров")
+    words = out.replace(";", "").replace(".", "").split()
+    assert words[1] in pii.NAMES["m", "latin"] and words[1] != "John" and "Smith" not in out and counts == {"name": 7}
+    assert words[4].endswith("ina") and words[7] == words[4] and words[10].endswith("us") and words[5] == words[11]
+    assert words[-2] in pii.NAMES["m", "cyrillic"] and words[-2] != "Иван" and "王小明" not in out and "田中" not in out
+    assert act("Anna came home") == ("Anna came home", {})  # a given name alone is not taken for a person
 
 
 def test_pii_rows(docs, empty, rows):
-    found = pii.replace(docs).collect()
-    assert len(found) == len(rows) and sum(r["text"] is None for r in found) == 2 and pii.replace(empty).count() == 0
-    assert sorted(map(str, pii.replace_in_place(docs).columns)) == sorted(docs.columns)
+    found = pii.replace(docs, b"k").collect()
+    assert len(found) == len(rows) and sum(r["text"] is None for r in found) == 2 and pii.replace(empty, b"k").count() == 0
+    assert sorted(map(str, pii.replace_in_place(docs, b"k").columns)) == sorted(docs.columns) and pii.replace_in_place(empty, b"k").count() == 0
+
+
+def test_pii_by_hand(spark):
+    """Every planted entity of a made corpus is gone, all else stays, and an entity has one surrogate in all documents."""
+    rnd = random.Random(9)
+    kinds = {"email": ["ann.lee@mail.example", "bob_7@x.org"], "phone": ["+1 415 555 0100", "+49 30 123456"], "ipv4": ["8.8.4.4", "172.16.0.9"], "ssn": ["123-45-6789", "987-65-4321"], "card": ["4111 1111 1111 1111", "4242424242424242"]}
+    lines = []
+    for i in range(60):
+        parts, wanted = [], []
+        for _ in range(rnd.randint(0, 5)):
+            kind = rnd.choice(sorted(kinds))
+            value = rnd.choice(kinds[kind])
+            parts += [" ".join(rnd.choices(["plain", "words", "at", "5", "of", "2024"], k=4) + ["is"]), "\0" + value + "\0"]
+            wanted.append((kind, value))
+        lines.append((i, "".join(f"{p} and " for p in parts) + "end", wanted))
+    df = spark.createDataFrame([(i, t.replace("\0", "")) for i, t, _ in lines], "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in pii.replace(df, b"k").collect()}
+    s = pii.Surrogates(b"k")
+    for i, t, wanted in lines:
+        want = t
+        for kind, value in wanted:
+            want = want.replace("\0" + value + "\0", s(kind, value), 1)
+        assert out[i]["text"] == want and out[i]["n_entities"] == len(wanted)
 
 
 def test_collisions(spark):
-    df = spark.createDataFrame([(f"a{i}@x.com and 10.0.0.{i % 50}",) for i in range(100)], "text string")
-    assert {r["kind"]: (r["entities"], r["surrogates"]) for r in pii.check_collisions(df).collect()} == {"email": (100, 100), "ipv4": (50, 50)}
+    df = spark.createDataFrame([(f"a{i}@x.com and 10.0.0.{i % 50} and A{i}@X.com",) for i in range(100)], "text string")
+    assert {r["kind"]: (r["entities"], r["surrogates"]) for r in pii.check_collisions(df, b"k").collect()} == {"email": (100, 100), "ipv4": (50, 50)}
 
 
 def test_langid(spark, docs, empty, rows):
