@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.llm import langid, packing, pii, simhash, substring
 from gridmill.llm.common import shared_folder, table
-from gridmill.llm.queries import RANKS
+from gridmill.llm.queries import ADDED, RANKS, surrogate_key
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace_in_place(docs)
+    return pii.replace_in_place(docs, surrogate_key(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, RANKS, public_tokenizers.PATTERN, end_id=0, longest=1024)
+    return packing.pack(docs, RANKS, public_tokenizers.PATTERN, end_id=0, longest=1024, special=ADDED)
 
 
 STAGES = [
