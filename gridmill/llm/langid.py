@@ -1,13 +1,14 @@
 """Language identification by a string kernel.
 
 Two texts are as alike as the character n-grams of lengths 1 to ``longest`` that both hold, however often (a blended
-spectrum of presence), over the geometric mean of how many each holds. Landmark texts of each language span the Nyström
+spectrum of presence), over the geometric mean of how many each holds; n-grams that no landmark holds don't count. Landmark texts of each language span the Nyström
 map of this kernel; one-versus-rest ridge regression on the map gives a score for each language. Scoring is two matrix
 products for a batch of texts.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,27 +21,30 @@ from gridmill.llm.common import batch, remainder_is, strings
 
 UNKNOWN = "und"
 BITS = 20
-#: Folds code points below this by a table; those above are taken as they are.
-LOW = 0x250
-_FOLD = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in range(LOW)], np.uint32)
+#: Characters of the longest n-grams.
+LONGEST = 4
+#: Folds code points below this by a table; those above, which have no case but for a few, are taken as they are.
+LOW = 0x2000
+#: Letters and the marks that belong to them are kept; only a letter makes a text one of a language.
+_FOLD = np.array([ord(chr(c).lower()[0]) if unicodedata.category(chr(c))[0] in "LM" else 32 for c in range(LOW)], np.uint32)
+_LETTER = np.array([chr(c).isalpha() for c in range(LOW)])
 _TABLES = 1 << BITS
 
 
 def folded(text: str) -> np.ndarray:
-    """Lower-case code points; all that is no letter, a single space. A space stands at either end."""
+    """Lower-case code points; all that is no letter or mark, a single space. A space stands at either end."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     c = np.where(c < LOW, _FOLD[np.minimum(c, LOW - 1)], c)
     c = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]])
     return c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
 
 
-def has_letter(text: str, code: np.ndarray) -> bool:
-    low = code[code < LOW]
-    return bool((low != 32).any()) or any(chr(c).isalpha() for c in np.unique(code[code >= LOW]).tolist())
+def has_letter(code: np.ndarray) -> bool:
+    return bool(_LETTER[code[code < LOW]].any()) or any(chr(c).isalpha() for c in np.unique(code[code >= LOW]).tolist())
 
 
 def grams(code: np.ndarray, longest: int) -> np.ndarray:
-    """Hashes of BITS bits of all n-grams of 1 to ``longest`` code points."""
+    """Hashes of BITS bits of all n-grams of 1 to ``longest`` code points; some may repeat."""
     out, key = [], np.zeros(len(code), np.uint64)
     for n in range(1, longest + 1):
         if len(code) < n:
@@ -62,26 +66,27 @@ class StringKernelModel:
     whiten: np.ndarray
     weights: np.ndarray
 
-    def kernel(self, codes: list[np.ndarray]) -> np.ndarray:
+    def kernel(self, held: list[np.ndarray]) -> np.ndarray:
+        """Kernel values of texts, given by their n-grams, with the landmarks."""
         size = len(self.landmarks[0])
-        present = np.zeros((len(codes), size + 1), np.float32)
-        for row, code in zip(present, codes, strict=True):
-            row[self.column[grams(code, self.longest)]] = 1
+        present = np.zeros((len(held), size + 1), np.float32)
+        for row, some in zip(present, held, strict=True):
+            row[self.column[some]] = 1
         present = present[:, :size]
         norm = np.sqrt(np.maximum(present.sum(axis=1), 1))
         return present @ self.landmarks.T / (norm[:, None] * self.norms[None, :])
 
-    def scores(self, codes: list[np.ndarray]) -> np.ndarray:
-        return np.c_[self.kernel(codes) @ self.whiten, np.ones(len(codes), np.float32)] @ self.weights
+    def scores(self, held: list[np.ndarray]) -> np.ndarray:
+        return np.c_[self.kernel(held) @ self.whiten, np.ones(len(held), np.float32)] @ self.weights
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.languages:
             return out
         for start in range(0, len(texts), 128):
-            codes = {i: c for i in range(start, min(start + 128, len(texts))) if texts[i] and has_letter(texts[i], c := folded(texts[i]))}
+            codes = {i: c for i in range(start, min(start + 128, len(texts))) if texts[i] and has_letter(c := folded(texts[i]))}
             if codes:
-                s = self.scores(list(codes.values())).astype(np.float64)
+                s = self.scores([grams(c, self.longest) for c in codes.values()]).astype(np.float64)
                 p = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
                 p /= p.sum(axis=1, keepdims=True)
                 for i, k, q in zip(codes, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
@@ -89,20 +94,17 @@ class StringKernelModel:
         return out
 
 
-def fit(rows: list[tuple[str, str]], landmarks_each: int = 32, longest: int = 4, ridge: float = 1e-2) -> StringKernelModel:
-    """Learns from (text, language). Texts without a letter teach nothing."""
-    known = [(folded(t), lang) for t, lang in rows if t]
-    known = [(c, lang) for (c, lang), (t, _) in zip(known, [r for r in rows if r[0]], strict=True) if has_letter(t, c)]
+def fit(known: list[tuple[np.ndarray, str]], landmarks_each: int = 32, longest: int = LONGEST, ridge: float = 1e-2) -> StringKernelModel:
+    """Learns from the n-grams of texts and their languages."""
     languages = sorted({lang for _, lang in known})
     column = np.full(_TABLES, -1, np.int32)
     if not languages:
         return StringKernelModel([], longest, column, *[np.zeros((0, 0), np.float32)] * 4)
     chosen = [c for lang in languages for c in [c for c, x in known if x == lang][:landmarks_each]]
-    held = [np.unique(grams(c, longest)) for c in chosen]
-    used = np.unique(np.concatenate(held))
+    used = np.unique(np.concatenate(chosen))
     column[used] = np.arange(len(used), dtype=np.int32)
     marks = np.zeros((len(chosen), len(used)), np.float32)
-    for row, h in zip(marks, held, strict=True):
+    for row, h in zip(marks, chosen, strict=True):
         row[column[h]] = 1
     model = StringKernelModel(languages, longest, column, marks, np.sqrt(marks.sum(axis=1)), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     k = (marks @ marks.T / np.outer(model.norms, model.norms)).astype(np.float64)
@@ -118,18 +120,29 @@ def fit(rows: list[tuple[str, str]], landmarks_each: int = 32, longest: int = 4,
     return model
 
 
-def training_rows(docs: DataFrame, each: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A sample by the id's hash of about ``each`` labelled texts of each language, none of the held-out fold; twice as many at most."""
+def training_rows(docs: DataFrame, each: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[np.ndarray, str]]:
+    """A sample by the id's hash of about ``each`` labelled texts of each language, none of the held-out fold; twice as many at most.
+
+    Only n-grams travel, each once for a text, of texts that have a letter; so a very long text is no larger than 2 ** BITS of them.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~remainder_is("id", 5, 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    got = sorted((r["lang"], r["h"], r["text"]) for r in rows.filter(drawn < share[F.col("lang")]).select("lang", "text", F.xxhash64("id", "text").alias("h")).collect())
-    out: list[tuple[str, str]] = []
-    for lang in counts:
-        out += [(text, name) for name, _, text in got if name == lang][: 2 * each]
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("grams", pa.binary())])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = [folded(t) for t in strings(b.column(2))]
+            keep = [has_letter(c) for c in codes]
+            yield batch(schema, [b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_())), [np.unique(grams(c, LONGEST)).astype("<i4").tobytes() for c, k in zip(codes, keep, strict=True) if k]])
+
+    got = sorted((r["lang"], r["h"], bytes(r["grams"])) for r in rows.filter(drawn < share[F.col("lang")]).select("lang", F.xxhash64("id", "text").alias("h"), "text").mapInArrow(cut, "lang string, h long, grams binary").collect())
+    out: list[tuple[np.ndarray, str]] = []
+    for lang in sorted(counts):
+        out += [(np.frombuffer(raw, "<i4"), name) for name, _, raw in got if name == lang][: 2 * each]
     return out
 
 
@@ -140,7 +153,8 @@ def identify(docs: DataFrame, each: int = 300, id_col: str = "doc_id", text_col:
     mod 5 is not 0 and whose language and text are known; the model is a few MB and goes to every task. Returns ``doc_id,
     held_out, lang_pred, score``, one row for each row of ``docs``, without an exchange. A null text, or one without a
     letter, is ``und`` with score 0, and so is every text where nothing can be learned. A null id is not held out. Ties go
-    to the language that is first by name. Repeated rows get the same answer; an empty table gives none.
+    to the language that is first by name. A very long text is read whole. Repeated rows get the same answer; an empty table
+    gives none; other columns are not read, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, each, id_col, text_col, lang_col)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -154,14 +168,24 @@ def identify(docs: DataFrame, each: int = 300, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", remainder_is("doc_id", 5, 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, each: int = 300, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language: not ``und``, and a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, each: int = 300, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language: not ``und``, and a score of ``least`` or more.
+
+    A text that looks almost as much like one language as like another is rejected with that. Where the language of a row
+    that stays is null, it becomes the predicted one. A null or empty text goes; a very long one is read whole; repeated rows
+    get the same answer; an empty table gives no row; clashing names of other columns do no harm.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, each, id_col, text_col, lang_col)))
-    at = docs.columns.index(text_col)
+    at, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said = model.value.predict(strings(b.column(at)))
+            known = b.column(lang)
+            filled = known.fill_null("").to_pylist() if known.null_count else None
+            if filled is not None:
+                filled = [x if x or v else y for x, v, (y, _) in zip(filled, known.is_valid().to_pylist(), said, strict=True)]
+                b = b.set_column(lang, b.schema.field(lang), pa.array(filled, b.schema.field(lang).type))
             yield b.filter(pa.array([x != UNKNOWN and y >= least for x, y in said], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -236,6 +236,57 @@ def test_lm(docs, empty, rows):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_by_hand(docs, rows):
+    """The suffix tree from its definition: counts, divergence tests, closure under suffixes, smoothing, the longest kept suffix."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    spoken = lambda t: b" ".join(words(t, True)) + b"\n"
+    count = collections.defaultdict(collections.Counter)
+    for i, t, *_ in rows:
+        text = b"\n" * lm.DEPTH + spoken(t)
+        for k in range(lm.DEPTH, len(text) if not held(i) else 0):
+            for d in range(lm.DEPTH + 1):
+                count[text[k - d : k]][text[k]] += 1
+    own = {b for b, n in count[b""].items() if n >= lm.LEAST_COUNT} | {32, 10}
+    sort = lambda b: b if b in own else None
+    seen = {c: collections.Counter() for c in count}
+    for c, n in count.items():
+        for b, m in n.items():
+            seen[c][sort(b)] += m
+    kinds = [*own, None]
+
+    def chance(context):
+        if context not in memo:
+            n, total, types = seen[context], sum(seen[context].values()), max(1, len(seen[context]))
+            below = chance(context[1:]) if context else {b: ((256 - len(own)) if b is None else 1) / 256 for b in kinds}
+            memo[context] = {b: (n[b] + types * below[b]) / (total + types) for b in kinds}
+        return memo[context]
+
+    memo: dict = {}
+    kept = {b""}
+    for c, n in seen.items():
+        total = sum(n.values())
+        if c and total >= lm.LEAST_COUNT:
+            tells = sum(m / total * math.log(m / total / chance(c[1:])[b]) for b, m in n.items())
+            if tells >= lm.LEAST_DIVERGENCE and tells * total >= lm.LEAST_GAIN:
+                kept |= {c[k:] for k in range(len(c) + 1)}
+    assert {len(c) for c in kept} >= {0, 1, 2}  # contexts of several lengths
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        text, score = b"\n" * lm.DEPTH + spoken(t), 0.0
+        for k in range(lm.DEPTH, len(text)):
+            context = next(text[k - d : k] for d in range(lm.DEPTH, -1, -1) if text[k - d : k] in kept)
+            p = chance(context)[sort(text[k])]
+            score += math.log10(p if text[k] in own else p / (256 - len(own)))
+        want[i, round(score / len(text), 4)] += 1
+    sizes = {}
+    for i, t, *_ in rows:
+        sizes.setdefault(i, []).append(len(spoken(t)) + lm.DEPTH)
+    found = lm.score(docs).collect()
+    assert len(found) == len(rows)
+    single = {i for i, n in sizes.items() if len(n) == 1}
+    assert all(want[r["doc_id"], x] or want[r["doc_id"], round(x + 1e-4, 4)] or want[r["doc_id"], round(x - 1e-4, 4)] for r in found if r["doc_id"] in single for x in [round(r["score"] / sizes[r["doc_id"]][0], 4)])
+
+
 def test_suffix_tree_is_a_distribution():
     texts = [b"abab abba\n", b"abab\n", b"\n"] * 40
     codes, n = lm.gram_counts(texts)
@@ -408,7 +459,50 @@ def test_langid(spark, docs, empty, rows):
     assert len(odd) == len(rows) and langid.identify(empty).count() == 0
     blank = [t for _, t, *_ in rows if not t or not any(c.isalpha() for c in t)]
     assert sum(x["lang_pred"] == "und" for x in odd) == len(blank)
-    assert langid.keep_identified(docs).count() == len(rows) - len(blank)
+
+
+def test_keep_identified(docs, empty, rows):
+    said = collections.Counter((r["doc_id"], r["lang_pred"]) for r in langid.identify(docs).filter("lang_pred != 'und' and score >= 0.4").collect())
+    kept = langid.keep_identified(docs).collect()
+    assert collections.Counter(r["doc_id"] for r in kept) == collections.Counter(i for (i, _), n in said.items() for _ in range(n))
+    assert all(r["lang"] is not None and r["part"] == "clash" for r in kept) and {r["lang"] for r in kept} <= {"en", "de"}
+    assert langid.keep_identified(empty).count() == 0 and langid.keep_identified(empty).columns == docs.columns
+
+
+def test_langid_by_hand(spark):
+    """The kernel from sets of strings and plain linear algebra, on three made languages of three scripts and cases."""
+    rnd = random.Random(11)
+    letters = {"a": "abcdeÁé", "b": "bcdfgZ", "г": "абвгДЖ"}
+    made = [(i, " ".join("".join(rnd.choices(letters[lang], k=rnd.randint(1, 6))) for _ in range(rnd.randint(1, 30))) + rnd.choice(["", " 12!", "\n"]), lang) for i in range(150) for lang in [rnd.choice(list(letters))]]
+    df = spark.createDataFrame([*made, (900, "123", "a"), (901, None, "b"), (902, "abc", None)], "doc_id long, text string, lang string").repartition(3)
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+
+    def grams_of(t):
+        t = "".join(c.lower() if c.isalpha() else " " for c in f" {t} ")
+        t = " ".join(["", *t.split(), ""])
+        return {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    order = {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", "xxhash64(doc_id, text) h").collect()}
+    train = sorted(((lang, order[i], grams_of(t)) for i, t, lang in made if zlib.crc32(str(i).encode()) % 5), key=lambda x: x[:2])
+    names = sorted(letters)
+    marks = [g for lang in names for g in [g for x, _, g in train if x == lang][:32]]
+    used = set().union(*marks)
+    kernel = lambda g, m: len(g & m) / math.sqrt(max(1, len(g & used)) * len(m))
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = value > 1e-6 * value.max()
+    whiten = vector[:, keep] / np.sqrt(value[keep])
+    features = lambda g: np.array([*(np.array([kernel(g, m) for m in marks]) @ whiten), 1.0])
+    x, y = np.array([features(g) for _, _, g in train]), np.array([[1.0 if lang == name else -1.0 for name in names] for lang, _, _ in train])
+    count = collections.Counter(lang for lang, _, _ in train)
+    w = np.array([1 / count[lang] for lang, _, _ in train])
+    w *= len(w) / w.sum()
+    weights = np.linalg.solve(x.T @ (w[:, None] * x) + 1e-4 * len(x) * np.eye(x.shape[1]), x.T @ (w[:, None] * y))
+    for i, t, _ in [*made, (902, "abc", None)]:
+        s = features(grams_of(t)) @ weights
+        p = np.exp(4 * (s - s.max()))
+        p /= p.sum()
+        assert found[i][0] == names[int(p.argmax())] and abs(found[i][1] - p.max()) < 0.02
+    assert found[900] == found[901] == ("und", 0.0)
 
 
 def test_packing(docs, empty, rows):
@@ -518,6 +612,17 @@ def test_machine_learns_what_no_term_tells():
     assert min(one, other) > 0.6 > 0.3 > max(both, none)
 
 
+def test_machine_by_hand():
+    """A machine's answer is its bias, weights and all pairs of factors, term by term."""
+    rnd = random.Random(1)
+    rows = [(" ".join(rnd.choices("bad good you they fine awful nice the of and".split(), k=rnd.randint(0, 12))), rnd.randint(0, 1)) for _ in range(300)]
+    m = learned(rows, least_chi2=0.0)
+    for t, p in zip([t for t, _ in rows], m.predict([t for t, _ in rows]), strict=True):
+        used = [int(m.row[k]) for k in toxicity.terms(t).tolist() if m.row[k] >= 0]
+        raw = m.bias + sum(m.weight[i] for i in used) + sum(float(m.factor[i] @ m.factor[j]) for i, j in itertools.combinations(used, 2))
+        assert abs(1 / (1 + math.exp(-raw)) - p) < 1e-9
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
