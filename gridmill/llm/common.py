@@ -15,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors share. A temporary folder is taken only where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``, which all executors share. A temporary folder is taken only where it is unset and there is no cluster (tests)."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridmill-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridmill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -33,9 +36,20 @@ def remainder_is(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def text_partitions(spark: SparkSession, per_shuffle_partition: int = 2) -> int:
-    """How many groups whole texts are dealt into: it follows the session's shuffle setting, which follows the input."""
-    return max(8, per_shuffle_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input, as files have them, for each group of texts.
+GROUP_BYTES = 32 << 20
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """The size of the tables that ``docs`` reads, as far as it is known without running anything."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)  # what is not known counts as the largest number there is
+
+
+def text_partitions(docs: DataFrame, per_shuffle_partition: int = 2) -> int:
+    """How many groups whole texts are dealt into, so that one group fits a task: it follows the input, and is no less than the session's shuffle setting says."""
+    return max(8, per_shuffle_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // GROUP_BYTES))
 
 
 def small_runs(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -241,7 +241,7 @@ def fit(rows: DataFrame, depth: int = DEPTH) -> SuffixTree:
                     yield batch(told, [np.full(len(part), d, np.int32), np.full(len(part), entry), part, values[k : k + 50_000]])
 
     shared = F.shiftright(F.col("code"), 8).bitwiseAND((1 << (8 * SHARED)) - 1)
-    found = grams.select("code", "n").repartition(text_partitions(rows.sparkSession), shared).mapInArrow(test, "d int, entry boolean, key long, value float").toArrow()
+    found = grams.select("code", "n").repartition(text_partitions(rows), shared).mapInArrow(test, "d int, entry boolean, key long, value float").toArrow()
     d, entry, key, value = (found.column(k).to_numpy() for k in ("d", "entry", "key", "value"))
     deep = []
     for level in range(SHARED, depth + 1):
@@ -267,7 +267,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Without training rows every count is 0 and the tree is uniform. Repeated rows are learned as often as they stand; an
     empty table gives no row; other columns are not read.
     """
-    tasks = text_partitions(docs.sparkSession)
+    tasks = text_partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", remainder_is("doc_id", 7, 2))
     tree = docs.sparkSession.sparkContext.broadcast(fit(rows.filter(~F.col("held_out"))))
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))

@@ -1,13 +1,13 @@
 """Passages that an earlier document has, found by suffix automata and removed.
 
-A passage is a window of so many consecutive words. Each window is anchored at its word n-gram of least hash, which any
+A passage is a window of so many consecutive words. Each window is pinned at its word n-gram of least hash, which any
 other place of the same window has too. Three rounds go over texts that lie dealt into groups once:
 
-1. A group asks, for each distinct anchor it holds, whether another document has it. An answer comes for those that do.
-2. For these the group sends the words around the anchor, as far as windows with this anchor reach, each distinct piece
-   once. All pieces of one anchor meet: they are a reference shard. A suffix automaton of the shard knows for each of its
+1. A group asks, for each distinct pivot it holds, whether another document has it. An answer comes for those that do.
+2. For these the group sends the words around the pivot, as far as windows with this pivot reach, each distinct piece
+   once. All pieces of one pivot meet: they are a reference shard. A suffix automaton of the shard knows for each of its
    states the least document that holds the state's strings; the pieces stream through it for matching statistics, and
-   where these reach the length of a window the state tells its first document. An anchor that very many documents have is
+   where these reach the length of a window the state tells its first document. A pivot that very many documents have is
    not one shard: its windows are sent, each keyed by itself, so that a shard has a row for a group of documents at most.
 3. A group takes the answers, and removes in each document the maximal spans of windows that an earlier document has.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.common import batch, strings, text_partitions
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Anchors of more documents than this are sent window by window.
+#: Pivots of more documents than this are sent window by window.
 HOT = 1_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NO = np.iinfo(np.int64).max
@@ -122,7 +122,7 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """How windows of ``size`` words are anchored at n-grams of ``gram`` words."""
+    """How windows of ``size`` words are pinned at n-grams of ``gram`` words."""
 
     def __init__(self, size: int):
         if not 2 <= size <= 200:
@@ -130,8 +130,8 @@ class Windows:
         self.size = size
         self.gram = min(size, 5 if size < 20 else 8)
 
-    def anchors(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first window, last window) of each anchor of a text of at least ``size`` words."""
+    def pivots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first window, last window) of each pivot of a text of at least ``size`` words."""
         grams = gram_hashes(hashes, self.gram)
         low = np.uint64(255)
         best = grams[: len(hashes) - self.size + 1] & ~low
@@ -149,7 +149,7 @@ def split(text: str) -> list[bytes]:
 
 
 def _ask(windows: Windows):
-    """Round 1: (hash, least id, greatest less least, documents) of each distinct anchor of a group. The least id tells the group."""
+    """Round 1: (hash, least id, greatest less least, documents) of each distinct pivot of a group. The least id tells the group."""
     schema = pa.schema([("hash", pa.int64()), ("low", pa.int64()), ("more", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def _ask(windows: Windows):
             for p, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True):
                 words = split(text)
                 if doc is not None and len(words) >= windows.size:
-                    found = np.unique(windows.anchors(word_hashes(words))[0])
+                    found = np.unique(windows.pivots(word_hashes(words))[0])
                     held.setdefault(p, []).append((found, np.full(len(found), doc, np.int64)))
         for parts in held.values():
             h, d = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -174,7 +174,7 @@ def _ask(windows: Windows):
 
 
 def _send(windows: Windows):
-    """Round 2: (key, words, least id, greatest less least) of each distinct piece around an answered anchor."""
+    """Round 2: (key, words, least id, greatest less least) of each distinct piece around an answered pivot."""
     schema = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("low", pa.int64()), ("more", pa.int64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -198,11 +198,11 @@ def _send(windows: Windows):
             if doc is None or len(words) < windows.size:
                 continue
             hashes = word_hashes(words)
-            anchor, first, last = windows.anchors(hashes)
-            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            asked = np.flatnonzero(known[at] == anchor)
+            pivot, first, last = windows.pivots(hashes)
+            at = np.minimum(np.searchsorted(known, pivot), len(known) - 1)
+            asked = np.flatnonzero(known[at] == pivot)
             keys = gram_hashes(hashes, windows.size).view(np.int64) if hot[at[asked]].any() else None
-            for a, h, i, j in zip(anchor[asked].tolist(), hot[at[asked]].tolist(), first[asked].tolist(), last[asked].tolist(), strict=True):
+            for a, h, i, j in zip(pivot[asked].tolist(), hot[at[asked]].tolist(), first[asked].tolist(), last[asked].tolist(), strict=True):
                 if h:
                     for w in range(i, j + 1):
                         note(int(keys[w]), b" ".join(words[w : w + windows.size]), doc)
@@ -294,9 +294,9 @@ def _remove(windows: Windows, texts: bool):
             starts: list[int] = []
             if doc is not None and len(words) >= windows.size and len(keys):
                 hashes = word_hashes(words)
-                anchor, begin, end = windows.anchors(hashes)
-                some = np.flatnonzero(held(anchor))
-                spans = [(k, i, j) for k, i, j in zip(anchor[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True)]
+                pivot, begin, end = windows.pivots(hashes)
+                some = np.flatnonzero(held(pivot))
+                spans = [(k, i, j) for k, i, j in zip(pivot[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True)]
                 alone = gram_hashes(hashes, windows.size).view(np.int64)
                 some = np.flatnonzero(held(alone))
                 spans += [(k, i, i) for k, i in zip(alone[some].tolist(), some.tolist(), strict=True)]
@@ -319,8 +319,8 @@ def _remove(windows: Windows, texts: bool):
 
 
 def _rounds(docs: DataFrame, size: int, id_col: str, text_col: str, texts: bool) -> DataFrame:
-    windows, spark = Windows(size), docs.sparkSession
-    tasks = text_partitions(spark)
+    windows = Windows(size)
+    tasks = text_partitions(docs)
     group = lambda hashed: F.pmod(hashed, F.lit(2 * tasks)).cast("int").alias("part")
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

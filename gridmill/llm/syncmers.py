@@ -1,10 +1,12 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-A text is cut into units: a word, at most 16 characters of it, with the spaces that follow. A k-mer of ``k`` units is an
-anchor if the least hash among its s-mers is the first's or the last's; that depends on nothing outside the k-mer, so the
-same words give the same anchors wherever they stand. The fingerprint is the ``size`` anchors of least hash, each with its
-place among the text's anchors, by which two texts can be aligned. The likeness of two fingerprints is the share of common
-anchors among the least ``size`` of both, an estimate of the Jaccard likeness of all anchors, exact for short texts.
+A text is cut into units, each with the spaces that follow: a word; or a single character, in scripts that are written
+without spaces and in runs of more than 32 characters, where a cut at a fixed length would depend on where the run began. A
+k-mer of ``k`` units is a marker if the least hash among its s-mers is the first's or the last's; that depends on nothing
+outside the k-mer, so the same units give the same markers wherever they stand. The fingerprint is the ``size`` markers of
+least hash, each with its place among the text's markers. The likeness of two fingerprints is the share of common markers
+among the least ``size`` of both, an estimate of the Jaccard likeness of all markers, exact for short texts. By their places
+two texts are aligned: of the common markers, as many as stand at the commonest shift.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.common import text_partitions
+
 S, K, SIZE = 2, 6, 64
-UNIT = r"\S{1,16}\s*|\s+"
+UNIT = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\s*|(?<!\S)\S{1,32}(?!\S)\s*|\S\s*|\s+"
+#: Ranges of ids that can be worked on side by side. A range is sorted on disk where it must be; only the time of one task grows beyond.
 MOST_RANGES = 10_000
+#: Bounds of ranges are searched in steps of so many.
+STRIDE = 100
 
 
 def let(value: Column, body) -> Column:
@@ -22,8 +29,8 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def anchors(text: Column) -> Column:
-    """Hashes of 40 bits of the text's closed syncmers, in order. A text with fewer units than a k-mer is one anchor; an empty one has none."""
+def markers(text: Column) -> Column:
+    """Hashes of 40 bits of the text's closed syncmers, in order. A text with fewer units than a k-mer is one marker; an empty one has none."""
     width = K - S + 1
     empty = F.array().cast("array<bigint>")
 
@@ -46,7 +53,7 @@ def sketch(found: Column, size: int = SIZE) -> Column:
 
 
 def fingerprint(least: Column, found: Column) -> Column:
-    """``hash@place`` of each anchor of a sketch, joined by one space; the place counts the text's anchors from 1."""
+    """``hash@place`` of each marker of a sketch, joined by one space; the place counts the text's markers from 1."""
     return F.array_join(F.transform(least, lambda x: F.concat(F.lower(F.lpad(F.hex(x), 10, "0")), F.lit("@"), F.array_position(found, x).cast("string"))), " ")
 
 
@@ -57,6 +64,28 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(share).cast("double")
 
 
+def aligned(a: Column, found_a: Column, b: Column, found_b: Column) -> Column:
+    """Of the markers that both sketches have, the share that stand at the commonest shift between the texts; 0 if there is none in common."""
+    shifts = F.transform(F.array_intersect(a, b), lambda x: F.array_position(found_b, x) - F.array_position(found_a, x))
+
+    def most(s: Column) -> Column:
+        return F.array_max(F.transform(F.array_distinct(s), lambda d: F.size(F.filter(s, lambda x: x == d)))) / F.size(s)
+
+    return F.coalesce(let(shifts, lambda s: F.when(F.size(s) > 0, most(s))), F.lit(0.0))
+
+
+def id_array(ids: list[int]) -> Column:
+    """An array of numbers that is one constant of the plan, however many there are."""
+    return F.split(F.lit(",".join(map(str, ids))), ",").cast("array<bigint>") if ids else F.array().cast("array<bigint>")
+
+
+def range_of(starts: list[int], value: Column) -> Column:
+    """How many of the sorted ``starts`` are at most ``value``: first among every hundredth of them, then in that hundred."""
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    coarse = F.greatest(F.lit(0), upto(id_array(starts[::STRIDE])) - 1) * STRIDE
+    return coarse + upto(F.slice(id_array(starts), coarse + 1, STRIDE))
+
+
 def with_next(rows: DataFrame, ranges: int) -> DataFrame:
     """``rows`` (doc_id, text), dealt by ranges of ids, with ``bucket``, ``place`` and, in each range, the first row of the next as a last one.
 
@@ -67,11 +96,11 @@ def with_next(rows: DataFrame, ranges: int) -> DataFrame:
     low, cuts = rows.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares or [0.5], 10 * ranges)).first()
     starts = sorted({low, *cuts} if shares else {low}) if low is not None else []
     n = len(starts)
-    bounds = F.array(*map(F.lit, starts)).cast("array<bigint>")
     spread = F.pmod(F.xxhash64("text"), F.lit(max(1, n))).cast("int")
-    own = F.when(F.col("doc_id").isNull(), spread).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))) - 1)
+    own = F.when(F.col("doc_id").isNull(), spread).otherwise(range_of(starts, F.col("doc_id")) - 1)
+    begins = F.get(id_array(starts), own) == F.col("doc_id")
     place = F.when(F.col("doc_id").isNull(), 2).otherwise(0)
-    copy = F.when(F.array_contains(bounds, F.col("doc_id")), F.array(F.struct(F.pmod(own - 1, F.lit(max(1, n))).alias("bucket"), F.lit(1).alias("place"))))
+    copy = F.when(begins, F.array(F.struct(F.pmod(own - 1, F.lit(max(1, n))).alias("bucket"), F.lit(1).alias("place"))))
     stands = F.array(F.struct(own.alias("bucket"), place.alias("place")))
     return rows.select("doc_id", "text", F.explode(F.concat(stands, F.coalesce(copy, F.slice(stands, 1, 0)))).alias("at")).select("doc_id", "text", "at.bucket", "at.place")
 
@@ -79,24 +108,24 @@ def with_next(rows: DataFrame, ranges: int) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is the beginning of the next document.
 
-    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, one row for each
-    row of ``docs``. The next document is the next by ascending id, the first after the last; rows of one id follow by the
-    hash of their text. A null text is empty: it has no anchor, and two such are alike (1). A row with a null id stands
-    outside the order and is its own next. An empty table gives no row; other columns are not read. Texts are exchanged
-    once, by ranges of ids of even size.
+    Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, aligned_edited``, one
+    row for each row of ``docs``. ``aligned_edited`` is the share of the markers common to the text and its edited one that
+    stand at one shift. The next document is the next by ascending id, the first after the last; rows of one id follow by the
+    hash of their text. A null text is empty: it has no marker, and two such are alike (1). A row with a null id stands
+    outside the order and is its own next. A very long text is read whole. An empty table gives no row; other columns are
+    not read, whatever their names. Texts are exchanged once, by ranges of ids of even size.
     """
-    spark = docs.sparkSession
-    tasks = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = text_partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = with_next(rows, min(MOST_RANGES, 4 * tasks)).repartition(2 * tasks, "bucket")
-    found = dealt.withColumn("found", anchors(F.col("text"))).withColumn("least", sketch(F.col("found")))
+    dealt = with_next(rows, min(MOST_RANGES, 2 * tasks)).repartition(tasks, "bucket")
+    found = dealt.withColumn("found", markers(F.col("text"))).withColumn("least", sketch(F.col("found")))
     order = Window.partitionBy("bucket").orderBy("place", "doc_id", F.xxhash64("text"))
     after = F.when(F.col("place") == 2, F.struct("text", "least")).otherwise(F.lead(F.struct("text", "least")).over(order))
     n = F.length("text")
     both = found.withColumn("after", after).filter("place != 1").withColumn("n_chars", n)
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("after.text", F.lit(1), F.floor(n / 2).cast("int")))
     both = both.select("doc_id", F.col("n_chars").cast("long"), "found", "least", F.col("after.least").alias("next_least"), edited.alias("edited"))
-    both = both.withColumn("edited_found", anchors(F.col("edited"))).withColumn("edited_least", sketch(F.col("edited_found")))
+    both = both.withColumn("edited_found", markers(F.col("edited"))).withColumn("edited_least", sketch(F.col("edited_found")))
     return both.select(
         "doc_id",
         "n_chars",
@@ -105,4 +134,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fingerprint(F.col("edited_least"), F.col("edited_found")).alias("edited_fingerprint"),
         likeness(F.col("least"), F.col("edited_least")).alias("near_edited"),
         likeness(F.col("least"), F.col("next_least")).alias("near_next"),
+        aligned(F.col("least"), F.col("found"), F.col("edited_least"), F.col("edited_found")).alias("aligned_edited"),
     )

@@ -16,6 +16,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from gridmill.llm import ann, bpe, langid, lm, packing, pii, simhash, substring, syncmers, toxicity
 
@@ -84,35 +85,81 @@ def test_bpe_random(encoding):
 
 
 def units(t):
-    import re
+    """Words of at most 32 characters, single characters of longer runs and of scripts without spaces, each with the spaces that follow."""
+    import regex
 
-    return re.findall(r"[^ \t\n\x0b\f\r]{1,16}[ \t\n\x0b\f\r]*|[ \t\n\x0b\f\r]+", t)
+    out, single = [], regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+    for run, spaces in regex.findall(r"([^ \t\n\x0b\f\r]*)([ \t\n\x0b\f\r]*)", t):
+        word = len(run) <= 32 and not (run and single.match(run[0]))
+        some = [run] if run and word else list(run)
+        if some:
+            some[-1] += spaces
+        elif spaces:
+            some = [spaces]
+        out += some
+    return out
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def chained(hashes):
+    h = 42
+    for x in hashes:
+        h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+    return signed(h)
+
+
+def markers(t):
+    h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units(t)]
+    if len(h) < 6:
+        return [(chained(h) % (1 << 64)) >> 24] if h else []
+    mers = [chained(h[i : i + 2]) for i in range(len(h) - 1)]
+    return [(chained(mers[i : i + 5 : 2]) % (1 << 64)) >> 24 for i in range(len(h) - 5) if min(mers[i], mers[i + 4]) <= min(mers[i + 1 : i + 4])]
+
+
+def least(found):
+    return sorted(set(found))[:64]
+
+
+def near(a, b):
+    both = sorted({*a, *b})[:64]
+    return len(set(both) & set(a) & set(b)) / len(both) if a or b else 1.0
 
 
 def test_syncmers(docs, empty, rows):
+    """Fingerprints, edits, likenesses and alignments from their definitions."""
     found = syncmers.edited_fingerprints(docs).collect()
     assert len(found) == len(rows) and syncmers.edited_fingerprints(empty).count() == 0
-    order = sorted(((i, t or "") for i, t, *_ in rows if i is not None), key=lambda x: x[0])
-    by_text = {}
-    for r in found:
-        texts = [t or "" for i, t, *_ in rows if i == r["doc_id"]]
-        assert r["n_chars"] in {len(t) for t in texts} and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if len(texts) == 1 and r["doc_id"] is not None:
-            t = texts[0]
-            by_text.setdefault(t, set()).add(r["fingerprint"])
-            k = order.index((r["doc_id"], t))
-            after = order[(k + 1) % len(order)]
-            if after[0] != 6:
-                half = len(t) // 2
-                edited = t[: len(t) - half] + after[1][:half]
-                assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-                if edited == t:
-                    assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
-                sets = [{tuple(u[j : j + 6]) for j in range(len(u) - 5)} for u in (units(t), units(edited))]
-                if min(map(len, sets)) > 40:
-                    exact = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-                    assert abs(exact - r["near_edited"]) < 0.3
-    assert all(len(x) == 1 for x in by_text.values())
+    shown = lambda x: " ".join(f"{h:010x}@{x.index(h) + 1}" for h in least(x))
+    order = sorted(((i, t or "") for i, t, *_ in rows if i is not None), key=lambda x: (x[0], signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
+    want = collections.Counter()
+    for k, (i, t) in enumerate([*order, *[(None, t or "") for i, t, *_ in rows if i is None]]):
+        after = order[(k + 1) % len(order)][1] if i is not None else t
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = markers(t), markers(edited), markers(after)
+        shifts = collections.Counter(b.index(x) - a.index(x) for x in set(least(a)) & set(least(b)))
+        share = max(shifts.values()) / sum(shifts.values()) if shifts else 0.0
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), round(near(least(a), least(b)), 12), round(near(least(a), least(c)), 12), round(share, 12)] += 1
+    got_ = collections.Counter((*tuple(r)[:5], *(round(x, 12) for x in tuple(r)[5:])) for r in found)
+    assert got_ == want
+
+
+def test_syncmers_of_text_without_spaces(spark):
+    rnd = random.Random(3)
+    han = "".join(chr(0x4E00 + rnd.randint(0, 3000)) for _ in range(2000))
+    code = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+    df = spark.createDataFrame([(han, "新" + han), (code, "x" + code), (han, han[:900] + han[905:])], "a string, b string")
+    likeness = syncmers.likeness(syncmers.sketch(syncmers.markers(F.col("a"))), syncmers.sketch(syncmers.markers(F.col("b"))))
+    assert all(r[0] > 0.9 for r in df.select(likeness).collect())
+
+
+def test_many_ranges(spark):
+    starts = [k * 7 - 500 for k in range(1234)]
+    df = spark.createDataFrame([(x,) for x in [-500, -499, -493, 0, 8131, 8132, 9000, *range(-400, 400, 13)]], "x long")
+    assert all(n == sum(s <= x for s in starts) for x, n in df.select("x", syncmers.range_of(starts, F.col("x"))).collect())
 
 
 def repeats_by_hand(rows, size):
