@@ -48,43 +48,43 @@ def char_width(words: DataFrame) -> DataFrame:
     return words.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(some, F.col("width"))) / F.sum(F.when(some, F.length("text"))), F.lit(USUAL_CHAR)).alias("char_width"))
 
 
-def column_anchors(lined: DataFrame, gap: Column) -> DataFrame:
+def column_starts(lined: DataFrame, gap: Column) -> DataFrame:
     """Words of ``lined`` that begin a column of their line: the first, and those more than ``gap`` right of the word before."""
     line = Window.partitionBy(*KEY, "line_no").orderBy("pos_in_line")
     before = F.lag(F.col("left") + F.col("width")).over(line)
     return lined.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("left") - F.col("_before") > gap)).drop("_before")
 
 
-def anchor_line(words: DataFrame, height: Column | float) -> DataFrame:
-    """``line_no, score`` of the line whose anchors most other lines' words confirm, the earliest of equals."""
+def guide_line(words: DataFrame, height: Column | float) -> DataFrame:
+    """``line_no, score`` of the line whose starts most other lines' words confirm, the earliest of equals."""
     lined = with_lines(words, height)
     lined = lined.join(char_width(words), KEY)
-    anchors = column_anchors(lined, F.col("char_width") * GAP_CHARS).select(*KEY, "line_no", "pos_in_line", F.col("left").alias("anchor"), (F.col("char_width") * TOLERANCE_CHARS).alias("tolerance"))
+    starts = column_starts(lined, F.col("char_width") * GAP_CHARS).select(*KEY, "line_no", "pos_in_line", F.col("left").alias("start"), (F.col("char_width") * TOLERANCE_CHARS).alias("tolerance"))
     other = lined.select(*KEY, F.col("line_no").alias("other_line"), F.col("left").alias("other_left"))
-    # a word can lie within the tolerance only in the anchor's own cell of that size or one beside it
+    # a word can lie within the tolerance only in the start's own cell of that size or one beside it
     cell = lambda x, t: F.floor(x / F.greatest(t, F.lit(1e-9)))
     others = other.join(char_width(words), KEY).withColumn("cell", F.explode(F.array(*[cell(F.col("other_left"), F.col("char_width") * TOLERANCE_CHARS) + i for i in (-1, 0, 1)]))).drop("char_width")
-    anchors = anchors.withColumn("cell", cell(F.col("anchor"), F.col("tolerance")))
-    confirmed = anchors.join(others, [*KEY, "cell"]).filter((F.col("other_line") != F.col("line_no")) & (F.abs(F.col("anchor") - F.col("other_left")) <= F.col("tolerance"))).select(*KEY, "line_no", "pos_in_line").distinct()
+    starts = starts.withColumn("cell", cell(F.col("start"), F.col("tolerance")))
+    confirmed = starts.join(others, [*KEY, "cell"]).filter((F.col("other_line") != F.col("line_no")) & (F.abs(F.col("start") - F.col("other_left")) <= F.col("tolerance"))).select(*KEY, "line_no", "pos_in_line").distinct()
     score = lined.select(*KEY, "line_no").distinct().join(confirmed.groupBy(*KEY, "line_no").agg(F.count("*").alias("score")), [*KEY, "line_no"], "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("long"))
     best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col("score").desc(), "line_no"))
     return score.withColumn("_best", best).filter("_best = 1").drop("_best")
 
 
 def table_text(words: DataFrame, height: Column | float) -> DataFrame:
-    """``table_text``: the page with its columns lined up by spaces under the anchor line."""
+    """``table_text``: the page with its columns lined up by spaces under the start line."""
     lined = with_lines(words, height)
-    chosen = anchor_line(words, height).select(*KEY, "line_no")
+    chosen = guide_line(words, height).select(*KEY, "line_no")
     sized = lined.join(char_width(words), KEY)
-    anchors = column_anchors(sized.join(chosen, [*KEY, "line_no"], "left_semi"), F.col("char_width") * GAP_CHARS).groupBy(*KEY).agg(F.sort_array(F.collect_list("left")).alias("anchors"))
-    sized = sized.join(anchors, KEY, "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<double>")))
-    reach = F.size(F.filter("anchors", lambda a: a <= F.col("left") + F.col("char_width") / 2))
+    starts = column_starts(sized.join(chosen, [*KEY, "line_no"], "left_semi"), F.col("char_width") * GAP_CHARS).groupBy(*KEY).agg(F.sort_array(F.collect_list("left")).alias("starts"))
+    sized = sized.join(starts, KEY, "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<double>")))
+    reach = F.size(F.filter("starts", lambda a: a <= F.col("left") + F.col("char_width") / 2))
     placed = sized.withColumn("col", F.greatest(F.lit(0), reach - 1))
     held = F.array_sort(F.collect_list(F.struct("pos_in_line", "text", "col"))).alias("w")
-    per_line = placed.groupBy(*KEY, "line_no").agg(held, F.first("anchors").alias("anchors"), F.first("char_width").alias("char_width"))
+    per_line = placed.groupBy(*KEY, "line_no").agg(held, F.first("starts").alias("starts"), F.first("char_width").alias("char_width"))
 
     def put(acc: Column, w: Column) -> Column:
-        target = F.round(F.element_at(F.col("anchors"), w["col"] + 1) / F.col("char_width")).cast("int")
+        target = F.round(F.element_at(F.col("starts"), w["col"] + 1) / F.col("char_width")).cast("int")
         same = w["col"] == acc["col"]
         fill = F.when(same, F.lit(" ")).when(acc["text"] == "", F.repeat(F.lit(" "), F.coalesce(target, F.lit(0)))).when(F.length(acc["text"]) >= target, F.lit(" ")).otherwise(F.repeat(F.lit(" "), target - F.length(acc["text"])))
         return F.struct(F.concat(acc["text"], fill, w["text"]).alias("text"), w["col"].alias("col"))

@@ -25,10 +25,10 @@ LINED = (
   select doc_id, page_index, coalesce(sum(width) / sum(length(text)), 8.0) as char_width from words where length(text) > 0 and width > 0 group by all
 ), before0 as (
   select l.*, char_width, lag("left" + width) over (partition by l.doc_id, l.page_index, line_no order by pos_in_line) as before from lined l join widths using (doc_id, page_index)
-), anchors as (
+), starts as (
   select * from before0 where before is null or "left" - before > 3 * char_width
 ), scores as (
-  select l.doc_id, l.page_index, l.line_no, (select count(*) from anchors a where a.doc_id = l.doc_id and a.page_index = l.page_index and a.line_no = l.line_no
+  select l.doc_id, l.page_index, l.line_no, (select count(*) from starts a where a.doc_id = l.doc_id and a.page_index = l.page_index and a.line_no = l.line_no
     and exists (select 1 from lined o where o.doc_id = a.doc_id and o.page_index = a.page_index and o.line_no <> a.line_no and abs(o."left" - a."left") <= a.char_width)) as score
   from (select distinct doc_id, page_index, line_no from lined) l
 ), best as (
@@ -63,16 +63,16 @@ def char_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.char_width(synth.words(spark, sf_dir)).withColumn("char_width", F.round("char_width", 6))
 
 
-@query(LINED + 'select doc_id, page_index, line_no, pos_in_line, "left" from anchors')
-def column_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(LINED + 'select doc_id, page_index, line_no, pos_in_line, "left" from starts')
+def column_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = synth.words(spark, sf_dir)
     lined = L.with_lines(words, H).join(L.char_width(words), L.KEY)
-    return L.column_anchors(lined, F.col("char_width") * 3).select("doc_id", "page_index", "line_no", "pos_in_line", "left")
+    return L.column_starts(lined, F.col("char_width") * 3).select("doc_id", "page_index", "line_no", "pos_in_line", "left")
 
 
 @query(LINED + "select doc_id, page_index, line_no, score from best")
-def anchor_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.anchor_line(synth.words(spark, sf_dir), H)
+def guide_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.guide_line(synth.words(spark, sf_dir), H)
 
 
 @query()

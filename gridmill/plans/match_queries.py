@@ -28,10 +28,29 @@ IDS = """, ids as (select doc_id, page_index, row_index, col_index, value, range
   from (select p.*, g.value as g from parsed p join grid g using (doc_id, page_index, row_index, col_index)))
 """
 #: Matches by construction: each cell has the words that it was printed with.
-STATUS = """, cells as (select p.*, g.value as printed, case when p.value = '' then 'empty' when (p.doc_id + p.row_index + p.col_index) % 9 = 0 then 'fuzzy' when (p.doc_id + p.row_index * 2 + p.col_index) % 11 = 0 then 'unmatched' when strpos(g.value, ' ') > 0 then 'multi_word' else 'matched' end as match_status
+GIVEN = """, cells as (select p.*, g.value as printed, case when p.value = '' then 'empty' when (p.doc_id + p.row_index + p.col_index) % 9 = 0 then 'fuzzy' when (p.doc_id + p.row_index * 2 + p.col_index) % 11 = 0 then 'unmatched' when strpos(g.value, ' ') > 0 then 'multi_word' else 'matched' end as match_status
   from parsed p join grid g using (doc_id, page_index, row_index, col_index)
 ), cell_words as (select doc_id, page_index, row_index, col_index, unnest(list_transform(range(len(string_split(printed, ' '))), lambda k: concat_ws('-', doc_id, row_index, col_index, k))) as word_id from cells where match_status <> 'unmatched' and (match_status <> 'empty' or (doc_id + row_index) % 3 = 0)
-), ocrs as (select c.doc_id, c.page_index, row_index, col_index, avg(confidence) as ocr from cell_words c join words w on w.doc_id = c.doc_id and w.word_id = c.word_id group by all
+)"""
+#: The match itself, on pages whose columns and lines are so far apart that a cell can only have words of its own place: the
+#: best run of these, and for a blank cell what stands in the region that its row and column span.
+FOUND = """, place as (select doc_id, page_index, row_index, col_index, concat_ws('-', doc_id, row_index, col_index, k) as word_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as n, "left" + width / 2 as cx, top + 6 as cy, "left" as x0, "left" + width as x1, top as y0, top + 12 as y1,
+    row_number() over (partition by doc_id, page_index, row_index, col_index order by k) as pos from body where row_index >= 0
+), want as (select *, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') as v from parsed
+), tried as (select a.doc_id, a.page_index, a.row_index, a.col_index, a.pos as i, b.pos as j, string_agg(m.n, '' order by m.pos) as t
+  from place a join place b using (doc_id, page_index, row_index, col_index) join place m using (doc_id, page_index, row_index, col_index) where a.pos <= b.pos and m.pos between a.pos and b.pos group by all
+), alike as (select tried.*, case when t = v then 1.0::double else 1.0::double - levenshtein(t, v)::double / greatest(length(t), length(v)) end as likeness from tried join want using (doc_id, page_index, row_index, col_index) where t <> '' and v <> ''
+), best as (select * from (select *, row_number() over (partition by doc_id, page_index, row_index, col_index order by likeness desc, i, j) as nth from alike where likeness >= 0.8::double) where nth = 1
+), cells as (select w.*, case when v = '' then 'empty' when likeness is null then 'unmatched' when likeness < 1 then 'fuzzy' when i < j then 'multi_word' else 'matched' end as match_status from want w left join best using (doc_id, page_index, row_index, col_index)
+), placed as (select p.* from place p join best b using (doc_id, page_index, row_index, col_index) where pos between i and j
+), across as (select doc_id, page_index, col_index, min(x0) as x0, max(x1) as x1 from placed group by all
+), down as (select doc_id, page_index, row_index, min(y0) as y0, max(y1) as y1 from placed group by all
+), there as (select p.* from place p join want w using (doc_id, page_index, row_index, col_index) join across a using (doc_id, page_index, col_index) join down d using (doc_id, page_index, row_index) where v = '' and cx between a.x0 and a.x1 and cy between d.y0 and d.y1
+), cell_words as (select doc_id, page_index, row_index, col_index, word_id, pos from placed union all
+  select doc_id, page_index, row_index, col_index, word_id, pos from (select *, sum(length(n)) over (partition by doc_id, page_index, row_index, col_index) as chars from there) where chars >= 2
+), said as (select doc_id, page_index, row_index, col_index, value, match_status, coalesce(ids, '') as word_ids from cells left join (select doc_id, page_index, row_index, col_index, string_agg(word_id, ' ' order by pos) as ids from cell_words group by all) using (doc_id, page_index, row_index, col_index)
+)"""
+STATUS = """, ocrs as (select c.doc_id, c.page_index, row_index, col_index, avg(confidence) as ocr from cell_words c join words w on w.doc_id = c.doc_id and w.word_id = c.word_id group by all
 ), has as (select distinct doc_id, page_index, row_index, col_index, true as held from cell_words
 ), llms as (select doc_id, page_index, row_index, col_index, exp(avg(logprob)) as llm_mean, exp(min(logprob)) as llm_min from credited where t0 >= range_start and logprob is not null group by all
 ), full0 as (select c.*, case when match_status <> 'empty' then ocr end as ocr, case when match_status <> 'empty' then llm_mean end as llm_mean, case when match_status <> 'empty' then llm_min end as llm_min,
@@ -43,7 +62,8 @@ STATUS = """, cells as (select p.*, g.value as printed, case when p.value = '' t
     when blend >= 0.85::double and llm_min >= 0.5::double then 'high' when blend >= 0.65::double then 'medium' else 'low' end as t from level
 ), scored as (select *, case when match_status = 'fuzzy' then case when t = 'high' then 'medium' else 'low' end else t end as trust from trusted)
 """
-SCORED = synth.SQL.rstrip() + RANGES.rstrip() + OFFSETS.rstrip() + CREDITED.rstrip() + STATUS
+PARSED = synth.SQL.rstrip() + RANGES.rstrip() + OFFSETS.rstrip() + CREDITED.rstrip()
+SCORED = PARSED + GIVEN + STATUS
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,15 +247,16 @@ def nearest_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nearest_like(model, synth.words(spark, sf_dir).withColumn("ord", F.col("word_ord")))
 
 
-@query()
+@query(synth.SQL.rstrip() + RANGES.rstrip() + FOUND + " select * from said")
 def match_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = L.sanitized(synth.words(spark, sf_dir), synth.HEIGHT)
-    return M.matched(parsed(spark, sf_dir), words, float(synth.HEIGHT))
+    return M.matched(parsed(spark, sf_dir), words, float(synth.HEIGHT)).withColumn("word_ids", F.array_join("word_ids", " "))
 
 
-@query()
+@query(PARSED + FOUND + STATUS + "select doc_id, page_index, row_index, col_index, s.value, s.match_status, word_ids, round(llm_mean, 9) as llm_mean, round(llm_min, 9) as llm_min, round(ocr, 6) as ocr, agreement, trust from scored c join said s using (doc_id, page_index, row_index, col_index)")
 def provenance_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: parse, match, score."""
     words = L.sanitized(synth.words(spark, sf_dir), synth.HEIGHT)
     full = parsed(spark, sf_dir)
-    return S.scored(M.matched(full, words, float(synth.HEIGHT)), P.token_offsets(synth.tokens(spark, sf_dir)), words, full)
+    out = S.scored(M.matched(full, words, float(synth.HEIGHT)), P.token_offsets(synth.tokens(spark, sf_dir)), words, full)
+    return out.select(*S.CELL, "value", "match_status", F.array_join("word_ids", " ").alias("word_ids"), F.round("llm_mean", 9).alias("llm_mean"), F.round("llm_min", 9).alias("llm_min"), F.round("ocr", 6).alias("ocr"), "agreement", "trust")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gridmill.operators.match import Word, edit_distance, match_page, normal
+import random
+
+import pytest
+
+from gridmill.operators.match import LEAST_ROW, MISS_ROW, MOST_SPAN, SKIP_LINE, Page, Word, edit_distance, likeness, match_page, normal
 
 
 def words(*spec) -> list[Word]:
@@ -91,7 +95,7 @@ def test_empty_cells_show_overlooked_words():
     assert page() == ("empty", [])
 
 
-def test_all_empty_column_between_anchors():
+def test_all_empty_column_between_full_ones():
     w = words(("Alpha", 0, 0, 50), ("Mid1", 100, 0, 40), ("Gamma", 200, 0, 50), ("a1", 0, 20, 20), ("Mid2", 100, 20, 40), ("c1", 200, 20, 20))
     got = texts(match_page([["Alpha", "", "Gamma"], ["a1", "", "c1"]], w), w)
     assert [r[1] for r in got] == [("empty", ["Mid1"]), ("empty", ["Mid2"])]
@@ -102,5 +106,64 @@ def test_no_word_twice_among_full_cells(spark, sf):
 
     from gridmill.plans.match_queries import match_cells
 
-    used = match_cells(spark, sf).filter("match_status != 'empty'").select("doc_id", F.explode("word_ids").alias("w"))
+    used = match_cells(spark, sf).filter("match_status != 'empty'").select("doc_id", F.explode(F.split("word_ids", " ")).alias("w")).filter("w != ''")
     assert used.count() == used.distinct().count()
+
+
+def grid_page(rnd, rows, columns, misread=0.08):
+    """Rows of values, and their words printed far apart, some misread."""
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(3, 8))) for _ in range(60)]
+    grid = [[rnd.choice(vocabulary) + " " + rnd.choice(vocabulary), *(rnd.choice(vocabulary) for _ in range(columns - 2)), str(rnd.randint(0, 99999))] for _ in range(rows)]
+    spec = []
+    for r, row in enumerate(grid):
+        for c, value in enumerate(row):
+            x = 220 * c
+            for t in value.split():
+                spec.append((t[:-1] + "x" if rnd.random() < misread else t, x, 20 * r, 6 * len(t)))
+                x += 6 * len(t) + 4
+    return grid, words(*spec)
+
+
+def test_large_page_is_matched():
+    grid, printed = grid_page(random.Random(1), 600, 6)
+    found = match_page(grid, printed, 400)
+    said = [(s, ids) for row in found for s, ids in row]
+    assert {s for s, _ in said} <= {"matched", "multi_word", "fuzzy", "unmatched"}
+    assert sum(s != "unmatched" for s, _ in said) > 0.95 * len(said)
+    by_id = {w.id: w for w in printed}
+    assert all(by_id[i].top == 20 * r and by_id[i].left >= 220 * c for r, row in enumerate(found) for c, (_, ids) in enumerate(row) for i in ids)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_by_hand(seed):
+    """The best total over all ways, without any bound; of equal ones the rule's order."""
+    rnd = random.Random(seed)
+    grid, printed = grid_page(rnd, rnd.randint(1, 5), 3, misread=0.4)
+    extra = words(*[(rnd.choice(["zz", "total", "page"]), rnd.choice([0, 220, 440]), rnd.choice([5, 30, 45]), 20) for _ in range(rnd.randint(0, 3))])
+    page = Page(grid, printed + extra, 400)
+    bands, lines = [0, 1, 2], [[i for i, w in enumerate(page.words) if w.top == t] for t in sorted({w.top for w in page.words})]
+    for w in page.words:
+        w.band = int(w.left // 220)
+    text = lambda line, b: "".join(page.words[i].norm for i in line if page.words[i].band == b)
+
+    def like(r, first, last):
+        whole = weight = 0.0
+        for b in range(3):
+            a, t = page.cells[r][b].norm, "".join(text(line, b) for line in lines[first:last])
+            w = max(len(a), len(t))
+            if w:
+                whole, weight = whole + likeness(a, t) * w, weight + w
+        return whole / weight if weight else 0.0
+
+    def best(r, k):
+        if not r or not k:
+            return (SKIP_LINE * k if not r else MISS_ROW * r), [[] for _ in range(r)]
+        ways = [(best(r, k - 1)[0] + SKIP_LINE, best(r, k - 1)[1]), (best(r - 1, k)[0] + MISS_ROW, [*best(r - 1, k)[1], []])]
+        for span in range(1, min(MOST_SPAN, k) + 1):
+            s = like(r - 1, k - span, k)
+            if s >= LEAST_ROW:
+                ways.append((best(r - 1, k - span)[0] + s, [*best(r - 1, k - span)[1], sorted(i for line in lines[k - span : k] for i in line)]))
+        first = max(range(len(ways)), key=lambda i: (ways[i][0], -i))
+        return ways[first]
+
+    assert page.align(bands, lines, 3) == best(len(grid), len(lines))[1]
