@@ -81,3 +81,19 @@ def badge(verified: Column, status: Column, overlooked: Column, agreement: Colum
 
 def digest_matches(content: Column, expected: Column) -> Column:
     return F.sha2(content, 256) == F.lower(expected)
+
+
+def digest_of_range(content: Column, start: Column, end: Column) -> Column:
+    """SHA-256 of the bytes from ``start`` up to ``end``; what lies past the end is nothing."""
+    return F.sha2(F.substring(content, start + 1, F.greatest(end - start, F.lit(0))), 256)
+
+
+def clamped_point(x: Column, y: Column, left: Column, top: Column, right: Column, bottom: Column, inset: float = 1.0) -> Column:
+    """A point pulled inside a box, ``inset`` from its edges; of a box too narrow, the far edge wins."""
+    into = lambda v, low, high: F.least(F.greatest(v, low + inset), high - inset)
+    return F.struct(into(x, left, right).alias("x"), into(y, top, bottom).alias("y"))
+
+
+def markdown_request(text: Column, instructions: str) -> Column:
+    """What a model is asked to make Markdown of; null for a text with nothing to read, which needs no model."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), F.concat(F.lit(instructions), F.lit("\n\n"), text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,17 +90,24 @@ def escape_like(s: Column) -> Column:
     return F.regexp_replace(s, r"([\\%_])", r"\\$1")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def snippet(s: Column, term: str) -> Column:
     """before, match and after of the first hit of a term in the text with single spaces, whatever the case; null without a hit, or for an empty term."""
-    flat = trim(F.regexp_replace(s, rf"{WS}+", " "))
-    wanted = term
-    if not wanted:
+    if not term:
         return F.lit(None).cast("struct<before:string,match:string,after:string>")
-    at = F.locate(wanted.lower(), F.lower(flat))
-    start, end = F.greatest(F.lit(1), at - SNIPPET_CONTEXT), at + len(wanted)
-    before = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, at - start))
-    after = F.concat(F.substring(flat, end, F.lit(SNIPPET_CONTEXT)), F.when(end + SNIPPET_CONTEXT <= F.length(flat), "…").otherwise(""))
-    return F.when(at > 0, F.struct(before.alias("before"), F.substring(flat, at, F.lit(len(wanted))).alias("match"), after.alias("after")))
+
+    def cut(flat: Column, at: Column) -> Column:
+        start, end = F.greatest(F.lit(1), at - SNIPPET_CONTEXT), at + len(term)
+        before = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(flat, start, at - start))
+        after = F.concat(F.substring(flat, end, F.lit(SNIPPET_CONTEXT)), F.when(end + SNIPPET_CONTEXT <= F.length(flat), "…").otherwise(""))
+        return F.when(at > 0, F.struct(before.alias("before"), F.substring(flat, at, F.lit(len(term))).alias("match"), after.alias("after")))
+
+    flat = trim(F.regexp_replace(s, rf"{WS}+", " "))
+    return let(flat, lambda f: let(F.locate(term.lower(), F.lower(f)), lambda at: cut(f, at)))
 
 
 # -- escapes for export -----------------------------------------------------

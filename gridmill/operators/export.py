@@ -75,8 +75,16 @@ def overlay_html(blocks: DataFrame) -> DataFrame:
     return joined(blocks.filter("bbox is not null"), ["page_id"], "block_no", box, "\n", "overlay")
 
 
-#: Format name -> (function of cells, column).
-FORMATS = {"csv": (csv_for_export, "csv"), "html": (html, "html"), "md": (markdown, "md"), "txt": (plain_text, "txt")}
+#: Format name -> (function of cells, column); None for a format that is written as files.
+FORMATS = {"csv": (csv_for_export, "csv"), "xlsx": None, "html": (html, "html"), "md": (markdown, "md"), "txt": (plain_text, "txt")}
+
+
+def exported(cells: DataFrame, name: str) -> DataFrame:
+    """``content`` of each page in a format of text."""
+    if FORMATS[name] is None:
+        raise ValueError(f"{name} is written by write_pages")
+    make, column = FORMATS[name]
+    return make(cells).select(*KEY, F.lit(name).alias("format"), F.col(column).alias("content"))
 
 
 def rows_for_export(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,10 +127,15 @@ def blank_cell(row: Column, col: Column) -> Column:
 CHUNK = "struct<choices:array<struct<delta:struct<content:string,reasoning_content:string,reasoning:string,thinking:string>,finish_reason:string,logprobs:struct<content:array<struct<token:string,logprob:string>>>>>>"
 
 
+def read_lines(lines: DataFrame) -> DataFrame:
+    """Lines of event streams (request_id, line_no, line) with ``c``: the first choice of a data line, null where there is none that can be read."""
+    body = F.regexp_replace(F.substring(F.col("line"), F.lit(7), F.length("line")), r"\A\s+|\s+\z", "")
+    data = F.when(F.col("line").startswith("data: ") & ~body.isin("", "[DONE]"), body)
+    return lines.withColumn("c", F.from_json(data, CHUNK)["choices"][0])
+
+
 def chunks(lines: DataFrame) -> DataFrame:
-    """The data lines of event streams (request_id, line_no, line), read as JSON: ``c`` is the first choice. What can't be read is left out."""
-    data = lines.filter(F.col("line").startswith("data: ")).withColumn("body", F.regexp_replace(F.substring(F.col("line"), F.lit(7), F.length("line")), r"\A\s+|\s+\z", "")).filter("body != '' and body != '[DONE]'")
-    return data.withColumn("c", F.from_json("body", CHUNK)["choices"][0]).filter("c is not null")
+    return read_lines(lines).filter("c is not null")
 
 
 def stream_tokens(lines: DataFrame) -> DataFrame:
@@ -158,10 +164,10 @@ def no_signal(tokens: DataFrame) -> DataFrame:
 def chat_split(lines: DataFrame, placeholder: str = "(no answer)") -> DataFrame:
     """``request_id, thinking, content``: what a chat stream reasoned and what it said, trimmed; a placeholder where it did neither."""
     d = F.col("c.delta")
-    thought = F.coalesce(d["reasoning_content"], d["reasoning"], d["thinking"], F.lit(""))
+    thought = F.coalesce(d["reasoning"], d["thinking"], d["reasoning_content"], F.lit(""))
     held = F.array_sort(F.collect_list(F.struct("line_no", thought.alias("t"), F.coalesce(d["content"], F.lit("")).alias("s"))))
     trimmed = lambda field: F.regexp_replace(F.array_join(F.transform("h", lambda x: x[field]), ""), r"\A\s+|\s+\z", "")
-    both = chunks(lines).groupBy("request_id").agg(held.alias("h")).select("request_id", trimmed("t").alias("thinking"), trimmed("s").alias("content"))
+    both = read_lines(lines).groupBy("request_id").agg(held.alias("h")).select("request_id", trimmed("t").alias("thinking"), trimmed("s").alias("content"))
     return both.withColumn("content", F.when((F.col("thinking") == "") & (F.col("content") == ""), placeholder).otherwise(F.col("content")))
 
 
@@ -179,10 +185,19 @@ def logprob_summary(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chat_messages(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, message``: as sent to a model; text alone is a plain string, attachments come before it as parts. Turns may have ``image_url``."""
-    url = F.col("image_url") if "image_url" in turns.columns else F.lit(None).cast("string")
-    parts = F.to_json(F.array(F.struct(F.lit("image_url").alias("type"), F.struct(url.alias("url")).alias("image_url"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit(None).cast("struct<url:string>").alias("image_url"), F.col("text").alias("text"))))
-    return turns.select("conv_id", "turn", F.col("role"), F.when(url.isNull(), F.col("text")).otherwise(parts).alias("content"))
+    """``conv_id, turn, role, content``: as sent to a model, by 'assistant' or else by 'user'. Text alone is a plain string.
+
+    ``attachments`` (type, data in base64), if turns have them, come before the text as parts, in JSON; without either, there is no part.
+    """
+    part = "type string, image_url struct<url:string>, text string"
+    none = F.lit(None)
+    text = F.struct(F.lit("text").alias("type"), none.cast("struct<url:string>").alias("image_url"), F.col("text").alias("text")).cast(f"struct<{part.replace(' ', ':').replace(',:', ',')}>")
+    some = F.coalesce(F.col("attachments"), F.array().cast("array<struct<type:string,data:string>>")) if "attachments" in turns.columns else F.array().cast("array<struct<type:string,data:string>>")
+    images = F.transform(some, lambda a: F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("data:"), a["type"], F.lit(";base64,"), a["data"]).alias("url")).alias("image_url"), none.cast("string").alias("text")))
+    said = F.coalesce(F.col("text"), F.lit("")) != ""
+    parts = F.concat(images, F.when(said, F.array(text)).otherwise(F.array().cast(f"array<struct<{part.replace(' ', ':').replace(',:', ',')}>>")))
+    content = F.when(said & (F.size(some) == 0), F.col("text")).otherwise(F.to_json(parts))
+    return turns.select("conv_id", "turn", F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), content.alias("content"))
 
 
 # -- layout blocks ----------------------------------------------------------
@@ -191,18 +206,18 @@ _DIV = re.compile(r"<div\b([^>]*)>|</div\s*>", re.I)
 
 
 def top_divs(html: str) -> list[tuple[str, str]]:
-    """(attributes, inner text) of each outermost div; a closing tag too many is nothing, an unclosed div gives none."""
-    out, depth, start, attributes = [], 0, 0, ""
-    for m in _DIV.finditer(html):
-        if m[1] is not None:
-            if not depth:
-                start, attributes = m.end(), m[1]
-            depth += 1
-        elif depth:
-            depth -= 1
-            if not depth:
-                out.append((attributes, html[start : m.start()]))
-    return out
+    """(attributes, inner text) of each outermost div; a closing tag too many is nothing, an unclosed div gives none.
+
+    Tags are counted up and down all at once; the count less its least value so far, under zero, is the depth.
+    """
+    tags = list(_DIV.finditer(html))
+    if not tags:
+        return []
+    count = np.cumsum([1 if m[1] is not None else -1 for m in tags])
+    depth = count - np.minimum(np.minimum.accumulate(count), 0)
+    before = np.concatenate([[0], depth[:-1]])
+    opens, closes = np.flatnonzero((before == 0) & (depth == 1)), np.flatnonzero((before == 1) & (depth == 0))
+    return [(tags[i][1], html[tags[i].end() : tags[j].start()]) for i, j in zip(opens.tolist(), closes.tolist())]  # noqa: B905, the last may be open
 
 
 def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", label: str = "class") -> DataFrame:

@@ -41,6 +41,12 @@ def under_prefix(files: DataFrame, marker: str) -> DataFrame:
     return found.groupBy("root").agg(F.min_by(folder, F.struct(F.size(F.split("path", "/")), F.col("path"))).alias("folder"))
 
 
+def copied(files: DataFrame, source: str, target: str) -> DataFrame:
+    """``path, to``: every file under a folder with its place under another; what copies them reads this."""
+    root = source.rstrip("/") + "/"
+    return files.filter(F.col("path").startswith(root)).select("path", F.concat(F.lit(target.rstrip("/") + "/"), F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))).alias("to"))
+
+
 def diagnostics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``report``: name and value a line, in order, unknown values said so. Pairs: keys, ord, name, value."""
     line = F.concat(F.col("name"), F.lit(": "), F.coalesce("value", F.lit("unknown")))

@@ -11,14 +11,23 @@ KEY = ["doc_id", "page_index"]
 CELL = [*KEY, "row_index", "col_index"]
 HIGH, MEDIUM, LEAST_MIN = 0.85, 0.65, 0.5
 LLM_SHARE, OCR_SHARE = 0.4, 0.6
+#: Characters of a page's text that tokens and cells are dealt by.
+STRETCH = 64
 
 
 def tokens_of_cells(tokens: DataFrame, cells: DataFrame) -> DataFrame:
-    """Each token with the cell it overlaps most, the first in reading order of equals; a token that overlaps none is left out. Tokens have ``char_offset``."""
-    t = tokens.select(*KEY, "seq", "token", "logprob", F.col("char_offset").alias("t0"), (F.col("char_offset") + F.length("token")).alias("t1"))
-    c = cells.select(*CELL, "range_start", "range_end")
+    """Each token with the cell it overlaps most, the first in reading order of equals; a token that overlaps none is left out. Tokens have ``char_offset``.
+
+    Tokens and cells meet in stretches of ``STRETCH`` characters, so a token meets the cells about it and not its whole page's;
+    a pair that shares several stretches counts in the first.
+    """
+    stretches = lambda a, b: F.sequence(F.floor(a / STRETCH), F.floor((b - 1) / STRETCH))
+    t = tokens.select(*KEY, "seq", "token", "logprob", F.col("char_offset").alias("t0"), (F.col("char_offset") + F.length("token")).alias("t1")).filter("t1 > t0")
+    t = t.withColumn("_at", F.explode(stretches(F.col("t0"), F.col("t1"))))
+    c = cells.filter("range_end > range_start").select(*CELL, "range_start", "range_end", F.explode(stretches(F.col("range_start"), F.col("range_end"))).alias("_at"))
     overlap = F.least("t1", "range_end") - F.greatest("t0", "range_start")
-    met = t.join(c, KEY).withColumn("overlap", overlap).filter("overlap > 0")
+    first = F.col("_at") == F.floor(F.greatest("t0", "range_start") / STRETCH)
+    met = t.join(c, [*KEY, "_at"]).filter(first).drop("_at").withColumn("overlap", overlap).filter("overlap > 0")
     best = F.row_number().over(Window.partitionBy(*KEY, "seq").orderBy(F.col("overlap").desc(), "row_index", "col_index"))
     return met.withColumn("_best", best).filter("_best = 1").drop("_best")
 
@@ -82,6 +91,15 @@ def worklist(cells: DataFrame) -> DataFrame:
     return flagged.select("*", F.coalesce(F.lead(at).over(order), F.first(at).over(page)).alias("next"), F.coalesce(F.lag(at).over(order), F.last(at).over(page)).alias("previous"))
 
 
+def next_flagged(cells: DataFrame, selection: DataFrame) -> DataFrame:
+    """The flagged cells after and before a selected one (KEY, row_index, col_index), flagged or not; the ends meet. None if no cell is flagged."""
+    flagged = cells.filter(needs_review(F.col("verified"), F.col("trust"))).select(*KEY, F.struct("row_index", "col_index").alias("f"))
+    at = F.struct("row_index", "col_index").alias("s")
+    both = selection.select(*KEY, at).join(flagged, KEY)
+    after, before = F.min(F.when(F.col("f") > F.col("s"), F.col("f"))), F.max(F.when(F.col("f") < F.col("s"), F.col("f")))
+    return both.groupBy(*KEY, "s").agg(F.coalesce(after, F.min("f")).alias("next"), F.coalesce(before, F.max("f")).alias("previous")).select(*KEY, "s.*", "next", "previous")
+
+
 def overlooked(status: Column, word_ids: Column) -> Column:
     return (status == "empty") & (F.size(word_ids) > 0)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.text import contains_folded, snippet
@@ -29,11 +29,22 @@ def first_match(rows: DataFrame, col: str, term: str, name: str) -> DataFrame:
 
 
 def search_page(sessions: DataFrame, pages: DataFrame, outputs: DataFrame, term: str, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of matching sessions, the latest first (ties by id), with the texts that matched; a page past the end is the last."""
+    """One page of matching sessions, the latest first (ties by id), with the texts that matched; a page past the end is the last.
+
+    Texts are scanned once to find what matches, without an exchange of them. The first rows up to the page asked for say
+    whether there is such a page. Its ids, ``size`` at most, then select whose texts are read for the excerpts.
+    """
+    page = max(1, page)
     found = matches(sessions, pages, outputs, term).filter("matched").drop("matched")
-    last = max(1, -(-found.count() // size))
-    shown = found.orderBy(F.col("updated_at").desc(), "id").offset((min(max(1, page), last) - 1) * size).limit(size)
-    return shown.join(first_match(pages, "full_text", term, "scan_match"), "id", "left").join(first_match(outputs, "csv_content", term, "table_match"), "id", "left")
+    latest = [F.col("updated_at").desc(), F.col("id")]
+    first = found.orderBy(*latest).limit(page * size)  # so many rows at most
+    turn, n = F.row_number().over(Window.orderBy(*latest)), F.count("*").over(Window.partitionBy())
+    last = F.least(F.lit(page), F.ceil(n / size))
+    numbered = first.withColumns({"_turn": turn, "_last": last}).filter(F.ceil(F.col("_turn") / size) == F.col("_last")).drop("_turn", "_last")
+    shown = sessions.sparkSession.createDataFrame(numbered.collect(), numbered.schema)
+    ids = [r["id"] for r in shown.select("id").collect()]
+    texts = lambda rows, col, name: first_match(rows.filter(F.col("session_id").isin(ids)), col, term, name)
+    return shown.join(texts(pages, "full_text", "scan_match"), "id", "left").join(texts(outputs, "csv_content", "table_match"), "id", "left")
 
 
 def excerpts(found: DataFrame, term: str) -> DataFrame:
@@ -96,11 +107,6 @@ def cache_complete(pages: DataFrame, markers: DataFrame) -> DataFrame:
     return counts.join(markers.select("session_id", "page_count"), "session_id", "left").select("session_id", F.coalesce(F.col("n") == F.col("page_count"), F.lit(False)).alias("complete"))
 
 
-def migrate(current: int, statements: list[tuple[int, str]]) -> list[str]:
-    """Statements of versions above the current one, in order."""
-    return [text for version, text in sorted(statements) if version > current]
-
-
 def merged_order(shown: list, fresh: list, key=lambda x: x) -> list:
     """Entries that stay keep the order shown, with fresh content; new ones come in at their fresh place."""
     by_key = {key(x): x for x in fresh}
@@ -116,3 +122,62 @@ def retained_versions(log: DataFrame, keys: list[str], n: int = 50) -> DataFrame
     """The last ``n`` snapshots of each grid in an undo log (``version`` counts up)."""
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("version").desc()))
     return log.withColumn("_turn", turn).filter(F.col("_turn") <= n).drop("_turn")
+
+
+def discarded_pages(store: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The store without the cached pages of these sessions and their markers; and the distinct image paths that nobody needs then."""
+    key = ids.select(F.col("id").alias("session_id"))
+    left = dict(store) | {name: store[name].join(key, "session_id", "left_anti") for name in ("document_pages", "document_page_sets")}
+    gone = store["document_pages"].join(key, "session_id", "left_semi")
+    return left, gone.select(F.col("image_path").alias("path")).filter("path is not null and path != ''").distinct()
+
+
+def inserted(sessions: DataFrame, files: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and files with new ones (id, title, file_id, file_name, file_path, failed); where the upload failed, neither row stays."""
+    done = new.filter(~F.coalesce(F.col("failed"), F.lit(False)))
+    rows = done.select(F.col("file_id").alias("id"), F.col("id").alias("session_id"), "file_name", "file_path")
+    return sessions.unionByName(done.select("id", "title"), allowMissingColumns=True), files.unionByName(rows)
+
+
+def looked_up(store: dict[str, DataFrame], ids: DataFrame, page_index: int) -> DataFrame:
+    """For each session asked for: name and path of its file (of several, the least id's), the stored table of a page, and how many images it has."""
+    asked = ids.select(F.col("id").alias("session_id"))
+    mine = lambda name: store[name].join(asked, "session_id", "left_semi")
+    file = mine("files").groupBy("session_id").agg(F.min_by(F.struct("file_name", "file_path"), "id").alias("f")).select("session_id", "f.*")
+    table = mine("csv_outputs").filter(F.col("page_index") == page_index).select("session_id", "csv_content")
+    images = mine("document_pages").filter("image_path is not null and image_path != ''").groupBy("session_id").agg(F.count("*").alias("images"))
+    return asked.join(file, "session_id", "left").join(table, "session_id", "left").join(images, "session_id", "left").withColumn("images", F.coalesce("images", F.lit(0)).cast("long"))
+
+
+def merged_orders(shown: Column, fresh: Column) -> Column:
+    """``merged_order`` of two arrays of ids."""
+    stay = F.filter(shown, lambda x: F.array_contains(fresh, x))
+    new = F.filter(F.transform(fresh, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains(shown, e["x"]))
+
+    def put(acc: Column, e: Column) -> Column:
+        at = F.least(e["i"], F.size(acc))
+        return F.concat(F.slice(acc, F.lit(1), at), F.array(e["x"]), F.slice(acc, at + 1, F.size(acc)))
+
+    return F.aggregate(new, stay, put)
+
+
+def pending_migrations(statements: DataFrame, current: DataFrame) -> DataFrame:
+    """Statements (version, step, text) of versions above the stored one (``version``, one row; none is 0), with their turn."""
+    stored = current.agg(F.coalesce(F.max("version"), F.lit(0)).alias("_stored"))
+    due = statements.join(stored, F.col("version") > F.col("_stored")).drop("_stored")
+    return due.withColumn("turn", F.row_number().over(Window.orderBy("version", "step")))
+
+
+def run_migrations(spark: SparkSession, statements: list[tuple[int, str]], version_table: str) -> int:
+    """Runs what is due, in order, and stores each version once all of its statements are through. Statements are written so that they can run again.
+
+    Returns the version that the store has then.
+    """
+    spark.sql(f"create table if not exists {version_table} (version int) using parquet")
+    at = spark.table(version_table).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    for version in sorted({v for v, _ in statements if v > at}):
+        for text in (t for v, t in statements if v == version):
+            spark.sql(text)
+        spark.sql(f"insert into {version_table} values ({version})")
+        at = version
+    return at

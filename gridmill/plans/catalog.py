@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.plans import edit_queries, flow_queries, layout_queries, match_queries, report_queries, store_queries, text_queries
+from gridmill.plans import edit_queries, flow_queries, layout_queries, match_queries, report_queries, session_queries, store_queries, text_queries
 from gridmill.plans.registry import Query
 
-MODULES = (store_queries, text_queries, layout_queries, match_queries, edit_queries, flow_queries, report_queries)
+MODULES = (store_queries, text_queries, layout_queries, match_queries, edit_queries, flow_queries, report_queries, session_queries)
 
 QUERIES: dict[str, Query] = {name: f for m in MODULES for name, f in m.query.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.query.sql.items()}

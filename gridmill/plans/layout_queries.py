@@ -75,14 +75,29 @@ def guide_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.guide_line(synth.words(spark, sf_dir), H)
 
 
-@query()
+TEXT = (
+    LINED.rstrip()
+    + """, line_starts as (select s.doc_id, s.page_index, list(s."left" order by s."left") as st from starts s join best b using (doc_id, page_index, line_no) group by all
+), put as (
+  select l.doc_id, l.page_index, l.line_no, pos_in_line, text, char_width, st, cast(greatest(0, len(list_filter(st, lambda a: a <= "left" + char_width / 2)) - 1) as int) as col
+  from lined l join widths using (doc_id, page_index) join line_starts using (doc_id, page_index)
+), spaced as (
+  select doc_id, page_index, line_no, list_reduce(list_prepend({'t': '', 'c': -1, 'g': 0}, list({'t': text, 'c': col, 'g': cast(round(st[col + 1] / char_width) as int)} order by pos_in_line)),
+    lambda acc, w: {'t': acc.t || case when w.c = acc.c then ' ' when acc.t = '' then repeat(' ', w.g) when length(acc.t) >= w.g then ' ' else repeat(' ', cast(w.g - length(acc.t) as int)) end || w.t, 'c': w.c, 'g': w.g}).t as line
+  from put group by all
+), table_texts as (select doc_id, page_index, string_agg(line, chr(10) order by line_no) as table_text from spaced group by all)
+"""
+)
+
+
+@query(TEXT + "select * from table_texts")
 def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.table_text(synth.words(spark, sf_dir), H)
 
 
-@query(LINED + "select doc_id, page_index, 'Format as table.' || chr(10) || chr(10) || string_agg(line, chr(10) order by line_no) as prompt from (select doc_id, page_index, line_no, string_agg(text, ' ' order by pos_in_line) as line from lined group by all) group by all")
+@query(TEXT + "select doc_id, page_index, 'Format as table.' || chr(10) || chr(10) || table_text as prompt from table_texts")
 def extraction_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.prompt("Format as table.", L.reading_text(synth.words(spark, sf_dir), H).withColumnRenamed("full_text", "table_text"))
+    return L.prompt("Format as table.", L.table_text(synth.words(spark, sf_dir), H))
 
 
 PIPED = """select doc_id, page_index, cast(row_number() over (partition by doc_id, page_index order by line_no, pos_in_line) - 1 as int) as word_ord, word_id,

@@ -165,14 +165,79 @@ def stream_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stream_ends(stream_lines(spark, sf_dir))
 
 
-@query("select conv_id, turn, role, text as content from conversations")
+@query("""select conv_id, turn, case when role = 'assistant' then 'assistant' else 'user' end as role, case when n = 0 and t <> '' then t when n = 0 then '[]' else
+    '[' || array_to_string(list_transform(range(n), lambda i: '{"type":"image_url","image_url":{"url":"data:image/png;base64,' || base64(encode('img' || conv_id || '-' || i)) || '"}}') || case when t = '' then []::varchar[] else ['{"type":"text","text":"' || t || '"}'] end, ',') || ']' end as content
+  from (select *, conv_id % 3 as n, case when (conv_id + turn) % 5 = 0 then '' else regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') end as t from conversations)""")
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.chat_messages(table(spark, sf_dir, "conversations"))
+    """Turns with none, one and two images, some without text."""
+    c, t = table(spark, sf_dir, "conversations"), (F.col("conv_id") + F.col("turn")) % 5
+    images = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (F.col("conv_id") % 3).cast("int")), lambda i: F.struct(F.lit("image/png").alias("type"), F.base64(F.concat(F.lit("img"), "conv_id", F.lit("-"), i).cast("binary")).alias("data")))
+    return P.chat_messages(c.withColumns({"attachments": images, "text": F.when(t == 0, "").otherwise(F.regexp_replace("text", "[^A-Za-z0-9 .,]", ""))}))
 
 
-@query(r"""select page_id, 0 as block_no, regexp_extract(html, '<div class="([^"]*)"', 1) as label, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<div[^>]*>(.*?)</div>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\s+', ' ', 'g')) as text from pages where regexp_matches(html, '(?s)<div[^>]*>.*?</div>')""")
+@query("""with found as (select page_id, regexp_extract(html, '<div class="([^"]*)"', 1) as label, regexp_extract(html, '(?s)<div[^>]*>(.*?)</div>', 1) as body from pages where regexp_matches(html, '(?s)<div[^>]*>.*?</div>')
+), made as (select page_id, 0 as block_no, label, null as bbox, body from found union all select page_id, 1, 'outer', '10|20|30|' || (page_id % 90 + 40) || '', '<b>' || label || '</b> in ' from found
+  union all select page_id, 2, '', null, 'page ' || page_id from found
+) select page_id, block_no, label, bbox, trim(regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\\s+', ' ', 'g')) as text from made""")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.blocks(table(spark, sf_dir, "pages")).select("page_id", "block_no", "label", "text")
+    """Each page's first div; then one with a box and two divs in it, a closing tag too many, one without a class, and one that is never closed."""
+    label = F.regexp_extract("html", '<div class="([^"]*)"', 1)
+    first = F.regexp_extract("html", r"(?s)(<div[^>]*>.*?</div>)", 1)
+    nested = F.concat(F.lit('<DIV class="outer" data-bbox="[10, 20, 30, '), F.col("page_id") % 90 + 40, F.lit(']"><div><b>'), label, F.lit("</b></div> in <div></div></DIV></div>"))
+    rest = F.concat(F.lit("<div>page&nbsp;"), "page_id", F.lit("</div><div class='open'><div>never"))
+    pages = table(spark, sf_dir, "pages").filter(first != "").select("page_id", F.concat(first, nested, rest).alias("html"))
+    whole = lambda x: x.cast("int").cast("string")
+    return P.blocks(pages).select("page_id", "block_no", "label", F.array_join(F.transform("bbox", whole), "|").alias("bbox"), "text")
+
+
+DIALECT = """select p_partkey, string_agg(f, '|' order by i) as fields from (select p_partkey, unnest([{fields}]) as f, unnest([1, 2, 3, 4]) as i from part) group by p_partkey"""
+
+
+@query(DIALECT.format(fields="p_name, 'a,' || p_brand, 'say \"' || p_type || '\"', 'two' || chr(10) || 'lines'") + " union all select p_partkey, p_brand || '|' from part")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fenced table with quotes, a comma, doubled quotes, a line break in quotes, blank rows and a field after the last comma."""
+    raw = F.concat(F.lit("```csv\n  "), "p_name", F.lit(' ,"a,'), "p_brand", F.lit('","say ""'), "p_type", F.lit('""","two\nlines"\r\n\n   \n'), "p_brand", F.lit(",\n```  \n"))
+    found = P.parsed_rows(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "p_partkey", "raw", "csv")
+    return found.select("p_partkey", F.explode("rows").alias("row")).select("p_partkey", F.array_join("row", "|").alias("fields"))
+
+
+@query(DIALECT.format(fields="' ' || p_name, 'a' || chr(9) || p_brand, 'in \"' || p_type || '\"', 'say \"x\"'") + " union all select p_partkey, p_brand || '|' from part")
+def clipboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabs in quotes, quotes inside a field, nothing trimmed, and a line end that makes no row."""
+    raw = F.concat(F.lit(" "), "p_name", F.lit('\t"a\t'), "p_brand", F.lit('"\tin "'), "p_type", F.lit('"\t"say ""x"""\r\n'), "p_brand", F.lit("\t\n"))
+    found = P.parsed_rows(table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), "p_partkey", "raw", "clipboard")
+    return found.select("p_partkey", F.explode("rows").alias("row")).select("p_partkey", F.array_join("row", "|").alias("fields"))
+
+
+@query("""select p_partkey as doc_id, 0 as page_index, row_index, col_index, value, cast(s as int) as range_start, cast(s + length(printed) as int) as range_end from (
+  select p_partkey, row_index, col_index, trim(printed) as value, printed, lead_ + coalesce(sum(length(printed) + 1) over (partition by p_partkey, row_index order by col_index rows between unbounded preceding and 1 preceding), 0) as s from (
+    select p_partkey, 0 as row_index, unnest([0, 1, 2]) as col_index, unnest([p_name, ' ' || p_brand || ' ', '']) as printed, 7 as lead_ from part
+    union all select p_partkey, 1, 0, p_type, 7 + length(p_name) + length(p_brand) + 4 + 2 + 3 from part))""")
+def ragged_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fenced output with rows of unlike length, an outer space, a trailing tab, a blank row, and both kinds of line end."""
+    raw = F.concat(F.lit("```tsv\n"), "p_name", F.lit("\t "), "p_brand", F.lit(" \t\r\n \t\n"), "p_type", F.lit("\r\n```\n"))
+    return P.parsed_tsv(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page_index"), raw.alias("raw")))
+
+
+@query("select o_orderkey as request_id from orders where o_orderkey % 3 = 0 and o_orderkey % 7 <> 0")
+def no_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of requests with and without text and log-probabilities, those with text only."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"))
+    text = F.when(F.col("request_id") % 7 == 0, "").otherwise("word")
+    return P.no_signal(o.select("request_id", text.alias("token"), F.when((F.col("request_id") % 3 > 0) & (F.col("seq") == 1), -0.5).alias("logprob")))
+
+
+@query("""select o_orderkey as request_id, case when o_orderkey % 4 in (0, 1) then 'I think ' || o_orderkey else '' end as thinking, case when o_orderkey % 4 in (0, 2) then 'so ' || o_orderkey when o_orderkey % 4 = 3 then '(no answer)' else '' end as content from orders""")
+def chat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that reason under each of the three names, say something, both, or neither; with junk between."""
+    k = F.col("o_orderkey")
+    quoted = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
+    name = F.element_at(F.array(*map(F.lit, ["reasoning", "thinking", "reasoning_content"])), (k % 3 + 1).cast("int"))
+    delta = lambda body: F.concat(F.lit('data: {"choices":[{"delta":{'), body, F.lit("}}]}"))
+    thought = [F.when(k % 4 < 2, delta(F.concat(quoted(name), F.lit(":"), quoted(x)))).otherwise(": none") for x in (F.lit("  I think "), k.cast("string"))]
+    said = [F.when(k % 2 == 0, delta(F.concat(F.lit('"content":'), quoted(x)))).otherwise("data: [DONE]") for x in (F.lit("so "), F.concat(k, F.lit(" ")))]
+    lines = F.array(*[F.struct(F.lit(i).alias("line_no"), x.alias("line")) for i, x in enumerate([*thought, F.lit("data: {junk"), *said])])
+    return P.chat_split(table(spark, sf_dir, "orders").select(k.alias("request_id"), F.explode(lines).alias("l")).select("request_id", "l.*"))
 
 
 # -- matching ---------------------------------------------------------------

@@ -14,7 +14,7 @@ TERM = "THE"
 
 BASE = """with sessions as (
   select doc_id as id, 'Title ' || source || ' ' || lang as title, timestamp '2024-01-01' + to_minutes((doc_id * 7919 % 100003)::bigint) as updated_at from documents
-), outputs as (select doc_id as session_id, 0 as page_index, text as csv_content from documents where doc_id % 3 = 0
+), outputs as (select doc_id as session_id, 0 as page_index, text as csv_content from documents
 ), pgs as (select conv_id as session_id, turn::int as page_index, text as full_text from conversations
 ), hits as (select s.*, (contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the')
    or exists (select 1 from pgs p where p.session_id = s.id and contains(translate(full_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the'))
@@ -26,7 +26,7 @@ def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     docs = table(spark, sf_dir, "documents")
     minutes = F.expr("make_interval(0, 0, 0, 0, 0, cast(doc_id * 7919 % 100003 as int), 0)")
     sessions = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.lit("Title"), "source", "lang").alias("title"), (F.lit("2024-01-01").cast("timestamp_ntz") + minutes).alias("updated_at"))
-    outputs = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("session_id"), F.lit(0).alias("page_index"), F.col("text").alias("csv_content"))
+    outputs = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).alias("page_index"), F.col("text").alias("csv_content"))
     pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("page_index"), F.col("text").alias("full_text"))
     return sessions, pages, outputs
 
@@ -59,7 +59,16 @@ def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text"), TERM).alias("s")).select("doc_id", "s.before", "s.match", "s.after")
 
 
-@query()
+FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(BASE + f""", shown as (select * from hits where matched order by updated_at desc, id limit 10
+), texts as (select id, title, coalesce(
+    (select full_text from pgs p where p.session_id = h.id and contains({FOLDED.format("full_text")}, 'the') order by page_index limit 1),
+    (select csv_content from outputs p where p.session_id = h.id and contains({FOLDED.format("csv_content")}, 'the') order by page_index limit 1)) as text from shown h
+), flats as (select id, title, {FLAT} as flat, strpos(lower({FLAT}), 'the') as a from texts)
+select id, title, case when a > 0 then case when a - 48 > 1 then '…' else '' end || substr(flat, greatest(1, a - 48)::bigint, (a - greatest(1, a - 48))::bigint) end as before,
+  case when a > 0 then substr(flat, a, 3) end as match, case when a > 0 then substr(flat, a + 3, 48) || case when a + 3 + 48 <= length(flat) then '…' else '' end end as after from flats""")
 def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.excerpts(S.search_page(*store(spark, sf_dir), TERM, 1), TERM).select("id", "title", "excerpt.before", "excerpt.match", "excerpt.after")
 

@@ -33,7 +33,9 @@ def compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.compact(F.col("text")).alias("compact"))
 
 
-@query()
+@query(f"""select doc_id, array_to_string(case when len(taken) < len(ls) then list_append(taken, '{T.EXCERPT_MARK}') else taken end, chr(10)) as excerpt from (
+  select doc_id, ls, list_transform(list_filter(range(1, len(ls) + 1), lambda i: i <= 12 and 900 - used[i] > 0), lambda i: substr(ls[i], 1, (900 - used[i])::bigint)) as taken
+  from (select doc_id, ls, list_transform(range(1, len(ls) + 1), lambda i: coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)) as used from (select doc_id, {LINES} as ls from documents)))""")
 def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), 12, 900).alias("excerpt"))
 
@@ -135,9 +137,11 @@ def file_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.file_stem(F.col("url"), F.col("page_id") % 2, F.col("page_id") % 3 + 1).alias("stem"))
 
 
-@query("select p_partkey, case when p_partkey < 26 then chr((65 + p_partkey)::int) when p_partkey < 702 then chr((64 + p_partkey // 26)::int) || chr((65 + p_partkey % 26)::int) else chr((64 + (p_partkey // 26 - 1) // 26)::int) || chr((65 + (p_partkey // 26 - 1) % 26)::int) || chr((65 + p_partkey % 26)::int) end as label from part where p_partkey < 18278")
+@query("with recursive r as (select p_partkey, n, '' as label from part, (select unnest([p_partkey, p_partkey * 1000003]) as n) union all select p_partkey, n // 26 - 1, chr((65 + n % 26)::int) || label from r where n >= 0) select p_partkey, label from r where n < 0")
 def column_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey < 18278").select("p_partkey", T.column_label(F.col("p_partkey")).alias("label"))
+    """Labels of small numbers, and of some with many letters."""
+    numbers = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_partkey", F.col("p_partkey") * 1000003)).alias("n"))
+    return numbers.select("p_partkey", T.column_label(F.col("n")).alias("label"))
 
 
 # -- helpers ----------------------------------------------------------------

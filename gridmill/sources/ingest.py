@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,15 +105,58 @@ def stored_words(pages: DataFrame) -> DataFrame:
 
 
 def rechunked(chunks: DataFrame, size: int) -> DataFrame:
-    """``stream, block, content``: chunks (stream, seq, content) joined to blocks of ``size`` bytes or more; no chunk is split, the last may be short."""
-    held = F.array_sort(F.collect_list(F.struct("seq", F.length("content").alias("n"), "content")))
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("of"))
-
-    def put(acc: Column, x: Column) -> Column:
-        full = acc["used"] + x["n"] >= size
-        return F.struct((acc["block"] + F.when(full, 1).otherwise(0)).alias("block"), F.when(full, 0).otherwise(acc["used"] + x["n"]).cast("int").alias("used"), F.concat(acc["of"], F.array(acc["block"])).alias("of"))
-
-    dealt = chunks.groupBy("stream").agg(held.alias("c")).withColumn("of", F.aggregate("c", start, put)["of"])
-    each = dealt.select("stream", F.explode(F.arrays_zip("c", "of")).alias("z")).select("stream", F.col("z.of").alias("block"), "z.c.seq", "z.c.content")
-    joined = F.array_sort(F.collect_list(F.struct("seq", F.hex("content").alias("h"))))
-    return each.groupBy("stream", "block").agg(F.unhex(F.array_join(F.transform(joined, lambda x: x["h"]), "")).alias("content"))
+    """``stream, block, content``: chunks (stream, seq, content) joined to blocks of ``size`` bytes or more; no chunk is split, the last may be short.
+
+    Chunks stream by in order; a task holds one open block.
+    """
+    kind = dict(chunks.dtypes)["stream"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block, held, used, begun, key = None, 0, [], 0, False, None
+        for b in batches:
+            key = b.schema.field(0).type
+            out: list[tuple] = []
+            for stream, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if begun and stream != own:
+                    if held:
+                        out.append((own, block, b"".join(held)))
+                    block, held, used = 0, [], 0
+                own, begun = stream, True
+                held.append(content or b"")
+                used += len(held[-1])
+                if used >= size:
+                    out.append((own, block, b"".join(held)))
+                    block, held, used = block + 1, [], 0
+            if out:
+                yield _blocks(out, key)
+        if held:
+            yield _blocks([(own, block, b"".join(held))], key)
+
+    return chunks.select("stream", "content", "seq").repartition(F.col("stream")).sortWithinPartitions("stream", "seq").select("stream", "content").mapInArrow(run, f"stream {kind}, block int, content binary")
+
+
+def _blocks(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (key, pa.int32(), pa.binary()), strict=True)], names=["stream", "block", "content"])
+
+
+def ingested(documents: DataFrame, pages: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a round of uploads gives: page results, progress events, and the documents refused.
+
+    Documents: doc_id, n_files, length, mime, name, content, n_pages. One that a check refuses has a ``reason`` and no pages;
+    the pages of the others (doc_id, page_index, kind, error) have their words counted, and an event each: current, of total.
+    """
+    kind = file_type(F.col("mime"), F.col("name"), F.col("content"))
+    checked = documents.select("doc_id", "n_pages", F.coalesce(rejection(F.col("n_files"), F.col("length"), kind, F.col("content")), page_count_error(F.col("n_pages"))).alias("reason"))
+    accepted = checked.filter("reason is null").select("doc_id", "n_pages")
+    results = page_results(pages.join(accepted.select("doc_id"), "doc_id", "left_semi"), words)
+    events = results.join(accepted, "doc_id").select("doc_id", (F.col("page_index") + 1).alias("current"), F.col("n_pages").alias("total"))
+    return results, events, checked.filter("reason is not null").select("doc_id", "reason")
+
+
+CELLS_JSON = "array<struct<row_index: int, col_index: int, value: string, word_ids: array<string>, match_status: string, trust: string, verified: boolean>>"
+
+
+def stored_cells(outputs: DataFrame) -> DataFrame:
+    """Cells of stored tables (session_id, page_index, cell_mappings_json); what isn't JSON has none."""
+    each = outputs.select("session_id", "page_index", F.explode(F.from_json("cell_mappings_json", CELLS_JSON)).alias("c"))
+    return each.select("session_id", "page_index", "c.*")

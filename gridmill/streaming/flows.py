@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -68,33 +70,65 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(newest.alias("m")).select("session_id", "m.run_id", "m.current", "m.total")
 
 
-def apply_feed(state: dict[str, int], rows: list[tuple]) -> tuple[dict[str, int], bool]:
-    """Sessions after change events (seq, kind, session_id), and whether a refresh is due: not if what was updated leads already."""
-    refresh, order = False, sorted(state, key=state.get, reverse=True)
-    for seq, kind, session in sorted(rows):
-        if kind == "delete_all":
-            refresh, state = refresh or bool(state), {}
-        elif kind == "delete":
-            refresh = state.pop(session, None) is not None or refresh
-        else:
-            refresh = refresh or order[:1] != [session]
-            state[session] = seq
-        order = sorted(state, key=state.get, reverse=True)
-    return state, refresh
+def after_changes(sessions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open sessions (session_id, seq) after change events (seq, kind, session_id), and one row ``due``: whether a refresh is.
 
+    The latest event of a session decides; 'delete_all' ends all before it. A refresh is due if what was open went, or if
+    something else was updated than the session that leads already.
+    """
+    end = changes.agg(F.max(F.when(F.col("kind") == "delete_all", F.col("seq"))).alias("_end"))
+    last = changes.filter("kind != 'delete_all'").groupBy("session_id").agg(F.max(F.struct("seq", "kind")).alias("e")).select("session_id", "e.seq", "e.kind")
+    known = sessions.withColumn("kind", F.lit("update")).select("session_id", "seq", "kind")
+    newest = known.unionByName(last).groupBy("session_id").agg(F.max(F.struct("seq", "kind")).alias("e")).select("session_id", "e.seq", "e.kind")
+    open_ = newest.join(end, F.col("_end").isNull() | (F.col("seq") > F.col("_end"))).filter("kind = 'update'").select("session_id", "seq")  # ``end`` is one row
+    leader = sessions.agg(F.max_by("session_id", "seq").alias("_leader"), F.count("*").alias("_n"))
+    gone = changes.filter("kind = 'delete'").join(sessions.select("session_id"), "session_id", "left_semi").agg((F.count("*") > 0).alias("_gone"))
+    moved = changes.join(leader).agg(F.coalesce(F.bool_or((F.col("kind") == "update") & ~F.col("session_id").eqNullSafe(F.col("_leader")) | (F.col("kind") == "delete_all") & (F.col("_n") > 0)), F.lit(False)).alias("_moved"))
+    return open_, gone.join(moved).select((F.col("_gone") | F.col("_moved")).alias("due"))
+
+
+def watch_feed(events: DataFrame, on_change: Callable[[DataFrame], None], folder: str) -> StreamingQuery:
+    """Keeps the open sessions of a change feed (seq, kind, session_id), and calls back with them when a refresh is due. A batch is one round of changes.
+
+    The sessions after each batch lie in ``folder``, under the batch's number, beside the checkpoint: a restart goes on from
+    there, and a batch that runs again reads and writes the same places.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fields = "session_id string, seq long"
+        known = spark.read.schema(fields).parquet(f"{folder}/open/{number - 1}") if number else spark.createDataFrame([], fields)
+        open_, due = after_changes(known, batch.select(F.col("seq").cast("long"), "kind", F.col("session_id").cast("string")))
+        open_.write.mode("overwrite").parquet(f"{folder}/open/{number}")
+        if due.first()[0]:
+            on_change(spark.read.schema(fields).parquet(f"{folder}/open/{number}"))
 
-def watch_feed(events: DataFrame, on_change: Callable[[dict[str, int]], None], checkpoint: str) -> StreamingQuery:
-    """Keeps the open sessions of a change feed (seq, kind, session_id), and calls back when a refresh is due. A batch is one round of changes."""
-    held: dict[str, dict[str, int]] = {"state": {}}
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
-    def each(batch: DataFrame, _: int) -> None:
-        # one row for each session and kind of change: the latest
-        latest = batch.groupBy("kind", "session_id").agg(F.max("seq").alias("seq")).select("seq", "kind", "session_id").collect()
-        held["state"], due = apply_feed(held["state"], [tuple(r) for r in latest])
-        if due:
-            on_change(dict(held["state"]))
 
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def uncancelled(pages: DataFrame, runs: DataFrame, cancels: DataFrame) -> DataFrame:
+    """Pages (session_id, run_id, at) that were done before a cancel of their run: the first of the session (session_id, at) after the run began.
+
+    Runs: session_id, run_id, started. A cancel counts for runs that had begun, never for a later one.
+    """
+    ends = runs.join(cancels.select("session_id", F.col("at").alias("_at")), "session_id").filter("_at > started").groupBy("session_id", "run_id").agg(F.min("_at").alias("_end"))
+    return pages.join(ends, ["session_id", "run_id"], "left").filter(F.col("_end").isNull() | (F.col("at") < F.col("_end"))).drop("_end")
+
+
+def idle_unloads(jobs: DataFrame, key: str, idle: int = 90) -> DataFrame:
+    """``at``: when a warm server of each key was given up, ``idle`` after the end of a job (key, start, end; seconds) with none begun until then."""
+    order = Window.partitionBy(key).orderBy("start", "end")
+    busy_until = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.lead("start").over(order)
+    return jobs.select(key, busy_until.alias("_end"), after.alias("_next")).filter(F.col("_next").isNull() | (F.col("_next") > F.col("_end") + idle)).select(key, (F.col("_end") + idle).alias("at"))
+
+
+def readiness(polls: DataFrame, key: str, limit: int = 180) -> DataFrame:
+    """``state`` and ``at`` of each start (key, t in seconds since, status): 'ready' or 'exited' by the first poll that says so within the limit, else 'timeout'."""
+    first = F.min(F.when((F.col("t") < limit) & F.col("status").isin("healthy", "exited"), F.struct("t", "status"))).alias("f")
+    found = polls.groupBy(key).agg(first)
+    state = F.when(F.col("f").isNull(), "timeout").when(F.col("f.status") == "exited", "exited").otherwise("ready")
+    return found.select(key, state.alias("state"), F.coalesce(F.col("f.t"), F.lit(limit)).alias("at"))
 
 
 def debounced_stream(events: DataFrame, gap: str, late: str) -> DataFrame:
@@ -146,7 +180,9 @@ def throughput(samples: DataFrame, key: str, window: int, least_span: int) -> Da
 
 
 def eta(rate: Column, done: Column, total: Column) -> Column:
-    return F.when(rate > 0, F.greatest(F.lit(0.0), (total - done) / rate))
+    """Whole seconds that are left, one at least; 0 once all is there, null while no rate is known."""
+    left = total - done
+    return F.when(left <= 0, F.lit(0)).when(rate > 0, F.greatest(F.lit(1), F.round(left / rate))).cast("long")
 
 
 def weighted_progress(parts: DataFrame, key: str) -> DataFrame:
@@ -156,13 +192,29 @@ def weighted_progress(parts: DataFrame, key: str) -> DataFrame:
 
 
 def throttled(events: DataFrame, key: str, least: float) -> DataFrame:
-    """As ``throttled_stream``, over a finished table (key, t): each key's events fold in order."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
-
-    def step(acc: Column, t: Column) -> Column:
-        return F.when(acc["last"].isNull() | (t - acc["last"] >= least), F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept"))).otherwise(acc)
-
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("ts")).select(key, F.explode(F.aggregate("ts", start, step)["kept"]).alias("t"))
+    """As ``throttled_stream``, over a finished table (key, t): events stream by in order of key and time, and only the last that was let through is held."""
+    kind = dict(events.dtypes)[key]
+    schema = pa.schema([(key, pa.null()), ("t", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, begun = None, 0.0, False
+        for b in batches:
+            keys, t, kept = b.column(0).to_pylist(), b.column(1).to_numpy(), []
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for start, end in zip([0, *ends], [*ends, len(keys)], strict=True) if keys else ():
+                at = start
+                if not begun or keys[start] != own:
+                    own, last, begun = keys[start], t[start], True
+                    kept.append(start)
+                while (at := at + int(np.searchsorted(t[at:end], last + least - 1e-6))) < end:
+                    if t[at] - last >= least:
+                        kept.append(at)
+                        last = t[at]
+                    at += 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.array(t[kept], pa.float64())], names=schema.names)
+
+    rows = events.select(key, F.col("t").cast("double").alias("t")).repartition(F.col(key)).sortWithinPartitions(key, "t")
+    return rows.mapInArrow(run, f"{key} {kind}, t double")
 
 
 def newest_only(results: DataFrame, key: str, request: str) -> DataFrame:

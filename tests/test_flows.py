@@ -48,12 +48,54 @@ def test_throttle_stream(spark, tmp_path):
     assert got == [0.0, 0.1, 0.31] == sorted(r["t"] for r in S.throttled(batch, "user_id", 0.1).collect())
 
 
-def test_feed():
-    state, due = S.apply_feed({}, [(1, "update", "a"), (2, "update", "b")])
-    assert due and state == {"a": 1, "b": 2}
-    assert S.apply_feed(state, [(3, "update", "b")]) == ({"a": 1, "b": 3}, False)
-    assert S.apply_feed({"a": 1}, [(4, "delete", "x")]) == ({"a": 1}, False)
-    assert S.apply_feed({"a": 1}, [(4, "delete_all", None)]) == ({}, True)
+def test_feed(spark):
+    def after(state, *events):
+        known = spark.createDataFrame(list(state.items()), "session_id string, seq long")
+        open_, due = S.after_changes(known, spark.createDataFrame(list(events), "seq long, kind string, session_id string"))
+        return {r["session_id"]: r["seq"] for r in open_.collect()}, due.first()[0]
+
+    assert after({}, (1, "update", "a"), (2, "update", "b")) == ({"a": 1, "b": 2}, True)
+    assert after({"a": 1, "b": 2}, (3, "update", "b")) == ({"a": 1, "b": 3}, False)
+    assert after({"a": 1}, (4, "delete", "x")) == ({"a": 1}, False)
+    assert after({"a": 1, "b": 2}, (4, "delete", "b")) == ({"a": 1}, True)
+    assert after({"a": 1}, (4, "delete_all", None)) == ({}, True)
+    assert after({"a": 1}, (4, "delete_all", None), (5, "update", "c")) == ({"c": 5}, True)
+
+
+def test_feed_goes_on_after_a_restart(spark, tmp_path):
+    """A second query over the same folder knows what the first one left."""
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema("seq long, kind string, session_id string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        S.watch_feed(stream, lambda open_: seen.append({r["session_id"]: r["seq"] for r in open_.collect()}), str(tmp_path / "feed")).awaitTermination(120)
+
+    write(tmp_path / "in", 0, [{"seq": 1, "kind": "update", "session_id": "a"}, {"seq": 2, "kind": "update", "session_id": "b"}])
+    run()
+    write(tmp_path / "in", 1, [{"seq": 3, "kind": "update", "session_id": "b"}])
+    write(tmp_path / "in", 2, [{"seq": 4, "kind": "delete", "session_id": "b"}])
+    run()
+    assert seen == [{"a": 1, "b": 2}, {"a": 1}]
+
+
+def test_throttle_over_batches(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(k, round(rnd.random() * 50, 3)) for k in (1, 2, 3) for _ in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = sorted(tuple(r) for r in S.throttled(spark.createDataFrame(rows, "user_id long, t double"), "user_id", 0.25).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for key in (1, 2, 3):
+        last = None
+        for t in sorted(t for k, t in rows if k == key):
+            if last is None or t - last >= 0.25:
+                want.append((key, t))
+                last = t
+    assert got == want
 
 
 def test_debounce_stream(spark, tmp_path):

@@ -68,6 +68,8 @@ def test_chat_split(spark):
 
 
 def test_messages_with_image(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "hi", None), (1, 1, "user", "look", "data:x")], "conv_id long, turn long, role string, text string, image_url string")
-    got = {r["turn"]: r["content"] for r in P.chat_messages(turns).collect()}
-    assert got[0] == "hi" and got[1].startswith('[{"type":"image_url","image_url":{"url":"data:x"}') and '"text":"look"' in got[1]
+    image = [("image/png", "eA==")]
+    turns = spark.createDataFrame([(1, 0, "user", "hi", None), (1, 1, "user", "look", image), (1, 2, "assistant", "", image), (1, 3, "tool", "", [])], "conv_id long, turn long, role string, text string, attachments array<struct<type:string,data:string>>")
+    got = {r["turn"]: (r["role"], r["content"]) for r in P.chat_messages(turns).collect()}
+    part = '{"type":"image_url","image_url":{"url":"data:image/png;base64,eA=="}}'
+    assert got == {0: ("user", "hi"), 1: ("user", f'[{part},{{"type":"text","text":"look"}}]'), 2: ("assistant", f"[{part}]"), 3: ("user", "[]")}

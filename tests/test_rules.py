@@ -89,7 +89,6 @@ def test_misc(spark):
 
 def test_store_helpers():
     assert store.merged_order(["b", "a", "x"], ["n", "a", "b"]) == ["n", "b", "a"]
-    assert store.migrate(1, [(2, "two"), (1, "one"), (3, "three")]) == ["two", "three"]
 
 
 def test_column_labels_of_any_length(spark):
@@ -102,3 +101,50 @@ def test_column_labels_of_any_length(spark):
     numbers = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 1 << 40, (1 << 63) - 1]
     df = spark.createDataFrame([(i,) for i in numbers], "i long").select("i", T.column_label(F.col("i")).alias("label"))
     assert {r["i"]: r["label"] for r in df.collect()} == {i: by_hand(i) for i in numbers}
+
+
+def test_migrations_run_once(spark):
+    from gridmill.operators import store
+
+    steps = [(1, "create table if not exists mig_a (id int) using parquet"), (2, "create table if not exists mig_b (id int, name string) using parquet"), (2, "insert into mig_a values (7)")]
+    assert store.run_migrations(spark, steps[:1], "mig_version") == 1
+    assert store.run_migrations(spark, steps, "mig_version") == 2 == store.run_migrations(spark, steps, "mig_version")
+    assert spark.table("mig_a").count() == 1 and spark.table("mig_b").columns == ["id", "name"]
+    for t in ("mig_a", "mig_b", "mig_version"):
+        spark.sql(f"drop table {t}")
+
+
+def test_failed_image_fails_the_query(spark):
+    import pytest
+
+    from gridmill.sources.ingest import page_results
+
+    pages = spark.createDataFrame([(1, 0, "Image", "broken")], "doc_id long, page_index int, kind string, error string")
+    words = spark.createDataFrame([], "doc_id long, page_index int")
+    with pytest.raises(Exception, match="could not be read"):
+        page_results(pages, words).collect()
+
+
+def test_overlay_of_none(spark):
+    from gridmill.operators.layout import overlay
+
+    words = spark.createDataFrame([(1, 50.0)], "doc_id long, confidence double")
+    assert overlay(words, "none").count() == 0 and overlay(words, "all").first()["dim"] is False
+
+
+def test_undo_by_hand(spark):
+    from gridmill.operators.history import undo_state
+
+    def state(*actions, depth=50):
+        log = [(1, i, a, g) for i, (a, g) in enumerate(actions)]
+        r = undo_state(spark.createDataFrame(log, "k int, seq int, action string, grid string"), ["k"], depth).first()
+        return r["current"], r["undo"], r["redo"]
+
+    edits = [("reset", "a"), ("apply", "b"), ("apply", "c")]
+    assert state(*edits) == ("c", 2, 0) and state(*edits, ("apply", "c")) == ("c", 2, 0)
+    assert state(*edits, ("undo", None)) == ("b", 1, 1) and state(*edits, ("undo", None), ("redo", None)) == ("c", 2, 0)
+    assert state(*edits, ("undo", None), ("apply", "d")) == ("d", 2, 0)  # nothing can be redone
+    assert state(*edits, ("redo", None)) == ("c", 2, 0) and state(("reset", "a"), ("undo", None)) == ("a", 0, 0)
+    assert state(*edits, ("reset", "z")) == ("z", 0, 0)
+    many = [("reset", "0"), *[("apply", str(i)) for i in range(1, 80)]]
+    assert state(*many) == ("79", 50, 0) and state(*many, *[("undo", None)] * 60) == ("29", 0, 50)
