@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from gridmill.llm.common import batch, checkpointed, strings
 
 SEED = 42
-SAMPLE = 4096
+#: The tree that cuts shards grows on so many fingerprints for each shard, and so many at least: 2 MB at most.
+SAMPLE_EACH, SAMPLE = 16, 4096
 #: Fingerprints of a shard, about; shards at most.
 SHARD, MOST_SHARDS = 4_000, 1 << 14
 BUCKET = 256
@@ -157,8 +158,9 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """``u, v`` with v < u: forests that join exactly the fingerprints within ``radius`` bits of each other, or by way of others."""
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     shards = max(1, min(MOST_SHARDS, -(-n // SHARD)))
+    drawn = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(max(SAMPLE, SAMPLE_EACH * shards))
+    sample = drawn.toArrow().column("fp").to_numpy().view(np.uint64)
     tree = spark.sparkContext.broadcast(grow(np.sort(sample), max(4, len(sample) // shards), np.random.default_rng(0), shards, iter(range(1 << 60))))
     sent = pa.schema([("shard", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
 
@@ -198,8 +200,8 @@ def components(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "
 
     Returns ``doc_id, fingerprint, component_id``, one row for each row of ``docs``. A null text, like an empty one, has
     fingerprint zero, which is linked like any other. Rows that repeat are rows of one component. A null id is never the
-    least; a component of null ids only has none. An empty table gives no row; other columns are not read. Copies are
-    one fingerprint from the start, so they cost no more than their rows.
+    least; a component of null ids only has none. Very long texts are read whole. An empty table gives no row; other columns
+    are not read, whatever their names. Copies are one fingerprint from the start, so they cost no more than their rows.
     """
     rows = checkpointed(fingerprints(docs, width, id_col, text_col))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -213,8 +215,12 @@ def components(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "
 # -- near copies by likeness ------------------------------------------------
 
 MINIMA = 6
+#: Classes that are compared in one task.
 BLOCK = 2_000
+#: Two fingerprints within this are likely to be alike, and looked at first.
 NEAR_BITS = 24
+#: Buckets by which shingles of large meetings are counted.
+BUCKETS = 1 << 20
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -264,46 +270,92 @@ def overlaps(sets: list[np.ndarray], rows: Iterable[int], most: int = 4_000_000)
         yield i, both
 
 
-def near_edges(ids: list[int], points: np.ndarray, sets: list[np.ndarray], guest: list[bool], least: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges that join all members alike, and the members' roots. Who is joined already is not compared; guests aren't compared with one another.
+class Joined:
+    """Who is joined with whom: the least place of each group."""
 
-    A vantage-point tree over the fingerprints proposes those within ``NEAR_BITS``, and the sets decide. That joins most, and
-    cheaply; whoever is outside the largest group then is compared with all others by counts of common members, so that no
-    pair is lost whatever its fingerprints.
-    """
-    root = list(range(len(ids)))
+    def __init__(self, known: list[int]):
+        first: dict[int, int] = {}
+        self.root = [first.setdefault(k, i) for i, k in enumerate(known)]
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
         return i
 
-    distinct, back = np.unique(points.view(np.int64), return_inverse=True)
-    holders: list[list[int]] = [[] for _ in distinct]
-    for i, k in enumerate(back.tolist()):
-        holders[k].append(i)
-    values = distinct.view(np.uint64)
-    tree, edges = grow(values, BUCKET, np.random.default_rng(1), 1 << 30, iter(range(1 << 60))), []
-    for leaf, at, _ in reach(tree, values, np.arange(len(values)), np.zeros(len(values), bool), NEAR_BITS):
-        there = np.searchsorted(distinct, leaf.points.view(np.int64))
-        for k in range(0, len(at), 1024):
-            x, y = np.nonzero(np.bitwise_count(values[at[k : k + 1024]][:, None] ^ leaf.points[None, :]) <= NEAR_BITS)
-            for p, q in zip(at[k : k + 1024][x].tolist(), there[y].tolist(), strict=True):
-                if p <= q:
-                    for i in holders[p]:
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.root[max(i, j)] = min(i, j)
+        return i != j
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.find(i) for i in range(len(self.root))])
+
+
+def near_edges(ids: list[int], points: np.ndarray, sets: list[np.ndarray], guest: list[bool], least: float, known: list[int] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that join all members alike, and the members' roots. Who is joined already (equal in ``known``, or by an edge) is not compared.
+
+    Without guests all are compared with all: a vantage-point tree over the fingerprints proposes those within ``NEAR_BITS``,
+    and the sets decide. That joins most, and cheaply; whoever is outside the largest group then is compared with all others
+    by counts of common members, so that no pair is lost whatever its fingerprints. Where there are guests, they are
+    compared with the others, and nobody else.
+    """
+    joined, edges = Joined(ids if known is None else known), []
+    guests = np.array(guest, bool)
+    if not guests.any():
+        distinct, back = np.unique(points.view(np.int64), return_inverse=True)
+        holders: list[list[int]] = [[] for _ in distinct]
+        for i, k in enumerate(back.tolist()):
+            holders[k].append(i)
+        values = distinct.view(np.uint64)
+        tree = grow(values, BUCKET, np.random.default_rng(1), 1 << 30, iter(range(1 << 60)))
+        for leaf, at, _ in reach(tree, values, np.arange(len(values)), np.zeros(len(values), bool), NEAR_BITS):
+            there = np.searchsorted(distinct, leaf.points.view(np.int64))
+            for k in range(0, len(at), 1024):
+                x, y = np.nonzero(np.bitwise_count(values[at[k : k + 1024]][:, None] ^ leaf.points[None, :]) <= NEAR_BITS)
+                for p, q in zip(at[k : k + 1024][x].tolist(), there[y].tolist(), strict=True):
+                    for i in holders[p] if p <= q else ():
                         for j in holders[q]:
-                            if (p < q or i < j) and not (guest[i] and guest[j]) and (a := find(i)) != (b := find(j)) and alike(sets[i], sets[j], least):
-                                root[max(a, b)] = min(a, b)
+                            if (p < q or i < j) and joined.find(i) != joined.find(j) and alike(sets[i], sets[j], least):
+                                joined.join(i, j)
                                 edges.append((ids[i], ids[j]))
-    roots = np.array([find(i) for i in range(len(ids))])
-    outside = np.flatnonzero(roots != np.bincount(roots).argmax()).tolist()
-    size, guests = np.fromiter(map(len, sets), np.int64, len(sets)), np.array(guest, bool)
-    for i, both in overlaps(sets, outside) if outside else ():
+    roots = joined.roots()
+    asking = np.flatnonzero(guests) if guests.any() else np.flatnonzero(roots != np.bincount(roots).argmax())
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    for i, both in overlaps(sets, asking.tolist()) if len(asking) else ():
         for j in np.flatnonzero((both > 0) & (both >= least * (size[i] + size - both)) & (roots != roots[i]) & ~(guests & guests[i])).tolist():
-            if (a := find(i)) != (b := find(j)):
-                root[max(a, b)] = min(a, b)
+            if joined.join(i, j):
                 edges.append((ids[i], ids[j]))
-    return edges, [find(i) for i in range(len(ids))]
+    return edges, joined.roots()
+
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, likeness: float) -> np.ndarray:
+    """The rarest members of a set, as many as two sets alike by ``likeness`` cannot both do without: they have one of these in common.
+
+    Rare by the count of a member's bucket, ties by the member itself; any order that is the same for all sets would do.
+    """
+    order = np.lexsort((shingles, counts[shingles >> np.uint32(32 - (BUCKETS.bit_length() - 1))]))
+    return shingles[order[: len(shingles) - int(np.ceil(likeness * len(shingles) - 1e-9)) + 1]]
+
+
+def _common_counts(sets: DataFrame) -> np.ndarray:
+    """How often the members of all sets fall into each of ``BUCKETS`` buckets, which is all that comes to the driver."""
+    schema, shift = pa.schema([("bucket", pa.int32()), ("n", pa.int64())]), np.uint32(32 - (BUCKETS.bit_length() - 1))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                n += np.bincount(np.frombuffer(raw, np.uint32) >> shift, minlength=BUCKETS) if len(raw) > BUCKETS else 0
+                if len(raw) <= BUCKETS:
+                    np.add.at(n, np.frombuffer(raw, np.uint32) >> shift, 1)
+        some = np.flatnonzero(n)
+        for k in range(0, len(some), 50_000):
+            yield batch(schema, [some[k : k + 50_000].astype(np.int32), n[some[k : k + 50_000]]])
+
+    found = sets.select("shingles").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
 
 def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,10 +363,14 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
 
     Documents of equal sets are one class from the start. Classes meet where one of six minima of their sets is the same
     (two sets alike by 0.8 miss one another in all six once in 15,000 pairs); there a vantage-point tree over SimHash
-    fingerprints of the sets proposes pairs, what it leaves apart is counted out, and the sets decide (by 32 bits of each shingle's hash). A meeting of more than ``BLOCK`` classes is dealt into blocks, each
-    with the least class as guest; whoever is not joined with that guest visits all the blocks in a second round, so that no
-    link of the meeting is lost and nobody compares all with all. Documents without a word are one class. A row with a null
-    id stands alone, with a null component.
+    fingerprints of the sets proposes pairs, what it leaves apart is counted out, and the sets decide (by 32 bits of each
+    shingle's hash). A meeting of more than ``BLOCK`` classes, as a passage that very many documents have makes one, is dealt
+    into blocks. Each block is compared in itself and with the least class; then the heads of its large groups visit the
+    other blocks. What can be alike beyond that has one of its rarest shingles in common: by these the classes of large
+    meetings meet again, where two groups do that are not joined yet. So no link of a meeting is lost, and nobody compares
+    all with all. Documents without a word are one class; a null text has none. A row with a null id stands alone, with a
+    null component. Rows of one id have each the group of their own text. Very long texts are read whole; an empty table
+    gives no row; other columns are not read, whatever their names.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
@@ -326,82 +382,112 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(texts.mapInArrow(read, "doc_id long, own long, keys array<long>"))
     classes = checkpointed(rows.filter("doc_id is not null").groupBy("own").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
-    each = classes.select("id", F.explode("keys").alias("key"))
-    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"same{i}") for i in range(2)]
-    counts = each.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader"), *same).filter("n > 1")
-    counts = counts.groupBy("n", "leader", "same0", "same1").agg(F.min("key").alias("key")).select("key", "n", "leader")  # one meeting of the same classes is enough
+    each = classes.select("own", F.explode("keys").alias("key"))
+    counts = _meetings(each)
     met = checkpointed(each.join(counts, "key"))
-    asked = met.select(F.col("id").alias("doc_id")).distinct()
-    packed = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
+    asked = classes.join(met.select("own").distinct(), "own", "left_semi").select("own", F.col("id").alias("doc_id"))
+    packed = pa.schema([("own", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the classes asked for; a row of the same id with another text is none of them."""
         for b in batches:
-            found = strings(b.column(1))
-            sets = [shingle_set(t, width) for t in found]
-            fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-            yield batch(packed, [b.column(0), fps, [np.unique(s.astype(np.uint32)).tobytes() for s in sets]])
-
-    sets = checkpointed(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(pack, "id long, fp long, shingles binary").dropDuplicates(["id"]))
+            out = []
+            for own, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
+                s = shingle_set(text, width)
+                if xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == own:
+                    out.append((own, int(np.uint64(majority(s)).view(np.int64)), np.unique(s.astype(np.uint32)).tobytes()))
+            if out:
+                yield batch(packed, zip(*out, strict=True))
+
+    sets = checkpointed(texts.join(asked, "doc_id").select("own", "text").mapInArrow(pack, "own long, fp long, shingles binary").dropDuplicates(["own"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    spread = F.pmod(F.xxhash64("own"), blocks).cast("int")
     all_blocks = F.sequence(F.lit(0), blocks - 1)
-    members = met.select("key", "id", own.alias("block"), F.lit(False).alias("guest"))
-    leaders = counts.filter(blocks > 1).select("key", F.col("leader").alias("id"), F.explode(all_blocks).alias("block"), F.lit(True).alias("guest"))
-    said = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("visitor", pa.int64())])
-
-    def compare(second: bool):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, group = None, []
-
-            def close() -> list[tuple]:
-                unique = {r[0]: r for r in sorted(group, key=lambda r: r[3])}  # a leader is a guest in its own block too
-                ids = sorted(unique)
-                rows = [unique[i] for i in ids]
-                edges, roots = near_edges(ids, np.array([r[1] for r in rows], np.int64).view(np.uint64), [np.frombuffer(r[2], np.uint32) for r in rows], [r[3] for r in rows], likeness)
-                out = [(max(e), min(e), None, None) for e in edges]
-                hosts = [k for k, r in enumerate(rows) if r[3]]
-                if hosts and not second:
-                    out += [(None, None, at[0], i) for i, k, r in zip(ids, roots, rows, strict=True) if k != roots[hosts[0]] and not r[3]]
-                return out
-
-            found: list[tuple] = []
+    told = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("head", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Group after group of (key, block): edges, and the heads of a large block's large groups."""
+        at, group = None, []
+
+        def close() -> list[tuple]:
+            unique = {r[0]: r for r in sorted(group, key=lambda r: r[3])}  # a guest may stand in its own block too
+            members = [unique[i] for i in sorted(unique)]
+            ids = [r[0] for r in members]
+            edges, roots = near_edges(ids, np.array([r[1] for r in members], np.int64).view(np.uint64), [np.frombuffer(r[2], np.uint32) for r in members], [r[3] for r in members], likeness, [i if r[4] is None else r[4] for i, r in zip(ids, members, strict=True)])
+            out = [(max(e), min(e), None, None) for e in edges]
+            if members[0][5]:
+                size = np.bincount(roots)
+                out += [(None, None, at[0], ids[k]) for k in np.flatnonzero(size >= max(2, len(ids) / 20)).tolist()]
+            return out
+
+        found: list[tuple] = []
+        for b in batches:
+            for key, block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, block) != at:
+                    if len(group) > 1:
+                        found += close()
+                    at, group = (key, block), []
+                    if len(found) > 20_000:
+                        yield batch(told, zip(*found, strict=True))
+                        found = []
+                group.append(row)
+        if len(group) > 1:
+            found += close()
+        if found:
+            yield batch(told, zip(*found, strict=True))
+
+    def meeting(who: DataFrame) -> DataFrame:
+        """``who``: key, block, own, guest, root (the group it is in, or null), heads (whether heads of groups are asked for)."""
+        full = who.join(sets, "own").select("key", "block", "own", "fp", "shingles", "guest", "root", "heads")
+        return checkpointed(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "u long, v long, key long, head long"))
+
+    none, no = F.lit(None).cast("long").alias("root"), F.lit(False)
+    first = meeting(met.select("key", spread.alias("block"), "own", no.alias("guest"), none, (blocks > 1).alias("heads")))
+    edges, large = first.filter("u is not null").select("u", "v"), met.filter(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        sized = counts.filter(F.col("n") > BLOCK).select("key", "n")
+        guests = first.filter("head is not null").select("key", F.col("head").alias("own")).unionAll(large.groupBy("key").agg(F.min("own").alias("own"))).distinct()
+        visits = guests.join(sized, "key").select("key", F.explode(all_blocks).alias("block"), "own", F.lit(True).alias("guest"), none, no.alias("heads"))
+        hosts = large.select("key", spread.alias("block"), "own", no.alias("guest"), none, no.alias("heads"))
+        edges = edges.unionAll(meeting(hosts.unionAll(visits)).filter("u is not null").select("u", "v"))
+        group = stars(edges)
+        those = large.select("own").distinct()
+        theirs = checkpointed(sets.join(those, "own", "left_semi").select("own", "shingles"))
+        common = docs.sparkSession.sparkContext.broadcast(_common_counts(theirs).astype(np.int32))
+        rare = pa.schema([("own", pa.int64()), ("key", pa.int64())])
+
+        def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for key, block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if (key, block) != at:
-                        if len(group) > 1:
-                            found += close()
-                        at, group = (key, block), []
-                        if len(found) > 20_000:
-                            yield batch(said, zip(*found, strict=True))
-                            found = []
-                    group.append(row)
-            if len(group) > 1:
-                found += close()
-            if found:
-                yield batch(said, zip(*found, strict=True))
-
-        return run
-
-    def meeting(who: DataFrame, second: bool) -> DataFrame:
-        full = who.join(sets, "id").select("key", "block", "id", "fp", "shingles", "guest")
-        return full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(compare(second), "u long, v long, key long, visitor long")
-
-    first = checkpointed(meeting(members.unionAll(leaders), False))
-    edges = first.filter("u is not null").select("u", "v")
-    visitors = first.filter("visitor is not null").select("key", F.col("visitor").alias("id"))
-    if not visitors.isEmpty():
-        sized = counts.select("key", blocks.alias("blocks"))
-        guests = visitors.join(sized, "key").select("key", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("guest"))
-        hosts = members.join(visitors.select("key").distinct(), "key", "left_semi").join(visitors, ["key", "id"], "left_anti")
-        among = visitors.select("key", "id", F.lit(-1).alias("block"), F.lit(False).alias("guest"))
-        edges = edges.unionAll(meeting(guests.unionAll(hosts.select("key", "id", "block", "guest")).unionAll(among), True).filter("u is not null").select("u", "v"))
+                for own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    keys = prefix(np.frombuffer(raw, np.uint32), common.value, likeness)
+                    yield batch(rare, [np.full(len(keys), own, np.int64), keys.astype(np.int64)])
+
+        tokens = theirs.mapInArrow(cut, "own long, key long").join(group.select(F.col("u").alias("own"), F.col("v").alias("root")), "own", "left").withColumn("root", F.coalesce("root", "own"))
+        again = checkpointed(tokens.join(_meetings(tokens, "root"), "key"))
+        pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
+        third = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", no.alias("guest"), "root", no.alias("heads"))
+        edges = edges.unionAll(meeting(third).filter("u is not null").select("u", "v"))
     joined = stars(edges)
-    member = classes.select("own", "id").join(joined.select(F.col("u").alias("id"), "v"), "id", "left").select("own", F.coalesce("v", "id").alias("component_id"))
+    found = classes.select("own", "id").join(joined.select(F.col("u").alias("own"), "v"), "own", "left").select("own", "id", F.coalesce("v", "own").alias("group"))
+    least_id = found.groupBy("group").agg(F.min("id").alias("component_id"))
+    member = found.join(least_id, "group").select("own", "component_id")
     return rows.join(member, "own", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _meetings(each: DataFrame, apart: str | None = None) -> DataFrame:
+    """``key, n`` of the keys that two or more have (own, key), and two or more groups if ``apart`` names them; of keys that the same have, one."""
+    same = [F.bit_xor(F.xxhash64("own", F.lit(i))).alias(f"same{i}") for i in range(2)]
+    groups = [(F.min(apart) != F.max(apart)).alias("mixed")] if apart else [F.lit(True).alias("mixed")]
+    counts = each.groupBy("key").agg(F.count("*").alias("n"), *same, *groups).filter("n > 1 and mixed")
+    return counts.groupBy("n", "same0", "same1").agg(F.min("key").alias("key")).select("key", "n")
+
+
 def keep_first(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the least of their near copies; rows with a null id stay. Of rows with one id, one stays."""
+    """The rows of ``docs``, with all their columns, whatever their names, that are the least of their near copies.
+
+    Rows with a null id stay. Of rows with one id, one stays, the first by the hash of its text, and none if one of them is a
+    near copy of a lesser id. A null text is like an empty one; an empty table gives no row.
+    """
     found = checkpointed(near_copies(docs, width, likeness, id_col, text_col).select(F.col("doc_id").alias(id_col), "component_id"))
     kept = docs.join(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti")
     repeated = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)

@@ -340,8 +340,8 @@ def repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: s
 
     Returns ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words, joined by one space), one row for each row of
     ``docs``. Windows are judged on the input. A null text has no words. A row with a null id has no place in the order: it
-    loses nothing and takes nothing from others. Rows of one id don't take from one another. An empty table gives no row;
-    other columns are not read.
+    loses nothing and takes nothing from others. Rows of one id don't take from one another. Very long texts are read whole.
+    An empty table gives no row; other columns are not read, whatever their names.
     """
     return _rounds(docs, size, id_col, text_col, False)
 
@@ -350,13 +350,17 @@ def remove_repeats(docs: DataFrame, size: int = 40, id_col: str = "doc_id", text
     """``docs`` with all their columns and texts without repeated passages of ``size`` words; ``n_chars``, if there, counts the new text.
 
     A document of which nothing is left but had words goes. Ids must be distinct where they aren't null; a row with a null
-    id stays as it is.
+    id, or a null or empty text, stays as it is. Very long texts are read whole; an empty table gives no row; names of other
+    columns may be any.
     """
-    new = _rounds(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col, True).filter("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), (F.col("n_removed") == F.col("n_words")).alias("__gone"))
-    out = docs.join(new, F.col(id_col) == F.col("__id"), "left").filter("__gone is null or not __gone")
-    changed = {text_col: F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(F.col(text_col))}
+    long = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    key, text, gone = f"id{long}", f"text{long}", f"gone{long}"
+    new = _rounds(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col, True).filter("n_removed > 0")
+    new = new.select(F.col("doc_id").alias(key), F.col("text").alias(text), (F.col("n_removed") == F.col("n_words")).alias(gone))
+    out = docs.join(new, F.col(id_col) == F.col(key), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    changed = {text_col: F.when(F.col(key).isNotNull(), F.col(text)).otherwise(F.col(text_col))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__id").isNotNull(), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(key).isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*docs.columns)
 
 

@@ -215,6 +215,20 @@ def test_remove_repeats(docs, rows):
     assert 99 not in left and left[93] == "x y" and left[90] == rows[30][1]
 
 
+def test_stages_take_any_columns(spark, empty):
+    """Names that the operators use themselves, empty tables, nulls and a very long text."""
+    long_text = " ".join(f"w{i % 7000}" for i in range(200_000))
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(1, passage, 1, "a", "b"), (2, "x " + passage, 2, "a", "b"), (3, None, 3, "a", "b"), (4, "", 4, "a", "b"), (5, long_text, 5, "a", "b"), (None, passage, 6, "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __text string, own string")
+    out = {r["__id"]: r["text"] for r in substring.remove_repeats(df, 40).collect()}
+    assert out == {1: passage, 2: "x ", 3: None, 4: "", 5: out[5], 6: passage} and len(out[5]) == len(long_text)
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns and {r["__id"] for r in kept.collect()} == {1, 3, 5, 6}  # 2 is a near copy; no words at all make one document
+    for stage in (lambda d: simhash.keep_first(d), lambda d: substring.remove_repeats(d, 40), lambda d: pii.replace_in_place(d, b"k")):
+        assert stage(empty).count() == 0 and stage(empty).columns == empty.columns
+
+
 def simhash_by_hand(t):
     w = words(t, True)
     s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -236,6 +250,33 @@ def test_simhash(docs, empty, rows):
     assert simhash.components(empty).count() == 0
 
 
+def test_simhash_over_many_shards(spark, monkeypatch):
+    """Chains of near fingerprints that run across the cuts between shards, against brute force."""
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    rng = np.random.default_rng(8)
+    points = [int(x) for x in rng.integers(0, 1 << 62, 300)]
+    for k in range(0, 300, 3):  # walks of one or two bits a step
+        p = points[k]
+        for _ in range(int(rng.integers(1, 6))):
+            for bit in rng.choice(64, int(rng.integers(1, 3)), replace=False):
+                p ^= 1 << int(bit)
+            points.append(p)
+    fps = sorted(set(points))
+    root = list(range(len(fps)))
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    signed_ = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed_(p),) for p in fps], "fp long").repartition(4)
+    links = [tuple(r) for r in simhash.links(df, 2).collect()]
+    index = {signed_(p): i for i, p in enumerate(fps)}
+    assert len(fps) > 400
+    found = simhash.labels_of(len(fps), np.array([index[u] for u, _ in links]), np.array([index[v] for _, v in links]))
+    assert found.tolist() == root
+    joined = {r["u"]: r["v"] for r in simhash.stars(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert all((joined.get(signed_(a), signed_(a)) == joined.get(signed_(b), signed_(b))) == (root[index[signed_(a)]] == root[index[signed_(b)]]) for a, b in zip(fps, fps[1:], strict=False))
+
+
 def test_forest_is_exact():
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -361,8 +402,47 @@ def test_near_copies_of_other_repeats(spark):
     assert got(simhash.near_copies(df)) == collections.Counter((i, i - i % 2) for i in range(len(texts)))
     sets = [np.arange(0, 100, dtype=np.uint32), np.arange(5, 100, dtype=np.uint32), np.arange(60, 130, dtype=np.uint32)]
     far = np.array([0, (1 << 64) - 1, (1 << 32) - 1], np.uint64)  # no fingerprint is near another
-    assert simhash.near_edges([1, 2, 3], far, sets, [False] * 3, 0.8)[1] == [0, 0, 2]
+    assert simhash.near_edges([1, 2, 3], far, sets, [False] * 3, 0.8)[1].tolist() == [0, 0, 2]
     assert simhash.near_edges([1, 2, 3], far, sets, [True] * 3, 0.8)[0] == []
+    assert simhash.near_edges([1, 2, 3], far, sets, [True, False, False], 0.8)[0] == [(1, 2)]
+    assert simhash.near_edges([1, 2, 3], far, sets, [False] * 3, 0.8, [7, 7, 9])[0] == []  # those two are joined already
+
+
+@pytest.mark.parametrize("block", [8, 40, 2_000])
+def test_near_copies_with_a_common_passage(spark, monkeypatch, block):
+    """Unlike documents that share a long passage meet in large numbers; copies among them are found all the same, and only those."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd, passage = random.Random(12), " ".join(f"common{i}" for i in range(60))
+    texts = []
+    for k in range(60):
+        own = [f"u{k}x{i}" for i in range(rnd.choice([20, 40, 80]))]
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            t = own.copy()
+            t[rnd.randrange(len(t))] = f"edit{rnd.randint(0, 10**6)}"
+            texts.append(passage + " " + " ".join(t))
+    big = [f"big{i}" for i in range(100)]
+    for _ in range(60):  # one large group
+        t = big.copy()
+        t[rnd.randrange(100)] = f"edit{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(t) + " " + passage)
+    rnd.shuffle(texts)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert got(simhash.near_copies(df)) == collections.Counter(enumerate(root))
+
+
+def test_two_sets_alike_share_a_rare_member():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 1000, simhash.BUCKETS)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 32, rng.integers(1, 60), dtype=np.uint32))
+        b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 1 << 32, rng.integers(0, 6), dtype=np.uint32)]))
+        if simhash.alike(a, b, 0.8):
+            assert set(simhash.prefix(a, counts, 0.8).tolist()) & set(simhash.prefix(b, counts, 0.8).tolist())
 
 
 def test_suffix_tree_keeps_what_tells(spark):
