@@ -13,7 +13,7 @@ from gridmill.llm.queries import ADDED, RANKS, surrogate_key
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; a text without a letter has none."""
+    """Documents whose text has a language: a letter, and more of one language than of the others. Where ``lang`` is null, it becomes the predicted one."""
     return langid.keep_identified(docs)
 
 
@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that an earlier document has; a document that has nothing else goes."""
-    return substring.remove_repeats(docs)
+    """Documents without the passages of 40 words or more that an earlier document has; a document that has nothing else goes."""
+    return substring.remove_repeats(docs, size=40)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps lies in the shared folder until the next has read it."""
+    """All stages over ``documents``; what each keeps lies in the shared folder until the next has read it. The last one's rows stay, as the result is read from there."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
