@@ -23,8 +23,8 @@ from gridmill.llm.common import batch, small_runs, strings
 NONE = np.iinfo(np.int64).max
 #: A leaf is rank << SHIFT | position.
 SHIFT = 32
-#: Pieces and words that a worker remembers, together.
-MOST_CACHED = 1_000_000
+#: Characters that a worker remembers, of pieces and words and of their ids together; and of the longest piece that is remembered.
+MOST_HELD, LONGEST_HELD = 64_000_000, 64
 #: In texts of these characters only, ``re`` classes and Unicode properties agree, and the only spaces are " " and "\n".
 OTHER = re.compile("[^\n -~À-ÖØ-öø-ɏ]")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -58,6 +58,7 @@ class ByteBPE:
         self.pieces: dict[str, str] = {}
         self.heads: dict[str, str] = {}
         self.tails: dict[str, str] = {}
+        self.held, self.long = 0, []
 
     # -- merging ------------------------------------------------------------
 
@@ -177,16 +178,29 @@ class ByteBPE:
 
     # -- texts --------------------------------------------------------------
 
+    def _add(self, cache: dict[str, str], new: Iterable[tuple[str, str]]) -> None:
+        for text, ids in new:
+            cache[text] = ids
+            self.held += len(text) + len(ids)
+            if len(text) > LONGEST_HELD:
+                self.long.append((cache, text))
+
+    def _forget(self) -> None:
+        """Long pieces, which seldom come again; and all, once they are too many."""
+        for cache, text in self.long:
+            self.held -= len(text) + len(cache.pop(text))
+        self.long.clear()
+        if self.held > MOST_HELD:
+            self.pieces, self.heads, self.tails, self.held = {}, {}, {}, 0
+
     def _know(self, pieces: set[str]) -> None:
         new = list(pieces - self.pieces.keys())
-        self.pieces.update(zip(new, self.merged([p.encode() for p in new]), strict=True))
+        self._add(self.pieces, zip(new, self.merged([p.encode() for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[str]:
         """Ids of each text, in decimal, joined by one space. Empty for an empty text."""
         out: list[str] = [""] * len(texts)
         for start, end in small_runs(texts):
-            if len(self.pieces) + len(self.tails) + len(self.heads) > MOST_CACHED:
-                self.pieces, self.heads, self.tails = {}, {}, {}
             cut, odd = {}, {}
             for i in range(start, end):
                 if plain(texts[i]):
@@ -197,8 +211,8 @@ class ByteBPE:
             tails = {x: PIECE.findall(" " + x) for x in set().union(*cut.values()) - self.tails.keys()}
             self._know(set().union(*heads.values(), *tails.values(), *odd.values()))
             known = self.pieces.__getitem__
-            self.heads.update((x, " ".join(map(known, p))) for x, p in heads.items())
-            self.tails.update((x, " ".join(map(known, p))) for x, p in tails.items())
+            self._add(self.heads, ((x, " ".join(map(known, p))) for x, p in heads.items()))
+            self._add(self.tails, ((x, " ".join(map(known, p))) for x, p in tails.items()))
             tail = self.tails.__getitem__
             for i, p in odd.items():
                 out[i] = " ".join(map(known, p))
@@ -206,6 +220,7 @@ class ByteBPE:
                 c_ids = list(map(tail, c))
                 c_ids[0] = self.heads[c[0]]
                 out[i] = " ".join(c_ids)
+            self._forget()
         return out
 
     def decode(self, ids: str) -> bytes:
@@ -218,7 +233,7 @@ def byte_bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row for each row of ``docs``. A null text counts as
     empty: no tokens, and the digests of nothing. Null ids, repeated rows and very long texts are rows like any other;
     an empty table gives none. Other columns are not read. Rows stay where they are read: there is no exchange. A worker
-    keeps at most ``MOST_CACHED`` pieces it has met, then starts anew.
+    remembers short pieces it has met, ``MOST_HELD`` characters of them, then starts anew.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -69,4 +69,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, pii_collisions)}
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can say on whole tables. The others need merges by rank, XXH64, a learned model or a graph; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words)
+), firsts as (select s, min(doc_id) as first from windows group by s
+), gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (s) where first < doc_id
+), marked as (select doc_id, list(p) as ps, count(*) as n from gone group by doc_id
+) select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
+  from words left join marked using (doc_id)""",
+}

@@ -84,6 +84,16 @@ def test_bpe_random(encoding):
     assert [coder.decode(c).decode() for c in coded] == texts
 
 
+def test_bpe_forgets_long_pieces(monkeypatch):
+    coder = bpe.ByteBPE(RANKS, public_tokenizers.PATTERN)
+    rnd = random.Random(1)
+    coded = coder.encode(["".join(rnd.choices("abcdefgh", k=300)) + " short" for _ in range(20)])
+    assert all(coded) and max(map(len, [*coder.pieces, *coder.heads, *coder.tails])) <= bpe.LONGEST_HELD
+    assert coder.held == sum(len(a) + len(b) for c in (coder.pieces, coder.heads, coder.tails) for a, b in c.items())
+    monkeypatch.setattr(bpe, "MOST_HELD", 5)
+    assert coder.encode(["one more"]) == bpe.ByteBPE(RANKS, public_tokenizers.PATTERN).encode(["one more"]) and not coder.pieces
+
+
 def units(t):
     """Words of at most 32 characters, single characters of longer runs and of scripts without spaces, each with the spaces that follow."""
     import regex
@@ -187,6 +197,14 @@ def test_substring(docs, empty, rows, monkeypatch, size, hot):
         assert substring.repeats(empty, size).count() == 0
 
 
+def test_substring_against_sql(spark, sf):
+    import compare
+
+    from gridmill.llm import queries
+
+    assert compare.differences(queries.op3_substring_dedup(spark, sf), queries.ORACLE_SQL["op3_substring_dedup"], compare.duck(sf)) == ""
+
+
 def test_automaton():
     rnd = random.Random(1)
     for _ in range(200):
