@@ -450,19 +450,21 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         visits = guests.join(sized, "key").select("key", F.explode(all_blocks).alias("block"), "own", F.lit(True).alias("guest"), none, no.alias("heads"))
         hosts = large.select("key", spread.alias("block"), "own", no.alias("guest"), none, no.alias("heads"))
         edges = edges.unionAll(meeting(hosts.unionAll(visits)).filter("u is not null").select("u", "v"))
-        group = stars(edges)
-        those = large.select("own").distinct()
-        theirs = checkpointed(sets.join(those, "own", "left_semi").select("own", "shingles"))
+        group = stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root"))
+        those = large.select("own").distinct().join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
+        theirs = checkpointed(sets.join(those, "own").select("own", "root", "shingles"))
         common = docs.sparkSession.sparkContext.broadcast(_common_counts(theirs).astype(np.int32))
-        rare = pa.schema([("own", pa.int64()), ("key", pa.int64())])
+        rare = pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    keys = prefix(np.frombuffer(raw, np.uint32), common.value, likeness)
-                    yield batch(rare, [np.full(len(keys), own, np.int64), keys.astype(np.int64)])
+                for start in range(0, b.num_rows, 1_000):
+                    part = b.slice(start, 1_000)
+                    keys = [prefix(np.frombuffer(raw, np.uint32), common.value, likeness) for raw in part.column(2).to_pylist()]
+                    n = list(map(len, keys))
+                    yield batch(rare, [*(np.repeat(part.column(i).to_numpy(), n) for i in (0, 1)), np.concatenate(keys).astype(np.int64)])
 
-        tokens = theirs.mapInArrow(cut, "own long, key long").join(group.select(F.col("u").alias("own"), F.col("v").alias("root")), "own", "left").withColumn("root", F.coalesce("root", "own"))
+        tokens = theirs.mapInArrow(cut, "own long, root long, key long")
         again = checkpointed(tokens.join(_meetings(tokens, "root"), "key"))
         pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
         third = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", no.alias("guest"), "root", no.alias("heads"))
