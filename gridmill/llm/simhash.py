@@ -179,14 +179,15 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """``u, v``: every node of ``edges`` but the least of its component, and that least node. By alternating large and small stars."""
+    """``u, v``: every node of ``edges`` but the least of its component, and that least node. By alternating large and small stars.
+
+    It ends when each node but a centre has one edge, and centres have none of their own.
+    """
     edges = checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
     while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1 and out > 0").isEmpty():
             return edges
-        state = now
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -451,7 +452,8 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         hosts = large.select("key", spread.alias("block"), "own", no.alias("guest"), none, no.alias("heads"))
         edges = edges.unionAll(meeting(hosts.unionAll(visits)).filter("u is not null").select("u", "v"))
         group = stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root"))
-        those = large.select("own").distinct().join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
+        of = lambda rows: rows.join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
+        those = of(large.select("own").distinct())
         theirs = checkpointed(sets.join(those, "own").select("own", "root", "shingles"))
         common = docs.sparkSession.sparkContext.broadcast(_common_counts(theirs).astype(np.int32))
         rare = pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
@@ -468,9 +470,17 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         again = checkpointed(tokens.join(_meetings(tokens, "root"), "key"))
         pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
         third = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", no.alias("guest"), "root", no.alias("heads"))
-        edges = edges.unionAll(meeting(third).filter("u is not null").select("u", "v"))
-    joined = stars(edges)
-    found = classes.select("own", "id").join(joined.select(F.col("u").alias("own"), "v"), "own", "left").select("own", "id", F.coalesce("v", "own").alias("group"))
+        more = meeting(third).filter("u is not null").select("u", "v")
+        whole = classes.select("own", "id")
+        if more.isEmpty():
+            found = of(whole).withColumnRenamed("root", "group")
+        else:  # groups are joined, as a whole
+            ends = of(of(more.withColumnRenamed("u", "own")).select("root", F.col("v").alias("own")).withColumnRenamed("root", "v")).select(F.col("v").alias("u"), F.col("root").alias("v"))
+            joined = stars(ends).select(F.col("u").alias("root"), F.col("v").alias("group"))
+            found = of(whole).join(joined, "root", "left").select("own", "id", F.coalesce("group", "root").alias("group"))
+    else:
+        joined = stars(edges)
+        found = classes.select("own", "id").join(joined.select(F.col("u").alias("own"), "v"), "own", "left").select("own", "id", F.coalesce("v", "own").alias("group"))
     least_id = found.groupBy("group").agg(F.min("id").alias("component_id"))
     member = found.join(least_id, "group").select("own", "component_id")
     return rows.join(member, "own", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -818,3 +818,72 @@ def test_nodes_hold_all_rows():
     assert ((units * units[heads[of]]).sum(axis=1) >= 1 - ann.NEAR - 1e-12).all() and (of[heads] == np.arange(len(heads))).all()
     apart = units[heads] @ units[heads].T - np.eye(len(heads))
     assert (apart < 1 - ann.NEAR + 1e-12).all()
+
+
+def test_a_megabyte_of_text(spark):
+    """Very long texts, as many words and as one run, beside short ones: every operator answers for each row, whole texts read."""
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnoprstu", k=rnd.randint(2, 9))) for _ in range(5000)]
+    prose = " ".join(rnd.choices(vocabulary, k=150_000))
+    run, han = "".join(rnd.choices("abcdefghij+/", k=1_000_000)), "".join(chr(0x4E00 + rnd.randint(0, 2000)) for _ in range(200_000))
+    texts = [prose, run, han, "short text", prose + " and an end"]
+    df = spark.createDataFrame([(i, t, ["en", "xx", "zh", "en", "en"][i], "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    coded = {r["doc_id"]: r for r in bpe.byte_bpe_digests(df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert all(coded[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+    near = {r["doc_id"]: r for r in syncmers.edited_fingerprints(df).collect()}
+    assert [near[i]["n_chars"] for i in range(5)] == list(map(len, texts))
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.repeats(df).collect()}
+    assert gone == {0: (150_000, 0), 1: (1, 0), 2: (1, 0), 3: (2, 0), 4: (150_003, 150_000)}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.components(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score(df).collect()} == {0: 150_001, 1: 2, 2: 2, 3: 3, 4: 150_004}
+    assert {r["doc_id"]: r["text"] for r in pii.replace(df, b"k").collect()} == dict(enumerate(texts))
+    assert langid.identify(df).count() == 5 and toxicity.score(df, labels).count() == 5
+    packed = packing.pack(df, RANKS, public_tokenizers.PATTERN).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {i: r["n_tokens"] + 1 for i, r in coded.items()}
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    out = p.run(spark, str(tmp_path))
+    assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """The whole pipeline against its stages done by hand on a small table."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(21)
+    english, german = "the and of to in that was for with his".split(), "der die und das ist nicht ein mit sich auf".split()
+    line = lambda v, n: " ".join(rnd.choices(v, k=n - n // 3) + [f"{v[0]}{rnd.randint(0, 9999)}" for _ in range(n // 3)])
+    passage = line(english, 50)
+    texts = [line(english if i % 2 else german, 80) for i in range(40)]
+    texts += [passage + " " + line(english, 60), line(english, 60) + " " + passage, texts[3], texts[4].rsplit(" ", 1)[0], "12345 %%%", None, passage, texts[5] + " call +1 555 123 4567"]
+    rows = [(i, t, "en" if t and t.split()[0].startswith(tuple(english)) else "de", "s", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    said = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df).collect()}
+    kept = {i: t for i, t, *_ in rows if said[i][0] != "und" and said[i][1] >= 0.4}
+    assert not {44, 45} & kept.keys() and len(kept) > 40
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in kept.items()}
+    for i in sorted(kept, reverse=True):  # copies here are of one text each
+        if any(j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in kept):
+            del kept[i]
+    assert not {42, 43} & kept.keys()
+    before, found = dict(kept), {}
+    for i, t in before.items():
+        w, gone = words(t), set()
+        for k in range(len(w) - 39):
+            if any(j < i and b" ".join(w[k : k + 40]) in b" ".join(words(u)) for j, u in before.items()):
+                gone.update(range(k, k + 40))
+        left = substring.without(t, np.array([k in gone for k in range(len(w))]))
+        if not w or len(gone) < len(w):
+            found[i] = left
+    assert 46 not in found and len(words(found[41])) == 60 and len(words(found[40])) == 110
+    act = pii.replacer(p.surrogate_key(spark))
+    want = {i: len(packing.TokenBytes(RANKS, public_tokenizers.PATTERN, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))).of(act(t)[0])) // 4 + 1 for i, t in found.items()}
+    out = p.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r["doc_id"]: r["n"] for r in out} == want == {r["doc_id"]: r["all"] for r in out}
