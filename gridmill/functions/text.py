@@ -110,6 +110,11 @@ def snippet(s: Column, term: str) -> Column:
     return let(flat, lambda f: let(F.locate(term.lower(), F.lower(f)), lambda at: cut(f, at)))
 
 
+def char_start(source: Column, value: Column) -> Column:
+    """Where a value first stands in its source, from 0, whatever a model said; -1 where it doesn't, or is empty."""
+    return F.when(value != "", F.instr(source, value) - 1).otherwise(-1)
+
+
 # -- escapes for export -----------------------------------------------------
 
 #: Fixed value: what counts as a plain number, which needs no guard.

@@ -150,3 +150,11 @@ def pad_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank cells at the ends of rows are dropped first; padding brings them back."""
     ragged = synth.model_cells(spark, sf_dir).filter("not (value = '' and col_index = 4)")
     return P.padded(ragged).select("doc_id", "page_index", "row_index", "col_index", "value")
+
+
+@query(CELLS + """select doc_id, page_index, row_index, round(avg(case when trim(value) <> '' then 50 + 10 * col_index end), 6) as ocr, case when bool_or(col_index = 1 and trim(value) <> '') then 'medium' else 'high' end as trust,
+  string_agg(row_index || '-' || col_index, '|' order by col_index) as ids from c where col_index <= 2 group by doc_id, page_index, row_index""")
+def merged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merged column takes over: the mean OCR score and the least trust of its filled cells, and all their words."""
+    kept = E.merge_columns(cells(spark, sf_dir), 0, 2).filter("col_index = 0")
+    return kept.select("doc_id", "page_index", "row_index", F.round("ocr", 6).alias("ocr"), "trust", F.array_join("word_ids", "|").alias("ids"))

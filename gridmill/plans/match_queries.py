@@ -243,9 +243,11 @@ def chat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- matching ---------------------------------------------------------------
 
 
-@query(synth.SQL + "select doc_id, page_index, 5 as columns from (select distinct doc_id, page_index from model)")
+@query(synth.SQL + """select doc_id, page_index, n as columns from (select doc_id, page_index, n, row_number() over (partition by doc_id, page_index order by count(*) desc, n desc) as nth from (
+  select doc_id, page_index, row_index, count(*)::int as n from model where col_index < 5 - (doc_id + row_index * row_index) % 4 group by all) group by doc_id, page_index, n) where nth = 1""")
 def expected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.expected_columns(synth.model_cells(spark, sf_dir))
+    """Of pages whose rows are of unlike length, some of them as often as others."""
+    return M.expected_columns(synth.model_cells(spark, sf_dir).filter("col_index < 5 - (doc_id + row_index * row_index) % 4"))
 
 
 @query(synth.SQL.rstrip() + ", f as (select doc_id, page_index, col_index, bool_or(regexp_replace(lower(value), '[^a-z0-9]', '', 'g') <> '' and col_index <> doc_id % 7) as has_text from model group by all) select doc_id, page_index, col_index, cast(case when has_text then sum(has_text::int) over (partition by doc_id, page_index order by col_index) - 1 else -1 end as int) as band from f")

@@ -58,8 +58,7 @@ def output_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets of a value's first place in its source; -1 where it isn't found."""
     text = F.concat(F.lit("Item "), "p_brand", F.lit(": "), "p_name", F.lit(", "), "p_type")
-    at = F.instr(text, F.col("p_name")) - 1
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(at >= 0, at).otherwise(-1).alias("char_start"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", T.char_start(text, F.col("p_name")).alias("char_start"))
 
 
 # -- export -----------------------------------------------------------------
