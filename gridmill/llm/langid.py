@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm.common import batch, remainder_is, strings
@@ -139,11 +139,11 @@ def training_rows(docs: DataFrame, each: int, id_col: str, text_col: str, lang_c
             keep = [has_letter(c) for c in codes]
             yield batch(schema, [b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_())), [np.unique(grams(c, LONGEST)).astype("<i4").tobytes() for c, k in zip(codes, keep, strict=True) if k]])
 
-    got = sorted((r["lang"], r["h"], bytes(r["grams"])) for r in rows.filter(drawn < share[F.col("lang")]).select("lang", F.xxhash64("id", "text").alias("h"), "text").mapInArrow(cut, "lang string, h long, grams binary").collect())
-    out: list[tuple[np.ndarray, str]] = []
-    for lang in sorted(counts):
-        out += [(np.frombuffer(raw, "<i4"), name) for name, _, raw in got if name == lang][: 2 * each]
-    return out
+    sample = rows.filter(drawn < share[F.col("lang")]).select("lang", F.xxhash64("id", "text").alias("h"), "text")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = sample.withColumn("turn", turn).filter(F.col("turn") <= 2 * each).select("lang", "h", "text")
+    got = sorted((r["lang"], r["h"], bytes(r["grams"])) for r in some.mapInArrow(cut, "lang string, h long, grams binary").collect())
+    return [(np.frombuffer(raw, "<i4"), lang) for lang, _, raw in got]
 
 
 def identify(docs: DataFrame, each: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

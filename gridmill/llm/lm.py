@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,23 +112,26 @@ class SuffixTree:
     def score(self, texts: list[bytes]) -> list[float]:
         """log10 of the probability of each text."""
         out = []
-        lead = b"\n" * self.depth
         for start, end in small_runs(texts, 2_000_000):
-            part = texts[start:end]
-            raw = np.frombuffer(b"".join(lead + t for t in part), np.uint8)
-            code = np.zeros(len(raw) - self.depth, np.int64)
-            for j in range(self.depth):
-                code = code << 8 | raw[j : j + len(code)]
-            code = code << 8 | self.classes[raw[self.depth :]]
+            code, begins = symbol_codes(texts[start:end], self.depth, self.classes)
             distinct, back = np.unique(code, return_inverse=True)
-            p = np.concatenate([np.zeros(self.depth), self.of(distinct)[back]])
-            sizes = [self.depth + len(t) for t in part]
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            for a, n in zip(at.tolist(), sizes, strict=True):
-                out.append(float(p[a + self.depth : a + n].sum()))
+            out += np.add.reduceat(self.of(distinct)[back], begins).tolist()
         return out
 
 
+def symbol_codes(texts: list[bytes], depth: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each symbol's class after the ``depth`` symbols before it, text after text, and where each text begins. A text begins after ``depth`` ends."""
+    raw = np.frombuffer(b"".join(b"\n" * depth + t for t in texts), np.uint8)
+    code = np.zeros(len(raw) - depth, np.int64)
+    for j in range(depth):
+        code = code << 8 | raw[j : j + len(code)]
+    code = code << 8 | classes[raw[depth:]]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes
+    own = np.arange(sizes.sum()) + np.repeat(depth * np.arange(len(texts)), sizes)
+    return code[own], begins
+
+
 def classes_of(symbol: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A class for each byte seen ``LEAST_COUNT`` times, and one for all others: 0."""
     own = np.bincount(symbol, n, 256)
@@ -197,10 +201,39 @@ def level_rows(codes: np.ndarray, n: np.ndarray, levels: Iterable[int]) -> dict[
 
 #: The symbols of a context that say which task has it; all longer contexts with these last symbols are there too.
 SHARED = 2
+#: Rows of a tree (a kept context, or what one has seen) that are fetched and broadcast, 13 bytes each. A larger tree stays where it was grown.
+MOST_FETCHED = 10_000_000
+TREE = "d int, entry boolean, key long, value float"
 
 
 def fit(rows: DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """The tree of the texts of ``rows`` (text). Counts are summed over all of them; contexts are tested where they are counted, and only kept ones come to the driver."""
+    """The tree of the texts of ``rows`` (text), in one piece."""
+    return whole(*grown(rows, depth))
+
+
+def whole(head: SuffixTree, found: DataFrame) -> SuffixTree:
+    """The tree of its upper levels and the fetched rows of the others."""
+    t = found.toArrow()
+    return with_levels(head, *(t.column(k).to_numpy() for k in ("d", "entry", "key", "value")))
+
+
+def with_levels(head: SuffixTree, d: np.ndarray, entry: np.ndarray, key: np.ndarray, value: np.ndarray, depth: int = DEPTH) -> SuffixTree:
+    deep = []
+    for level in range(SHARED, max(depth, int(d.max(initial=0))) + 1):
+        columns = []
+        for kind in (False, True):
+            at = np.flatnonzero((d == level) & (entry == kind))
+            at = at[np.argsort(key[at])]
+            columns += [key[at], value[at]]
+        deep.append(Level(*columns))
+    return SuffixTree(head.classes, head.levels + deep)
+
+
+def grown(rows: DataFrame, depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
+    """The tree of the texts of ``rows`` (text): its levels of contexts of less than ``SHARED`` symbols, and the rows (``TREE``) of all others.
+
+    Counts are summed over all texts; contexts are tested where they are counted, and only kept ones are rows.
+    """
     schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,18 +274,45 @@ def fit(rows: DataFrame, depth: int = DEPTH) -> SuffixTree:
                     yield batch(told, [np.full(len(part), d, np.int32), np.full(len(part), entry), part, values[k : k + 50_000]])
 
     shared = F.shiftright(F.col("code"), 8).bitwiseAND((1 << (8 * SHARED)) - 1)
-    found = grams.select("code", "n").repartition(text_partitions(rows), shared).mapInArrow(test, "d int, entry boolean, key long, value float").toArrow()
-    d, entry, key, value = (found.column(k).to_numpy() for k in ("d", "entry", "key", "value"))
-    deep = []
-    for level in range(SHARED, depth + 1):
-        columns = []
-        for kind in (False, True):
-            at = np.flatnonzero((d == level) & (entry == kind))
-            at = at[np.argsort(key[at])]
-            columns += [key[at], value[at]]
-        deep.append(Level(*columns))
-    head = grow(top, SHARED - 1, np.unique(deep[0].contexts & ((1 << (8 * (SHARED - 1))) - 1)))
-    return SuffixTree(head.classes, head.levels + deep)
+    found = checkpointed(grams.select("code", "n").repartition(text_partitions(rows), shared).mapInArrow(test, TREE))
+    upper = F.col("key").bitwiseAND((1 << (8 * (SHARED - 1))) - 1)
+    also = found.filter(~F.col("entry") & (F.col("d") == SHARED)).select(upper.alias("context")).distinct().toArrow()  # 256 at most
+    return grow(top, SHARED - 1, also.column("context").to_numpy()), found
+
+
+def looked_up(dealt: DataFrame, head: SuffixTree, found: DataFrame, tasks: int) -> DataFrame:
+    """``part, word, value``: log10 of the probability of each distinct code of a group's symbols, from a tree that stays in its rows.
+
+    Codes meet the part of the tree that has their last symbols; the groups are dealt over copies of it, so that no part is
+    asked by all of them.
+    """
+    copies = max(1, tasks // 4096)
+    upper = dealt.sparkSession.sparkContext.broadcast(head)
+    asked, answer = pa.schema([("part", pa.int32()), ("word", pa.int64())]), pa.schema([("part", pa.int32()), ("word", pa.int64()), ("value", pa.float32())])
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            parts, texts = b.column(0).to_numpy(), strings(b.column(3))
+            for p in np.unique(parts).tolist():
+                mine = [symbols(words_of(texts[i])) for i in np.flatnonzero(parts == p).tolist()]
+                for start, end in small_runs(mine, 2_000_000):
+                    held[p] = np.union1d(held.get(p, np.zeros(0, np.int64)), symbol_codes(mine[start:end], DEPTH, upper.value.classes)[0])
+        for p, codes in held.items():
+            for k in range(0, len(codes), 50_000):
+                yield batch(asked, [np.full(len(codes[k : k + 50_000]), p, np.int32), codes[k : k + 50_000]])
+
+    def tell(codes: pa.Table, rows: pa.Table) -> pa.Table:
+        tree = with_levels(upper.value, *(rows.column(k).to_numpy(zero_copy_only=False) if k == "entry" else rows.column(k).to_numpy() for k in ("d", "entry", "key", "value")))
+        word = codes.column("word").to_numpy()
+        distinct, back = np.unique(word, return_inverse=True)
+        return pa.table([codes.column("part"), codes.column("word"), pa.array(tree.of(distinct)[back], pa.float32())], schema=answer)
+
+    mask = (1 << (8 * SHARED)) - 1
+    context = lambda code: F.shiftright(F.col(code), 8).bitwiseAND(mask)
+    questions = dealt.mapInArrow(ask, "part int, word long").select("part", "word", context("word").alias("shared"), F.pmod("part", F.lit(copies)).alias("copy"))
+    tree = found.withColumn("shared", F.when(F.col("entry"), context("key")).otherwise(F.col("key").bitwiseAND(mask))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return questions.groupBy("shared", "copy").cogroup(tree.groupBy("shared", "copy")).applyInArrow(tell, "part int, word long, value float")
 
 
 def word_keys(words: Iterable[bytes], n: int) -> np.ndarray:
@@ -264,12 +324,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for each row of ``docs``. A
     null text is empty: one token, the end. A null id is not held out. Words are told apart by 64 bits of their hash.
-    Without training rows every count is 0 and the tree is uniform. Repeated rows are learned as often as they stand; an
-    empty table gives no row; other columns are not read.
+    Without training rows every count is 0 and the tree is uniform. Repeated rows are learned as often as they stand; very
+    long texts are read whole; an empty table gives no row; other columns are not read, whatever their names. A tree of more
+    than ``MOST_FETCHED`` rows is neither fetched nor broadcast: groups of texts then ask it for the codes that they hold.
     """
     tasks = text_partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", remainder_is("doc_id", 7, 2))
-    tree = docs.sparkSession.sparkContext.broadcast(fit(rows.filter(~F.col("held_out"))))
+    head, found = grown(rows.filter(~F.col("held_out")))
+    fetched = found.count() <= MOST_FETCHED
+    tree = docs.sparkSession.sparkContext.broadcast(whole(head, found) if fetched else head)
     own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     dealt = rows.select(F.pmod(own, F.lit(2 * tasks)).cast("int").alias("part"), "doc_id", "held_out", "text").repartition(tasks, "part")
     asked = pa.schema([("word", pa.int64()), ("part", pa.int32()), ("n", pa.int64())])
@@ -289,8 +352,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     same = Window.partitionBy("word")  # a row for each group of texts at most
     counts = dealt.mapInArrow(ask, "word long, part int, n long").select("word", "part", F.sum("n").over(same).alias("n"), (F.min("part").over(same) == F.col("part")).alias("first"))
+    if not fetched:
+        chances = looked_up(dealt, head, found, tasks).select("word", "part", F.lit(None).cast("long").alias("n"), F.lit(False).alias("first"), "value")
+        counts = counts.withColumn("value", F.lit(None).cast("float")).unionByName(chances)
 
     def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        chances = None
+        if not fetched:
+            chances, answers = answers.filter(pc.is_valid(answers.column("value"))), answers.filter(pc.is_valid(answers.column("n")))
+            codes, values = chances.column("word").to_numpy(), chances.column("value").to_numpy()
+            order = np.argsort(codes)
+            codes, values = codes[order], values[order].astype(np.float64)
         known, n = answers.column("word").to_numpy(), answers.column("n").to_numpy()
         order = np.argsort(known)
         known, n, gain = known[order], n[order], np.log10(n[order] + 1.0)
@@ -304,7 +376,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 tokens.append(len(words) + 1)
                 seen.append(int((n[at] > 0).sum()) if words else 0)
                 base.append(float(gain[at].sum()) if words else 0.0)
-            spoken += tree.value.score([symbols(w) for w in split])
+            if chances is None:
+                spoken += tree.value.score([symbols(w) for w in split])
+            else:
+                code, begins = symbol_codes([symbols(w) for w in split], DEPTH, tree.value.classes)
+                spoken += np.add.reduceat(values[np.searchsorted(codes, code)], begins).tolist()
         distinct = int((answers.column("first").to_numpy(zero_copy_only=False) & (answers.column("n").to_numpy() > 0)).sum())
         kinds = [False] * len(ids) + [True]  # the last row is the group's own
         return pa.table([pa.array(x, t) for x, t in zip((kinds, [*ids, None], [*out, None], [*tokens, distinct], [*seen, 0], [*base, 0.0], [*spoken, 0.0]), (pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["own", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])

@@ -177,7 +177,7 @@ def fit(held: list[np.ndarray], labels: list[int], factors: int = 8, passes: int
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str) -> list[tuple[np.ndarray, int]]:
     """Terms and label of about ``most`` labelled texts (twice as many at most) by the id's hash, half of them toxic if there are enough; none of the held-out fold.
 
-    Only terms travel, each once for a text, so a very long text is no larger than its vocabulary. Of rows of one id, all count.
+    Only terms travel, each once for a text, so a very long text is no larger than its vocabulary. Of rows of one id, one counts, by the hash of its text.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~remainder_is("id", 4, 2))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -185,7 +185,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, te
         return []
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, most / 2 / n)))])
-    drawn_rows = marked.filter(drawn < share[F.col("toxic")]).distinct().limit(2 * most)
+    drawn_rows = marked.filter(drawn < share[F.col("toxic")]).distinct().orderBy(drawn, "id", "toxic").limit(2 * most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.binary())])
 
@@ -193,7 +193,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, id_col: str, te
         for b in batches:
             yield batch(schema, [b.column(0), b.column(1), [terms(t).astype("<i4").tobytes() for t in strings(b.column(2))]])
 
-    found = texts.join(F.broadcast(drawn_rows), "id").select("id", "toxic", "text")  # at most 2 * most rows of two numbers
+    found = texts.join(F.broadcast(drawn_rows), "id")  # at most 2 * most rows of two numbers
+    found = found.groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sorted((r["id"], r["toxic"], bytes(r["terms"])) for r in found.mapInArrow(cut, "id long, toxic int, terms binary").collect())
     return [(np.frombuffer(raw, "<i4").astype(np.int64), toxic) for _, toxic, raw in rows]
 

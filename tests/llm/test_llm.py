@@ -887,3 +887,16 @@ def test_pipeline_by_hand(spark, tmp_path):
     want = {i: len(packing.TokenBytes(RANKS, public_tokenizers.PATTERN, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))).of(act(t)[0])) // 4 + 1 for i, t in found.items()}
     out = p.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
     assert {r["doc_id"]: r["n"] for r in out} == want == {r["doc_id"]: r["all"] for r in out}
+
+
+def test_tree_that_is_not_fetched(spark, docs, empty, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: r for r in lm.score(df).collect()}
+    odd = sorted((str(r["doc_id"]), r["score"]) for r in lm.score(docs).collect())
+    monkeypatch.setattr(lm, "MOST_FETCHED", 0)
+    got_ = {r["doc_id"]: r for r in lm.score(df).collect()}
+    assert got_.keys() == want.keys()
+    assert all(abs(got_[i]["score"] - want[i]["score"]) < 1e-5 * abs(want[i]["score"]) and got_[i]["n_known"] == want[i]["n_known"] and abs(got_[i]["base_score"] - want[i]["base_score"]) < 1e-9 * abs(want[i]["base_score"]) for i in want)
+    asked = sorted((str(r["doc_id"]), r["score"]) for r in lm.score(docs).collect())
+    assert [i for i, _ in asked] == [i for i, _ in odd] and np.allclose([x for _, x in asked], [x for _, x in odd], rtol=1e-5)
+    assert lm.score(empty).count() == 0
