@@ -16,6 +16,11 @@ STEM_LENGTH = 50
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(s: Column) -> Column:
     return F.regexp_replace(s, rf"\A{WS}+|{WS}+\z", "")
 
@@ -36,13 +41,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 
 
-def lines(s: Column) -> Column:
-    """Lines without outer and with single inner spaces; blank ones are left out."""
-    return F.filter(F.transform(F.split(s, r"\r?\n"), lambda x: trim(F.regexp_replace(x, rf"{WS}+", " "))), lambda x: x != "")
+def compact(s: Column) -> Column:
+    """Lines without outer and with single inner spaces, blank ones left out. The text is gone over as a whole, not line by line."""
+    spaced = F.regexp_replace(s, rf"[{WS}&&[^\n]]+", " ")
+    return F.regexp_replace(F.regexp_replace(spaced, " ?\n[ \n]*", "\n"), r"\A[ \n]|[ \n]\z", "")
 
 
-def compact(s: Column) -> Column:
-    return F.array_join(lines(s), "\n")
+def lines(s: Column) -> Column:
+    """The lines of ``compact``."""
+    return F.filter(F.split(compact(s), "\n"), lambda x: x != "")
 
 
 def excerpt(s: Column, most_lines: int, most_chars: int) -> Column:
@@ -52,12 +59,13 @@ def excerpt(s: Column, most_lines: int, most_chars: int) -> Column:
     def take(acc: Column, line: Column) -> Column:
         room = F.lit(most_chars) - acc["used"]
         piece = F.substring(line, F.lit(1), room)
-        fits = (F.size(acc["taken"]) < most_lines) & (room > 0)
-        return F.when(fits, F.struct(F.concat(acc["taken"], F.array(piece)).alias("taken"), (acc["used"] + F.length(piece) + 1).alias("used"))).otherwise(acc)
+        return F.when(room > 0, F.struct(F.concat(acc["taken"], F.array(piece)).alias("taken"), (acc["used"] + F.length(piece) + 1).alias("used"))).otherwise(acc)
+
+    def shown(all_lines: Column) -> Column:
+        taken = F.aggregate(F.slice(all_lines, 1, most_lines), start, take)["taken"]
+        return let(taken, lambda t: F.array_join(F.when(F.size(t) < F.size(all_lines), F.concat(t, F.array(F.lit(EXCERPT_MARK)))).otherwise(t), "\n"))
 
-    all_lines = lines(s)
-    taken = F.aggregate(all_lines, start, take)["taken"]
-    return F.when(F.size(taken) < F.size(all_lines), F.array_join(F.concat(taken, F.array(F.lit(EXCERPT_MARK))), "\n")).otherwise(F.array_join(taken, "\n"))
+    return let(lines(s), shown)
 
 
 def estimated_tokens(s: Column) -> Column:
@@ -90,11 +98,6 @@ def escape_like(s: Column) -> Column:
     return F.regexp_replace(s, r"([\\%_])", r"\\$1")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)``, with the value computed once however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def snippet(s: Column, term: str) -> Column:
     """before, match and after of the first hit of a term in the text with single spaces, whatever the case; null without a hit, or for an empty term."""
     if not term:

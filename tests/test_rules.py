@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,17 @@ def test_undo_by_hand(spark):
     assert state(*edits, ("reset", "z")) == ("z", 0, 0)
     many = [("reset", "0"), *[("apply", str(i)) for i in range(1, 80)]]
     assert state(*many) == ("79", 50, 0) and state(*many, *[("undo", None)] * 60) == ("29", 0, 50)
+
+
+def test_compact_takes_all_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from gridmill.functions import text as T
+
+    odd = ["", " ", "\n\n", " a  b \r\n\r\n\tc\x0b d  \n \n e\r f ", "x\r\r\ny", "﻿z　", None]
+    want = []
+    for t in odd:
+        found = [" ".join(re.split(r"[\s﻿]+", x)).strip() for x in re.split(r"\r?\n", t or "")]
+        want.append(None if t is None else "\n".join(x for x in found if x))
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", T.compact(F.col("t")).alias("c")).orderBy("i")
+    assert [r["c"] for r in df.collect()] == want
