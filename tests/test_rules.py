@@ -164,3 +164,20 @@ def test_compact_takes_all_white_space(spark):
         want.append(None if t is None else "\n".join(x for x in found if x))
     df = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", T.compact(F.col("t")).alias("c")).orderBy("i")
     assert [r["c"] for r in df.collect()] == want
+
+
+def test_search_pages(spark):
+    """Pages past the end are the last one; no hit is no row; an empty term is every session."""
+    from gridmill.operators import store
+
+    sessions = spark.createDataFrame([(i, f"title {i}", i % 7) for i in range(25)], "id long, title string, updated_at int")
+    pages = spark.createDataFrame([(i, k, f"page {k} of {i} has Needle" if i % 2 else "hay") for i in range(25) for k in (1, 0)], "session_id long, page_index int, full_text string")
+    outputs = spark.createDataFrame([(3, 0, "a,needle"), (4, 0, "needle")], "session_id long, page_index int, csv_content string")
+    order = [i for _, i in sorted((-(i % 7), i) for i in range(25) if i % 2 or i == 4)]
+    found = lambda term, page: sorted(store.search_page(sessions, pages, outputs, term, page, 5).collect(), key=lambda r: (-r["updated_at"], r["id"]))
+    for page, want in ((1, order[:5]), (2, order[5:10]), (3, order[10:]), (99, order[10:]), (0, order[:5])):
+        got = found("needle", page)
+        assert [r["id"] for r in got] == want
+        assert all(r["scan_match"] == (f"page 0 of {r['id']} has Needle" if r["id"] % 2 else None) and (r["table_match"] is not None) == (r["id"] in (3, 4)) for r in got)
+    assert found("nowhere", 1) == [] and len(found("", 5)) == 5 and len(found("", 6)) == 5
+    assert store.search_counts(sessions, pages, outputs, "needle").first()[:] == (13, 25)
