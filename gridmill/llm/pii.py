@@ -61,7 +61,7 @@ LOCAL = re.compile(r"(?<![\w.-])(?:\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.
 _PART = rf"{WORD}[\w'’-]{{0,30}}"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, TITLE_GENDER))})\.?[ \u00a0]+({_PART}(?:[ \u00a0]{_PART})?)")
 FOLLOWED = re.compile(rf"([\u4e00-\u9fff\u30a0-\u30ff\uac00-\ud7a3]{{2,3}})[ \u00a0]?(?:{'|'.join(TITLES_AFTER)})")
-GIVEN = re.compile(rf"(?<![\w'’-])(?:{'|'.join(sorted(GENDER_OF, key=len, reverse=True))})[ \u00a0]{_PART}(?:[ \u00a0]{_PART})?")
+GIVEN = re.compile(rf"(?:{'|'.join(sorted(GENDER_OF, key=len, reverse=True))})[ \u00a0]{_PART}(?:[ \u00a0]{_PART})?")  # begins with its letters, which are looked for fast
 #: Kinds in the order in which they take a place in the text.
 DETECTORS: list[tuple[str, re.Pattern]] = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ipv6", IPV6), ("ipv4", IPV4), ("ssn", SSN), ("phone", INTERNATIONAL), ("card", CARD), ("phone", LOCAL)]
 
@@ -318,6 +318,16 @@ def _named(word: str) -> bool:
     return word[0].isupper() or word[0].lower() == word[0].upper() or word[0].istitle()
 
 
+def given_names(text: str) -> Iterator[re.Match]:
+    """Listed given names that begin a word, with one or two words after them."""
+    at = 0
+    while m := GIVEN.search(text, at):
+        begins = not m.start() or not (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_'’-")
+        at = m.end() if begins else m.start() + 1
+        if begins:
+            yield m
+
+
 def persons(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, genders) of names with a title, or of a listed given name and what follows. ``genders`` as in ``Surrogates.name``."""
     for m in TITLED.finditer(text) if any(t in text for t in TITLE_GENDER) else ():
@@ -328,7 +338,7 @@ def persons(text: str) -> Iterator[tuple[int, int, str]]:
                 words.pop()
             # one word after a title is a surname, unless it is a listed given name
             yield m.start(2), m.start(2) + len(" ".join(words)), (gender + "s" if len(words) == 2 else "s")
-    for m in GIVEN.finditer(text):
+    for m in given_names(text):
         words = re.split(r"[ \u00a0]", m[0])
         while len(words) > 1 and not words[-1][0].isupper():
             words.pop()
