@@ -309,9 +309,9 @@ def looked_up(dealt: DataFrame, head: SuffixTree, found: DataFrame, tasks: int)
         return pa.table([codes.column("part"), codes.column("word"), pa.array(tree.of(distinct)[back], pa.float32())], schema=answer)
 
     mask = (1 << (8 * SHARED)) - 1
-    context = lambda code: F.shiftright(F.col(code), 8).bitwiseAND(mask)
+    context = lambda code: F.shiftright(F.col(code), 8).bitwiseAND(mask).cast("int")
     questions = dealt.mapInArrow(ask, "part int, word long").select("part", "word", context("word").alias("shared"), F.pmod("part", F.lit(copies)).alias("copy"))
-    tree = found.withColumn("shared", F.when(F.col("entry"), context("key")).otherwise(F.col("key").bitwiseAND(mask))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    tree = found.withColumn("shared", F.when(F.col("entry"), context("key")).otherwise(F.col("key").bitwiseAND(mask).cast("int"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return questions.groupBy("shared", "copy").cogroup(tree.groupBy("shared", "copy")).applyInArrow(tell, "part int, word long, value float")
 
 
