@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import ann, bpe, langid, lm, packing, pii, simhash, substring, syncmers, toxicity
+from gridmill.llm import ann, audit, bpe, langid, lm, packing, pii, simhash, substring, syncmers, toxicity
 from gridmill.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,7 +68,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, pii_collisions)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, op11_filter_audit, pii_collisions)}
 #: What SQL can say on whole tables. The others need merges by rank, XXH64, a learned model or a graph; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
@@ -79,4 +83,27 @@ with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09
 ), marked as (select doc_id, list(p) as ps, count(*) as n from gone group by doc_id
 ) select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
   from words left join marked using (doc_id)""",
+    "op11_filter_audit": r"""
+with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), firsts as (select t, min(doc_id) as first from docs group by t
+), said as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as bad from labels group by doc_id
+), fails as (
+  select part, coalesce(good, 0) as good, coalesce(bad, 0) as bad, [x.l for x in [
+    {'l': 'A', 'f': len(w) < 200}, {'l': 'B', 'f': 100 * len(list_distinct(w)) < 50 * len(w)}, {'l': 'C', 'f': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t)},
+    {'l': 'D', 'f': regexp_matches(t, '[#$%&*|]')}, {'l': 'E', 'f': docs.doc_id > first}] if x.f] as failed
+  from docs join firsts using (t) left join said using (doc_id)
+), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l
+), orders as (
+  select [a.l, b.l, c.l, d.l, e.l] as o from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), groups as (select part, failed, count(*) as n, sum(good) as good, sum(bad) as bad from fails group by part, failed
+), steps as (
+  select part, failed, n, good, bad, array_to_string(o, '') as filter_order, step, o[step] as own, list_has_any(o[:step - 1], failed) as early, list_contains(failed, o[step]) as hit
+  from groups, orders, (select unnest([1, 2, 3, 4, 5]) as step)
+), counts as (
+  select part, filter_order, step, own, sum(case when not early and not hit then n else 0 end) as kept, sum(case when hit and not early then n else 0 end) as removed,
+    sum(case when hit and early then n else 0 end) as redundant, sum(case when hit and len(failed) = 1 then n else 0 end) as unique_fails,
+    sum(case when hit and not early then good else 0 end) as good_lost, sum(case when hit and not early then bad else 0 end) as toxic_lost
+  from steps group by part, filter_order, step, own
+) select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from counts""",
 }
