@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import functools
 import json
 import re
 import zlib
@@ -71,6 +72,16 @@ class TokenBytes:
         return np.array(ids + self._ids(text[at:]), "<u4").tobytes()
 
 
+@functools.lru_cache(maxsize=2)
+def _coder(path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> TokenBytes:
+    return TokenBytes(path, pattern, dict(special))
+
+
+def coder(path: str, pattern: str, special: dict[str, int] | None = None) -> TokenBytes:
+    """A process's coder: the ranks are read once, not in each task."""
+    return _coder(path, pattern, tuple(sorted((special or {}).items())))
+
+
 class Packer:
     """Packs pieces ``(key, start, length)``; yields windows as their length and a list of ``(key, start, length)`` that fills it."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import ann, audit, bpe, langid, lm, packing, pii, simhash, substring, syncmers, toxicity
+from gridmill.llm import ann, audit, bestfit, bpe, langid, lm, packing, pii, simhash, spelling, substring, syncmers, toxicity
 from gridmill.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,7 +72,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, op11_filter_audit, pii_collisions)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least_length=6, least_count=5, ratio=5, every=199)
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, end_id=0, longest=2048, special=ADDED)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, op11_filter_audit, op12_spelling_variants, op13_best_fit, pii_collisions)}
 #: What SQL can say on whole tables. The others need merges by rank, XXH64, a learned model or a graph; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
