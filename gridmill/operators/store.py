@@ -56,9 +56,11 @@ def recent(sessions: DataFrame, n: int = 10) -> DataFrame:
     return sessions.orderBy(F.col("updated_at").desc(), "id").limit(n)
 
 
-def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key isn't stored are added; of several of one key, any one."""
-    return stored.unionByName(new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
+def insert_ignore(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``new`` whose key isn't stored are added; of several of one key the first by ``order``, of equal ones the least by all columns, nulls last."""
+    rank = [c.asc_nulls_last() for c in [*(order or []), *[F.col(c) for c in new.columns if c not in keys]]] or [F.lit(0).asc()]
+    one = new.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))).filter("_turn = 1").drop("_turn")
+    return stored.unionByName(one.join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
 
 
 def last_write(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import text as T
 from gridmill.operators import store as S
+from gridmill.operators import textindex as X
+from gridmill.operators.hashed import HashedTable
 from gridmill.plans.registry import Registry, table
+from gridmill.sources.shared import new_folder
 
 query = Registry()
 TERM = "THE"
@@ -41,6 +44,63 @@ def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_counts(*store(spark, sf_dir), TERM)
 
 
+#: Indexes made in this session, by its id and the tables.
+_INDEXES: dict[tuple[str, str], X.TextIndex] = {}
+#: A term that a few texts of a hundred have.
+RARE = "unGEN"
+HAS_RARE = "contains(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ungen')"
+RARE_HITS = BASE.replace("'the'", "'ungen'")
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> X.TextIndex:
+    """The index of all pages and tables, made when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _, pages, outputs = store(spark, sf_dir)
+        _INDEXES[key] = X.index_pages(pages, outputs, new_folder(spark, "index"))
+    return _INDEXES[key]
+
+
+@query(RARE_HITS + "select id, title, matched from hits")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.matches(store(spark, sf_dir)[0], stored_index(spark, sf_dir), RARE).select("id", "title", "matched")
+
+
+@query(RARE_HITS + "select sum(case when matched then 1 else 0 end)::bigint as matching, count(*) as total from hits")
+def indexed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.search_counts(store(spark, sf_dir)[0], stored_index(spark, sf_dir), RARE)
+
+
+@query(f"""select doc_id as id, (select arg_min(text, turn) from conversations where conv_id = doc_id and {HAS_RARE.format("text")}) as scan_match, case when {HAS_RARE.format("text")} then text end as table_match
+  from documents where {HAS_RARE.format("text")} or doc_id in (select conv_id from conversations where {HAS_RARE.format("text")})
+  union all select conv_id, arg_min(text, turn), null from conversations where {HAS_RARE.format("text")} and conv_id not in (select doc_id from documents) group by conv_id""")
+def indexed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.first_texts(stored_index(spark, sf_dir), RARE)
+
+
+@query(f"""select doc_id as session_id, 'table' as kind, 0 as page_index from documents where contains({HAS_RARE.format("text").removeprefix("contains(").removesuffix(", 'ungen')")}, 'th')
+  union all select conv_id, 'scan', turn::int from conversations where contains({HAS_RARE.format("text").removeprefix("contains(").removesuffix(", 'ungen')")}, 'th')""")
+def short_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two letters have no trigram: the stored texts are scanned."""
+    return stored_index(spark, sf_dir).find("tH").drop("text")
+
+
+@query(f"""with texts as (
+  select doc_id as session_id, 'table' as kind, 0 as page_index, case when doc_id % 10 = 1 then 'Changed ' || lang || 'ungen' else text end as text from documents where doc_id % 10 <> 2
+  union all select doc_id + 1000000000, 'table', 0, 'New JUNGEN ' || doc_id from documents where doc_id % 10 = 3
+  union all select conv_id, 'scan', turn::int, text from conversations
+) select * from texts where {HAS_RARE.format("text")}""")
+def changed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that are changed, added and removed after the index was made."""
+    _, pages, outputs = store(spark, sf_dir)
+    index = X.index_pages(pages, outputs, new_folder(spark, "index"))
+    docs = table(spark, sf_dir, "documents")
+    row = lambda where, key, text: docs.filter(where).select(key.alias("session_id"), F.lit("table").alias("kind"), F.lit(0).alias("page_index"), text.alias("text"))
+    index.add(row("doc_id % 10 = 1", F.col("doc_id"), F.concat(F.lit("Changed "), "lang", F.lit("ungen"))).unionAll(row("doc_id % 10 = 3", F.col("doc_id") + 1000000000, F.concat(F.lit("New JUNGEN "), "doc_id"))))
+    index.remove(row("doc_id % 10 = 2", F.col("doc_id"), F.col("text")))
+    return index.find(RARE)
+
+
 @query(BASE + """select id, title, updated_at::varchar as updated_at,
   (select full_text from pgs p where p.session_id = h.id and contains(translate(full_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') order by page_index limit 1) as scan_match,
   (select csv_content from outputs p where p.session_id = h.id and contains(translate(csv_content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') order by page_index limit 1) as table_match
@@ -122,6 +182,45 @@ def update_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.update_where(old, old.filter("key % 3 = 0").select("key", F.lit("edited").alias("content")).unionAll(old.select(F.col("key") + 1000000000, F.lit("lost"))), ["key"])
 
 
+CHANGED = "o_orderkey % 50 = 7 or o_orderkey between 100 and 120"
+
+
+@query(f"select o_orderkey as key, case when {CHANGED} then 'new ' || o_orderkey else o_orderpriority end as content, o_custkey as created from orders union all select o_orderkey + 1000000000, 'new', 7 from orders where o_orderkey % 64 = 1")
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upsert_outputs`` of a stored table: buckets with changes are rewritten, others stay as they are. Older rows of a key come too."""
+    old = _orders(spark, sf_dir)
+    stored = HashedTable.create(old, new_folder(spark, "outputs"), ["key"])
+    new = old.filter(CHANGED.replace("o_orderkey", "key")).select("key", F.concat(F.lit("new "), "key").alias("content"), F.lit(-1).cast("long").alias("created"), F.lit(2).alias("at"))
+    older = new.select("key", F.lit("older").alias("content"), "created", F.lit(1).alias("at"))
+    added = old.filter("key % 64 = 1").select((F.col("key") + 1000000000).alias("key"), F.lit("new").alias("content"), F.lit(7).cast("long").alias("created"), F.lit(0).alias("at"))
+    stored.upsert(new.unionAll(older).unionAll(added), ["content"], [F.col("at")])
+    return stored.read()
+
+
+@query(f"select o_orderkey as key, case when {CHANGED} then 'edited' else o_orderpriority end as content, o_custkey as created from orders")
+def stored_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _orders(spark, sf_dir)
+    stored = HashedTable.create(old, new_folder(spark, "outputs"), ["key"])
+    stored.update(old.filter(CHANGED.replace("o_orderkey", "key")).select("key", F.lit("edited").alias("content")).unionAll(old.select(F.col("key") + 1000000000, F.lit("lost"))))
+    return stored.read()
+
+
+@query("select o_orderkey as key, o_orderpriority as content, o_custkey as created from orders union all select o_orderkey + 1000000000, 'new', 7 from orders where o_orderkey % 64 = 1")
+def stored_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``insert_ignore`` of a stored table: what is stored is read as keys only, and no file of it changes."""
+    old = _orders(spark, sf_dir)
+    stored = HashedTable.create(old, new_folder(spark, "outputs"), ["key"])
+    stored.insert(old.filter("key % 64 < 2").select(F.when(F.col("key") % 64 == 1, F.col("key") + 1000000000).otherwise(F.col("key")).alias("key"), F.lit("new").alias("content"), F.lit(7).cast("long").alias("created")))
+    return stored.read()
+
+
+@query(f"select o_orderkey as key, o_orderpriority as content, o_custkey as created from orders where {CHANGED}")
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _orders(spark, sf_dir)
+    stored = HashedTable.create(old, new_folder(spark, "outputs"), ["key"])
+    return stored.lookup(old.filter(CHANGED.replace("o_orderkey", "key")).select("key"))
+
+
 @query("select o_custkey as key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last_order from orders group by o_custkey")
 def last_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("last_order"), "o_orderdate")
