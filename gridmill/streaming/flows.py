@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 # -- token streams ----------------------------------------------------------
 
 TOKENS = "request_id long, seq int, token string, logprob double, char_offset int, finish_reason string"
 STATE = "buffer string, seq int, char_offset int"
+#: Fixed value: what an event stream ends with.
+LAST_LINE = "data: [DONE]"
 
 
 def tokens_of_line(line: str) -> tuple[list[tuple[str, float | None]], str | None]:
@@ -36,29 +38,59 @@ def tokens_of_line(line: str) -> tuple[list[tuple[str, float | None]], str | Non
     return [x for x in found if x[0]], choice.get("finish_reason") or None
 
 
-def read_tokens(chunks: DataFrame, idle: str | None = None) -> DataFrame:
-    """Token rows of streams that arrive in chunks (request_id, chunk_no, chunk): state keeps a request's open line, count and offset.
+def with_timers(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose streams keep state that timers and lifetimes can end: they need the RocksDB store."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows
 
-    A line counts once its end has come, so a last line without one is dropped. A row without a token carries a finish reason.
-    """
 
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, seq, offset = state.get if state.exists else ("", 0, 0)
-        rows = []
-        arrived = pd.concat(list(batches)).sort_values("chunk_no")
-        for chunk in arrived["chunk"]:
+class TokenReader(StatefulProcessor):
+    """A request's open line, count and offset, until its stream says that it ends or nothing has come for ``idle`` seconds."""
+
+    def __init__(self, idle: float):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        buffer, seq, offset = self.open.get() if self.open.exists() else ("", 0, 0)
+        out, ended = [], False
+        for chunk in pd.concat(list(rows)).sort_values("chunk_no")["chunk"]:
             *done, buffer = (buffer + chunk).split("\n")
             for line in done:
+                ended = ended or line.strip() == LAST_LINE
                 found, reason = tokens_of_line(line)
                 for token, logprob in found:
-                    rows.append((key[0], seq, token, logprob, offset, None))
+                    out.append((key[0], seq, token, logprob, offset, None))
                     seq, offset = seq + 1, offset + len(token)
                 if reason:
-                    rows.append((key[0], seq, None, None, offset, reason))
-        state.update((buffer, seq, offset))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
+                    out.append((key[0], seq, None, None, offset, reason))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if ended:
+            self.open.clear()
+        else:
+            self.open.update((buffer, seq, offset))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + round(self.idle * 1000))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
-    return chunks.groupBy("request_id").applyInPandasWithState(run, TOKENS, STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def read_tokens(chunks: DataFrame, idle: float = 600.0) -> DataFrame:
+    """Token rows of streams that arrive in chunks (request_id, chunk_no, chunk): state keeps a request's open line, count and offset.
+
+    A line counts once its end has come, so a last line without one is dropped. A row without a token carries a finish reason.
+    A request's state ends with the stream's last line, or when none of its chunks has come for ``idle`` seconds; what comes
+    after is a new stream.
+    """
+    return with_timers(chunks).groupBy("request_id").transformWithStateInPandas(TokenReader(idle), TOKENS, "append", "processingTime")
 
 
 # -- progress, feeds --------------------------------------------------------
@@ -115,6 +147,18 @@ def uncancelled(pages: DataFrame, runs: DataFrame, cancels: DataFrame) -> DataFr
     return pages.join(ends, ["session_id", "run_id"], "left").filter(F.col("_end").isNull() | (F.col("at") < F.col("_end"))).drop("_end")
 
 
+def uncancelled_stream(pages: DataFrame, cancels: DataFrame, longest: str, late: str) -> DataFrame:
+    """``uncancelled`` of running streams: pages (session_id, run_id, started, at) and cancels (session_id, at), each in any order up to ``late``.
+
+    A page passes once no cancel of its run can come any more: none between the start of its run and itself. State is kept for
+    ``longest``, the longest that a run may last, and ``late``; a cancel that comes later than ``late`` is not heard.
+    """
+    p = pages.withWatermark("at", late)
+    c = cancels.select(F.col("session_id").alias("_session"), F.col("at").alias("_cancelled")).withWatermark("_cancelled", late)
+    meets = F.expr(f"session_id = _session and _cancelled > started and _cancelled <= at and _cancelled >= at - interval {longest}")
+    return p.join(c, meets, "left_outer").filter("_session is null").drop("_session", "_cancelled")
+
+
 def idle_unloads(jobs: DataFrame, key: str, idle: int = 90) -> DataFrame:
     """``at``: when a warm server of each key was given up, ``idle`` after the end of a job (key, start, end; seconds) with none begun until then."""
     order = Window.partitionBy(key).orderBy("start", "end")
@@ -143,19 +187,33 @@ def windowed_counts(events: DataFrame, size: str, slide: str | None, late: str)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).groupBy(window, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def throttled_stream(events: DataFrame, least: float) -> DataFrame:
-    """Events (key, t, value; seconds) that come ``least`` seconds or more after the one before that was let through."""
+class Throttle(StatefulProcessor):
+    """When a key's last event was let through; forgotten ``idle`` seconds after the key's last event."""
+
+    def __init__(self, least: float, idle: float):
+        self.least, self.idle = least, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t double", ttlDurationMs=round(self.idle * 1000))
 
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, kept = (state.get[0] if state.exists else None), []
-        for row in pd.concat(list(batches)).sort_values("t").itertuples(index=False):
-            if last is None or row.t - last >= least:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        last, kept = (self.last.get()[0] if self.last.exists() else None), []
+        for row in pd.concat(list(rows)).sort_values("t").itertuples(index=False):
+            if last is None or row.t - last >= self.least:
                 kept.append((key[0], row.t, row.value))
                 last = row.t
-        state.update((last,))
+        self.last.update((last,))
         yield pd.DataFrame(kept, columns=["key", "t", "value"])
 
-    return events.groupBy("key").applyInPandasWithState(run, "key long, t double, value double", "last double", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def throttled_stream(events: DataFrame, least: float, idle: float = 3600.0) -> DataFrame:
+    """Events (key, t, value; seconds) that come ``least`` seconds or more after the one before that was let through. A key of which nothing came for ``idle`` seconds, which must be more than ``least``, begins anew."""
+    if idle <= least:
+        raise ValueError("a key must be remembered for longer than it is held back")
+    return with_timers(events).groupBy("key").transformWithStateInPandas(Throttle(least, idle), "key long, t double, value double", "append", "processingTime")
 
 
 # -- the same over finished tables ------------------------------------------
