@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmill.operators import layout as L
 from gridmill.operators import match as M
+from gridmill.operators import pagejoins as J
 from gridmill.operators import parse as P
 from gridmill.operators import score as S
 from gridmill.plans import synth
@@ -277,7 +278,7 @@ SWEEP = (
 def _separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = synth.words(spark, sf_dir)
     n_lines = L.with_lines(words, synth.HEIGHT).groupBy(*L.KEY).agg((F.max("line_no") + 1).alias("n_lines"))
-    return M.separators(words, n_lines, n_lines.select(*L.KEY, F.lit(5).alias("bands")))
+    return J.separators(words, n_lines, n_lines.select(*L.KEY, F.lit(5).alias("bands")))
 
 
 @query(SWEEP + "select doc_id, page_index, string_agg(round(s, 3)::varchar, '|' order by s) as separators from seps group by all")
@@ -294,7 +295,25 @@ def word_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = synth.words(spark, sf_dir)
     regions = words.select(*L.KEY).distinct().select(*L.KEY, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("region_id")).select("*", *[x.alias(n) for x, n in ((F.col("region_id") * 200, "x0"), (F.col("region_id") * 200 + 150, "x1"), (F.lit(110), "y0"), (F.lit(200), "y1"))])
-    return M.words_in_regions(words, regions, words.filter("word_ord % 5 = 0"))
+    return J.words_in_regions(words, regions, words.filter("word_ord % 5 = 0"))
+
+
+@query("""with w as (
+  select l_orderkey // 2500 as doc_id, l_orderkey * 8 + l_linenumber as word_id, l_partkey * 7 % 2000 + (10 + l_linenumber) / 2 as cx, (l_orderkey * 13 + l_suppkey * 29 + l_linenumber * 101) % 3000 + 6 as cy, l_linenumber as n from lineitem
+), r as (select o_orderkey // 2500 as doc_id, o_orderkey as region_id, o_orderkey * 17 % 1900 as x0, o_orderkey * 17 % 1900 + 100 + o_custkey % 100 as x1, o_orderkey * 23 % 2900 as y0, o_orderkey * 23 % 2900 + 60 as y1 from orders where o_orderkey % 50 = 0)
+select r.doc_id, 0 as page_index, region_id, word_id from r join w on w.doc_id = r.doc_id and cx between x0 and x1 and cy between y0 and y1 where n <> 3""")
+def dense_region_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty regions a page over pages of ten thousand words."""
+    at = lambda n: F.expr(n).cast("double")
+    words = table(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey div 2500").alias("doc_id"), F.lit(0).alias("page_index"), F.expr("l_orderkey * 8 + l_linenumber").alias("word_id"), "l_linenumber",
+        at("l_partkey * 7 % 2000").alias("left"), at("(l_orderkey * 13 + l_suppkey * 29 + l_linenumber * 101) % 3000").alias("top"), at("10 + l_linenumber").alias("width"), F.lit(12.0).alias("height"),
+    )
+    regions = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(
+        F.expr("o_orderkey div 2500").alias("doc_id"), F.lit(0).alias("page_index"), F.col("o_orderkey").alias("region_id"),
+        at("o_orderkey * 17 % 1900").alias("x0"), at("o_orderkey * 17 % 1900 + 100 + o_custkey % 100").alias("x1"), at("o_orderkey * 23 % 2900").alias("y0"), at("o_orderkey * 23 % 2900 + 60").alias("y1"),
+    )
+    return J.words_in_regions(words, regions, words.filter("l_linenumber = 3"))
 
 
 @query(SCORED + "select doc_id, page_index, word_id, min(row_index) as row_index, min(col_index) as col_index from cell_words group by all")
@@ -304,14 +323,14 @@ def reverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     synth.SQL.rstrip()
-    + """, c as (select doc_id, page_index, row_index * 5 + col_index as cell_ord, lower(value) as v, (row_index * 5 + col_index)::double / count(*) over (partition by doc_id, page_index) as p from model
-), w as (select doc_id, page_index, word_ord, word_id, lower(text) as t, word_ord::double / count(*) over (partition by doc_id, page_index) as q from words
+    + """, c as (select doc_id, page_index, row_index * 5 + col_index as cell_ord, lower(value) as v, (row_index * 5 + col_index)::double / (count(*) over (partition by doc_id, page_index) - 1) as p from model
+), w as (select doc_id, page_index, word_ord, word_id, lower(text) as t, word_ord::double / (count(*) over (partition by doc_id, page_index) - 1) as q from words
 ), s as (select c.*, word_ord, word_id, levenshtein(v, t) + 5 * abs(p - q) as score from c join w using (doc_id, page_index) where v <> '' and levenshtein(v, t) <= greatest(2.0, length(v) * 0.4)
 ) select doc_id, page_index, cell_ord, word_id from (select *, row_number() over (partition by doc_id, page_index, cell_ord order by score, word_ord) as n from s) where n = 1"""
 )
 def nearest_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = synth.model_cells(spark, sf_dir).withColumn("ord", F.col("row_index") * 5 + F.col("col_index"))
-    return M.nearest_like(model, synth.words(spark, sf_dir).withColumn("ord", F.col("word_ord")))
+    return J.nearest_like(model, synth.words(spark, sf_dir).withColumn("ord", F.col("word_ord")))
 
 
 @query(synth.SQL.rstrip() + RANGES.rstrip() + FOUND + " select * from said")
