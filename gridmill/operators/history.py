@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.operators.export import csv
@@ -11,6 +15,36 @@ from gridmill.operators.store import touched, update_where
 KEY = ["doc_id", "page_index"]
 #: Grids that can be undone, and redone, at most.
 DEPTH = 50
+#: Versions that are looked up together.
+SPAN = 1024
+
+
+class Steps:
+    """What an editor can undo and redo: ``depth`` grids either way."""
+
+    def __init__(self, depth: int):
+        self.current, self.past, self.future = None, deque(maxlen=depth), deque(maxlen=depth)
+
+    def take(self, action: str, grid: str | None) -> None:
+        if action == "reset":
+            self.current = grid
+            self.past.clear()
+            self.future.clear()
+        elif action == "apply" and grid != self.current:
+            if self.current is not None:
+                self.past.append(self.current)
+            self.current = grid
+            self.future.clear()
+        elif action == "undo" and self.past:
+            if self.current is not None:
+                if len(self.future) == self.future.maxlen:
+                    self.future.pop()
+                self.future.appendleft(self.current)
+            self.current = self.past.pop()
+        elif action == "redo" and self.future:
+            if self.current is not None:
+                self.past.append(self.current)
+            self.current = self.future.popleft()
 
 
 def undo_state(log: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame:
@@ -18,28 +52,69 @@ def undo_state(log: DataFrame, keys: list[str], depth: int = DEPTH) -> DataFrame
 
     Log: keys, ``seq``, ``action`` ('apply', 'undo', 'redo' or 'reset') and ``grid``, the name of a snapshot. An edit remembers
     the grid before it and forgets what could be redone; one that changes nothing, or an undo or redo of nothing, is
-    nothing; a reset takes another table and forgets all. The state is ``depth`` names either way, whatever the log's length.
+    nothing; a reset takes another table and forgets all. What stands before an editor's last reset is not sent. The rest
+    streams by in order, and a task holds one editor's state: ``depth`` names either way, whatever the log's length.
+    """
+    kinds = dict(log.dtypes)
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", current string, undo int, redo int"
+    last = log.filter("action = 'reset'").groupBy(*keys).agg(F.max("seq").alias("_reset"))
+    rows = log.join(last, keys, "left").filter(F.col("_reset").isNull() | (F.col("seq") >= F.col("_reset")))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "seq", "action", "grid").select(*keys, "action", F.col("grid").cast("string").alias("grid"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, schema = None, None, None
+        for b in batches:
+            schema = schema or pa.schema([*[b.schema.field(k) for k in keys], ("current", pa.string()), ("undo", pa.int32()), ("redo", pa.int32())])
+            done = []
+            for *key, action, grid in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state is None or key != own:
+                    if state is not None:
+                        done.append((*own, state.current, len(state.past), len(state.future)))
+                    own, state = key, Steps(depth)
+                state.take(action, grid)
+            if done:
+                yield _batch(done, schema)
+        if state is not None:
+            yield _batch([(*own, state.current, len(state.past), len(state.future))], schema)
+
+    return rows.mapInArrow(run, fields)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+# -- versions of a grid -----------------------------------------------------
+
+CELL = [*KEY, "row_index", "col_index"]
+
+
+def validity(deltas: DataFrame) -> DataFrame:
+    """Changes of cells (KEY, row_index, col_index, ``version``, ``value``; a null value is a cell that goes) with ``valid_from`` and ``valid_to``, the version of the cell's next change or null. Of several changes of a cell in one version the greatest counts."""
+    one = deltas.groupBy(*CELL, "version").agg(F.max(F.struct(F.col("value").isNull(), "value")).alias("_v")).select(*CELL, "version", F.col("_v.value").alias("value"))
+    after = F.lead("version").over(Window.partitionBy(*CELL).orderBy("version"))
+    return one.select(*CELL, "value", F.col("version").alias("valid_from"), after.alias("valid_to"))
+
+
+def grids_at(deltas: DataFrame, asked: DataFrame) -> DataFrame:
+    """``KEY, version, row_index, col_index, value`` of each version asked for (KEY, version): the cells that are valid then.
+
+    A cell's intervals are disjoint, so a version meets one of each cell; pages are joined by intervals of ``SPAN`` versions, of
+    which an interval lies in few, so a version meets the changes near it, not the page's whole history.
     """
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(None).cast("string").alias("current"), none.alias("past"), none.alias("future"))
-
-    def state(current: Column, past: Column, future: Column) -> Column:
-        return F.struct(current.alias("current"), past.alias("past"), future.alias("future"))
-
-    def step(s: Column, e: Column) -> Column:
-        past, future, current = s["past"], s["future"], s["current"]
-        held = F.when(current.isNull(), none).otherwise(F.array(current))
-        remembered = F.slice(F.concat(past, held), F.greatest(F.size(past) + F.size(held) - depth + 1, F.lit(1)), F.lit(depth))
-        undone = state(F.get(past, F.size(past) - 1), F.slice(past, F.lit(1), F.greatest(F.size(past) - 1, F.lit(0))), F.slice(F.concat(held, future), 1, depth))
-        redone = state(F.get(future, F.lit(0)), remembered, F.slice(future, F.lit(2), F.lit(depth)))
-        return (
-            F.when(e["action"] == "reset", state(e["grid"], none, none)).when((e["action"] == "apply") & ~e["grid"].eqNullSafe(current), state(e["grid"], remembered, none))
-            .when((e["action"] == "undo") & (F.size(past) > 0), undone).when((e["action"] == "redo") & (F.size(future) > 0), redone).otherwise(s)
-        )
-
-    events = F.array_sort(F.collect_list(F.struct("seq", "action", "grid")))
-    folded = log.groupBy(*keys).agg(events.alias("e")).select(*keys, F.aggregate("e", start, step).alias("s"))
-    return folded.select(*keys, F.col("s.current").alias("current"), F.size("s.past").alias("undo"), F.size("s.future").alias("redo"))
+    life = validity(deltas).filter("value is not null")
+    ends = asked.groupBy(*KEY).agg(F.max("version").alias("_last"))
+    life = life.join(ends, KEY).filter("valid_from <= _last").withColumn("_to", F.least(F.coalesce(F.col("valid_to") - 1, F.col("_last")), F.col("_last")))
+    spread = life.withColumn("_span", F.explode(F.expr(f"sequence(valid_from div {SPAN}, _to div {SPAN})")))
+    want = asked.select(*KEY, "version").distinct().withColumn("_span", F.expr(f"version div {SPAN}"))
+    return want.join(spread, [*KEY, "_span"]).filter("valid_from <= version and version <= _to").select(*KEY, "version", "row_index", "col_index", "value")
+
+
+def changes_between(before: DataFrame, after: DataFrame, version: int) -> DataFrame:
+    """The changes of cells that make one grid (KEY, row_index, col_index, value) of another, as ``version``."""
+    both = before.select(*CELL, F.col("value").alias("_old"), F.lit(True).alias("_was")).join(after.select(*CELL, F.col("value").alias("_new"), F.lit(True).alias("_is")), CELL, "full_outer")
+    changed = both.filter(F.col("_was").isNull() | F.col("_is").isNull() | ~F.col("_old").eqNullSafe(F.col("_new")))
+    return changed.select(*CELL, F.lit(version).cast("long").alias("version"), F.col("_new").alias("value"))
 
 
 def moved_focus(cells: DataFrame, d_row: int, d_col: int) -> DataFrame:

@@ -220,8 +220,12 @@ def top_divs(html: str) -> list[tuple[str, str]]:
     return [(tags[i][1], html[tags[i].end() : tags[j].start()]) for i, j in zip(opens.tolist(), closes.tolist())]  # noqa: B905, the last may be open
 
 
-def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", label: str = "class") -> DataFrame:
-    """``page_id, block_no, label, bbox, text`` of the outermost divs; ``bbox`` is the four numbers of data-bbox, or null."""
+#: Fixed value: what counts as a number of a box.
+BOX_NUMBER = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
+
+
+def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", label: str = "data-label", loose: bool = False) -> DataFrame:
+    """``page_id, block_no, label, bbox, text`` of the outermost divs. ``bbox`` is data-bbox where that is four numbers parted by white space, else null; ``loose`` takes commas and brackets too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,6 +233,9 @@ def blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", la
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["page_id", "block_no", "attributes", "inner"])
 
     found = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, block_no int, attributes string, inner string")
-    box = F.transform(F.split(F.regexp_replace(F.regexp_extract("attributes", r'data-bbox="([^"]*)"', 1), r"\A[\s\[]+|[\s\]]+\z", ""), r"[\s,]+"), lambda x: x.try_cast("double"))
+    attribute = lambda name: F.regexp_extract("attributes", rf'(?i){name}\s*=\s*"([^"]*)"', 1)
+    listed = F.regexp_replace(attribute("data-bbox"), r"[\[\],]", " ") if loose else attribute("data-bbox")
+    box = F.split(F.trim(F.regexp_replace(listed, r"\s+", " ")), " ")
+    numbers = F.when((F.size(box) == 4) & F.forall(box, lambda x: x.rlike(rf"\A{BOX_NUMBER}\z")), F.transform(box, lambda x: x.try_cast("double")))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("inner", "<[^>]*>", " "), "&nbsp;", " "), r"\s+", " ")
-    return found.select("page_id", "block_no", F.regexp_extract("attributes", rf'{label}="([^"]*)"', 1).alias("label"), F.when((F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull()), box).alias("bbox"), F.trim(text).alias("text"))
+    return found.select("page_id", "block_no", attribute(label).alias("label"), numbers.alias("bbox"), F.trim(text).alias("text"))

@@ -12,6 +12,26 @@ def tree_sizes(files: DataFrame, depth: int) -> DataFrame:
     return files.groupBy(folder).agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
 
 
+def folder_sizes(files: DataFrame) -> DataFrame:
+    """``folder, depth, bytes, files, own_files`` of every folder, of whatever depth, with all that lies under it. Files: path, length.
+
+    A file counts for each folder above it, added up in each task before the exchange, so the root is no hot key. The folder
+    of an absolute path's first step is the empty one; what cannot be measured (a null length) is 0.
+    """
+    names = F.split("path", "/")
+    above = F.explode(F.sequence(F.lit(1), F.size(names) - 1)).alias("depth")
+    each = files.filter(F.size(names) > 1).select("path", F.coalesce("length", F.lit(0)).cast("long").alias("length"), above)
+    own = F.col("depth") == F.size(names) - 1
+    folder = F.array_join(F.slice(names, F.lit(1), F.col("depth")), "/")
+    return each.groupBy(folder.alias("folder"), "depth").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"), F.count_if(own).alias("own_files"))
+
+
+def subtree(files: DataFrame, folder: str) -> DataFrame:
+    """Files under a folder, of whatever depth: their paths are an interval, which a scan of sorted files can skip to."""
+    root = folder.rstrip("/") + "/"
+    return files.filter((F.col("path") >= root) & (F.col("path") < root[:-1] + "0"))  # "0" follows "/"
+
+
 def removal_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: bytes that went, and how many files are still there."""
     kept = after.select("path").withColumn("_there", F.lit(True))

@@ -181,11 +181,11 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select page_id, 2, '', null, 'page ' || page_id from found
 ) select page_id, block_no, label, bbox, trim(regexp_replace(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '\\s+', ' ', 'g')) as text from made""")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's first div; then one with a box and two divs in it, a closing tag too many, one without a class, and one that is never closed."""
+    """Each page's first div, its class as its label; then one with a box and two divs in it, a closing tag too many, one without a label whose box is not four plain numbers, and one that is never closed."""
     label = F.regexp_extract("html", '<div class="([^"]*)"', 1)
-    first = F.regexp_extract("html", r"(?s)(<div[^>]*>.*?</div>)", 1)
-    nested = F.concat(F.lit('<DIV class="outer" data-bbox="[10, 20, 30, '), F.col("page_id") % 90 + 40, F.lit(']"><div><b>'), label, F.lit("</b></div> in <div></div></DIV></div>"))
-    rest = F.concat(F.lit("<div>page&nbsp;"), "page_id", F.lit("</div><div class='open'><div>never"))
+    first = F.regexp_replace(F.regexp_extract("html", r"(?s)(<div[^>]*>.*?</div>)", 1), '<div class="', '<div data-label="')
+    nested = F.concat(F.lit('<DIV data-label="outer" data-bbox="10 20 30 '), F.col("page_id") % 90 + 40, F.lit('"><div><b>'), label, F.lit("</b></div> in <div></div></DIV></div>"))
+    rest = F.concat(F.lit('<div class="other" data-bbox="[1, 2, 3, 4]">page&nbsp;'), "page_id", F.lit("</div><div class='open'><div>never"))
     pages = table(spark, sf_dir, "pages").filter(first != "").select("page_id", F.concat(first, nested, rest).alias("html"))
     whole = lambda x: x.cast("int").cast("string")
     return P.blocks(pages).select("page_id", "block_no", "label", F.array_join(F.transform("bbox", whole), "|").alias("bbox"), "text")

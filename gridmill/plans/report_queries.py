@@ -25,6 +25,17 @@ def tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.tree_sizes(files(spark, sf_dir), 2)
 
 
+@query("""with recursive f as (select 'run/' || o_custkey % 10 || '/' || case when o_orderkey % 3 = 0 then 'deep/' || o_orderkey % 7 || '/' else '' end || o_orderkey || '.part' as path, o_orderkey % 1000 as length from orders
+), up as (select path, regexp_replace(path, '/[^/]*$', '') as folder, length, 1 as own from f
+  union all select path, regexp_replace(folder, '/[^/]*$', ''), length, 0 from up where contains(folder, '/'))
+select folder, len(string_split(folder, '/'))::int as depth, sum(length)::bigint as bytes, count(*) as files, sum(own)::bigint as own_files from up group by folder""")
+def folder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every folder of a tree of several depths, with all that lies under it."""
+    deeper = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("deep/"), F.col("o_orderkey") % 7, F.lit("/"))).otherwise("")
+    path = F.concat(F.lit("run/"), F.col("o_custkey") % 10, F.lit("/"), deeper, "o_orderkey", F.lit(".part"))
+    return R.folder_sizes(table(spark, sf_dir, "orders").select(path.alias("path"), (F.col("o_orderkey") % 1000).alias("length")))
+
+
 @query("select sum(case when o_orderkey % 3 <> 0 then o_orderkey % 1000 end)::bigint as freed, count(case when o_orderkey % 3 = 0 then 1 end) as survivors, 'retry' as next from orders")
 def removal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from gridmill.plans.registry import Registry, table
 from gridmill.plans.report_queries import files
 from gridmill.plans.text_queries import CSV_CELL, GUARDED, ODD_CELLS, odd_cells, page_sql
 from gridmill.sources import ingest as I
+from gridmill.sources.shared import new_folder
+from gridmill.sources.xlsx import read_pages, write_pages
 from gridmill.streaming import flows as W
 
 query = Registry()
@@ -45,6 +49,20 @@ def undo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.undo_state(log, ["user_id"])
 
 
+@query("""with d as (select l_orderkey // 64 as doc_id, l_linenumber as row_index, l_suppkey % 5 as col_index, l_orderkey % 64 as version, case when max(case when l_partkey % 7 = 0 then 1 else 0 end) = 1 then null else max(l_partkey) end::varchar as value from lineitem group by all
+), asked as (select distinct doc_id, v as version from d, (select unnest([0, 17, 40, 63, 900]) as v)
+), seen as (select a.version as wanted, d.*, row_number() over (partition by d.doc_id, a.version, row_index, col_index order by d.version desc) as n from asked a join d on a.doc_id = d.doc_id and d.version <= a.version)
+select doc_id, 0 as page_index, wanted as version, row_index, col_index, value from seen where n = 1 and value is not null""")
+def grid_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items are changes of a grid's cells: 64 versions of each, five of which are asked for, one of them to come."""
+    items = table(spark, sf_dir, "lineitem")
+    value = F.when(F.max(F.when(F.col("l_partkey") % 7 == 0, 1).otherwise(0)) == 0, F.max("l_partkey").cast("string"))
+    cell = [F.expr("l_orderkey div 64").alias("doc_id"), F.lit(0).alias("page_index"), F.col("l_linenumber").alias("row_index"), (F.col("l_suppkey") % 5).alias("col_index"), (F.col("l_orderkey") % 64).alias("version")]
+    deltas = items.groupBy(*cell).agg(value.alias("value"))
+    asked = deltas.select("doc_id", "page_index").distinct().withColumn("version", F.explode(F.array(*[F.lit(v).cast("long") for v in (0, 17, 40, 63, 900)])))
+    return H.grids_at(deltas, asked)
+
+
 @query(synth.SQL + "select doc_id, page_index, row_index, col_index, least(row_index + 2, max(row_index) over (partition by doc_id, page_index)) as to_row, greatest(col_index - 1, 0) as to_col from grid")
 def moved_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.moved_focus(synth.grid(spark, sf_dir), 2, -1)
@@ -234,9 +252,38 @@ def session_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_.join(due)
 
 
+@query("""with known as (select distinct user_id as session_id, -user_id as seq from events
+), e as (select event_id as seq, user_id, event_id % 6 as round from events
+), c as (select seq, round, case round when 1 then 'update' when 2 then 'delete' when 3 then 'delete' when 4 then 'delete_all' else 'update' end as kind,
+    case round when 0 then (select min(session_id) from known) when 2 then -user_id - 1 else user_id end as session_id from e where round < 5
+), r as (select unnest([0, 1, 2, 3, 4, 5]) as round)
+select round, (exists (select 1 from c where c.round = r.round and kind = 'delete' and session_id in (select session_id from known))
+  or exists (select 1 from c where c.round = r.round and (kind = 'delete_all' or kind = 'update' and session_id <> (select min(session_id) from known)))) as due from r""")
+def feed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of changes of several kinds, from the same sessions: only updates of the leader, of others, deletes of sessions unknown and known, an end of all, and nothing."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 6).alias("round"), F.col("user_id").alias("session_id"))
+    known = e.select("session_id").distinct().select("session_id", (-F.col("session_id")).alias("seq"))
+    leader = known.agg(F.min("session_id").alias("leader"))
+    kinds, due = ["update", "update", "delete", "delete", "delete_all", "update"], []
+    for k, kind in enumerate(kinds):
+        own = e.filter((F.col("round") == k) & F.lit(k < 5)).select("seq", F.lit(kind).alias("kind"), (-F.col("session_id") - 1 if k == 2 else F.col("session_id")).alias("session_id"))
+        if k == 0:
+            own = own.drop("session_id").join(F.broadcast(leader)).withColumnRenamed("leader", "session_id")  # one row
+        due.append(W.after_changes(known, own)[1].select(F.lit(k).alias("round"), "due"))
+    return functools.reduce(DataFrame.unionAll, due)
+
+
 # -- export and small rules -------------------------------------------------
 
 
+@query(synth.SQL + "select doc_id, page_index, row_index, col_index, value, row_index = 0 as bold from grid")
+def xlsx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as workbooks, read again."""
+    folder = new_folder(spark, "sheets")
+    write_pages(spark, synth.grid(spark, sf_dir), folder)
+    return read_pages(spark, folder)
+
+
 @query(
     " union all ".join(
         f"(with {name}_x as (" + sql + f") select doc_id, page_index, '{name}' as format, {name} as content from {name}_x)"

@@ -9,6 +9,7 @@ from gridmill.functions import text as T
 from gridmill.operators import store as S
 from gridmill.operators import textindex as X
 from gridmill.operators.hashed import HashedTable
+from gridmill.operators.pages import LatestFirst
 from gridmill.plans.registry import Registry, table
 from gridmill.sources.shared import new_folder
 
@@ -109,6 +110,27 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_page(*store(spark, sf_dir), TERM, 2).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query(BASE + """select n, id, title, updated_at::varchar as updated_at from (
+  select *, 10 as size, row_number() over (order by updated_at desc, id) as turn, 'all' as list from sessions union all select id, title, updated_at, 10, row_number() over (order by updated_at desc, id), 'hits' from hits where matched
+) join (select 'all' as list, 9 as n union all select 'hits', 7) using (list) where turn > (n - 1) * size and turn <= n * size
+  union all select 1000000, id, title, updated_at::varchar from (select *, row_number() over (order by updated_at desc, id) as turn, count(*) over () as total from sessions) where turn > 10 * (ceil(total / 10) - 1)""")
+def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 9 of all sessions, page 7 of those that match, and the last one, asked for by a number far too high."""
+    sessions, pages, outputs = store(spark, sf_dir)
+    stored = LatestFirst.create(sessions, new_folder(spark, "latest"))
+    hits = S.matches(sessions, pages, outputs, TERM).filter("matched").select("id")
+    some = [stored.page(n, hits=h).withColumn("n", F.lit(n)) for n, h in ((9, None), (7, hits), (1_000_000, None))]
+    return some[0].unionByName(some[1]).unionByName(some[2]).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(BASE + """, turned as (select *, row_number() over (order by updated_at desc, id) as turn from sessions) select id, title, updated_at::varchar as updated_at from turned where turn > 100 and turn <= 110""")
+def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten sessions after the hundredth, whose values are all that is known of it."""
+    stored = LatestFirst.create(store(spark, sf_dir)[0], new_folder(spark, "latest"))
+    last = stored.page(10).tail(1)[0]
+    return stored.after(last["updated_at"], last["id"]).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 

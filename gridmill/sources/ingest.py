@@ -70,6 +70,28 @@ def read_ocr(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, quote="", schema=OCR_FIELDS)
 
 
+#: Files by page lie in folders of these names, which the schema of a read names too.
+OCR_PAGES = OCR_FIELDS + ", doc_id BIGINT, page_index INT"
+_TSV = {"sep": "\t", "header": "true", "quote": ""}
+
+
+def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
+    """OCR files in folders ``doc_id=…/page_index=…``: a filter on either lists no other folder."""
+    return spark.read.schema(OCR_PAGES).options(**_TSV).csv(path)
+
+
+def stream_ocr_pages(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
+    """The same as a stream: each file comes once, as the checkpoint knows, over restarts."""
+    return spark.readStream.schema(OCR_PAGES).options(**_TSV).option("maxFilesPerTrigger", files_per_batch).csv(path)
+
+
+def write_ocr_pages(records: DataFrame, path: str) -> None:
+    """OCR records with ``doc_id`` and ``page_index`` as such files."""
+    columns = [f.split(" ")[0] for f in OCR_PAGES.split(", ")]
+    dealt = records.select(*columns).repartition("doc_id", "page_index")
+    dealt.write.mode("append").partitionBy("doc_id", "page_index").options(**_TSV, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
 def ocr_words(records: DataFrame, scale: Column) -> DataFrame:
     """Words of OCR records: those of level 5 with text, boxes in the original's units."""
     box = [original_coordinate(F.col(c), scale).cast("double").alias(c) for c in ("left", "top", "width", "height")]

@@ -1,18 +1,24 @@
 """A batch sink for spreadsheets: ``df.write.format("gridxlsx").mode("append").save(folder)`` makes one file for each page.
 
 Rows are cells: doc_id, page_index, row_index, col_index, value. All cells are text and the first row is bold. Rows of one
-page must lie in one partition (``repartition("doc_id", "page_index")``); ``write_pages`` sees to that.
+page must lie in one partition and stand together there; ``write_pages`` sees to that.
 """
 
 from __future__ import annotations
 
+import functools
 import io
-import os
+import itertools
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -55,37 +61,63 @@ def workbook(rows: dict[int, dict[int, str]]) -> bytes:
     return out.getvalue()
 
 
+def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store that a path names, a local or mounted one if none."""
+    return pyarrow.fs.FileSystem.from_uri(folder) if re.match(r"[a-z0-9+.-]+:/", folder) else (pyarrow.fs.LocalFileSystem(), folder)
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    #: Places of finished workbooks, and of the parts that they are until the job is committed.
+    files: list[tuple[str, str]]
 
 
 class XlsxWriter(DataSourceWriter):
+    """A task writes parts that bear its attempt's number, so attempts do not meet; the commit gives parts of successful tasks their names."""
+
     def __init__(self, folder: str):
-        self.folder = folder.removeprefix("file://").removeprefix("file:")
+        self.folder = folder
 
     def write(self, iterator: Iterator) -> Written:
-        pages: dict[tuple, dict[int, dict[int, str]]] = {}
-        for row in iterator:
-            pages.setdefault((row.doc_id, row.page_index), {}).setdefault(row.row_index, {})[row.col_index] = row.value or ""
-        os.makedirs(self.folder, exist_ok=True)
-        names = []
-        for (doc, page), rows in pages.items():
-            names.append(f"{self.folder}/{doc}_p{page + 1}.xlsx")
-            with open(f"{names[-1]}.part", "wb") as f:
-                f.write(workbook(rows))
-        return Written(names)
+        fs, folder = file_system(self.folder)
+        fs.create_dir(folder, recursive=True)
+        attempt, done = TaskContext.get().taskAttemptId(), []
+        try:
+            for (doc, page), rows in itertools.groupby(iterator, key=lambda row: (row.doc_id, row.page_index)):  # in order of pages: one is held
+                held: dict[int, dict[int, str]] = {}
+                for row in rows:
+                    held.setdefault(row.row_index, {})[row.col_index] = row.value or ""
+                name = f"{folder}/{doc}_p{page + 1}.xlsx"
+                if any(name == x for x, _ in done[-1:]):
+                    raise ValueError("cells of one page must stand together")
+                done.append((name, f"{folder}/_{doc}_p{page + 1}.{attempt}.part"))
+                with fs.open_output_stream(done[-1][1]) as f:
+                    f.write(workbook(held))
+        except BaseException:
+            _remove(fs, done)
+            raise
+        return Written(done)
 
     def commit(self, messages: list) -> None:
+        fs, folder = file_system(self.folder)
         for m in messages:
-            for name in m.files if m else []:
-                os.replace(f"{name}.part", name)
+            for name, part in m.files if m else []:
+                fs.move(part, name)
+        left = fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
+        for f in left:  # of attempts that were given up without a word
+            if f.base_name.startswith("_") and f.base_name.endswith(".part"):
+                fs.delete_file(f.path)
 
     def abort(self, messages: list) -> None:
+        fs, _ = file_system(self.folder)
         for m in messages:
-            for name in m.files if m else []:
-                if os.path.exists(f"{name}.part"):
-                    os.remove(f"{name}.part")
+            _remove(fs, m.files if m else [])
+
+
+def _remove(fs: pyarrow.fs.FileSystem, files: list[tuple[str, str]]) -> None:
+    for _, part in files:
+        if fs.get_file_info(part).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_file(part)
 
 
 class XlsxSink(DataSource):
@@ -98,6 +130,29 @@ class XlsxSink(DataSource):
 
 
 def write_pages(spark: SparkSession, cells: DataFrame, folder: str) -> None:
-    """One workbook a page in a folder that driver and executors share."""
+    """One workbook a page in a folder that driver and executors share; a page is written again over its last file."""
     spark.dataSource.register(XlsxSink)
-    cells.select("doc_id", "page_index", "row_index", "col_index", "value").repartition("doc_id", "page_index").write.format("gridxlsx").mode("append").save(folder)
+    rows = cells.select("doc_id", "page_index", "row_index", "col_index", "value").repartition("doc_id", "page_index")
+    rows.sortWithinPartitions("doc_id", "page_index").write.format("gridxlsx").mode("append").save(folder)
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells of such workbooks: ``doc_id, page_index, row_index, col_index, value, bold``."""
+    fields = [("doc_id", pa.int64()), ("page_index", pa.int32()), ("row_index", pa.int32()), ("col_index", pa.int32()), ("value", pa.string()), ("bold", pa.bool_())]
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                doc, page = re.search(r"/(\d+)_p(\d+)\.xlsx$", path).groups()
+                sheet = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content.as_py())).read("xl/worksheets/sheet1.xml"))
+                rows = []
+                for c in sheet.iter(f"{ns}c"):
+                    letters, number = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                    column = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1
+                    rows.append((int(doc), int(page) - 1, int(number) - 1, column, c.findtext(f"{ns}is/{ns}t") or "", c.get("s") == "1"))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder).select("path", "content")
+    return files.mapInArrow(run, "doc_id long, page_index int, row_index int, col_index int, value string, bold boolean")

@@ -221,6 +221,21 @@ def test_xlsx(spark, tmp_path):
     assert [column_name(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
 
 
+def test_xlsx_attempts(spark, tmp_path):
+    """A task that fails leaves nothing; parts of attempts that were given up go with the commit; a page is written over."""
+    from gridmill.sources.xlsx import read_pages, write_pages
+
+    fields, out = "doc_id long, page_index int, row_index int, col_index int, value string", tmp_path / "out"
+    with pytest.raises(Exception):  # noqa: B017
+        write_pages(spark, spark.createDataFrame([(1, 0, 0, 0, "a"), (1, 1, 2_000_000, 0, "b"), (1, 2, 0, 0, "c")], fields).coalesce(1), str(out))
+    assert list(out.iterdir()) == []
+    (out / "_9_p1.77.part").write_text("half")
+    write_pages(spark, spark.createDataFrame([(1, 0, 0, 0, "old"), (1, 0, 3, 27, None)], fields), str(out))
+    write_pages(spark, spark.createDataFrame([(1, 0, 0, 0, "new"), (1, 0, 3, 27, "x<y ")], fields), f"file://{out}")
+    assert [p.name for p in out.iterdir()] == ["1_p1.xlsx"]
+    assert sorted(map(tuple, read_pages(spark, str(out)).collect())) == [(1, 0, 0, 0, "new", True), (1, 0, 3, 27, "x<y ", False)]
+
+
 def test_rows_for_export(spark):
     from gridmill.operators.export import rows_for_export
 

@@ -46,9 +46,14 @@ def test_divs():
 
 
 def test_blocks_boxes(spark):
-    df = spark.createDataFrame([(1, '<div data-label="T" data-bbox="1 2 3 4"><p>a&nbsp;b</p>\n c</div><div data-label="U" data-bbox="1 x 3 4"></div>')], "page_id long, html string")
-    rows = P.blocks(df, label="data-label").orderBy("block_no").collect()
-    assert [(r["label"], r["bbox"], r["text"]) for r in rows] == [("T", [1.0, 2.0, 3.0, 4.0], "a b c"), ("U", None, "")]
+    boxes = ["1 2 3 4", " 1.5  -2\n3e1 .5 ", "[1, 2, 3, 4]", "1 x 3 4", "1 2 3", "1 2 3 NaN", "1d 2 3 4", ""]
+    html = "".join(f'<div data-label="L{k}" class="c" DATA-BBOX = "{b}"><p>a&nbsp;b</p>\n c</div>' for k, b in enumerate(boxes)) + '<div class="c"></div>'
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    rows = P.blocks(df).orderBy("block_no").collect()
+    assert [r["bbox"] for r in rows] == [[1.0, 2.0, 3.0, 4.0], [1.5, -2.0, 30.0, 0.5], *[None] * 7]
+    assert [(r["label"], r["text"]) for r in rows] == [*[(f"L{k}", "a b c") for k in range(8)], ("", "")]
+    loose = P.blocks(df, label="class", loose=True).orderBy("block_no").collect()
+    assert [r["bbox"] for r in loose[:4]] == [[1.0, 2.0, 3.0, 4.0], [1.5, -2.0, 30.0, 0.5], [1.0, 2.0, 3.0, 4.0], None] and {r["label"] for r in loose} == {"c"}
 
 
 LINES = ['data: {"choices":[{"logprobs":{"content":[{"token":"He","logprob":-0.1},{"token":"llo","logprob":null},{"token":"","logprob":-1}]}}]}', "noise", "data: {bad", 'data: {"choices":[{"delta":{"content":"!"}}]}', 'data: {"choices":[{"delta":{},"finish_reason":"length"}]}', "data: [DONE]"]
