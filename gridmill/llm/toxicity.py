@@ -71,50 +71,89 @@ def telling(held: list[np.ndarray], y: np.ndarray, seen: np.ndarray, least_chi2:
     return seen[chi2 >= least_chi2]
 
 
-def telling_pairs(held: list[np.ndarray], missed: np.ndarray, unsure: np.ndarray, seen: np.ndarray, support: np.ndarray, frequent: int, least_chi2: float) -> np.ndarray:
+#: Cells of sums, and pairs in texts, that are held at once.
+CELLS, EVENTS = 4_000_000, 4_000_000
+#: Slots that a dense block has.
+BLOCK = 1_024
+
+
+def telling_pairs(held: list[np.ndarray], missed: np.ndarray, unsure: np.ndarray, seen: np.ndarray, least_chi2: float) -> np.ndarray:
     """Of the slots in ``seen``, those of pairs that tell what is still missed: over the texts with both, the sum of ``missed`` is too far from zero for its spread ``unsure``.
 
-    One of a pair is among the ``frequent`` slots that most texts hold; the other is any. A slot whose texts miss too little
-    altogether can be in no such pair, and is not looked at.
+    All pairs that stand together in a text are looked at. A slot over whose texts too little is missed, either way, can be in
+    no such pair and is left out. Sums come from the pairs of each text, or where texts hold a good part of the slots,
+    from products of blocks of the matrix of texts and slots; both give all of them.
     """
     size = [len(h) for h in held]
-    could = np.bincount(np.concatenate(held), np.repeat(np.abs(missed), size), minlength=1 << BITS)[seen] ** 2 >= least_chi2
-    seen, support = seen[could], support[could]
-    if not len(seen):
-        return seen
-    missed, unsure = missed.astype(np.float32), unsure.astype(np.float32)
-    often = seen[np.argsort(-support, kind="stable")[:frequent]]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[often] = np.arange(len(often))
-    has = np.zeros((len(held), len(often)), np.float32)
-    for row, h in zip(has, held, strict=True):
-        at = place[h]
-        row[at[at >= 0]] = 1
-    place[often] = -1
+    flat = np.concatenate(held)
+    most = np.maximum(*(np.bincount(flat, np.repeat(np.maximum(sign * missed, 0), size), minlength=1 << BITS)[seen] for sign in (1, -1)))
+    seen = seen[most**2 >= least_chi2]
+    if len(seen) < 2:
+        return seen[:0]
+    place = np.full(1 << BITS, -1, np.int64)
     place[seen] = np.arange(len(seen))
-    slot, text = np.concatenate([place[h] for h in held]), np.repeat(np.arange(len(held)), size)
-    slot, text = slot[slot >= 0], text[slot >= 0]
-    order = np.argsort(slot, kind="stable")
-    slot, text = slot[order], text[order]
-    ends = np.cumsum(np.bincount(slot, minlength=len(seen)))
+    slot, text = place[flat], np.repeat(np.arange(len(held)), size)
+    slot, text = slot[slot >= 0], text[slot >= 0]  # rising inside a text, as the terms are
+    n = np.bincount(text, minlength=len(held))
+    blocks = _dense_sums if (n.astype(np.float64) ** 2).sum() > 0.25 * len(held) * len(seen) ** 2 / 10 else _sparse_sums
     kept = np.zeros(len(seen), bool)
-    own = np.searchsorted(seen, often)
-    at = 0
-    while at < len(seen):
-        start = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, start + 8_000, "right")))
-        rows = text[start : ends[to - 1]]
-        cuts = np.concatenate([[0], ends[at : to - 1] - start]).astype(np.int64)
-        total = np.add.reduceat(has[rows] * missed[rows, None], cuts, axis=0)
-        spread = np.add.reduceat(has[rows] * unsure[rows, None], cuts, axis=0)
+    for rows, columns, total, spread in blocks(slot, text, np.cumsum(n), missed, unsure, len(seen)):
         hit = total**2 >= least_chi2 * np.maximum(spread, 1)
-        hit[own[None, :] == np.arange(at, to)[:, None]] = False  # a slot is no pair with itself
-        kept[at:to] |= hit.any(axis=1)
-        kept[own[hit.any(axis=0)]] = True
-        at = to
+        kept[rows] |= hit.any(axis=1)
+        kept[columns] |= hit.any(axis=0)
     return seen[kept]
 
 
+Sums = Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]
+
+
+def _sparse_sums(slot: np.ndarray, text: np.ndarray, ends: np.ndarray, missed: np.ndarray, unsure: np.ndarray, slots: int) -> Sums:
+    """Sums over the texts of each pair, for some slots with all later ones at a time: from the slots that follow each in its text."""
+    order = np.argsort(slot, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))])
+    after = ends[text[order]] - order - 1  # slots of the text that follow
+    events = np.concatenate([[0], np.cumsum(after)])
+    lo = 0
+    while lo < slots:
+        hi = lo + 1
+        while hi < slots and (hi + 1 - lo) * slots <= CELLS and events[first[hi + 1]] - events[first[lo]] <= EVENTS:
+            hi += 1
+        total, spread = np.zeros((hi - lo) * slots), np.zeros((hi - lo) * slots)
+        at = first[lo]
+        while at < first[hi]:
+            to = max(at + 1, min(first[hi], int(np.searchsorted(events, events[at] + EVENTS, "right")) - 1))
+            own, more = order[at:to], after[at:to]
+            begin = np.cumsum(more) - more
+            others = slot[np.repeat(own + 1 - begin, more) + np.arange(more.sum())]
+            cell, by = np.repeat((slot[own] - lo) * slots, more) + others, np.repeat(text[own], more)
+            total += np.bincount(cell, missed[by], minlength=len(total))
+            spread += np.bincount(cell, unsure[by], minlength=len(spread))
+            at = to
+        yield slice(lo, hi), slice(0, slots), total.reshape(hi - lo, slots), spread.reshape(hi - lo, slots)
+        lo = hi
+
+
+def _dense_sums(slot: np.ndarray, text: np.ndarray, ends: np.ndarray, missed: np.ndarray, unsure: np.ndarray, slots: int) -> Sums:
+    """The same by products of blocks of the matrix that says which text has which slot."""
+
+    def block(lo: int) -> np.ndarray:
+        x = np.zeros((len(missed), min(BLOCK, slots - lo)), np.float32)
+        some = (slot >= lo) & (slot < lo + BLOCK)
+        x[text[some], slot[some] - lo] = 1
+        return x
+
+    missed, unsure = missed.astype(np.float32)[:, None], unsure.astype(np.float32)[:, None]
+    for lo in range(0, slots, BLOCK):
+        a = block(lo)
+        m, u = (a * missed).T, (a * unsure).T
+        for at in range(lo, slots, BLOCK):
+            b = a if at == lo else block(at)
+            total, spread = m @ b, u @ b
+            if at == lo:
+                np.fill_diagonal(total, 0)  # a slot is no pair with itself
+            yield slice(lo, lo + BLOCK), slice(at, at + BLOCK), total, spread
+
+
 def learn(held: list[np.ndarray], y: np.ndarray, slots: np.ndarray, factors: int, passes: int, rate: float, decay: float, seed: int) -> FactorizationMachine:
     """A machine over these slots, by AdaGrad."""
     row = np.full(1 << BITS, -1, np.int32)
@@ -152,13 +191,13 @@ def learn(held: list[np.ndarray], y: np.ndarray, slots: np.ndarray, factors: int
     return m
 
 
-def fit(held: list[np.ndarray], labels: list[int], factors: int = 8, passes: int = 12, rate: float = 0.1, decay: float = 1e-4, least_texts: int = 4, least_chi2: float = 12.0, frequent: int = 1024, least_pair_chi2: float = 40.0, seed: int = 7) -> FactorizationMachine:
+def fit(held: list[np.ndarray], labels: list[int], factors: int = 8, passes: int = 12, rate: float = 0.1, decay: float = 1e-4, least_texts: int = 4, least_chi2: float = 12.0, least_pair_chi2: float = 40.0, seed: int = 7) -> FactorizationMachine:
     """Learns from the terms of texts and their labels, 0 or 1.
 
     A slot is used if ``least_texts`` texts hold it and either it tells the classes apart by itself, or it does so in a pair
-    with one of the ``frequent`` slots: a first machine is learned over slots of the first sort, and a pair of the second
-    must tell what that machine misses. So two terms that say nothing alone, but much together, are used as well. The level
-    for pairs is higher, as there are more of them.
+    with any other: a first machine is learned over slots of the first sort, and a pair of the second must tell what that
+    machine misses. So two terms that say nothing alone, but much together, are used as well, however rare or frequent.
+    The level for pairs is higher, as there are more of them.
     """
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -169,7 +208,7 @@ def fit(held: list[np.ndarray], labels: list[int], factors: int = 8, passes: int
     alone = telling(held, y, seen, least_chi2)
     first = learn(held, y, alone, factors, passes, rate, decay, seed)
     said = np.concatenate([sigmoid(first.raw([first.used(h) for h in held[k : k + 512]])) for k in range(0, len(held), 512)])
-    pairs = telling_pairs(held, y - said, np.maximum(said * (1 - said), 0.05), seen, support[seen], frequent, least_pair_chi2)
+    pairs = telling_pairs(held, y - said, np.maximum(said * (1 - said), 0.05), seen, least_pair_chi2)
     more = np.union1d(alone, pairs)
     return first if len(more) == len(alone) else learn(held, y, more, factors, passes, rate, decay, seed)
 
