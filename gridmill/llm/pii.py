@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -49,7 +50,7 @@ TITLES_AFTER = "先生 女士 小姐 博士 教授 さん 様 씨 님".split()
 SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 WORD = r"[^\W\d_]"
-EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![\w-])")
+EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[^\W_](?:[^\W_]|-){0,62}(?:\.[^\W_](?:[^\W_]|-){0,62}){0,8}\.[^\W\d_]{2,24}(?![\w-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|rk)[-_](?:live[-_]|test[-_])?[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9_-])")
 IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}:(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:.])")
@@ -58,12 +59,21 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")
 INTERNATIONAL = re.compile(r"(?<![\w.])\+(?:\d{7,15}|\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?![\w]|[.-]\d)")
 LOCAL = re.compile(r"(?<![\w.-])(?:\(\d{2,4}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)")
+#: A number with a trunk zero, as many countries write it at home.
+NATIONAL = re.compile(r"(?<![\w.+/-])0\d{1,4}(?:[ ./-]\d{2,4}){2,5}(?![\w]|[./-]\d)")
 _PART = rf"{WORD}[\w'’-]{{0,30}}"
 TITLED = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, TITLE_GENDER))})\.?[ \u00a0]+({_PART}(?:[ \u00a0]{_PART})?)")
 FOLLOWED = re.compile(rf"([\u4e00-\u9fff\u30a0-\u30ff\uac00-\ud7a3]{{2,3}})[ \u00a0]?(?:{'|'.join(TITLES_AFTER)})")
-GIVEN = re.compile(rf"(?:{'|'.join(sorted(GENDER_OF, key=len, reverse=True))})[ \u00a0]{_PART}(?:[ \u00a0]{_PART})?")  # begins with its letters, which are looked for fast
+#: Listed names that are words too, and in capitals no sign of a person.
+WORDS_TOO = set("Mark Max Frank Jack Victor Rosa".split())
+_LISTED = [*GENDER_OF, *(n.upper() for n in GENDER_OF if n not in WORDS_TOO)]
+GIVEN = re.compile(rf"(?:{'|'.join(sorted(_LISTED, key=len, reverse=True))})[ \u00a0]{_PART}(?:[ \u00a0]{_PART})?")  # begins with its letters, which are looked for fast
+#: What people say before their own names, and what follows a name that is a place's.
+SAID_BEFORE = "my name is|name's|je m['’]appelle|mon nom est|ich heiße|ich heisse|mein name ist|me llamo|mi nombre es|mi chiamo|меня зовут"
+CALLED = re.compile(rf"(?i:(?<!\w)(?:{SAID_BEFORE}))[ \u00a0]+({_PART}(?:[ \u00a0]{_PART})?)")
+PLACES = set("Street St Avenue Ave Road Rd Lane Square Boulevard Bridge Park Airport Straße Strasse Platz Allee".split())
 #: Kinds in the order in which they take a place in the text.
-DETECTORS: list[tuple[str, re.Pattern]] = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ipv6", IPV6), ("ipv4", IPV4), ("ssn", SSN), ("phone", INTERNATIONAL), ("card", CARD), ("phone", LOCAL)]
+DETECTORS: list[tuple[str, re.Pattern]] = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ipv6", IPV6), ("ipv4", IPV4), ("ssn", SSN), ("phone", INTERNATIONAL), ("card", CARD), ("phone", LOCAL), ("phone", NATIONAL)]
 
 # Classes of letters; a letter is replaced by one of its own class.
 _CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ", "ÇÑ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
@@ -176,16 +186,16 @@ def _valid(kind: str, text: str) -> bool:
     if kind == "card":
         return 13 <= len(_digits(text)) <= 19
     if kind == "phone":
-        return 7 <= len(_digits(text)) <= 15
+        return 7 <= len(_digits(text)) <= 15 if text[0] != "0" or LOCAL.fullmatch(text) else 9 <= len(_digits(text)) <= 11
     if kind == "secret":
         return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
     return True
 
 
 def _number(text: str) -> tuple[str, int]:
-    """The calling code of a phone number, and where in its text the number itself begins; local forms are those of code 1."""
+    """The calling code of a phone number, and where in its text the number itself begins; 0 is a trunk zero, other local forms are those of code 1."""
     if not text.startswith("+"):
-        return "1", 0
+        return ("0", 1) if text[0] == "0" and not LOCAL.fullmatch(text) else ("1", 0)
     digits = _digits(text)
     code = next((digits[:k] for k in (1, 2) if digits[:k] in SHORT_CODES), digits[:3])
     at, left = 0, len(code)
@@ -273,40 +283,51 @@ class Surrogates:
             return private([int(x) for x in old.split(".")]) == private([int(x) for x in new.split(".")])
         return kind != "secret" or _valid(kind, new)
 
-    def __call__(self, kind: str, text: str, genders: str = "") -> str:
+    def __call__(self, kind: str, text: str) -> str:
         """The first entity of the same sort along the cycle. That is one-to-one, among the entities of one sort."""
         if kind == "name":
-            return self.name(text, genders)
+            return self.name(text)
         new = self.step(kind, text)
         while not self.same_sort(kind, text, new):
             new = self.step(kind, new)
         return new
 
-    def name(self, text: str, genders: str = "") -> str:
-        """A listed given name by another of its gender and script; other words by letters of their own classes.
+    def name(self, text: str) -> str:
+        """A listed given name by another of its gender and script; any other word by letters of their own classes, all but the last.
 
-        ``genders`` has a letter for each word: f or m for a given name that is not listed, which then gets an ending of that
-        gender; any other for a surname. Listed names, names with an ending and surnames differ in form, so none meet.
+        A word's surrogate depends on the word alone, not on titles or its place, so a person has one everywhere. All words
+        that are not listed go through one one-to-one order, so no two fall together, and none becomes a listed name. The last
+        letter stays, as it tells a name's gender in many languages. A word in capitals is the same word.
         """
         words = re.split(r"([ \u00a0])", text)
-        for i, w in enumerate(words):
-            gender = genders[i // 2 : i // 2 + 1]
-            if w in GENDER_OF:
-                names = NAMES[GENDER_OF[w]]
-                words[i] = names[following(names.index(w), len(names), self._of("".join(GENDER_OF[w])))]
-            elif w.strip():
-                new = self._letters(w)
-                while new + ENDINGS.get((gender, script_of(w)), "") in GENDER_OF:  # a listed name stands for a listed name only
-                    new = self._letters(new)
-                words[i] = new + ENDINGS.get((gender, script_of(w)), "")
+        for i in range(0, len(words), 2):
+            base = canonical(words[i])
+            new = self._word(base)
+            words[i] = new if base == words[i] else new.upper()
         return "".join(words)
 
+    def _word(self, word: str) -> str:
+        if word in GENDER_OF:
+            names = NAMES[GENDER_OF[word]]
+            return names[following(names.index(word), len(names), self._of("".join(GENDER_OF[word])))]
+        new = self._letters(word)
+        while new in GENDER_OF:
+            new = self._letters(new)
+        return new
+
     def _letters(self, word: str) -> str:
-        return reformatted(word, self._of("name"))
+        cut = len(word) - (len(word) > 2 and script_of(word) in ALPHABETS)
+        return reformatted(word[:cut], self._of(f"name {word[cut:]}")) + word[cut:] if word else word
+
+
+#: Scripts in which a name's end may tell its gender.
+ALPHABETS = {"latin", "cyrillic", "greek"}
 
 
-#: Endings of made given names.
-ENDINGS = {("f", "latin"): "ina", ("m", "latin"): "us", ("f", "cyrillic"): "ина", ("m", "cyrillic"): "слав"}
+def canonical(word: str) -> str:
+    """A word in capitals as it is written otherwise, if that can be undone."""
+    plain = word[:1] + word[1:].lower()
+    return plain if len(word) > 1 and word.isupper() and plain.upper() == word and len(plain) == len(word) else word
 
 
 def script_of(word: str) -> str:
@@ -328,29 +349,39 @@ def given_names(text: str) -> Iterator[re.Match]:
             yield m
 
 
-def persons(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, genders) of names with a title, or of a listed given name and what follows. ``genders`` as in ``Surrogates.name``."""
-    for m in TITLED.finditer(text) if any(t in text for t in TITLE_GENDER) else ():
-        words = re.split(r"[ \u00a0]", m[2])
+def _bare(words: list[str]) -> list[str]:
+    """The words of a name without a possessive ending; nothing after one belongs to the name."""
+    for i, w in enumerate(words):
+        if len(w) > 3 and w[-2:] in ("'s", "’s", "'S", "’S"):
+            return [*words[:i], w[:-2]]
+    return words
+
+
+def persons(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of names with a title, after words by which people give their names, or of a listed given name and what follows."""
+    titled = TITLED.finditer(text) if any(t in text for t in TITLE_GENDER) else ()
+    for m, at in itertools.chain(((m, 2) for m in titled), ((m, 1) for m in CALLED.finditer(text))):
+        words = _bare(re.split(r"[ \u00a0]", m[at]))
         if _named(words[0]):
-            gender = TITLE_GENDER[m[1]]
             if len(words) == 2 and not _named(words[1]):
                 words.pop()
-            # one word after a title is a surname, unless it is a listed given name
-            yield m.start(2), m.start(2) + len(" ".join(words)), (gender + "s" if len(words) == 2 else "s")
+            yield m.start(at), m.start(at) + len(" ".join(words))
     for m in given_names(text):
-        words = re.split(r"[ \u00a0]", m[0])
+        words = _bare(re.split(r"[ \u00a0]", m[0]))
+        if any(w.rstrip(".") in PLACES for w in words[1:]):
+            continue
         while len(words) > 1 and not words[-1][0].isupper():
             words.pop()
-        if len(words) > 1 and words[1][0].isupper():
-            yield m.start(), m.start() + len(" ".join(words)), "s" * len(words)
+        shouted = words[0] not in GENDER_OF
+        if len(words) > 1 and words[1][0].isupper() and (not shouted or words[1].isupper() and len(words[1]) > 1):
+            yield m.start(), m.start() + len(" ".join(words))
     for m in FOLLOWED.finditer(text) if any(t in text for t in TITLES_AFTER) else ():
-        yield m.start(1), m.end(1), "s"
+        yield m.start(1), m.end(1)
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, genders) of all entities, in order, none over another. ``genders`` is for names."""
-    found: list[tuple[int, int, str, str]] = []
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all entities, in order, none over another."""
+    found: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
     has_digit, has_at, has_colons = re.search(r"\d", text), "@" in text, text.count(":") > 1
     for kind, pattern in DETECTORS:
@@ -359,23 +390,20 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             a, b = m.start(), m.start() + (_length(m[0]) if pattern is INTERNATIONAL else len(m[0]))
             if _valid(kind, text[a:b]) and 1 not in taken[a:b]:
-                found.append((a, b, kind, ""))
+                found.append((a, b, kind))
                 taken[a:b] = b"\1" * (b - a)
-    names: dict[str, str] = {}
-    for a, b, genders in persons(text):
-        words = re.split(r"[ \u00a0]", text[a:b])
-        for w, g in zip(words, genders, strict=True):
-            if len(w) > 2 or script_of(w) not in ("latin", "cyrillic", "greek"):
-                names[w] = g if names.get(w, "s") in "su" else names[w]
+    names: set[str] = set()
+    for a, b in persons(text):
+        words = [w for w in re.split(r"[ \u00a0]", text[a:b]) if len(w) > 2 or script_of(w) not in ALPHABETS]
+        names |= {x for w in words for x in (w, canonical(w), w.upper())}
         if 1 not in taken[a:b]:
-            found.append((a, b, "name", ""))
+            found.append((a, b, "name"))
             taken[a:b] = b"\1" * (b - a)
-    if names:  # the same person without the title
-        for m in re.finditer(rf"(?<![\w'’-])(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?![\w'’-])", text):
+    if names:  # the same person without the title; a possessive ending stays
+        for m in re.finditer(rf"(?<![\w'’-])(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?![\w-])(?!['’](?![sS](?!\w))\w)", text):
             if 1 not in taken[m.start() : m.end()]:
-                found.append((m.start(), m.end(), "name", ""))
-    said = lambda a, b: "".join(names.get(w, "s") for w in re.split(r"[ \u00a0]", text[a:b]))
-    return sorted((a, b, kind, said(a, b) if kind == "name" else "") for a, b, kind, _ in found)
+                found.append((m.start(), m.end(), "name"))
+    return sorted(found)
 
 
 def replacer(key: bytes) -> Callable[[str], tuple[str, dict[str, int]]]:
@@ -384,8 +412,8 @@ def replacer(key: bytes) -> Callable[[str], tuple[str, dict[str, int]]]:
 
     def replace(text: str) -> tuple[str, dict[str, int]]:
         out, at, counts = [], 0, {}
-        for a, b, kind, genders in entities(text):
-            out += [text[at:a], surrogate(kind, text[a:b], genders)]
+        for a, b, kind in entities(text):
+            out += [text[at:a], surrogate(kind, text[a:b])]
             at = b
             counts[kind] = counts.get(kind, 0) + 1
         return "".join([*out, text[at:]]) if out else text, counts
@@ -398,10 +426,10 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
 
     Returns ``doc_id, text, n_entities, kinds``, one row for each row of ``docs``, without an exchange; ``kinds`` counts the
     entities of each kind as ``kind:n``, in order of kind. Found are: e-mail addresses, keys and hex secrets, bank accounts,
-    network addresses, US social security numbers, card and phone numbers, names after a title, listed given names with a
-    surname, names before an East Asian title, and these names' words wherever else they stand in the text; not found are
-    other names without a title, and postal addresses. A given name that is not listed gets an ending of the gender that a
-    title tells; where texts tell different genders for it, its surrogates differ. A null text stays null with 0 entities.
+    network addresses, US social security numbers, card and phone numbers (international, of three, three and four digits, or
+    with a trunk zero), names after a title or a phrase such as "my name is", listed given names with a surname, names before
+    an East Asian title, and these names' words wherever else they stand in the text, in capitals and with a possessive too;
+    not found are other names, and postal addresses. A name has one surrogate in all texts. A null text stays null with 0 entities.
     A very long text is searched whole. Repeated rows get the same answer; null ids stay; an empty table gives no row; other
     columns are not read, whatever their names.
     """
@@ -437,7 +465,9 @@ def check_collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
     """For each kind: how many distinct entities, how many distinct surrogates, and how many surrogates are entities of the corpus.
 
     Entities are counted by an exchange of their digests, of the form in which two writings of one entity are the same; as
-    many surrogates as entities means that none fell together. Listed names stand for one another, so they are met.
+    many surrogates as entities means that none fell together. The words of names are counted by themselves as well, as the
+    kind ``name word``. Listed names stand for one another, so they are met. A null or empty text, like an empty table,
+    gives nothing to count; other columns are not read; very long texts are searched whole, and rows that repeat count once.
     """
 
     def plain(kind: str, text: str) -> str:
@@ -445,6 +475,8 @@ def check_collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
             return text.lower()
         if kind == "ipv6":
             return ipaddress.IPv6Address(text).compressed
+        if kind in ("name", "name word"):
+            return " ".join(map(canonical, re.split(r"[ \u00a0]", text)))
         return (_number(text)[0] + " " + _digits(text[_number(text)[1] :])) if kind == "phone" else _plain(text) if kind in ("card", "iban") else text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,8 +484,11 @@ def check_collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
         names = pa.schema([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())])
         digest = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
         for b in batches:
-            seen = {(k, t[a:e], g) for t in strings(b.column(0)) for a, e, k, g in entities(t)}
-            yield batch(names, [[k for k, _, _ in seen], [digest(plain(k, x)) for k, x, _ in seen], [digest(plain(k, surrogate(k, x, g))) for k, x, g in seen]])
+            seen = {(k, t[a:e]) for t in strings(b.column(0)) for a, e, k in entities(t)}
+            said = [(k, x, surrogate(k, x)) for k, x in seen]
+            parts = {("name word", w, n) for k, x, y in said if k == "name" for w, n in zip(re.split(r"[ \u00a0]", x), re.split(r"[ \u00a0]", y), strict=True)}
+            said += sorted(parts)
+            yield batch(names, [[k for k, _, _ in said], [digest(plain(k, x)) for k, x, _ in said], [digest(plain(k, y)) for k, _, y in said]])
 
     pairs = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
     known = pairs.select("kind", F.col("entity").alias("surrogate")).distinct().withColumn("known", F.lit(1))
