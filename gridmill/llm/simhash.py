@@ -9,6 +9,7 @@ alternating star contractions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import batch, checkpointed, strings
+from gridmill.llm.common import batch, checkpointed, shared_folder, strings
 
 SEED = 42
 #: The tree that cuts shards grows on so many fingerprints for each shard, and so many at least: 2 MB at most.
@@ -215,7 +216,8 @@ def components(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "
 
 # -- near copies by likeness ------------------------------------------------
 
-MINIMA = 6
+#: Minima by which texts meet first. They find most links cheaply; those that they miss are found by rare shingles.
+MINIMA = 3
 #: Classes that are compared in one task.
 BLOCK = 2_000
 #: Two fingerprints within this are likely to be alike, and looked at first.
@@ -329,13 +331,13 @@ def near_edges(ids: list[int], points: np.ndarray, sets: list[np.ndarray], guest
     return edges, joined.roots()
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, likeness: float) -> np.ndarray:
-    """The rarest members of a set, as many as two sets alike by ``likeness`` cannot both do without: they have one of these in common.
+def prefix(shingles: np.ndarray, counts: np.ndarray, likeness: float, common: int = 1) -> np.ndarray:
+    """The rarest members of a set, as many as two sets alike by ``likeness`` cannot both do without: they have ``common`` of these in common.
 
     Rare by the count of a member's bucket, ties by the member itself; any order that is the same for all sets would do.
     """
     order = np.lexsort((shingles, counts[shingles >> np.uint32(32 - (BUCKETS.bit_length() - 1))]))
-    return shingles[order[: len(shingles) - int(np.ceil(likeness * len(shingles) - 1e-9)) + 1]]
+    return shingles[order[: len(shingles) - int(np.ceil(likeness * len(shingles) - 1e-9)) + common]]
 
 
 def _common_counts(sets: DataFrame) -> np.ndarray:
@@ -362,15 +364,16 @@ def _common_counts(sets: DataFrame) -> np.ndarray:
 def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of every row: documents whose sets of ``width``-word shingles are alike by ``likeness`` or more, or by way of others.
 
-    Documents of equal sets are one class from the start. Classes meet where one of six minima of their sets is the same
-    (two sets alike by 0.8 miss one another in all six once in 15,000 pairs); there a vantage-point tree over SimHash
-    fingerprints of the sets proposes pairs, what it leaves apart is counted out, and the sets decide (by 32 bits of each
-    shingle's hash). A meeting of more than ``BLOCK`` classes, as a passage that very many documents have makes one, is dealt
-    into blocks. Each block is compared in itself and with the least class; then the heads of its large groups visit the
-    other blocks. What can be alike beyond that has one of its rarest shingles in common: by these the classes of large
-    meetings meet again, where two groups do that are not joined yet. So no link of a meeting is lost, and nobody compares
-    all with all. Documents without a word are one class; a null text has none. A row with a null id stands alone, with a
-    null component. Rows of one id have each the group of their own text. Very long texts are read whole; an empty table
+    Documents of equal sets are one class from the start. Classes meet first where one of three minima of their sets is the
+    same; there a vantage-point tree over SimHash fingerprints of the sets proposes pairs, what it leaves apart is counted
+    out, and the sets decide (by 32 bits of each shingle's hash). A meeting of more than ``BLOCK`` classes, as a passage that
+    very many documents have makes one, is dealt into blocks. Each block is compared in itself and with the least class; then
+    the heads of its large groups visit the other blocks. That finds most groups, and loses some links. Two sets alike have
+    one of their rarest shingles in common, whatever else: by these all classes meet again, where two groups do that are
+    not joined yet, and there all are compared. Where more than ``BLOCK`` have a rare shingle, they meet by it and a second
+    one, as sets alike have two of one more; only what shares both so often is compared in pairs of blocks. So no link is
+    lost. Documents without a word are one class; a null text has none. A row with a null id stands alone, with a null
+    component. Rows of one id have each the group of their own text. Very long texts are read whole; an empty table
     gives no row; other columns are not read, whatever their names.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -386,11 +389,11 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     each = classes.select("own", F.explode("keys").alias("key"))
     counts = _meetings(each)
     met = checkpointed(each.join(counts, "key"))
-    asked = classes.join(met.select("own").distinct(), "own", "left_semi").select("own", F.col("id").alias("doc_id"))
+    asked = classes.select("own", F.col("id").alias("doc_id"))
     packed = pa.schema([("own", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of the classes asked for; a row of the same id with another text is none of them."""
+        """The sets of the classes; a row of the same id with another text is none of them."""
         for b in batches:
             out = []
             for own, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
@@ -451,41 +454,62 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         visits = guests.join(sized, "key").select("key", F.explode(all_blocks).alias("block"), "own", F.lit(True).alias("guest"), none, no.alias("heads"))
         hosts = large.select("key", spread.alias("block"), "own", no.alias("guest"), none, no.alias("heads"))
         edges = edges.unionAll(meeting(hosts.unionAll(visits)).filter("u is not null").select("u", "v"))
-        group = stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root"))
-        of = lambda rows: rows.join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
-        those = of(large.select("own").distinct())
-        theirs = checkpointed(sets.join(those, "own").select("own", "root", "shingles"))
-        common = docs.sparkSession.sparkContext.broadcast(_common_counts(theirs).astype(np.int32))
-        rare = pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
-
-        def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for start in range(0, b.num_rows, 1_000):
-                    part = b.slice(start, 1_000)
-                    keys = [prefix(np.frombuffer(raw, np.uint32), common.value, likeness) for raw in part.column(2).to_pylist()]
-                    n = list(map(len, keys))
-                    yield batch(rare, [*(np.repeat(part.column(i).to_numpy(), n) for i in (0, 1)), np.concatenate(keys).astype(np.int64)])
-
-        tokens = theirs.mapInArrow(cut, "own long, root long, key long")
-        again = checkpointed(tokens.join(_meetings(tokens, "root"), "key"))
-        pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
-        third = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", no.alias("guest"), "root", no.alias("heads"))
-        more = meeting(third).filter("u is not null").select("u", "v")
-        whole = classes.select("own", "id")
-        if more.isEmpty():
-            found = of(whole).withColumnRenamed("root", "group")
-        else:  # groups are joined, as a whole
-            ends = of(of(more.withColumnRenamed("u", "own")).select("root", F.col("v").alias("own")).withColumnRenamed("root", "v")).select(F.col("v").alias("u"), F.col("root").alias("v"))
-            joined = stars(ends).select(F.col("u").alias("root"), F.col("v").alias("group"))
-            found = of(whole).join(joined, "root", "left").select("own", "id", F.coalesce("group", "root").alias("group"))
-    else:
-        joined = stars(edges)
-        found = classes.select("own", "id").join(joined.select(F.col("u").alias("own"), "v"), "own", "left").select("own", "id", F.coalesce("v", "own").alias("group"))
+    group = stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root"))
+    of = lambda rows: rows.join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
+    common = docs.sparkSession.sparkContext.broadcast(_common_counts(sets).astype(np.int32))
+    rare = pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rarest shingles of each class."""
+        for b in batches:
+            for start in range(0, b.num_rows, 1_000):
+                part = b.slice(start, 1_000)
+                keys = [prefix(np.frombuffer(raw, np.uint32), common.value, likeness) for raw in part.column(2).to_pylist()]
+                n = list(map(len, keys))
+                yield batch(rare, [*(np.repeat(part.column(i).to_numpy(), n) for i in (0, 1)), np.concatenate(keys).astype(np.int64)])
+
+    def cut_twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A frequent one of them with each other of one more."""
+        for b in batches:
+            for own, root, raw, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                others = prefix(np.frombuffer(raw, np.uint32), common.value, likeness, 2)
+                pairs = [xxhash.xxh64_intdigest(int(x).to_bytes(4, "little"), key) - (1 << 63) for x in others if int(x) != key]
+                if pairs:
+                    yield batch(rare, [np.repeat(own, len(pairs)), np.repeat(root, len(pairs)), pairs])
+
+    tokens = of(sets.select("own", "shingles")).select("own", "root", "shingles").mapInArrow(cut, "own long, root long, key long")
+    again = _met_again(tokens)
+    often = again.filter(F.col("n") > BLOCK)
+    if not often.isEmpty():
+        split = often.join(sets, "own").select("own", "root", "shingles", "key").mapInArrow(cut_twice, "own long, root long, key long")
+        again = again.filter(F.col("n") <= BLOCK).unionByName(_met_again(checkpointed(split)))
+    pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
+    third = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", no.alias("guest"), "root", no.alias("heads"))
+    more = meeting(third).filter("u is not null").select("u", "v")
+    whole = classes.select("own", "id")
+    if more.isEmpty():
+        found = of(whole).withColumnRenamed("root", "group")
+    else:  # groups are joined, as a whole
+        ends = of(of(more.withColumnRenamed("u", "own")).select("root", F.col("v").alias("own")).withColumnRenamed("root", "v")).select(F.col("v").alias("u"), F.col("root").alias("v"))
+        joined = stars(ends).select(F.col("u").alias("root"), F.col("v").alias("group"))
+        found = of(whole).join(joined, "root", "left").select("own", "id", F.coalesce("group", "root").alias("group"))
     least_id = found.groupBy("group").agg(F.min("id").alias("component_id"))
     member = found.join(least_id, "group").select("own", "component_id")
     return rows.join(member, "own", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _met_again(tokens: DataFrame) -> DataFrame:
+    """``own, root, key, n`` of the tokens (own, root, key) that two groups or more have; of those that the same classes have, one.
+
+    Which keys two groups have is found out first, and written: most tokens are of one group alone, and go no further.
+    """
+    mixed = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    path = f"{shared_folder(tokens.sparkSession)}/mixed-{uuid.uuid4().hex}"
+    mixed.write.parquet(path)
+    shared = checkpointed(tokens.join(tokens.sparkSession.read.parquet(path), "key"))
+    return checkpointed(shared.join(_meetings(shared, "root"), "key"))
+
+
 def _meetings(each: DataFrame, apart: str | None = None) -> DataFrame:
     """``key, n`` of the keys that two or more have (own, key), and two or more groups if ``apart`` names them; of keys that the same have, one."""
     same = [F.bit_xor(F.xxhash64("own", F.lit(i))).alias(f"same{i}") for i in range(2)]

@@ -307,9 +307,11 @@ def test_forest_is_exact():
     assert len(np.unique(want)) == len(np.unique(got_)) and all(want[a] == want[b] for a, b in zip([index[int(x)] for x in u], [index[int(x)] for x in v], strict=True))
 
 
-@pytest.mark.parametrize("block", [2_000, 2])
-def test_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "minima"), [(2_000, 3), (2, 3), (2_000, 0), (2, 0)])
+def test_near_copies(spark, monkeypatch, block, minima):
+    """Without minima all links come from rare shingles."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "MINIMA", minima)
     rnd = random.Random(3)
     base = [[f"w{rnd.randint(0, 500)}" for _ in range(150)] for _ in range(4)]
     texts = []
@@ -426,10 +428,11 @@ def test_near_copies_of_other_repeats(spark):
     assert simhash.near_edges([1, 2, 3], far, sets, [False] * 3, 0.8, [7, 7, 9])[0] == []  # those two are joined already
 
 
-@pytest.mark.parametrize("block", [8, 40, 2_000])
-def test_near_copies_with_a_common_passage(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "minima"), [(8, 3), (40, 3), (2_000, 3), (8, 0), (2_000, 0)])
+def test_near_copies_with_a_common_passage(spark, monkeypatch, block, minima):
     """Unlike documents that share a long passage meet in large numbers; copies among them are found all the same, and only those."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "MINIMA", minima)
     rnd, passage = random.Random(12), " ".join(f"common{i}" for i in range(60))
     texts = []
     for k in range(60):
@@ -460,7 +463,28 @@ def test_two_sets_alike_share_a_rare_member():
         a = np.unique(rng.integers(0, 1 << 32, rng.integers(1, 60), dtype=np.uint32))
         b = np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * rng.uniform(0.7, 1))), replace=False), rng.integers(0, 1 << 32, rng.integers(0, 6), dtype=np.uint32)]))
         if simhash.alike(a, b, 0.8):
-            assert set(simhash.prefix(a, counts, 0.8).tolist()) & set(simhash.prefix(b, counts, 0.8).tolist())
+            one, two = (set(simhash.prefix(a, counts, 0.8, k).tolist()) & set(simhash.prefix(b, counts, 0.8, k).tolist()) for k in (1, 2))
+            assert one and (len(two) > 1 or min(len(a), len(b)) < 2)
+            assert all(two - {k} for k in one) or min(len(a), len(b)) < 2  # with each of the one a second of the two
+
+
+def test_near_copies_just_alike(spark):
+    """Pairs alike by just 0.8 to 0.85: none is lost, though three minima miss many."""
+    rnd, texts, want = random.Random(15), [], 0
+    for k in range(150):
+        a = [f"w{k}x{i}" for i in range(100)]
+        b = a.copy()
+        b[50:52] = [f"v{k}", f"v{k}y"]
+        b += [f"t{k}x{i}" for i in range(rnd.randint(0, 14))]
+        texts += [" ".join(a), " ".join(b)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for k in range(0, len(texts), 2):
+        if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]):
+            root[k + 1] = k
+            want += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert got(simhash.near_copies(df)) == collections.Counter(enumerate(root)) and 50 < want < 150
 
 
 def test_suffix_tree_keeps_what_tells(spark):
