@@ -1,12 +1,15 @@
-"""Hand-made pages for the matching kernel."""
+"""Hand-made and random pages: the matcher over tables of pages against one page at a time, and that against what it should say."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from gridmill.operators.match import LEAST_ROW, MISS_ROW, MOST_SPAN, SKIP_LINE, Page, Word, edit_distance, likeness, match_page, normal
+from plain_matcher import PlainPage, Word, match_page, normal
+
+from gridmill.operators.match import LEAST_ROW, MISS_ROW, MOST_SPAN, SKIP_LINE, best_run, edit_distance, likeness, matched
 
 
 def words(*spec) -> list[Word]:
@@ -140,7 +143,7 @@ def test_alignment_by_hand(seed):
     rnd = random.Random(seed)
     grid, printed = grid_page(rnd, rnd.randint(1, 5), 3, misread=0.4)
     extra = words(*[(rnd.choice(["zz", "total", "page"]), rnd.choice([0, 220, 440]), rnd.choice([5, 30, 45]), 20) for _ in range(rnd.randint(0, 3))])
-    page = Page(grid, printed + extra, 400)
+    page = PlainPage(grid, printed + extra, 400)
     bands, lines = [0, 1, 2], [[i for i, w in enumerate(page.words) if w.top == t] for t in sorted({w.top for w in page.words})]
     for w in page.words:
         w.band = int(w.left // 220)
@@ -167,3 +170,85 @@ def test_alignment_by_hand(seed):
         return ways[first]
 
     assert page.align(bands, lines, 3) == best(len(grid), len(lines))[1]
+
+
+# -- tables of pages --------------------------------------------------------
+
+CELLS = "doc_id long, page_index int, row_index int, col_index int, value string"
+WORDS = "doc_id long, page_index int, word_ord int, word_id string, text string, left double, top double, width double, height double"
+
+
+def same_as_one_at_a_time(spark, pages, height=None):
+    """``pages``: rows and words of each."""
+    cells = [(d, 0, r, c, v) for d, (rows, _) in enumerate(pages) for r, row in enumerate(rows) for c, v in enumerate(row)]
+    printed = [(d, 0, k, w.id, w.text, float(w.left), float(w.top), float(w.width), float(w.height)) for d, (_, words_) in enumerate(pages) for k, w in enumerate(words_)]
+    found = {(r["doc_id"], r["row_index"], r["col_index"]): (r["match_status"], r["word_ids"]) for r in matched(spark.createDataFrame(cells, CELLS), spark.createDataFrame(printed, WORDS), height).collect()}
+    assert len(found) == len(cells)
+    for d, (rows, words_) in enumerate(pages):
+        want = match_page(rows, words_, height)
+        assert [[found[d, r, c] for c in range(len(row))] for r, row in enumerate(rows)] == want, (d, rows)
+    return found
+
+
+def test_hand_made_pages_as_a_table(spark):
+    pages = [
+        ([["Course", "Credits"], ["Math 101", "3.0"]], plain("Course", "Credits", "Math", "101", "3.0")),
+        ([["A", "B"], ["A", "C"]], plain("A", "B", "A", "C")),
+        ([["Alpha", "zzzzz", "Gamma"]], plain("Alpha", "Gamma")),
+        ([["Calc for eng I"]], plain("Calc", "for", "eng", "|")),
+        ([["abcd"], ["-"], [""]], plain("abcx", "x")),
+        ([["a", "b"]], []),
+        ([["H1", "H2"], ["A", "X"], ["B", "Y"]], words(("H1", 0, 0, 10), ("H2", 100, 0, 10), ("A", 0, 20, 10), ("X", 100, 20, 10), ("Y", 100, 40, 10), ("B", 0, 40, 10))),
+        ([["H1", "H2"], ["A", "X"], ["B", "Y"]], words(("H1", 0, 0, 60), ("H2", 80, 0, 60), ("A", 0, 20, 90), ("X", 100, 20, 40), ("Y", 70, 40, 70), ("B", 0, 40, 60))),
+        ([["Item", "Qty"], ["Widget", "5"], ["Widget", "7"]], words(("Item", 0, 0, 40), ("Qty", 200, 0, 30), ("Widget", 0, 20, 60), ("7", 200, 20, 10))),
+        ([["ab", "x"], ["cd", "y"]], words(("a", 0, 0, 10), ("b", 100, 0, 10), ("c", 0, 20, 10), ("d", 100, 20, 10))),
+        ([["Item", "Qty"], ["Widget", "7"], ["Bolt", ""]], words(("Item", 0, 0, 40), ("Qty", 200, 0, 30), ("Widget", 0, 20, 60), ("7", 200, 20, 10), ("Bolt", 0, 40, 40), ("77", 200, 40, 20))),
+        ([["Alpha", "", "Gamma"], ["a1", "", "c1"]], words(("Alpha", 0, 0, 50), ("Mid1", 100, 0, 40), ("Gamma", 200, 0, 50), ("a1", 0, 20, 20), ("Mid2", 100, 20, 40), ("c1", 200, 20, 20))),
+    ]
+    found = same_as_one_at_a_time(spark, pages)
+    assert found[10, 2, 1] == ("empty", ["w5"]) and found[9, 0, 0] == ("multi_word", ["w0", "w1"]) and found[7, 2, 1][0] == "matched"
+
+
+@pytest.mark.parametrize("height", [None, 400.0])
+def test_random_pages_as_a_table(spark, height):
+    """Clean grids, torn ones, pages without channels, blank cells, ragged rows, words out of order."""
+    rnd, pages = random.Random(21), []
+    for k in range(60):
+        grid, printed = grid_page(rnd, rnd.randint(1, 7), rnd.randint(2, 4), misread=rnd.choice([0, 0.1, 0.5]))
+        if k % 3 == 1:  # no grid to speak of
+            printed = [Word(w.id, w.text, rnd.randint(0, 300), w.top + rnd.randint(0, 30), w.width, w.height) for w in printed]
+        if k % 4 == 2:
+            grid = [[v if rnd.random() > 0.25 else rnd.choice(["", "-", "zz"]) for v in row] for row in grid]
+        if k % 5 == 3:
+            grid = [row[: rnd.randint(1, len(row))] for row in grid]
+        if k % 6 == 4:
+            rnd.shuffle(grid)
+        printed = [w for w in printed if rnd.random() > 0.1]
+        if k % 7 == 5:
+            rnd.shuffle(printed)
+        pages.append((grid, printed))
+    found = same_as_one_at_a_time(spark, pages, height)
+    assert {s for s, _ in found.values()} == {"matched", "multi_word", "fuzzy", "unmatched", "empty"}
+
+
+def test_best_run(spark):
+    from pyspark.sql import functions as F
+
+    rnd, rows = random.Random(3), []
+    text = lambda most: "".join(rnd.choices("ab1", k=rnd.randint(0, most)))
+    for _ in range(400):
+        norms = [text(4) for _ in range(rnd.randint(0, 7))]
+        k = rnd.randint(0, len(norms))
+        rows.append((rnd.choice(["".join(norms[k : k + 3]), text(9)]) or "a", norms))
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, wanted string, norms array<string>").select("i", best_run(F.col("wanted"), F.col("norms")).alias("b")).collect()
+    got = {r["i"]: r["b"] for r in got}
+    hits = 0
+    for i, (wanted, norms) in enumerate(rows):
+        page = PlainPage([[wanted]], [Word(str(k), t, 0, 0, 1, 1) for k, t in enumerate(norms)], None)
+        want = page.best_run(wanted, np.arange(len(norms)))
+        if want is None:
+            assert got[i] is None or got[i]["like"] is None
+        else:
+            hits += 1
+            assert (list(range(got[i]["first"], got[i]["after"])), got[i]["like"]) == want
+    assert hits > 100
