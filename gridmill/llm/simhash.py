@@ -454,19 +454,18 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         visits = guests.join(sized, "key").select("key", F.explode(all_blocks).alias("block"), "own", F.lit(True).alias("guest"), none, no.alias("heads"))
         hosts = large.select("key", spread.alias("block"), "own", no.alias("guest"), none, no.alias("heads"))
         edges = edges.unionAll(meeting(hosts.unionAll(visits)).filter("u is not null").select("u", "v"))
-    group = stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root"))
+    group = _written(stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root")))
     of = lambda rows: rows.join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
     common = docs.sparkSession.sparkContext.broadcast(_common_counts(sets).astype(np.int32))
-    rare = pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
+    rare, twice = pa.schema([("own", pa.int64()), ("key", pa.int64())]), pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rarest shingles of each class."""
         for b in batches:
             for start in range(0, b.num_rows, 1_000):
                 part = b.slice(start, 1_000)
-                keys = [prefix(np.frombuffer(raw, np.uint32), common.value, likeness) for raw in part.column(2).to_pylist()]
-                n = list(map(len, keys))
-                yield batch(rare, [*(np.repeat(part.column(i).to_numpy(), n) for i in (0, 1)), np.concatenate(keys).astype(np.int64)])
+                keys = [prefix(np.frombuffer(raw, np.uint32), common.value, likeness) for raw in part.column(1).to_pylist()]
+                yield batch(rare, [np.repeat(part.column(0).to_numpy(), list(map(len, keys))), np.concatenate(keys).astype(np.int64)])
 
     def cut_twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A frequent one of them with each other of one more."""
@@ -475,17 +474,19 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
                 others = prefix(np.frombuffer(raw, np.uint32), common.value, likeness, 2)
                 pairs = [xxhash.xxh64_intdigest(int(x).to_bytes(4, "little"), key) - (1 << 63) for x in others if int(x) != key]
                 if pairs:
-                    yield batch(rare, [np.repeat(own, len(pairs)), np.repeat(root, len(pairs)), pairs])
+                    yield batch(twice, [np.repeat(own, len(pairs)), np.repeat(root, len(pairs)), pairs])
 
-    tokens = of(sets.select("own", "shingles")).select("own", "root", "shingles").mapInArrow(cut, "own long, root long, key long")
-    again = _met_again(tokens)
+    tokens = sets.select("own", "shingles").mapInArrow(cut, "own long, key long")
+    # most are one class's alone; those of several are found by their counts, and only they go on
+    several = _written(tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    again = _mixed(of(_written(tokens.join(several, "key"))))
     often = again.filter(F.col("n") > BLOCK)
     if not often.isEmpty():
         split = often.join(sets, "own").select("own", "root", "shingles", "key").mapInArrow(cut_twice, "own long, root long, key long")
-        again = again.filter(F.col("n") <= BLOCK).unionByName(_met_again(checkpointed(split)))
+        again = _written(again.filter(F.col("n") <= BLOCK).unionByName(_mixed(_written(split))))
     pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
-    third = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", no.alias("guest"), "root", no.alias("heads"))
-    more = meeting(third).filter("u is not null").select("u", "v")
+    dealt = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", "root")
+    more = meeting(_worth_comparing(dealt, sets, likeness).select("key", "block", "own", no.alias("guest"), "root", no.alias("heads"))).filter("u is not null").select("u", "v")
     whole = classes.select("own", "id")
     if more.isEmpty():
         found = of(whole).withColumnRenamed("root", "group")
@@ -498,16 +499,92 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     return rows.join(member, "own", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _met_again(tokens: DataFrame) -> DataFrame:
-    """``own, root, key, n`` of the tokens (own, root, key) that two groups or more have; of those that the same classes have, one.
+def _written(rows: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, smaller than a checkpoint, and of a size that a join knows."""
+    path = f"{shared_folder(rows.sparkSession)}/near-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
-    Which keys two groups have is found out first, and written: most tokens are of one group alone, and go no further.
+
+def _mixed(tokens: DataFrame) -> DataFrame:
+    """``own, root, key, n`` of the tokens (own, root, key) that two groups or more have; of those that the same classes have, one."""
+    return _written(tokens.join(_meetings(tokens, "root"), "key"))
+
+
+#: Buckets and most in one of them, of the outline of a set.
+OUTLINE, FULL = 128, 255
+
+
+def outline(shingles: np.ndarray) -> np.ndarray:
+    """How many members fall into each of ``OUTLINE`` buckets. What two sets have in common is at most the sum of the lesser counts."""
+    return np.minimum(np.bincount(shingles & np.uint32(OUTLINE - 1), minlength=OUTLINE), FULL).astype(np.uint8)
+
+
+def may_be_alike(size: np.ndarray, outlines: np.ndarray, root: np.ndarray, likeness: float, at: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of two groups, the first in ``at``, that their outlines do not show to be unlike."""
+    a, b = outlines[at][:, None, :], outlines[None, :, :]
+    least = np.minimum(a, b).astype(np.int64)
+    least[(a == FULL) & (b == FULL)] = 1 << 40  # both hold as many or more: no bound
+    both = np.minimum(least.sum(axis=2), np.minimum(size[at][:, None], size[None, :]))
+    near = both >= likeness * (size[at][:, None] + size[None, :] - both) - 1e-9
+    i, j = np.nonzero(near & (root[at][:, None] != root[None, :]))
+    i += at.start
+    return i[i < j], j[i < j]
+
+
+def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """``key, block, own, root`` of the meetings (the same) in which sets must be compared: pairs that outlines leave, each a meeting by itself.
+
+    An outline is some hundred bytes, so a class that meets others by many shingles does not bring its set to each of them. A
+    meeting in which outlines leave more than ``4`` pairs for a member stays as it is, so that no pairs of a large group are made.
     """
-    mixed = tokens.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    path = f"{shared_folder(tokens.sparkSession)}/mixed-{uuid.uuid4().hex}"
-    mixed.write.parquet(path)
-    shared = checkpointed(tokens.join(tokens.sparkSession.read.parquet(path), "key"))
-    return checkpointed(shared.join(_meetings(shared, "root"), "key"))
+    drawn = pa.schema([("own", pa.int64()), ("size", pa.int32()), ("outline", pa.binary())])
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [np.frombuffer(raw, np.uint32) for raw in b.column(1).to_pylist()]
+            yield batch(drawn, [b.column(0), list(map(len, some)), [outline(x).tobytes() for x in some]])
+
+    outlines = sets.select("own", "shingles").mapInArrow(draw, "own long, size int, outline binary")
+    told = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("own", pa.int64()), ("root", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def close() -> list[tuple]:
+            members = list({r[0]: r for r in group}.values())
+            own, root = (np.array([r[k] for r in members], np.int64) for k in (0, 1))
+            size = np.array([r[2] for r in members], np.int64)
+            outlines = np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(-1, OUTLINE)
+            out: list[tuple] = []
+            for start in range(0, len(members), 64):
+                i, j = may_be_alike(size, outlines, root, likeness, slice(start, min(start + 64, len(members))))
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    u, v = sorted((int(own[p]), int(own[q])))
+                    key = xxhash.xxh64_intdigest(u.to_bytes(8, "little", signed=True), v & (1 << 63) - 1) - (1 << 63)
+                    out += [(key, -1, int(own[x]), int(root[x])) for x in (p, q)]
+                if len(out) > 8 * len(members) > 80:
+                    return [(*at, r[0], r[1]) for r in members]
+            return out
+
+        found: list[tuple] = []
+        for b in batches:
+            for key, block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, block) != at:
+                    if len(group) > 1:
+                        found += close()
+                    at, group = (key, block), []
+                    if len(found) > 20_000:
+                        yield batch(told, zip(*found, strict=True))
+                        found = []
+                group.append(row)
+        if len(group) > 1:
+            found += close()
+        if found:
+            yield batch(told, zip(*found, strict=True))
+
+    full = dealt.join(outlines, "own").select("key", "block", "own", "root", "size", "outline")
+    return _written(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "key long, block int, own long, root long").distinct())
 
 
 def _meetings(each: DataFrame, apart: str | None = None) -> DataFrame:

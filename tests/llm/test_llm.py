@@ -957,3 +957,18 @@ def test_tree_that_is_not_fetched(spark, docs, empty, monkeypatch):
     asked = sorted((str(r["doc_id"]), r["score"]) for r in lm.score(docs).collect())
     assert [i for i, _ in asked] == [i for i, _ in odd] and np.allclose([x for _, x in asked], [x for _, x in odd], rtol=1e-5)
     assert lm.score(empty).count() == 0
+
+
+def test_outlines_show_no_alike_pair_as_unlike():
+    rng = np.random.default_rng(9)
+    for n in (3, 40, 900, 60_000):
+        sets = []
+        for _ in range(6):
+            a = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+            for share in (1, 0.97, 0.9, 0.8, 0.5):
+                sets.append(np.unique(np.concatenate([rng.choice(a, max(1, int(len(a) * share)), replace=False), rng.integers(0, 1 << 32, int(n * (1 - share) / 3), dtype=np.uint32)])))
+        size, drawn = np.array(list(map(len, sets))), np.array([simhash.outline(x) for x in sets])
+        i, j = simhash.may_be_alike(size, drawn, np.arange(len(sets)), 0.8, slice(0, len(sets)))
+        left = set(zip(i.tolist(), j.tolist(), strict=True))
+        alike = {(p, q) for p, q in itertools.combinations(range(len(sets)), 2) if simhash.alike(sets[p], sets[q], 0.8)}
+        assert alike <= left and len(alike) > 5 and (n > 10_000 or len(left) < 0.6 * len(sets) ** 2 / 2)
