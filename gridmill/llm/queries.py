@@ -81,7 +81,7 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_syncmers, op3_substring_dedup, op4_simhash, op5_suffix_tree_lm, op6_graph_ann, op7_pii_surrogates, op8_language_id, op9_packing, op10_toxicity, op11_filter_audit, op12_spelling_variants, op13_best_fit, pii_collisions)}
-#: What SQL can say on whole tables. The others need merges by rank, XXH64, a learned model or a graph; tests hold them against brute force.
+#: What SQL can say on whole tables (the crc32 of a run is made of shifts there). The others need merges by rank, XXH64, a learned model or a graph; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
 with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
@@ -114,4 +114,23 @@ with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t
   from steps group by part, filter_order, step, own
 ) select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
   good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from counts""",
+    "op12_spelling_variants": r"""
+with recursive bits as (select i, 0 as k, i as c from range(256) t(i) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8
+), crc as (select list(c order by i) as t from bits where k = 8
+), runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as w from documents
+), counted as (select doc_id, w, count(*) as n, hex(coalesce(doc_id::varchar, '') || ':' || w) as x from runs where length(w) >= 6 group by doc_id, w
+), bytes as (select w, n, list_transform(range(length(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) as b from counted
+), hashed as (select w, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) as h from bytes, crc
+), damaged as (select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n from hashed
+), words as (select word, sum(n)::bigint as n from damaged where length(word) >= 6 group by word having sum(n) >= 5
+), cuts as (select word, n, p, substr(word, 1, p - 1) as head, substr(word, p + 1) as tail from (select word, n, unnest(range(1, length(word) + 1)) as p from words)
+), near as (
+  select a.word, b.word as other, b.n as other_n from cuts a join cuts b using (p, head, tail) where a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on b.word = a.head || a.tail
+  union select b.word, a.word, a.n from cuts a join words b on b.word = a.head || a.tail
+), best as (select word, count(*) as n_near, arg_min({'w': other, 'n': other_n}, (-other_n, other)) as top from near group by word
+), formed as (select word, n, coalesce(n_near, 0) as n_near, case when top.n >= 5 * n then top.w end as form, case when top.n >= 5 * n then top.n end as form_n from words left join best using (word)
+), chain as (select word, form as root, 1 as d from formed where form is not null union all select chain.word, f.form, d + 1 from chain join formed f on f.word = chain.root where f.form is not null
+), roots as (select word, arg_max(root, d) as root from chain group by word)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from formed left join roots using (word)""",
 }
