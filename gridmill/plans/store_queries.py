@@ -35,16 +35,6 @@ def store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return sessions, pages, outputs
 
 
-@query(BASE + "select id, title, matched from hits")
-def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.matches(*store(spark, sf_dir), TERM).select("id", "title", "matched")
-
-
-@query(BASE + "select sum(case when matched then 1 else 0 end)::bigint as matching, count(*) as total from hits")
-def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_counts(*store(spark, sf_dir), TERM)
-
-
 #: Indexes made in this session, by its id and the tables.
 _INDEXES: dict[tuple[str, str], X.TextIndex] = {}
 #: A term that a few texts of a hundred have.
@@ -62,6 +52,17 @@ def stored_index(spark: SparkSession, sf_dir: str) -> X.TextIndex:
     return _INDEXES[key]
 
 
+@query(BASE + "select id, title, matched from hits")
+def content_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term that most texts have: posting lists say so by their lengths, and the texts are scanned."""
+    return X.matches(store(spark, sf_dir)[0], stored_index(spark, sf_dir), TERM).select("id", "title", "matched")
+
+
+@query(BASE + "select sum(case when matched then 1 else 0 end)::bigint as matching, count(*) as total from hits")
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.search_counts(store(spark, sf_dir)[0], stored_index(spark, sf_dir), TERM)
+
+
 @query(RARE_HITS + "select id, title, matched from hits")
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.matches(store(spark, sf_dir)[0], stored_index(spark, sf_dir), RARE).select("id", "title", "matched")
