@@ -389,21 +389,20 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     each = classes.select("own", F.explode("keys").alias("key"))
     counts = _meetings(each)
     met = checkpointed(each.join(counts, "key"))
-    asked = classes.select("own", F.col("id").alias("doc_id"))
     packed = pa.schema([("own", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sets of the classes; a row of the same id with another text is none of them."""
+        """The set of each text; of equal ones a task sends one."""
         for b in batches:
-            out = []
-            for own, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                s = shingle_set(text, width)
-                if xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) == own:
-                    out.append((own, int(np.uint64(majority(s)).view(np.int64)), np.unique(s.astype(np.uint32)).tobytes()))
-            if out:
+            texts_ = strings(b.column(0))
+            for start in range(0, len(texts_), 1_000):
+                out = []
+                for text in texts_[start : start + 1_000]:
+                    s = shingle_set(text, width)
+                    out.append((xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), int(np.uint64(majority(s)).view(np.int64)), np.unique(s.astype(np.uint32)).tobytes()))
                 yield batch(packed, zip(*out, strict=True))
 
-    sets = checkpointed(texts.join(asked, "doc_id").select("own", "text").mapInArrow(pack, "own long, fp long, shingles binary").dropDuplicates(["own"]))
+    sets = checkpointed(texts.filter("doc_id is not null").select("text").mapInArrow(pack, "own long, fp long, shingles binary").dropDuplicates(["own"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     spread = F.pmod(F.xxhash64("own"), blocks).cast("int")
     all_blocks = F.sequence(F.lit(0), blocks - 1)
@@ -533,10 +532,11 @@ def may_be_alike(size: np.ndarray, outlines: np.ndarray, root: np.ndarray, liken
 
 
 def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """``key, block, own, root`` of the meetings (the same) in which sets must be compared: pairs that outlines leave, each a meeting by itself.
+    """``key, block, own, root`` of the meetings (the same) in which sets must be compared, with the members of pairs that outlines leave.
 
-    An outline is some hundred bytes, so a class that meets others by many shingles does not bring its set to each of them. A
-    meeting in which outlines leave more than ``4`` pairs for a member stays as it is, so that no pairs of a large group are made.
+    An outline is some hundred bytes, so a class that meets others by many shingles does not bring its set to each of them: a
+    pair that meets often is compared in one of its meetings. A meeting in which outlines leave more than ``4`` pairs for a
+    member stays as it is, so that no pairs of a large group are made.
     """
     drawn = pa.schema([("own", pa.int64()), ("size", pa.int32()), ("outline", pa.binary())])
 
@@ -546,25 +546,22 @@ def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> Data
             yield batch(drawn, [b.column(0), list(map(len, some)), [outline(x).tobytes() for x in some]])
 
     outlines = sets.select("own", "shingles").mapInArrow(draw, "own long, size int, outline binary")
-    told = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("own", pa.int64()), ("root", pa.int64())])
+    told = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("u", pa.int64()), ("ru", pa.int64()), ("v", pa.int64()), ("rv", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
 
         def close() -> list[tuple]:
-            members = list({r[0]: r for r in group}.values())
+            members = sorted({r[0]: r for r in group}.values())
             own, root = (np.array([r[k] for r in members], np.int64) for k in (0, 1))
             size = np.array([r[2] for r in members], np.int64)
             outlines = np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(-1, OUTLINE)
             out: list[tuple] = []
             for start in range(0, len(members), 64):
                 i, j = may_be_alike(size, outlines, root, likeness, slice(start, min(start + 64, len(members))))
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    u, v = sorted((int(own[p]), int(own[q])))
-                    key = xxhash.xxh64_intdigest(u.to_bytes(8, "little", signed=True), v & (1 << 63) - 1) - (1 << 63)
-                    out += [(key, -1, int(own[x]), int(root[x])) for x in (p, q)]
-                if len(out) > 8 * len(members) > 80:
-                    return [(*at, r[0], r[1]) for r in members]
+                out += [(*at, *x) for x in zip(own[i].tolist(), root[i].tolist(), own[j].tolist(), root[j].tolist(), strict=True)]
+                if len(out) > 4 * len(members) > 40:
+                    return [(*at, r[0], r[1], None, None) for r in members]
             return out
 
         found: list[tuple] = []
@@ -584,7 +581,11 @@ def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> Data
             yield batch(told, zip(*found, strict=True))
 
     full = dealt.join(outlines, "own").select("key", "block", "own", "root", "size", "outline")
-    return _written(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "key long, block int, own long, root long").distinct())
+    found = _written(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "key long, block int, u long, ru long, v long, rv long"))
+    whole = found.filter("v is null").select("key", "block", F.col("u").alias("own"), F.col("ru").alias("root"))
+    once = found.filter("v is not null").groupBy("u", "v").agg(F.min(F.struct("key", "block")).alias("at"), F.first("ru").alias("ru"), F.first("rv").alias("rv"))
+    both = F.explode(F.array(F.struct(F.col("u").alias("own"), F.col("ru").alias("root")), F.struct(F.col("v").alias("own"), F.col("rv").alias("root")))).alias("x")
+    return _written(whole.unionByName(once.select("at.key", "at.block", both).select("key", "block", "x.own", "x.root")).distinct())
 
 
 def _meetings(each: DataFrame, apart: str | None = None) -> DataFrame:
