@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridmill.operators import layout as L
@@ -346,3 +346,90 @@ def provenance_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = parsed(spark, sf_dir)
     out = S.scored(M.matched(full, words, float(synth.HEIGHT)), P.token_offsets(synth.tokens(spark, sf_dir)), words, full)
     return out.select(*S.CELL, "value", "match_status", F.array_join("word_ids", " ").alias("word_ids"), F.round("llm_mean", 9).alias("llm_mean"), F.round("llm_min", 9).alias("llm_min"), F.round("ocr", 6).alias("ocr"), "agreement", "trust")
+
+
+# -- pages without a grid ---------------------------------------------------
+
+
+def walked_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells and words of pages that no grid helps with: lists of one column, text whose words leave no channel, and tables printed with their columns swapped, whose grid places too little.
+
+    Some words are misread, some are missing, and rules are read as a bar.
+    """
+    k, kind = F.col("p_partkey"), F.col("kind")
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", F.floor(k / 8).cast("long").alias("doc_id"), F.lit(0).alias("page_index"), (k % 8).cast("int").alias("r"), F.pmod(F.floor(k / 8), F.lit(3)).cast("int").alias("kind"),
+        F.slice(F.split("p_name", " "), 1, 2).alias("name"), F.concat("p_brand", F.lit("-"), "p_size").alias("code"),
+    )
+    both = F.posexplode(F.array(F.array_join("name", " "), "code")).alias("c", "value")
+    cells = parts.select("doc_id", "page_index", "r", "kind", both).select(
+        "doc_id", "page_index", F.when(kind == 0, 2 * F.col("r") + F.col("c")).otherwise(F.col("r")).alias("row_index"), F.when(kind == 0, 0).otherwise(F.col("c")).alias("col_index"), "value"
+    )
+    last = F.col("name")[1]
+    misread = F.when(k % 7 == 3, F.concat(F.expr("left(name[1], length(name[1]) - 1)"), F.lit("x"))).otherwise(last)
+    printed = [F.when((k % 5 == 1) & (kind < 2), "|"), F.col("name")[0], misread, F.when((k % 11 != 5) & (kind < 2), F.col("code"))]
+    printed[0] = F.when(kind == 2, F.when(k % 11 != 5, F.col("code"))).otherwise(printed[0])
+    slot, size = F.col("slot"), F.length("text")
+    words = parts.select("*", F.posexplode(F.array(*printed)).alias("slot", "text")).filter("text is not null")
+    left = F.when(kind == 2, F.when(slot == 0, 0).when(slot == 1, 500).otherwise(510 + 10 * F.length(F.col("name")[0]))).when(kind == 1, 10 * slot).otherwise(100 * slot)
+    order = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("r", "slot")) - 1
+    return cells, words.select(
+        "doc_id", "page_index", order.cast("int").alias("word_ord"), F.concat_ws("-", "doc_id", "r", "slot").alias("word_id"), "text", left.cast("double").alias("left"),
+        (100 + 20 * F.col("r")).cast("double").alias("top"), F.when(kind == 1, 400).otherwise(10 * size).cast("double").alias("width"), F.lit(12.0).alias("height"),
+    )
+
+
+#: The walk cell by cell, then the gaps cell by cell, each a recursion over all pages at once; then regions, where no two cells of these pages want the same word.
+WALKED = """with recursive parts as (
+  select p_partkey as p, p_partkey // 8 as doc_id, cast(p_partkey % 8 as int) as r, p_partkey // 8 % 3 as kind, string_split(p_name, ' ')[1] as n1, string_split(p_name, ' ')[2] as n2, p_brand || '-' || p_size as code from part
+), printed as (
+  select doc_id, r, kind, n1, 0 as slot, case when kind = 2 then case when p % 11 <> 5 then code end when p % 5 = 1 then '|' end as text from parts
+  union all select doc_id, r, kind, n1, 1, n1 from parts union all select doc_id, r, kind, n1, 2, case when p % 7 = 3 then substr(n2, 1, length(n2) - 1) || 'x' else n2 end from parts
+  union all select doc_id, r, kind, n1, 3, case when p % 11 <> 5 and kind < 2 then code end from parts
+), boxed as (
+  select *, case when kind = 2 then [0, 500, 510 + 10 * length(n1)][slot + 1] when kind = 1 then 10 * slot else 100 * slot end as x0, case when kind = 1 then 400 else 10 * length(text) end as width, 100 + 20 * r as y0 from printed where text is not null
+), w as (
+  select doc_id, row_number() over (partition by doc_id order by r, slot) - 1 as ord, concat_ws('-', doc_id, r, slot) as word_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') as n, x0, x0 + width as x1, x0 + width / 2 as cx, y0, y0 + 12 as y1, y0 + 6 as cy from boxed
+), c as (
+  select doc_id, 2 * r + c as k, cast(case when kind = 0 then 2 * r + c else r end as int) as row_index, cast(case when kind = 0 then 0 else c end as int) as col_index, value, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') as v
+  from (select doc_id, r, kind, unnest([0, 1]) as c, unnest([n1 || ' ' || n2, code]) as value from parts)
+), ends as (select doc_id, row_number() over (partition by doc_id order by k) - 1 as k, row_index, col_index, value, v from c
+), total as (select doc_id, count(*) as n_words from w group by all
+), runs as (
+  select a.doc_id, a.ord as i, b.ord as j, string_agg(m.n, '' order by m.ord) as t from w a join w b on b.doc_id = a.doc_id and b.ord between a.ord and a.ord + 5 join w m on m.doc_id = a.doc_id and m.ord between a.ord and b.ord group by all
+), near as (
+  select doc_id, k, i, j, case when t = v then 1.0::double else 1.0::double - levenshtein(t, v)::double / greatest(length(t), length(v)) end as likeness from ends join runs using (doc_id) where length(t) * 10 >= length(v) * 7 and length(t) * 7 <= length(v) * 10 and t <> ''
+), alike as (select * from near where likeness >= 0.8::double
+), walk as (
+  select doc_id, -1::bigint as k, 0::bigint as at_, null::bigint as i, null::bigint as j from total
+  union all
+  select doc_id, k, coalesce(hit % 10000 + 1, at_), hit // 10000, hit % 10000 from (
+    select s.doc_id, s.k + 1 as k, s.at_, min(e.i * 10000 + e.j) as hit from walk s join ends using (doc_id) left join alike e on e.doc_id = s.doc_id and e.k = s.k + 1 and e.likeness = 1 and e.i >= s.at_ and e.i < s.at_ + 12 where ends.k = s.k + 1 group by s.doc_id, s.k, s.at_)
+), known as (
+  select walk.doc_id, k, i, j, coalesce(min(i) over (partition by walk.doc_id order by k rows between 1 following and unbounded following), n_words) as after_ from walk join total using (doc_id) where k >= 0
+), filled as (
+  select doc_id, -1::bigint as k, -1::bigint as before, null::bigint as i, null::bigint as j, null::double as likeness from total
+  union all
+  select doc_id, k, coalesce(wj, b.j, before), coalesce(wi, b.i), coalesce(wj, b.j), case when wi is not null then 1.0::double else -b.l end from (
+    select s.doc_id, s.k + 1 as k, s.before, o.i as wi, o.j as wj, min(case when e.i is not null then {'l': -e.likeness, 'i': e.i, 'j': e.j} end) as b from filled s join known o on o.doc_id = s.doc_id and o.k = s.k + 1
+      left join alike e on e.doc_id = s.doc_id and e.k = s.k + 1 and o.i is null and e.i > s.before and e.j < o.after_ group by s.doc_id, s.k, s.before, o.i, o.j)
+), placed as (select f.doc_id, f.k, row_index, col_index, likeness, w.* exclude (doc_id) from filled f join ends e on e.doc_id = f.doc_id and e.k = f.k join w on w.doc_id = f.doc_id and ord between i and j
+), down as (select doc_id, row_index, min(y0) as y0, max(y1) as y1 from placed group by all
+), across as (select doc_id, col_index, min(x0) as x0, max(x1) as x1 from placed group by all
+), there as (
+  select e.doc_id, e.k, v, w.ord, n, word_id, row_number() over (partition by e.doc_id, e.k order by w.ord) as pos from ends e join filled f on f.doc_id = e.doc_id and f.k = e.k and f.i is null join down d on d.doc_id = e.doc_id and d.row_index = e.row_index
+    join across a on a.doc_id = e.doc_id and a.col_index = e.col_index join w on w.doc_id = e.doc_id and cx between a.x0 and a.x1 and cy between d.y0 and d.y1 where not exists (select 1 from placed p where p.doc_id = w.doc_id and p.ord = w.ord)
+), tried as (select a.doc_id, a.k, a.v, a.pos as i, b.pos as j, string_agg(m.n, '' order by m.pos) as t from there a join there b using (doc_id, k) join there m using (doc_id, k) where a.pos <= b.pos and m.pos between a.pos and b.pos group by all
+), best as (select *, case when t = v then 1.0::double else 1.0::double - levenshtein(t, v)::double / greatest(length(t), length(v)) end as likeness from tried where t <> '' qualify likeness >= 0.8::double and row_number() over (partition by doc_id, k order by likeness desc, i, j) = 1
+), claims as (select doc_id, k, likeness, ord, word_id from placed union all select b.doc_id, b.k, likeness, t.ord, t.word_id from best b join there t on t.doc_id = b.doc_id and t.k = b.k and t.pos between b.i and b.j
+), held as (select doc_id, k, min(likeness) as likeness, count(*) as n, string_agg(word_id, ' ' order by ord) as word_ids from claims group by all
+)
+select e.doc_id, 0 as page_index, row_index, col_index, value, coalesce(word_ids, '') as word_ids, case when n is null then 'unmatched' when likeness < 1 then 'fuzzy' when n = 1 then 'matched' else 'multi_word' end as match_status
+  from ends e left join held using (doc_id, k)"""
+
+
+@query(WALKED)
+def walked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matching where there is no grid, or one that places under a third of the cells and is given up: reading order, then gaps and regions."""
+    cells, words = walked_pages(spark, sf_dir)
+    return M.matched(cells, words, float(synth.HEIGHT)).withColumn("word_ids", F.array_join("word_ids", " "))
