@@ -3,7 +3,8 @@
 Two texts are as alike as the character n-grams of lengths 1 to ``longest`` that both hold, however often (a blended
 spectrum of presence), over the geometric mean of how many each holds; n-grams that no landmark holds don't count. Landmark texts of each language span the Nyström
 map of this kernel; one-versus-rest ridge regression on the map gives a score for each language. Scoring is two matrix
-products for a batch of texts.
+products for a batch of texts. Landmarks are lists of holders by n-gram, laid out for the n-grams of a batch only, so a
+model grows with what its landmarks hold.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ LOW = 0x2000
 _FOLD = np.array([ord(chr(c).lower()[0]) if unicodedata.category(chr(c))[0] in "LM" else 32 for c in range(LOW)], np.uint32)
 _LETTER = np.array([chr(c).isalpha() for c in range(LOW)])
 _TABLES = 1 << BITS
+#: Bounds of a model, whatever the number of languages: landmarks, and texts that are drawn (twice as many at most).
+MOST_LANDMARKS, MOST_DRAWN = 2_048, 16_000
+#: Places of the landmarks that are laid out at a time.
+LAID_OUT = 1 << 22
 
 
 def folded(text: str) -> np.ndarray:
@@ -56,25 +61,37 @@ def grams(code: np.ndarray, longest: int) -> np.ndarray:
 
 @dataclass
 class StringKernelModel:
-    """Languages, the column of each n-gram (none: -1), the landmarks' presence, and the map from kernel values to scores."""
+    """Languages, the column of each n-gram (none: -1), the landmarks that hold it (``holders``, from ``begins`` of its column on), and the map from kernel values to scores."""
 
     languages: list[str]
     longest: int
     column: np.ndarray
-    landmarks: np.ndarray
+    begins: np.ndarray
+    holders: np.ndarray
     norms: np.ndarray
     whiten: np.ndarray
     weights: np.ndarray
 
     def kernel(self, held: list[np.ndarray]) -> np.ndarray:
         """Kernel values of texts, given by their n-grams, with the landmarks."""
-        size = len(self.landmarks[0])
-        present = np.zeros((len(held), size + 1), np.float32)
-        for row, some in zip(present, held, strict=True):
-            row[self.column[some]] = 1
-        present = present[:, :size]
-        norm = np.sqrt(np.maximum(present.sum(axis=1), 1))
-        return present @ self.landmarks.T / (norm[:, None] * self.norms[None, :])
+        own = [np.unique(self.column[some]) for some in held]
+        own = [c[np.searchsorted(c, 0) :] for c in own]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        columns, at = np.unique(np.concatenate(own), return_inverse=True)
+        text, common = np.repeat(np.arange(len(own)), size), np.zeros((len(own), len(self.norms)), np.float32)
+        order = np.argsort(at, kind="stable")
+        text, at = text[order], at[order]
+        step = max(1, LAID_OUT // max(len(self.norms), len(own)))
+        for k in range(0, len(columns), step):
+            some = columns[k : k + step]
+            n = self.begins[some + 1] - self.begins[some]
+            marks = np.zeros((len(some), len(self.norms)), np.float32)
+            marks[np.repeat(np.arange(len(some)), n), self.holders[np.repeat(self.begins[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = 1
+            present = np.zeros((len(own), len(some)), np.float32)
+            here = slice(*np.searchsorted(at, [k, k + step]))
+            present[text[here], at[here] - k] = 1
+            common += present @ marks
+        return common / (np.sqrt(np.maximum(size, 1)).astype(np.float32)[:, None] * self.norms[None, :])
 
     def scores(self, held: list[np.ndarray]) -> np.ndarray:
         return np.c_[self.kernel(held) @ self.whiten, np.ones(len(held), np.float32)] @ self.weights
@@ -95,40 +112,52 @@ class StringKernelModel:
 
 
 def fit(known: list[tuple[np.ndarray, str]], landmarks_each: int = 32, longest: int = LONGEST, ridge: float = 1e-2) -> StringKernelModel:
-    """Learns from the n-grams of texts and their languages."""
+    """Learns from the distinct n-grams of texts and their languages. Of many languages each has fewer landmarks, ``MOST_LANDMARKS`` in all."""
     languages = sorted({lang for _, lang in known})
-    column = np.full(_TABLES, -1, np.int32)
+    column, none = np.full(_TABLES, -1, np.int32), np.zeros((0, 0), np.float32)
     if not languages:
-        return StringKernelModel([], longest, column, *[np.zeros((0, 0), np.float32)] * 4)
-    chosen = [c for lang in languages for c in [c for c, x in known if x == lang][:landmarks_each]]
-    used = np.unique(np.concatenate(chosen))
+        return StringKernelModel([], longest, column, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), none, none)
+    landmarks_each = max(1, min(landmarks_each, MOST_LANDMARKS // len(languages)))
+    by_language: dict[str, list[np.ndarray]] = {lang: [] for lang in languages}
+    for c, lang in known:
+        if len(by_language[lang]) < landmarks_each:
+            by_language[lang].append(c)
+    chosen = [c for lang in languages for c in by_language[lang]]
+    size = np.fromiter(map(len, chosen), np.int64, len(chosen))
+    used, at = np.unique(np.concatenate(chosen), return_inverse=True)
     column[used] = np.arange(len(used), dtype=np.int32)
-    marks = np.zeros((len(chosen), len(used)), np.float32)
-    for row, h in zip(marks, chosen, strict=True):
-        row[column[h]] = 1
-    model = StringKernelModel(languages, longest, column, marks, np.sqrt(marks.sum(axis=1)), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    k = (marks @ marks.T / np.outer(model.norms, model.norms)).astype(np.float64)
-    value, vector = np.linalg.eigh(k)
+    holders = np.repeat(np.arange(len(chosen), dtype=np.int32), size)[np.argsort(at, kind="stable")]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(used)))])
+    model = StringKernelModel(languages, longest, column, begins, holders, np.sqrt(size.astype(np.float32)), none, none)
+    k = np.concatenate([model.kernel(chosen[i : i + 128]) for i in range(0, len(chosen), 128)]).astype(np.float64)
+    value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-6 * value.max()
     model.whiten = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
-    mapped = [model.kernel([c for c, _ in known[i : i + 128]]) @ model.whiten for i in range(0, len(known), 128)]
-    x = np.c_[np.concatenate(mapped).astype(np.float64), np.ones(len(known))]
-    y = np.where(np.array([lang for _, lang in known])[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    weight = 1 / np.maximum(1, (y > 0).sum(axis=0))[np.argmax(y, axis=1)]  # a rare language weighs as much as a frequent one
+    place = {lang: i for i, lang in enumerate(languages)}
+    label = np.array([place[lang] for _, lang in known])
+    weight = 1 / np.bincount(label)[label]  # a rare language weighs as much as a frequent one
     weight *= len(weight) / weight.sum()
-    model.weights = np.linalg.solve(x.T @ (weight[:, None] * x) + ridge * len(x) / 100 * np.eye(x.shape[1]), x.T @ (weight[:, None] * y)).astype(np.float32)
+    left, right = np.zeros((keep.sum() + 1,) * 2), np.zeros((keep.sum() + 1, len(languages)))
+    for i in range(0, len(known), 128):
+        x = np.c_[(model.kernel([c for c, _ in known[i : i + 128]]) @ model.whiten).astype(np.float64), np.ones(len(known[i : i + 128]))]
+        weighted = x * weight[i : i + 128, None]
+        left += x.T @ weighted
+        right += weighted.T @ np.where(label[i : i + 128, None] == np.arange(len(languages)), 1.0, -1.0)
+    model.weights = np.linalg.solve(left + ridge * len(known) / 100 * np.eye(len(left)), right).astype(np.float32)
     return model
 
 
-def training_rows(docs: DataFrame, each: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[np.ndarray, str]]:
+def training_rows(docs: DataFrame, each: int, id_col: str, text_col: str, lang_col: str, most_languages: int = 256) -> list[tuple[np.ndarray, str]]:
     """A sample by the id's hash of about ``each`` labelled texts of each language, none of the held-out fold; twice as many at most.
 
-    Only n-grams travel, each once for a text, of texts that have a letter; so a very long text is no larger than 2 ** BITS of them.
+    Of more than ``most_languages`` languages those with the most texts are learned, the first by name of equals; of many, each
+    has a smaller sample, ``MOST_DRAWN`` texts in all. Only n-grams travel, each once for a text, of texts that have a letter; so a very long text is no larger than 2 ** BITS of them.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~remainder_is("id", 5, 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return []
+    each = max(1, min(each, MOST_DRAWN // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("grams", pa.binary())])
@@ -146,17 +175,17 @@ def training_rows(docs: DataFrame, each: int, id_col: str, text_col: str, lang_c
     return [(np.frombuffer(raw, "<i4"), lang) for lang, _, raw in got]
 
 
-def identify(docs: DataFrame, each: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, each: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = 256) -> DataFrame:
     """Predicts the language of every text.
 
     Learns from a sample of about ``each`` texts (``2 * each`` at most) of every language among the rows whose id's crc32
-    mod 5 is not 0 and whose language and text are known; the model is a few MB and goes to every task. Returns ``doc_id,
-    held_out, lang_pred, score``, one row for each row of ``docs``, without an exchange. A null text, or one without a
+    mod 5 is not 0 and whose language and text are known, of the ``most_languages`` languages with the most texts. The model
+    goes to every task: 4 MB, and what ``MOST_LANDMARKS`` texts hold at most. Returns ``doc_id, held_out, lang_pred, score``, one row for each row of ``docs``, without an exchange. A null text, or one without a
     letter, is ``und`` with score 0, and so is every text where nothing can be learned. A null id is not held out. Ties go
     to the language that is first by name. A very long text is read whole. Repeated rows get the same answer; an empty table
     gives none; other columns are not read, whatever their names.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, each, id_col, text_col, lang_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, each, id_col, text_col, lang_col, most_languages)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +197,14 @@ def identify(docs: DataFrame, each: int = 300, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", remainder_is("doc_id", 5, 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, each: int = 300, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, each: int = 300, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_languages: int = 256) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language: not ``und``, and a score of ``least`` or more.
 
     A text that looks almost as much like one language as like another is rejected with that. Where the language of a row
     that stays is null, it becomes the predicted one. A null or empty text goes; a very long one is read whole; repeated rows
     get the same answer; an empty table gives no row; clashing names of other columns do no harm.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, each, id_col, text_col, lang_col)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, each, id_col, text_col, lang_col, most_languages)))
     at, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

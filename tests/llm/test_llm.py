@@ -707,6 +707,38 @@ def test_langid_by_hand(spark):
     assert found[900] == found[901] == ("und", 0.0)
 
 
+def test_landmarks_by_holders(monkeypatch):
+    """Kernel values from sets of strings, with landmarks laid out a few n-grams at a time; a text of no known n-gram, and an empty one."""
+    rnd = random.Random(5)
+    text = lambda: "".join(rnd.choices("abcdefgh  ", k=rnd.randint(5, 60)))
+    known = [(np.unique(langid.grams(langid.folded(text()), 4)), str(i % 3)) for i in range(90)]
+    model = langid.fit(known, landmarks_each=7)
+    marks = [set(c.tolist()) for lang in "012" for c in [c for c, x in known if x == lang][:7]]
+    used = set().union(*marks)
+    held = [langid.grams(langid.folded(t), 4) for t in [text() for _ in range(40)] + ["", "ЖЖЖ"]]
+    want = [[len(g & m) / math.sqrt(max(1, len(g & used)) * len(m)) for m in marks] for g in (set(h.tolist()) for h in held)]
+    assert np.allclose(model.kernel(held), want, atol=1e-6)
+    monkeypatch.setattr(langid, "LAID_OUT", 500)
+    assert np.allclose(model.kernel(held), want, atol=1e-6)
+
+
+def test_many_languages(spark, monkeypatch):
+    """Three hundred labels, most of them junk: the frequent ones are learned, and landmarks and drawn texts stay bounded."""
+    rnd = random.Random(8)
+    letters = [chr(0x430 + i) * 2 + chr(0x61 + i % 26) + chr(0x3B1 + i % 17) for i in range(40)]
+    rows = [(i, " ".join("".join(rnd.choices(letters[i % 40], k=rnd.randint(2, 7))) for _ in range(12)), f"l{i % 40:02}") for i in range(1600)]
+    rows += [(10_000 + i, rnd.choice(rows)[1], f"junk{i}") for i in range(260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_LANDMARKS", 200)
+    monkeypatch.setattr(langid, "MOST_DRAWN", 400)
+    drawn = langid.training_rows(df, 300, "doc_id", "text", "lang", 40)
+    assert {lang for _, lang in drawn} == {f"l{i:02}" for i in range(40)} and len(drawn) <= 800
+    model = langid.fit(drawn)
+    assert len(model.norms) == 200 and model.begins[-1] == len(model.holders) == (model.norms.astype(np.float64) ** 2).round().sum()
+    said = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, most_languages=40).collect()}
+    assert np.mean([said[i] == lang for i, _, lang in rows[:1600]]) > 0.95 and not any(x.startswith("junk") for x in said.values())
+
+
 def test_packing(docs, empty, rows):
     from tokenizers import Tokenizer
 
