@@ -9,6 +9,7 @@ Short pieces are merged many at a time, one tree to a row of an array; a long pi
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -227,6 +228,12 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(" "))) if ids else b""
 
 
+@functools.lru_cache(maxsize=2)
+def _coder(path: str, pattern: str) -> ByteBPE:
+    """One for all tasks of a worker, with the pieces that it remembers."""
+    return ByteBPE(path, pattern)
+
+
 def byte_bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and decodes the ids again.
 
@@ -238,7 +245,7 @@ def byte_bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBPE(ranks_path, pattern)
+        bpe = _coder(ranks_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in batches:
             texts = strings(b.column(1))

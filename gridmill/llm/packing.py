@@ -197,7 +197,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, longes
     schema = pa.schema(list(zip([f.split()[0] for f in fields.split(", ")], types, strict=True)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer, steps, base = TokenBytes(ranks_path, pattern, special), Packer(longest, tiers), Steps(step_tokens), TaskContext.get().partitionId() << ID_BITS
+        coded_by, packer, steps, base = coder(ranks_path, pattern, special), Packer(longest, tiers), Steps(step_tokens), TaskContext.get().partitionId() << ID_BITS
         end = np.array([end_id], "<u4").tobytes()
         rest: dict[int, tuple[int | None, int, bytes]] = {}  # the ids of a document from the last multiple of the longest on, while pieces of it wait
         rows: list[tuple] = []
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, longes
         key = 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
-                coded = coder.of(text) + end
+                coded = coded_by.of(text) + end
                 n = len(coded) // 4
                 tail = coded[4 * (n - n % longest) :]
                 if tail:
