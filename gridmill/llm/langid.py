@@ -74,24 +74,24 @@ class StringKernelModel:
 
     def kernel(self, held: list[np.ndarray]) -> np.ndarray:
         """Kernel values of texts, given by their n-grams, with the landmarks."""
-        own = [np.unique(self.column[some]) for some in held]
-        own = [c[np.searchsorted(c, 0) :] for c in own]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        columns, at = np.unique(np.concatenate(own), return_inverse=True)
-        text, common = np.repeat(np.arange(len(own)), size), np.zeros((len(own), len(self.norms)), np.float32)
-        order = np.argsort(at, kind="stable")
-        text, at = text[order], at[order]
-        step = max(1, LAID_OUT // max(len(self.norms), len(own)))
+        text, at = np.repeat(np.arange(len(held)), list(map(len, held))), self.column[np.concatenate(held)]
+        text, at = text[at >= 0], at[at >= 0]
+        met = np.zeros(len(self.begins) - 1, bool)
+        met[at] = True
+        columns, at = np.flatnonzero(met), (np.cumsum(met) - 1)[at]
+        size, common = np.zeros(len(held), np.float32), np.zeros((len(held), len(self.norms)), np.float32)
+        step = max(1, LAID_OUT // max(len(self.norms), len(held)))
         for k in range(0, len(columns), step):
             some = columns[k : k + step]
             n = self.begins[some + 1] - self.begins[some]
             marks = np.zeros((len(some), len(self.norms)), np.float32)
             marks[np.repeat(np.arange(len(some)), n), self.holders[np.repeat(self.begins[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = 1
-            present = np.zeros((len(own), len(some)), np.float32)
-            here = slice(*np.searchsorted(at, [k, k + step]))
+            present = np.zeros((len(held), len(some)), np.float32)
+            here = (at >= k) & (at < k + step)
             present[text[here], at[here] - k] = 1
+            size += present.sum(axis=1)
             common += present @ marks
-        return common / (np.sqrt(np.maximum(size, 1)).astype(np.float32)[:, None] * self.norms[None, :])
+        return common / (np.sqrt(np.maximum(size, 1))[:, None] * self.norms[None, :])
 
     def scores(self, held: list[np.ndarray]) -> np.ndarray:
         return np.c_[self.kernel(held) @ self.whiten, np.ones(len(held), np.float32)] @ self.weights
