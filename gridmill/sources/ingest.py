@@ -114,7 +114,8 @@ def page_results(pages: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def data_url(mime: str, content: Column) -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    """The content as one line: an encoder of mail breaks what is longer than 76 characters."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
 
 WORDS_JSON = "array<struct<id: string, text: string, confidence: double, box_coords: struct<left: double, top: double, width: double, height: double>>>"

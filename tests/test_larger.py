@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+
+from pyspark.sql import functions as F
+
 from gridmill.operators import history as H
 from gridmill.operators import reports as R
+from gridmill.sources import ingest as I
 
 
 def test_a_commit_sets_the_activity(spark):
@@ -23,3 +28,9 @@ def test_a_mean_of_just_the_middle_is_not_dark(spark):
     rows = [(k, *c) for k, two in enumerate(found[:20]) for c in two]
     assert rows and not any(x["dark"] for x in R.darkness(spark.createDataFrame(rows, "k int, r int, g int, b int"), ["k"]).collect())
     assert {x["k"]: x["dark"] for x in R.darkness(spark.createDataFrame([(1, 127, 128, 128), (2, 129, 128, 128)], "k int, r int, g int, b int"), ["k"]).collect()} == {1: True, 2: False}
+
+
+def test_long_data_urls_are_one_line(spark):
+    texts = ["", "a" * 57, "b" * 58, "ü" * 500]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(I.data_url("text/plain", F.col("t").cast("binary"))).collect()
+    assert [r[0] for r in got] == ["data:text/plain;base64," + base64.b64encode(t.encode()).decode() for t in texts]
