@@ -92,6 +92,26 @@ def write_ocr_pages(records: DataFrame, path: str) -> None:
     dealt.write.mode("append").partitionBy("doc_id", "page_index").options(**_TSV, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
+#: Documents whose pages lie in one folder where there are many, and the files that a folder's documents are dealt to.
+GROUP, GROUP_FILES = 4096, 16
+
+
+def write_ocr_groups(records: DataFrame, path: str) -> None:
+    """The same records in a folder ``doc_group=…`` for each ``GROUP`` documents, a few files each: files grow with the records, and not as many come as there are pages."""
+    columns = [f.split(" ")[0] for f in OCR_PAGES.split(", ")]
+    grouped = records.select(*columns, F.expr(f"doc_id div {GROUP}").alias("doc_group"))
+    dealt = grouped.repartition("doc_group", F.expr(f"pmod(doc_id, {GROUP_FILES})")).sortWithinPartitions("doc_group", "doc_id", "page_index")
+    dealt.write.mode("append").partitionBy("doc_group").options(**_TSV, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def read_ocr_groups(spark: SparkSession, path: str, first_doc: int | None = None) -> DataFrame:
+    """Such files, from a document on: folders before its own are not listed."""
+    rows = spark.read.schema(OCR_PAGES + ", doc_group BIGINT").options(**_TSV).csv(path)
+    if first_doc is not None:
+        rows = rows.filter((F.col("doc_group") >= first_doc // GROUP) & (F.col("doc_id") >= first_doc))
+    return rows.drop("doc_group")
+
+
 def ocr_words(records: DataFrame, scale: Column) -> DataFrame:
     """Words of OCR records: those of level 5 with text, boxes in the original's units."""
     box = [original_coordinate(F.col(c), scale).cast("double").alias(c) for c in ("left", "top", "width", "height")]

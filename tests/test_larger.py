@@ -34,3 +34,13 @@ def test_long_data_urls_are_one_line(spark):
     texts = ["", "a" * 57, "b" * 58, "ü" * 500]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(I.data_url("text/plain", F.col("t").cast("binary"))).collect()
     assert [r[0] for r in got] == ["data:text/plain;base64," + base64.b64encode(t.encode()).decode() for t in texts]
+
+def test_ocr_files_do_not_grow_with_pages(spark, tmp_path):
+    docs = [*range(40), 4095, 4096, 9000]
+    rows = [(5, *[0] * 4, 1, 1, 2, 3, 4, 50.0, f"w{d} {p}", d, p) for d in docs for p in range(3)]
+    I.write_ocr_groups(spark.createDataFrame(rows, I.OCR_PAGES), str(tmp_path / "ocr"))
+    assert sorted(p.name for p in (tmp_path / "ocr").glob("doc_group=*")) == ["doc_group=0", "doc_group=1", "doc_group=2"]
+    assert len(list((tmp_path / "ocr").rglob("*.csv"))) <= I.GROUP_FILES + 2 < len(rows)
+    read = I.read_ocr_groups(spark, str(tmp_path / "ocr"), 5)
+    assert sorted(map(tuple, read.select("doc_id", "page_index", "text").collect())) == sorted((r[12], r[13], r[11]) for r in rows if r[12] >= 5)
+    assert I.read_ocr_groups(spark, str(tmp_path / "ocr"), 4096).inputFiles() and I.read_ocr_groups(spark, str(tmp_path / "ocr")).count() == len(rows)
