@@ -10,6 +10,7 @@ import functools
 import io
 import itertools
 import re
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -68,56 +69,70 @@ def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    #: Places of finished workbooks, and of the parts that they are until the job is committed.
-    files: list[tuple[str, str]]
+    #: The attempt whose parts are finished workbooks, and how many; their names stay in the folder, as a job may have millions.
+    attempt: str
+    n: int
 
 
 class XlsxWriter(DataSourceWriter):
     """A task writes parts that bear its attempt's number, so attempts do not meet; the commit gives parts of successful tasks their names."""
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.job = folder, uuid.uuid4().hex[:8]
 
     def write(self, iterator: Iterator) -> Written:
         fs, folder = file_system(self.folder)
         fs.create_dir(folder, recursive=True)
-        attempt, done = TaskContext.get().taskAttemptId(), []
+        attempt, last, n = f"{self.job}-{TaskContext.get().taskAttemptId()}", None, 0
         try:
             for (doc, page), rows in itertools.groupby(iterator, key=lambda row: (row.doc_id, row.page_index)):  # in order of pages: one is held
                 held: dict[int, dict[int, str]] = {}
                 for row in rows:
                     held.setdefault(row.row_index, {})[row.col_index] = row.value or ""
-                name = f"{folder}/{doc}_p{page + 1}.xlsx"
-                if any(name == x for x, _ in done[-1:]):
+                name = f"{doc}_p{page + 1}"
+                if name == last:
                     raise ValueError("cells of one page must stand together")
-                done.append((name, f"{folder}/_{doc}_p{page + 1}.{attempt}.part"))
-                with fs.open_output_stream(done[-1][1]) as f:
+                last, n = name, n + 1
+                with fs.open_output_stream(f"{folder}/_{name}.{attempt}.part") as f:
                     f.write(workbook(held))
         except BaseException:
-            _remove(fs, done)
+            _remove(fs, folder, {attempt})
             raise
-        return Written(done)
+        return Written(attempt, n)
 
     def commit(self, messages: list) -> None:
         fs, folder = file_system(self.folder)
-        for m in messages:
-            for name, part in m.files if m else []:
-                fs.move(part, name)
-        left = fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
-        for f in left:  # of attempts that were given up without a word
-            if f.base_name.startswith("_") and f.base_name.endswith(".part"):
-                fs.delete_file(f.path)
+        wanted = {m.attempt: m.n for m in messages if m and m.n}
+        parts: dict[str, list[str]] = {}
+        for name, attempt in _parts(fs, folder):
+            parts.setdefault(attempt, []).append(name)
+        if any(len(parts.get(attempt, [])) != n for attempt, n in wanted.items()):
+            raise RuntimeError("parts of a finished task are gone")
+        for attempt, names in parts.items():
+            for name in names:
+                part = f"{folder}/_{name}.{attempt}.part"
+                if attempt in wanted:
+                    fs.move(part, f"{folder}/{name}.xlsx")
+                else:  # of an attempt that was given up without a word
+                    fs.delete_file(part)
 
     def abort(self, messages: list) -> None:
-        fs, _ = file_system(self.folder)
-        for m in messages:
-            _remove(fs, m.files if m else [])
+        fs, folder = file_system(self.folder)
+        _remove(fs, folder, {m.attempt for m in messages if m})
+
+
+def _parts(fs: pyarrow.fs.FileSystem, folder: str) -> Iterator[tuple[str, str]]:
+    """The parts in a folder: the page's name and the attempt's number."""
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+        found = re.fullmatch(r"_(.+)\.([0-9a-f-]+)\.part", f.base_name)
+        if found:
+            yield found[1], found[2]
 
 
-def _remove(fs: pyarrow.fs.FileSystem, files: list[tuple[str, str]]) -> None:
-    for _, part in files:
-        if fs.get_file_info(part).type != pyarrow.fs.FileType.NotFound:
-            fs.delete_file(part)
+def _remove(fs: pyarrow.fs.FileSystem, folder: str, attempts: set[str]) -> None:
+    for name, attempt in list(_parts(fs, folder)):
+        if attempt in attempts:
+            fs.delete_file(f"{folder}/_{name}.{attempt}.part")
 
 
 class XlsxSink(DataSource):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import pickle
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 import pyarrow as pa
@@ -11,6 +13,7 @@ from gridmill.operators import history as H
 from gridmill.operators import match as M
 from gridmill.operators import reports as R
 from gridmill.sources import ingest as I
+from gridmill.sources import xlsx
 
 
 def test_a_commit_sets_the_activity(spark):
@@ -51,3 +54,12 @@ def test_pages_are_taken_out_of_a_batch_by_and_by():
     whole = pa.RecordBatch.from_pydict({"k": list(range(1000))})
     taken = list(M.few([whole, whole.slice(0, 1)]))
     assert max(b.num_rows for b in taken) <= M.PAGES and [k for b in taken for k in b.column(0).to_pylist()] == [*range(1000), 0]
+
+def test_a_task_of_many_workbooks_says_little(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(xlsx.TaskContext, "get", lambda: SimpleNamespace(taskAttemptId=lambda: 3))
+    (tmp_path / "_5_p1.3.part").write_text("half")  # of another job, whose task had the same number
+    writer = xlsx.XlsxWriter(str(tmp_path))
+    said = writer.write(iter(SimpleNamespace(doc_id=k, page_index=0, row_index=0, col_index=0, value="x") for k in range(300)))
+    assert len(pickle.dumps(said)) < 300
+    writer.commit([said, None])
+    assert {p.name for p in tmp_path.iterdir()} == {f"{k}_p1.xlsx" for k in range(300)}
