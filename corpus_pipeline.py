@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridmill.llm import langid, packing, pii, simhash, substring
-from gridmill.llm.common import shared_folder, table
+from gridmill.llm.common import remove, shared_folder, table
 from gridmill.llm.queries import ADDED, RANKS, surrogate_key
 
 
@@ -56,8 +56,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k:
             remove(spark, f"{folder}/{k - 1}")
     return docs
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ alternating star contractions.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import batch, checkpointed, shared_folder, strings
+from gridmill.llm.common import batch, checkpointed, release, remove, shared_folder, strings, text_partitions
 
 SEED = 42
 #: The tree that cuts shards grows on so many fingerprints for each shard, and so many at least: 2 MB at most.
@@ -355,7 +355,8 @@ def _common_counts(sets: DataFrame) -> np.ndarray:
         for k in range(0, len(some), 50_000):
             yield batch(schema, [some[k : k + 50_000].astype(np.int32), n[some[k : k + 50_000]]])
 
-    found = sets.select("shingles").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    one_each = sets.select("shingles").coalesce(sets.sparkSession.sparkContext.defaultParallelism)  # what a task tells is as large as all buckets, whatever it reads
+    found = one_each.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return counts
@@ -389,20 +390,33 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     each = classes.select("own", F.explode("keys").alias("key"))
     counts = _meetings(each)
     met = checkpointed(each.join(counts, "key"))
-    packed = pa.schema([("own", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
+    del each
+    packed = pa.schema([("own", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("outline", pa.binary()), ("shingles", pa.binary())])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The set of each text; of equal ones a task sends one."""
+        """The set of each text, with its outline; of equal ones a task sends one."""
+        sent: set[int] = set()
         for b in batches:
             texts_ = strings(b.column(0))
             for start in range(0, len(texts_), 1_000):
                 out = []
                 for text in texts_[start : start + 1_000]:
                     s = shingle_set(text, width)
-                    out.append((xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), int(np.uint64(majority(s)).view(np.int64)), np.unique(s.astype(np.uint32)).tobytes()))
-                yield batch(packed, zip(*out, strict=True))
-
-    sets = checkpointed(texts.filter("doc_id is not null").select("text").mapInArrow(pack, "own long, fp long, shingles binary").dropDuplicates(["own"]))
+                    own = xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+                    if own not in sent:
+                        sent.add(own)
+                        short = np.unique(s.astype(np.uint32))
+                        out.append((own, int(np.uint64(majority(s)).view(np.int64)), len(short), outline(short).tobytes(), short.tobytes()))
+                if out:
+                    yield batch(packed, zip(*out, strict=True))
+
+    spark, n_sets = docs.sparkSession, text_partitions(docs)
+    work = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
+    packs = texts.filter("doc_id is not null").select("text").mapInArrow(pack, "own long, fp long, size int, outline binary, shingles binary")
+    table = f"near_{uuid.uuid4().hex}"  # it lies by ``own``, so joins by that do not exchange the sets again
+    packs.repartition(n_sets, "own").dropDuplicates(["own"]).write.bucketBy(n_sets, "own").format("parquet").option("path", f"{work}/sets").saveAsTable(table)
+    sets = spark.table(table)
+    release(spark)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     spread = F.pmod(F.xxhash64("own"), blocks).cast("int")
     all_blocks = F.sequence(F.lit(0), blocks - 1)
@@ -442,7 +456,7 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
     def meeting(who: DataFrame) -> DataFrame:
         """``who``: key, block, own, guest, root (the group it is in, or null), heads (whether heads of groups are asked for)."""
         full = who.join(sets, "own").select("key", "block", "own", "fp", "shingles", "guest", "root", "heads")
-        return checkpointed(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "u long, v long, key long, head long"))
+        return _written(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "u long, v long, key long, head long"), work)
 
     none, no = F.lit(None).cast("long").alias("root"), F.lit(False)
     first = meeting(met.select("key", spread.alias("block"), "own", no.alias("guest"), none, (blocks > 1).alias("heads")))
@@ -453,9 +467,11 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         visits = guests.join(sized, "key").select("key", F.explode(all_blocks).alias("block"), "own", F.lit(True).alias("guest"), none, no.alias("heads"))
         hosts = large.select("key", spread.alias("block"), "own", no.alias("guest"), none, no.alias("heads"))
         edges = edges.unionAll(meeting(hosts.unionAll(visits)).filter("u is not null").select("u", "v"))
-    group = _written(stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root")))
+    group = _written(stars(edges).select(F.col("u").alias("own"), F.col("v").alias("root")), f"{work}-groups")
+    del met, counts, large, first, edges
+    release(spark)
     of = lambda rows: rows.join(group, "own", "left").withColumn("root", F.coalesce("root", "own"))
-    common = docs.sparkSession.sparkContext.broadcast(_common_counts(sets).astype(np.int32))
+    common = spark.sparkContext.broadcast(_common_counts(sets).astype(np.int32))
     rare, twice = pa.schema([("own", pa.int64()), ("key", pa.int64())]), pa.schema([("own", pa.int64()), ("root", pa.int64()), ("key", pa.int64())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,15 +493,19 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
 
     tokens = sets.select("own", "shingles").mapInArrow(cut, "own long, key long")
     # most are one class's alone; those of several are found by their counts, and only they go on
-    several = _written(tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    again = _mixed(of(_written(tokens.join(several, "key"))))
+    several = _written(tokens.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), work)
+    release(spark)
+    shared = _written(tokens.join(several, "key"), work)
+    release(spark)
+    again = _mixed(of(shared), work)
     often = again.filter(F.col("n") > BLOCK)
     if not often.isEmpty():
         split = often.join(sets, "own").select("own", "root", "shingles", "key").mapInArrow(cut_twice, "own long, root long, key long")
-        again = _written(again.filter(F.col("n") <= BLOCK).unionByName(_mixed(_written(split))))
+        again = _written(again.filter(F.col("n") <= BLOCK).unionByName(_mixed(_written(split, work), work)), work)
     pairs = F.transform(all_blocks, lambda i: F.least(i, spread) * blocks + F.greatest(i, spread))  # a place for each two blocks
     dealt = again.select("key", F.explode(F.when(blocks > 1, pairs).otherwise(F.array(F.lit(0)))).alias("block"), "own", "root")
-    more = meeting(_worth_comparing(dealt, sets, likeness).select("key", "block", "own", no.alias("guest"), "root", no.alias("heads"))).filter("u is not null").select("u", "v")
+    release(spark)
+    more = meeting(_worth_comparing(dealt, sets, likeness, work).select("key", "block", "own", no.alias("guest"), "root", no.alias("heads"))).filter("u is not null").select("u", "v")
     whole = classes.select("own", "id")
     if more.isEmpty():
         found = of(whole).withColumnRenamed("root", "group")
@@ -493,59 +513,65 @@ def near_copies(docs: DataFrame, width: int = 5, likeness: float = 0.8, id_col:
         ends = of(of(more.withColumnRenamed("u", "own")).select("root", F.col("v").alias("own")).withColumnRenamed("root", "v")).select(F.col("v").alias("u"), F.col("root").alias("v"))
         joined = stars(ends).select(F.col("u").alias("root"), F.col("v").alias("group"))
         found = of(whole).join(joined, "root", "left").select("own", "id", F.coalesce("group", "root").alias("group"))
+    spark.sql(f"drop table {table}")
+    remove(spark, work)
+    release(spark)
     least_id = found.groupBy("group").agg(F.min("id").alias("component_id"))
     member = found.join(least_id, "group").select("own", "component_id")
     return rows.join(member, "own", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, smaller than a checkpoint, and of a size that a join knows."""
-    path = f"{shared_folder(rows.sparkSession)}/near-{uuid.uuid4().hex}"
+def _written(rows: DataFrame, folder: str) -> DataFrame:
+    """Written to a folder that is shared and read again, smaller than a checkpoint, and of a size that a join knows."""
+    path = f"{folder}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
-def _mixed(tokens: DataFrame) -> DataFrame:
+def _mixed(tokens: DataFrame, folder: str) -> DataFrame:
     """``own, root, key, n`` of the tokens (own, root, key) that two groups or more have; of those that the same classes have, one."""
-    return _written(tokens.join(_meetings(tokens, "root"), "key"))
+    return _written(tokens.join(_meetings(tokens, "root"), "key"), folder)
 
 
-#: Buckets and most in one of them, of the outline of a set.
-OUTLINE, FULL = 128, 255
+#: Bits of the outline of a set, at least.
+OUTLINE = 1024
 
 
 def outline(shingles: np.ndarray) -> np.ndarray:
-    """How many members fall into each of ``OUTLINE`` buckets. What two sets have in common is at most the sum of the lesser counts."""
-    return np.minimum(np.bincount(shingles & np.uint32(OUTLINE - 1), minlength=OUTLINE), FULL).astype(np.uint8)
-
-
-def may_be_alike(size: np.ndarray, outlines: np.ndarray, root: np.ndarray, likeness: float, at: slice) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of two groups, the first in ``at``, that their outlines do not show to be unlike."""
-    a, b = outlines[at][:, None, :], outlines[None, :, :]
-    least = np.minimum(a, b).astype(np.int64)
-    least[(a == FULL) & (b == FULL)] = 1 << 40  # both hold as many or more: no bound
-    both = np.minimum(least.sum(axis=2), np.minimum(size[at][:, None], size[None, :]))
-    near = both >= likeness * (size[at][:, None] + size[None, :] - both) - 1e-9
-    i, j = np.nonzero(near & (root[at][:, None] != root[None, :]))
-    i += at.start
-    return i[i < j], j[i < j]
+    """Whether an odd number of members falls into each of as many buckets as there are members, or twice as many at most: a bit each, a 32nd to a 16th of a large set. Two sets differ in as many members as their outlines in bits, or more."""
+    n = max(OUTLINE, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount(shingles & np.uint32(n - 1), minlength=n) & 1).astype(np.uint8))
 
 
-def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+def may_be_alike(size: np.ndarray, outlines: Sequence[np.ndarray], root: np.ndarray, likeness: float, at: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of two groups, the first in ``at``, that their sizes and outlines do not show to be unlike.
+
+    The longer outline of a pair is folded to the shorter one: halves of a bit's buckets make one.
+    """
+    small, large = (f(size[at][:, None], size[None, :]) for f in (np.minimum, np.maximum))
+    i, j = np.nonzero((small >= likeness * large - 1e-6) & (root[at][:, None] != root[None, :]))
+    i += at.start
+    i, j = i[i < j], j[i < j]
+    width = np.fromiter(map(len, outlines), np.int64, len(outlines))
+    least, apart = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        who, back = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        bits = np.stack([np.bitwise_xor.reduce(outlines[k].reshape(-1, w), axis=0) for k in who.tolist()]).view(np.uint64)
+        for k in range(0, len(pairs), step := max(1, (4 << 20) // w)):
+            x, y = back[k : min(k + step, len(pairs))], back[len(pairs) + k : len(pairs) + k + step]
+            apart[pairs[k : k + step]] = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+    near = apart <= (size[i] + size[j]) * (1 - likeness) / (1 + likeness) + 1e-6
+    return i[near], j[near]
+
+
+def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float, folder: str) -> DataFrame:
     """``key, block, own, root`` of the meetings (the same) in which sets must be compared, with the members of pairs that outlines leave.
 
-    An outline is some hundred bytes, so a class that meets others by many shingles does not bring its set to each of them: a
+    An outline is far smaller than its set, so a class that meets others by many shingles does not bring its set to each of them: a
     pair that meets often is compared in one of its meetings. A meeting in which outlines leave more than ``4`` pairs for a
     member stays as it is, so that no pairs of a large group are made.
     """
-    drawn = pa.schema([("own", pa.int64()), ("size", pa.int32()), ("outline", pa.binary())])
-
-    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            some = [np.frombuffer(raw, np.uint32) for raw in b.column(1).to_pylist()]
-            yield batch(drawn, [b.column(0), list(map(len, some)), [outline(x).tobytes() for x in some]])
-
-    outlines = sets.select("own", "shingles").mapInArrow(draw, "own long, size int, outline binary")
     told = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("u", pa.int64()), ("ru", pa.int64()), ("v", pa.int64()), ("rv", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,7 +581,7 @@ def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> Data
             members = sorted({r[0]: r for r in group}.values())
             own, root = (np.array([r[k] for r in members], np.int64) for k in (0, 1))
             size = np.array([r[2] for r in members], np.int64)
-            outlines = np.frombuffer(b"".join(r[3] for r in members), np.uint8).reshape(-1, OUTLINE)
+            outlines = [np.frombuffer(r[3], np.uint8) for r in members]
             out: list[tuple] = []
             for start in range(0, len(members), 64):
                 i, j = may_be_alike(size, outlines, root, likeness, slice(start, min(start + 64, len(members))))
@@ -580,12 +606,12 @@ def _worth_comparing(dealt: DataFrame, sets: DataFrame, likeness: float) -> Data
         if found:
             yield batch(told, zip(*found, strict=True))
 
-    full = dealt.join(outlines, "own").select("key", "block", "own", "root", "size", "outline")
-    found = _written(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "key long, block int, u long, ru long, v long, rv long"))
+    full = dealt.join(sets, "own").select("key", "block", "own", "root", "size", "outline")
+    found = _written(full.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block").mapInArrow(run, "key long, block int, u long, ru long, v long, rv long"), folder)
     whole = found.filter("v is null").select("key", "block", F.col("u").alias("own"), F.col("ru").alias("root"))
     once = found.filter("v is not null").groupBy("u", "v").agg(F.min(F.struct("key", "block")).alias("at"), F.first("ru").alias("ru"), F.first("rv").alias("rv"))
     both = F.explode(F.array(F.struct(F.col("u").alias("own"), F.col("ru").alias("root")), F.struct(F.col("v").alias("own"), F.col("rv").alias("root")))).alias("x")
-    return _written(whole.unionByName(once.select("at.key", "at.block", both).select("key", "block", "x.own", "x.root")).distinct())
+    return _written(whole.unionByName(once.select("at.key", "at.block", both).select("key", "block", "x.own", "x.root")).distinct(), folder)
 
 
 def _meetings(each: DataFrame, apart: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import hashlib
 import ipaddress
 import itertools
 import math
+import pathlib
 import random
 import zlib
 
@@ -19,6 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridmill.llm import ann, bpe, langid, lm, packing, pii, simhash, substring, syncmers, toxicity
+from gridmill.llm.common import shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, score string, fp string, part string"
@@ -1004,3 +1006,26 @@ def test_outlines_show_no_alike_pair_as_unlike():
         left = set(zip(i.tolist(), j.tolist(), strict=True))
         alike = {(p, q) for p, q in itertools.combinations(range(len(sets)), 2) if simhash.alike(sets[p], sets[q], 0.8)}
         assert alike <= left and len(alike) > 5 and (n > 10_000 or len(left) < 0.6 * len(sets) ** 2 / 2)
+
+
+def test_outlines_tell_unlike_sets_of_any_size():
+    """Unlike sets of like sizes are not sent to be compared, however large; outlines of two lengths are folded."""
+    rng = np.random.default_rng(10)
+    for n in (300, 1_000, 5_000, 60_000):
+        sets = [np.unique(rng.integers(0, 1 << 32, int(n * rng.uniform(0.85, 1.15)), dtype=np.uint32)) for _ in range(12)]
+        sets += [np.unique(np.concatenate([x[: len(x) * 9 // 10], rng.integers(0, 1 << 32, len(x) // 20, dtype=np.uint32)])) for x in sets[:6]]
+        sets += [np.unique(np.concatenate([x[: len(x) * 3 // 4], rng.integers(0, 1 << 32, len(x) // 4, dtype=np.uint32)])) for x in sets[6:12]]  # alike by 0.6
+        size, drawn = np.array(list(map(len, sets))), [simhash.outline(x) for x in sets]
+        left = set(zip(*(x.tolist() for x in simhash.may_be_alike(size, drawn, np.arange(len(sets)), 0.8, slice(0, len(sets)))), strict=True))
+        assert left == {(k, 12 + k) for k in range(6)} and sum(x.nbytes for x in drawn) <= max(4 * 32 * len(sets), sum(x.nbytes for x in sets) / 16)
+
+
+def test_near_copies_leave_nothing_behind(spark):
+    """Sets and meetings are deleted when the groups are known; what stays is small."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before, rnd = set(folder.iterdir()), random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(3_000))) for i in range(60)], "doc_id long, text string")
+    found = simhash.near_copies(df)
+    left = sum(f.stat().st_size for top in set(folder.iterdir()) - before for f in top.rglob("*") if f.is_file())
+    assert left < 60 * 3_000 * 4 / 10 and not [t for t in spark.catalog.listTables() if t.name.startswith("near_")]
+    assert got(found) == collections.Counter((i, i) for i in range(60))
