@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,12 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import batch, strings, text_partitions
+from gridmill.llm.common import batch, small_runs, strings, text_partitions
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Pivots of more documents than this are sent window by window.
 HOT = 1_000
+#: Characters of texts whose words are hashed together, and bytes of a word that are.
+RUN, LONG_WORD = 1_000_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _NO = np.iinfo(np.int64).max
 
 
@@ -108,8 +113,21 @@ class SuffixAutomaton:
             yield matched, first[state]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word ``raw[start:end]``, eight bytes of all words at a time."""
+    eights = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))
+    length = ends - starts
+    out = length.astype(np.uint64) * _MULTIPLIER
+    for k in range(0, LONG_WORD, 8):
+        some = np.flatnonzero(length > k)
+        if not len(some):
+            break
+        part = eights[starts[some] + k] & _FIRST_BYTES[np.minimum(length[some] - k, 8)]
+        h = (out[some] ^ part) * _MULTIPLIER
+        out[some] = h ^ (h >> np.uint64(32))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -121,8 +139,28 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+class Texts:
+    """Words of some texts at once, with single spaces between: where each lies, which text it is of, and its hash."""
+
+    def __init__(self, raws: list[bytes], counts: list[int]):
+        self.raw = b" ".join(raws)
+        gaps = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 32)
+        self.starts, self.ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(self.raw)]])
+        self.owner = np.repeat(np.arange(len(raws)), counts)
+        self.hashes = word_hashes(self.raw, self.starts, self.ends)
+
+    def pieces(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The words from each ``first`` to its ``last``."""
+        return [self.raw[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[last].tolist(), strict=True)]
+
+
+def each(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ``n`` numbers from each ``first`` on, one range after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Windows:
-    """How windows of ``size`` words are pinned at n-grams of ``gram`` words."""
+    """How windows of ``size`` words are pinned at n-grams of ``gram`` words. Windows are numbered by their first words."""
 
     def __init__(self, size: int):
         if not 2 <= size <= 200:
@@ -130,17 +168,38 @@ class Windows:
         self.size = size
         self.gram = min(size, 5 if size < 20 else 8)
 
-    def pivots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first window, last window) of each pivot of a text of at least ``size`` words."""
-        grams = gram_hashes(hashes, self.gram)
+    def pivots(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first window, last window) of each pivot of texts of at least ``size`` words; no window reaches into the next text."""
+        grams = gram_hashes(texts.hashes, self.gram)
         low = np.uint64(255)
-        best = grams[: len(hashes) - self.size + 1] & ~low
-        n = len(best)
-        for j in range(1, self.size - self.gram + 1):
-            np.minimum(best, grams[j : j + n] & ~low | np.uint64(j), out=best)
-        at = np.arange(n) + (best & low).astype(np.int64)
+        best, reach, wanted = grams & ~low, 1, self.size - self.gram + 1
+        while reach < wanted:  # the least of ``reach`` n-grams, with its place among them in the low byte
+            step = min(reach, wanted - reach)
+            best = np.minimum(best[:-step], best[step:] + np.uint64(step))
+            reach += step
+        inside = np.flatnonzero(texts.owner[: len(best)] == texts.owner[self.size - 1 :])
+        at = inside + (best[inside] & low).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return grams[at[starts]].view(np.int64), starts, np.concatenate([starts[1:], [n]]) - 1
+        return (grams[at[starts]] & ~np.uint64(1)).view(np.int64), inside[starts], inside[np.concatenate([starts[1:], [len(at)]]) - 1]
+
+    def alone(self, texts: Texts) -> np.ndarray:
+        """The key of each window that is sent by itself; it is odd, those of pivots are even."""
+        return (gram_hashes(texts.hashes, self.size) | np.uint64(1)).view(np.int64)
+
+
+def plain(text: str) -> bytes:
+    """The words, joined by single spaces."""
+    raw = text.encode("utf-8", "surrogatepass").translate(_SPACES)
+    return b" ".join(raw.split()) if b"  " in raw or raw[:1] == b" " or raw[-1:] == b" " else raw
+
+
+def _some(windows: Windows, docs: list, texts: list[str]) -> Iterator[tuple[int, list[bytes], list[int], list[int], Texts | None]]:
+    """Some texts at a time: the first one's place, all as ``plain``, their counts of words, which have an id and a window, and these as Texts."""
+    for a, b in small_runs(texts, RUN):
+        raws = [plain(t) for t in texts[a:b]]
+        counts = [r.count(b" ") + 1 if r else 0 for r in raws]
+        long = [i for i, n in enumerate(counts) if n >= windows.size and docs[a + i] is not None]
+        yield a, raws, counts, long, Texts([raws[i] for i in long], [counts[i] for i in long]) if long else None
 
 
 def split(text: str) -> list[bytes]:
@@ -155,15 +214,21 @@ def _ask(windows: Windows):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            for p, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True):
-                words = split(text)
-                if doc is not None and len(words) >= windows.size:
-                    found = np.unique(windows.pivots(word_hashes(words))[0])
-                    held.setdefault(p, []).append((found, np.full(len(found), doc, np.int64)))
+            parts, docs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for start, _, _, long, texts in _some(windows, docs, strings(b.column(2))):
+                if texts is None:
+                    continue
+                h, first, _ = windows.pivots(texts)
+                of = np.array([parts[start + i] for i in long])[texts.owner[first]]
+                d = np.array([docs[start + i] for i in long], np.int64)[texts.owner[first]]
+                for p in np.unique(of).tolist():
+                    held.setdefault(p, []).append((h[of == p], d[of == p]))
         for parts in held.values():
             h, d = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((d, h))
             h, d = h[order], d[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+            h, d = h[new], d[new]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.concatenate([starts[1:], [len(h)]])
             for k in range(0, len(starts), 50_000):
@@ -183,32 +248,29 @@ def _send(windows: Windows):
         known, hot = answers.column("hash").to_numpy(), answers.column("hot").to_numpy(zero_copy_only=False)
         order = np.argsort(known)
         known, hot = known[order], hot[order]
-        found: dict[tuple[int, bytes], list[int]] = {}
-
-        def note(key: int, piece: bytes, doc: int) -> None:
-            if (seen := found.get((key, piece))) is None:
-                found[key, piece] = [doc, doc]
-            elif doc < seen[0]:
-                seen[0] = doc
-            elif doc > seen[1]:
-                seen[1] = doc
-
-        for doc, text in zip(docs.column("doc_id").to_pylist(), strings(docs.column("text")), strict=True):
-            words = split(text)
-            if doc is None or len(words) < windows.size:
+        rows = [(i, t) for i, t in zip(docs.column("doc_id").to_pylist(), strings(docs.column("text")), strict=True) if i is not None]
+        rows.sort(key=lambda r: r[0])
+        ids, whole = [i for i, _ in rows], [t for _, t in rows]
+        found: dict[bytes, tuple[int, int]] = {}  # a piece's words say its pivot, so its key too
+        greatest: dict[bytes, int] = {}
+        for start, _, _, long, texts in _some(windows, ids, whole):
+            if texts is None:
                 continue
-            hashes = word_hashes(words)
-            pivot, first, last = windows.pivots(hashes)
-            at = np.minimum(np.searchsorted(known, pivot), len(known) - 1)
-            asked = np.flatnonzero(known[at] == pivot)
-            keys = gram_hashes(hashes, windows.size).view(np.int64) if hot[at[asked]].any() else None
-            for a, h, i, j in zip(pivot[asked].tolist(), hot[at[asked]].tolist(), first[asked].tolist(), last[asked].tolist(), strict=True):
-                if h:
-                    for w in range(i, j + 1):
-                        note(int(keys[w]), b" ".join(words[w : w + windows.size]), doc)
-                else:
-                    note(a, b" ".join(words[i : j + windows.size]), doc)
-        return pa.table([pa.array([k for k, _ in found], pa.int64()), pa.array([w for _, w in found], pa.binary()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([y - x for x, y in found.values()], pa.int64())], schema=schema)
+            key, first, last = windows.pivots(texts)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            asked = np.flatnonzero(known[at] == key)
+            key, first, last, alone = key[asked], first[asked], last[asked], hot[at[asked]]
+            if alone.any():
+                w = each(first[alone], last[alone] - first[alone] + 1)
+                key, first, last = (np.concatenate([x[~alone], y]) for x, y in ((key, windows.alone(texts)[w]), (first, w), (last, w)))
+                order = np.argsort(first, kind="stable")  # texts by ascending id
+                key, first, last = key[order], first[order], last[order]
+            of = np.array([ids[start + i] for i in long], np.int64)[texts.owner[first]]
+            for k, piece, doc in zip(key.tolist(), texts.pieces(first, last + windows.size - 1), of.tolist(), strict=True):
+                found.setdefault(piece, (k, doc))
+                greatest[piece] = doc
+        least = [d for _, d in found.values()]
+        return pa.table([pa.array([k for k, _ in found.values()], pa.int64()), pa.array(list(found), pa.binary()), pa.array(least, pa.int64()), pa.array([y - x for x, y in zip(least, greatest.values(), strict=True)], pa.int64())], schema=schema)
 
     return run
 
@@ -236,10 +298,11 @@ def _match(windows: Windows):
         pieces: dict[bytes, int] = {}
         for _, words, low, _ in rows:
             pieces[words] = min(low, pieces.get(words, low))
-        first = first_holders(pieces, windows.size)
+        first = {p: (min(f), piece_hash(p), array("q", f).tobytes()) for p, f in first_holders(pieces, windows.size).items()}
         for part, words, _, high in rows:
-            if min(first[words]) < high:
-                yield part, key, piece_hash(words), np.array(first[words], np.int64).tobytes()
+            least, piece, each_first = first[words]
+            if least < high:
+                yield part, key, piece, each_first
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -281,39 +344,52 @@ def without(text: str, gone: np.ndarray) -> str:
     return b"".join([*kept, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _remove(windows: Windows, texts: bool):
+def _remove(windows: Windows, texts_out: bool):
     """Round 3: each document of a group without the windows that an earlier one has."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = np.unique(answers.column("key").to_numpy()) if answers.num_rows else np.zeros(0, np.int64)
-        first = {(k, p): f for k, p, f in zip(*(answers.column(c).to_pylist() for c in ("key", "piece", "first")), strict=True)}
-        held = lambda x: keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+        keys, answer, firsts = (answers.column(c).to_pylist() for c in ("key", "piece", "first"))
+        index = dict(zip(zip(keys, answer, strict=True), range(len(keys)), strict=True))
+        keys = np.unique(np.array(keys, np.int64))
+        begin = np.cumsum([0, *(len(f) // 8 for f in firsts)])
+        flat = np.frombuffer(b"".join(firsts), np.int64)
+        held = lambda x: np.flatnonzero(keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x)
+        ids, whole = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
         rows: list[list] = [[], [], [], []]
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            words = split(text or "")
-            starts: list[int] = []
-            if doc is not None and len(words) >= windows.size and len(keys):
-                hashes = word_hashes(words)
-                pivot, begin, end = windows.pivots(hashes)
-                some = np.flatnonzero(held(pivot))
-                spans = [(k, i, j) for k, i, j in zip(pivot[some].tolist(), begin[some].tolist(), end[some].tolist(), strict=True)]
-                alone = gram_hashes(hashes, windows.size).view(np.int64)
-                some = np.flatnonzero(held(alone))
-                spans += [(k, i, i) for k, i in zip(alone[some].tolist(), some.tolist(), strict=True)]
-                for k, i, j in spans:
-                    if (f := first.get((k, piece_hash(b" ".join(words[i : j + windows.size]))))) is not None:
-                        starts += (i + np.flatnonzero(np.frombuffer(f, np.int64) < doc)).tolist()
-            gone = covered(len(words), starts, windows.size)
-            removed = int(gone.sum())
-            rows[0].append(doc)
-            rows[1].append(len(words))
-            rows[2].append(removed)
-            if texts:
-                rows[3].append(without(text, gone) if removed else text)
-            else:
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words
-                rows[3].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.table([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "text" if texts else "kept_sha256"])
+        for start, raws, counts, long, texts in _some(windows, ids, strings(docs.column("text"))):
+            removed, left = [0] * len(raws), list(raws)
+            if texts is not None and len(keys):
+                key, first, last = windows.pivots(texts)
+                some = held(key)
+                key, first, last = key[some], first[some], last[some]
+                if (keys & 1).any():
+                    alone = windows.alone(texts)
+                    w = held(alone)
+                    w = w[texts.owner[w] == texts.owner[w + windows.size - 1]]
+                    key, first, last = np.concatenate([key, alone[w]]), np.concatenate([first, w]), np.concatenate([last, w])
+                hit = np.array([index.get(k, -1) for k in zip(key.tolist(), map(piece_hash, texts.pieces(first, last + windows.size - 1)), strict=True)], np.int64)
+                first, n, hit = first[hit >= 0], (last - first + 1)[hit >= 0], hit[hit >= 0]
+                w = each(first, n)
+                of = np.array([ids[start + i] for i in long], np.int64)
+                mark = np.zeros(len(texts.owner), np.int64)
+                mark[w[flat[each(begin[hit], n)] < of[texts.owner[w]]]] = 1
+                reach = np.cumsum(mark)
+                gone = reach > np.concatenate([np.zeros(windows.size, np.int64), reach[: -windows.size]])
+                ends = np.cumsum([counts[i] for i in long])
+                for i, e, lost in zip(long, ends.tolist(), np.add.reduceat(gone.astype(np.int64), np.concatenate([[0], ends[:-1]])).tolist(), strict=True):
+                    if lost:
+                        s = e - counts[i]
+                        removed[i] = lost
+                        if texts_out:
+                            left[i] = without(whole[start + i], gone[s:e])
+                        else:
+                            edge = s + np.flatnonzero(np.diff(np.concatenate([[1], gone[s:e].astype(np.int8), [1]])))
+                            left[i] = b" ".join(texts.pieces(edge[::2], edge[1::2] - 1))
+            rows[0] += ids[start : start + len(raws)]
+            rows[1] += counts
+            rows[2] += removed
+            rows[3] += [x if lost else t for x, t, lost in zip(left, whole[start : start + len(raws)], removed, strict=True)] if texts_out else [hashlib.sha256(x).hexdigest() for x in left]
+        return pa.table([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "text" if texts_out else "kept_sha256"])
 
     return run
 

@@ -199,6 +199,27 @@ def test_substring(docs, empty, rows, monkeypatch, size, hot):
         assert substring.repeats(empty, size).count() == 0
 
 
+def test_windows_of_many_texts_at_once():
+    """Pivots of a run of texts are those of each text by itself, and no window reaches into the next text; words hash alike wherever they stand."""
+    rnd = random.Random(31)
+    vocabulary = ["a", "b", "ab", "12345678", "123456789", "x" * 64, "x" * 65, "x" * 64 + "y", "é", "日本"]
+    texts = [" ".join(rnd.choices(vocabulary, k=rnd.randint(13, 60))) for _ in range(40)] + ["q " * 12 + "q"] * 2
+    raws = [substring.plain(f"\t {t.replace(' ', rnd.choice([' ', chr(10), '  ']))} ") for t in texts]
+    assert raws == [t.encode() for t in texts] and substring.plain(" \n") == b"" and substring.plain("a\u00a0b") == "a\u00a0b".encode()
+    for size in (2, 13):
+        windows, counts = substring.Windows(size), [len(r.split()) for r in raws]
+        both, at, want = substring.Texts(raws, counts), 0, []
+        for raw, n in zip(raws, counts, strict=True):
+            alone = substring.Texts([raw], [n])
+            assert both.hashes[at : at + n].tolist() == alone.hashes.tolist() and len(set(alone.hashes.tolist())) == len(set(raw.split()))
+            grams = substring.gram_hashes(alone.hashes, windows.gram)
+            least = [min((int(grams[i + j]) & ~255, j) for j in range(size - windows.gram + 1))[1] + i for i in range(n - size + 1)]
+            starts = [i for i in range(len(least)) if i == 0 or least[i] != least[i - 1]]
+            want += [(signed(int(grams[least[i]]) & ~1), at + i, at + j - 1) for i, j in zip(starts, [*starts[1:], len(least)], strict=True)]
+            at += n
+        assert list(zip(*(x.tolist() for x in windows.pivots(both)), strict=True)) == want
+
+
 def test_substring_against_sql(spark, sf):
     import compare
 
